@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from cloakfield.llm import line_dedup, mixing, packing, quality_rules, sharding
+from cloakfield.llm import html_extract, line_dedup, mixing, packing, pii_surrogates, quality_rules, sharding, url_filter
 
 
 def queries():
     return {
+        "op1_pii_surrogates": pii_surrogates.query,
+        "op2_url_filter": url_filter.query,
+        "op3_html_extract": html_extract.query,
         "op4_quality_rules": quality_rules.query,
         "op6_line_dedup": line_dedup.query,
         "op7_best_fit_packing": packing.query,
