@@ -119,3 +119,39 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if state == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = state
+
+
+def groups_in_order(batches, keys: list[str]):
+    """Yields a table for each run of rows with equal ``keys``, from batches sorted by them; holds one group and one batch at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    pending: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(new), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            key = tuple(c[a] for c in columns)
+            if pending and key != last:
+                yield pa.Table.from_batches(pending).combine_chunks()
+                pending = []
+            last = key
+            pending.append(batch.slice(a, b - a))
+    if pending:
+        yield pa.Table.from_batches(pending).combine_chunks()
+
+
+def list_column(table_, name: str):
+    """Values and offsets of a list column of a combined table."""
+    import numpy as np
+
+    column = table_.column(name)
+    column = column.chunk(0) if column.num_chunks else column.combine_chunks()
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.asarray(offsets - offsets[0])

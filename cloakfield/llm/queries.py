@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloakfield.llm import html_extract, line_dedup, mixing, packing, pii_surrogates, quality_rules, sharding, url_filter
+from cloakfield.llm import html_extract, line_dedup, mixing, ngram_join, packing, pii_surrogates, quality_rules, sharding, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_url_filter": url_filter.query,
         "op3_html_extract": html_extract.query,
         "op4_quality_rules": quality_rules.query,
+        "op5_ngram_join": ngram_join.query,
         "op6_line_dedup": line_dedup.query,
         "op7_best_fit_packing": packing.query,
         "op8_source_mixing": mixing.query,
