@@ -218,5 +218,11 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     return every.select("doc_id", "n", "f1", "f2").join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The input's rows less all documents of a component but the one with the smallest id; rows without an id stay."""
+    gone = ngram_join(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def query(spark, sf_dir):
     return ngram_join(table(spark, sf_dir, "documents"))

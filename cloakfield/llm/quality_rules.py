@@ -144,6 +144,16 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return verdicts(measured, thresholds(sketches(measured)))
 
 
+def keep_quality(docs: DataFrame) -> DataFrame:
+    """The input's rows that the rules keep."""
+    marked = docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    measured = materialize(measure(marked, ["doc_id", "__mark", "lang", "source"]), "quality")
+    kept = verdicts(measured, thresholds(sketches(measured))).where("kept")
+    kept = kept.select(F.col("doc_id").alias("k_id"), F.col("__mark").alias("k_mark"), F.col("lang").alias("k_lang"), F.col("source").alias("k_source"))
+    same = [marked[a].eqNullSafe(kept[b]) for a, b in (("doc_id", "k_id"), ("__mark", "k_mark"), ("lang", "k_lang"), ("source", "k_source"))]
+    return marked.join(kept, same, "left_semi").select(*docs.columns)
+
+
 def query(spark, sf_dir):
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

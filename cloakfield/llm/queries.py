@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloakfield.llm import html_extract, line_dedup, mixing, ngram_join, packing, pii_surrogates, quality_rules, sharding, url_filter
+from cloakfield.llm import embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, pii_surrogates, quality_rules, sharding, url_filter
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op6_line_dedup": line_dedup.query,
         "op7_best_fit_packing": packing.query,
         "op8_source_mixing": mixing.query,
+        "op9_embedding_dedup": embedding_dedup.query,
         "op10_sharding": sharding.query,
     }
 
