@@ -31,3 +31,38 @@ def hmac_hex(message: Column, salt: str | bytes) -> Column:
     inner, outer = _pads(salt.encode() if isinstance(salt, str) else salt)
     first = F.sha2(F.concat(F.lit(bytearray(inner)), F.encode(message, "UTF-8")), 256)
     return F.sha2(F.concat(F.lit(bytearray(outer)), F.unhex(first)), 256)
+
+
+def is_token(value: Column) -> Column:
+    return F.coalesce(value.rlike(TOKEN_PATTERN), F.lit(False))
+
+
+def token(family: str, value: Column, salt: str | bytes, use_hash: bool = True) -> Column:
+    """``[FAMILY_16hex]`` of a value; null and empty stay, and a token stays as it is."""
+    text = value.cast("string")
+    label = LABELS.get(family, f"[{family}]")
+    made = F.concat(F.lit(f"[{family}_"), F.substring(hmac_hex(F.concat(F.lit(f"{family}:"), text), salt), 1, TOKEN_LENGTH), F.lit("]")) if use_hash else F.lit(label)
+    return F.when(text.isNull() | (text == "") | is_token(text), text).otherwise(made)
+
+
+def token_sql(family: str, value: str, salt: str) -> str:
+    """The same token as a DuckDB expression, for oracles."""
+    inner, outer = (p.hex() for p in _pads(salt.encode()))
+    digest = f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode('{family}:' || {value}))))"
+    return f"CASE WHEN {value} IS NULL OR {value} = '' OR regexp_full_match({value}, '\\[(IP|USER|HOST|AGENT)_[0-9a-f]{{16}}\\]') THEN {value} ELSE '[{family}_' || substr({digest}, 1, {TOKEN_LENGTH}) || ']' END"
+
+
+def weak_salt(salt: str) -> bool:
+    return len(salt.strip()) < 32
+
+
+def token_text(family: str, value: str, salt: str, use_hash: bool = True) -> str:
+    """The token of one string, for Arrow functions; equal to :func:`token`."""
+    import hmac
+    import re
+
+    if not value or re.fullmatch(TOKEN_PATTERN[1:-2], value):
+        return value
+    if not use_hash:
+        return LABELS.get(family, f"[{family}]")
+    return f"[{family}_{hmac.new(salt.encode(), f'{family}:{value}'.encode(), 'sha256').hexdigest()[:TOKEN_LENGTH]}]"
