@@ -80,6 +80,8 @@ def _named(m: re.Match, tok, whole: bool) -> str:
     name = m["name"]
     if re.fullmatch(r"\[?(?:IP|USER|HOST|AGENT|EMAIL)_[0-9a-f]{16}\]?", name):
         return m[0]
+    if name.lower() in COMMON_WORDS and re.match(r"\s+\[(?:IP|USER|HOST|AGENT|EMAIL)_", m.string[m.end("name") :]):
+        return m[0]  # the name that follows is a token already
     if whole:
         return tok("USER", name)
     start, end = m.span("name")
