@@ -1,0 +1,262 @@
+"""Edge rows for every operator: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
+
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cloakfield.llm import embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, pii_surrogates, quality_rules, sharding, url_filter
+from cloakfield.llm._shared import components
+
+LONG = " ".join(f"word{i % 5000}" for i in range(30_000))
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, bucket string, mark string, n string, size string, cell string, label string, shard string, piece string"
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def path():
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def table(spark, texts):
+    clash = ("c",) * 8
+    return spark.createDataFrame([(i, t, l, s, 1, *clash) for i, t, l, s in texts], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [
+        (1, None, "en", "a"), (2, "", "en", "a"), (3, " \t\n ", None, None), (4, "one two", "en", "a"), (5, LONG, "en", "b"), (6, LONG, "en", "b"),
+        (7, "One TWO", "de", "b"), (8, "a\nb\na\n", "de", None), (8, "a\nb\na\n", "de", None), (9, "mail x.y@z.example, 10.0.0.1", "en", "a"), (10, "ünï ☃ 😀 " * 30, "fr", "c"), (None, "no id here", "en", "a"),
+    ]
+    return table(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def test_pii(odd, none, spark):
+    rows = pii_surrogates.pii_surrogates(odd, "k" * 40).collect()
+    by = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 12 and by[1]["text"] is None and by[2]["text"] == "" and by[5]["text"] == LONG
+    assert by[9]["n_entities"] == 2 and by[9]["kinds"] == "email,ip" and "x.y@z" not in by[9]["text"] and by[9]["text"].startswith("mail ")
+    assert pii_surrogates.pii_surrogates(none, "k" * 40).count() == 0
+
+
+def test_pii_names_layouts_and_collisions(spark):
+    rows = [
+        (1, "Mrs. Anna Schmidt met Dr. Smith and John Smith", "", ""), (2, "Anna Schmidt; Иван Петров, Мария Петрова", "", ""),
+        (3, "+1 (017) 555-7713 or +1 017-555-7713", "", ""), (4, "4111 1111 1111 1111 and 4111111111111111", "", ""), (5, "A@B.COM a@b.com", "", ""),
+    ]
+    out = {r["doc_id"]: r["text"] for r in pii_surrogates.pii_surrogates(table(spark, rows), "k" * 40).collect()}
+    title, first, last, *_, other = out[1].split()
+    assert title == "Mrs." and out[2].startswith(f"{first} {last};") and out[1].split()[-1] == out[1].split()[5] == other
+    assert all("\u0400" <= c <= "\u04ff" for c in out[2].split("; ")[1].replace(" ", "").replace(",", ""))
+    a, b = out[3].split(" or ")
+    assert "".join(filter(str.isdigit, a)) == "".join(filter(str.isdigit, b)) and a.startswith("+1 (") and b[6] == "-"
+    a, b = out[4].split(" and ")
+    assert a.replace(" ", "") == b and sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(b)) % 10 == 0
+    a, b = out[5].split()
+    assert a == b.upper()
+    # a domain of ten values for eight entities: every draw collides until the loop has spread them
+    units = spark.createDataFrame([("short", str(i)) for i in range(8)], "kind string, canonical string")
+    drawn = pii_surrogates.assign(units, "k" * 40).collect()
+    assert len({r["surrogate"] for r in drawn}) == 8 and not {r["surrogate"] for r in drawn} & {str(i) for i in range(8)}
+
+
+def test_urls(spark):
+    urls = ["http://EXAMPLE.com/en/x", None, "no scheme", "http://a.www.example.com/en/", "x://net/es/?q", "http://h.example.net#/es/", "ftp://u://w/p", ""]
+    df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, label string")
+    rows = {r["page_id"]: r for r in url_filter.url_filter(df, "page_id", url_filter.seed_urls(spark)).collect()}
+    assert [rows[i]["rule"] for i in range(8)] == ["example.com/en/", None, None, "www.example.com/en/", "net/es/", None, None, None]
+    assert (rows[0]["host"], rows[0]["path"]) == ("example.com", "/en/x") and (rows[1]["host"], rows[1]["path"]) == ("", "") == (rows[2]["host"], rows[2]["path"])
+    assert (rows[5]["host"], rows[5]["path"]) == ("h.example.net", "") and rows[6]["host"] == "u:"
+    assert url_filter.url_filter(df.limit(0), "page_id").count() == 0
+
+
+PAGES = [
+    (None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a b"), ("<article><h1>T</h1><p>One &amp; two.<p>Three</article><aside>no</aside>", "T One & two. Three"),
+    ("<html><body><nav><a>m</a></nav><main><p>Body, text.</p></main><footer>f</footer></body></html>", "Body, text."),
+    ('<div class="content"><h2>Head</h2><p>Long, long text with words.</p></div><div id="comments"><p>Great, truly great post.</p></div>', "Head Long, long text with words."),
+    ("<article><p>x<b>y</b>z <script>var a='</p>';</script>w<!-- c --></p><form><input>Sign</form></article>", "xyz w"),
+    ('<article><p>kept</p><div class="advert">Buy</div><section class="cookie-notice">We use</section></article>', "kept"),
+    ("<article><p>" + "word, " * 40_000 + "</p></article>", ("word, " * 40_000).strip()), ("<p>unclosed <!-- rest", "unclosed"), ("<script>x", ""), ("a < b", "a < b"),
+]
+
+
+def test_pages(spark):
+    df = spark.createDataFrame([(i, "u", h, "t") for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
+    assert {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.html_extract(df).collect()} == {i: (w, len(w)) for i, (_, w) in enumerate(PAGES)}
+    assert html_extract.html_extract(df.limit(0)).count() == 0
+
+
+def test_quality(odd, none):
+    rows = quality_rules.quality_rules(odd).collect()
+    assert len(rows) == 12 and not any(r["kept"] for r in rows if r["doc_id"] in (1, 2, 3, 4)) and {r["n_words"] for r in rows if r["doc_id"] in (1, 2, 3)} == {0}
+    assert quality_rules.keep_quality(odd).columns == odd.columns and quality_rules.quality_rules(none).count() == 0 == quality_rules.keep_quality(none).count()
+
+
+def test_sketches_merge_and_bound_the_error(spark):
+    values = [1, 5, 127, 128, 129, 1000, 65_535, 10**9]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules._bucket(F.col("v")).alias("b")).collect()
+    assert all(r["b"] <= r["v"] <= r["b"] * (1 + 1 / 63) + 1 for r in rows)
+
+
+def test_join(odd, none, spark):
+    rows = ngram_join.ngram_join(odd).collect()
+    assert len(rows) == 12
+    by = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
+    assert by[1] == (0, 1) and by[3] == (0, 3) and by[6][1] == 5 and by[7] == (1, 4) and by[8] == (1, 8) and by[None][1] is None
+    assert ngram_join.ngram_join(none).count() == 0 and ngram_join.keep_one(none).count() == 0
+    assert sorted(r["doc_id"] or 0 for r in ngram_join.keep_one(odd).collect()) == [0, 1, 2, 3, 4, 5, 8, 8, 9, 10]
+
+
+def test_join_at_the_threshold_and_across_blocks():
+    base = np.arange(1, 101, dtype=np.int64)
+    close, far = np.unique(np.r_[base[:86], np.arange(1000, 1014)]), np.unique(np.r_[base[:85], np.arange(1000, 1015)])
+    assert ngram_join.join_blocks([base], [close], False) == [(0, 0)] and ngram_join.join_blocks([base], [far], False) == []  # 86/114 and 85/115
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**62, 60)) for _ in range(150)]
+    sets += [np.unique(np.r_[s[:54], rng.integers(0, 2**62, 4)]) for s in sets[:60]]
+    pairs = {(i, j) for i in range(210) for j in range(i) if 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j]))}
+    links = {(max(p), min(p)) for p in ngram_join.join_blocks(sets, sets, True)}
+    assert links == pairs and len(pairs) == 60  # all are pairs of their own, so none may be left out
+    cross = {(max(i, j + 150), min(i, j + 150)) for i, j in ngram_join.join_blocks(sets[:150], sets[150:], False)}
+    assert cross == pairs
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000, 1000 + i) for i in range(1, 60)] + [(i, i + 1) for i in range(2000, 2040)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        p, q = find(a), find(b)
+        parent[max(p, q)] = min(p, q)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_lines(odd, none):
+    many = line_dedup.line_dedup(odd, 2, 1)
+    rows = {r["doc_id"]: r for r in many.collect()}
+    assert many.columns == [*odd.columns, "__lines"] and rows[1]["text"] is None and rows[1]["__lines"] == (1, 0) and rows[2]["__lines"] == (1, 0)
+    assert rows[4]["text"] == rows[7]["text"] == "" and rows[5]["__lines"] == (1, 1) and rows[8]["text"] == "a\nb\na\n"
+    assert line_dedup.line_dedup(none).count() == 0
+
+
+def test_lines_first_occurrence_and_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # runs of one line cross many batches
+    try:
+        df = table(spark, [(i, f"Common \nown {i}\nhalf {i % 2}", "", "") for i in range(50)])
+        out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df, 10, 1).collect()}
+        assert out == {i: f"own {i}" for i in range(50)}
+        first = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df, 10, 1, keep_first=True).collect()}
+        assert first[0] == "Common \nown 0\nhalf 0" and first[1] == "own 1\nhalf 1" and first[2] == "own 2"
+        assert line_dedup.line_dedup(df, 51, 1).where("__lines.n_dropped > 0").count() == 0 and line_dedup.line_dedup(df, 10, 7).where("text like '%Common%'").count() == 50
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_packing(odd, none):
+    rows = packing.pack_documents(odd, path()).collect()
+    assert {r["length"] for r in rows if r["doc_id"] in (1, 2)} == {1} and sum(r["doc_id"] == 8 for r in rows) == 2
+    long = [r for r in rows if r["doc_id"] == 5]
+    assert len(long) > 10 and all(r["length"] == 2048 for r in long if r["piece"]) and packing.pack_documents(none, path()).count() == 0
+    ids = packing.pack_documents(odd.where("doc_id = 10"), path(), with_ids=True).first()["ids"]
+    assert ids[-1] == 0
+
+
+def test_special_strings_are_as_the_tokenizer_has_them():
+    from tokenizers import Tokenizer
+
+    exact, ids = Tokenizer.from_file(path()), packing._encoder(path())
+    for text in ("a <|endoftext|> b", "naïve ☃ 😀\u00a0x", "  two  spaces\n\n", "don't 12345 …"):
+        assert ids(text) == exact.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_hold_every_piece_once(seed):
+    rng = np.random.default_rng(seed)
+    capacity = 64
+    sizes = np.minimum(capacity, 1 + rng.geometric([0.3, 0.1, 0.05, 0.03, 0.02, 0.5][seed], 400))
+    counts = {int(z): int(n) for z, n in zip(*np.unique(sizes, return_counts=True))}
+    bins = packing.plan_bins(counts, capacity)
+    used = {}
+    for n, items in bins:
+        assert n > 0 and sum(z * k for z, k in items) <= capacity and sum(k for z, k in items if 3 * z > capacity) <= 2
+        for z, k in items:
+            used[z] = used.get(z, 0) + n * k
+    assert used == counts and sum(n for n, _ in bins) <= 1.15 * -(-int(sizes.sum()) // capacity) + 2
+
+
+def test_mixing(odd, none):
+    rows = mixing.plan_mix(odd).collect()
+    assert len(rows) == 12 and all(r["taken"] == 0 for r in rows if r["size"] == 0) and all(0 <= p <= 1 for r in rows for p in r["positions"])
+    out = mixing.mix(odd)
+    assert out.columns == [*odd.columns, "__position"] and mixing.mix(none).count() == 0 and mixing.plan_mix(none).count() == 0
+    assert sorted(r["__position"] for r in out.collect()) == [r["__position"] for r in out.collect()]
+
+
+def test_curriculum_follows_the_schedule(spark):
+    """A source that falls is met early, one that rises late."""
+    df = table(spark, [(i, "w " * 20, "", "abc"[i % 3]) for i in range(600)])
+    mean = {r["source"]: r["p"] for r in mixing.mix(df).groupBy("source").agg(F.avg("__position").alias("p")).collect()}
+    assert mean["a"] < 0.47 < mean["b"] < 0.53 < mean["c"]
+
+
+def test_sharding(odd, none, spark):
+    rows = sharding.shard_documents(odd, 4).collect()
+    assert len(rows) == 12 and len({r["shard"] for r in rows if r["doc_id"] in (1, 2)}) == 1 and {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {16}
+    assert sharding.shard_documents(none, 4).count() == 0
+    even = sharding.shard_documents(table(spark, [(i, f"text {i:05d}", "", "") for i in range(3000)]), 5).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert max(r["s"] for r in even) - min(r["s"] for r in even) <= 0.02 * sum(r["s"] for r in even) / 5
+
+
+def test_capacity_tree_takes_the_tightest():
+    rng = np.random.default_rng(4)
+    items = [(int(c), i) for i, c in enumerate(rng.integers(1, 1000, 700))]
+    tree, plain = sharding.CapacityTree(items), sorted(items)
+    for size in rng.integers(1, 1100, 600):
+        got = tree.take(int(size))
+        want = next((x for x in plain if x[0] >= size), plain[-1])
+        assert got == want
+        plain.remove(want)
+        back = (want[0] // 2, want[1])
+        plain.append(back)
+        plain.sort()
+        tree.add(back)
+
+
+def test_vectors(spark):
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [None, 1.0]), (9, [0.0, 1.0]), (10, [1.0, 0.0, 0.0]), (3, [1.0, 0.0]), (None, [1.0, 0.0]), (11, [float("inf"), 1.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, rep string")
+    out = embedding_dedup.embedding_dedup(df).collect()
+    by = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out}
+    assert len(out) == 13 and by[1] == by[2] == by[3] == (2, 1) and all(by[i] == (0, i) for i in (4, 5, 6, 7, 8, 9, 10, 11)) and by[None] == (0, None)
+    assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_lattice_points_are_the_nearest():
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1.5, (300, 8))
+    near = embedding_dedup.nearest_e8(x)
+    around = embedding_dedup.e8_neighbours()
+    twice = 2 * near
+    assert (twice % 1 == 0).all() and (near.sum(1) % 2 == 0).all() and (len(set(map(tuple, around))), (around**2).sum(1).tolist()) == (240, [2.0] * 240)
+    best = ((x[:, None] - (near[:, None] + around)) ** 2).sum(2).min(1)
+    assert (((x - near) ** 2).sum(1) <= best + 1e-9).all()
+
+
+def test_digest_of_nothing():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
