@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakfield.llm._shared import WORD, materialize, running, table, uniform_hash
+from cloakfield.llm._shared import WORD, materialize, running, table
 
 #: Mean weights of the sources in code point order, repeating, and how far each moves from its mean over training.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -52,11 +52,18 @@ def _position(share: Column, tilt: Column) -> Column:
     return 2 * share / (b + F.sqrt(b * b + 4 * tilt * share))
 
 
+def place(doc_id: Column, text: Column) -> Column:
+    """A document's place in the order of its source: 60 bits of a hash that SQL engines share."""
+    name = F.concat_ws(":", F.lit("mix"), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.encode(text, "UTF-8")))
+    return F.conv(F.substring(F.md5(F.encode(name, "UTF-8")), 1, 15), 16, 10).cast("bigint")
+
+
 def plan_mix(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, weights=WEIGHTS, tilts=TILTS) -> DataFrame:
     """Rows (doc_id, source, mark, size, source_size, target, taken, positions), one for each document; positions has one training position a taken copy."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "source", F.xxhash64(text).alias("mark"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"))
-    rows = materialize(rows.withColumn("place", uniform_hash(F.lit("mix"), F.col("doc_id"), F.col("mark"))), "mix")
+    size = F.regexp_count(text, F.lit(WORD)).cast("bigint")
+    rows = docs.select("doc_id", "source", F.xxhash64(text).alias("mark"), size.alias("size"), place(F.col("doc_id"), text).alias("place"))
+    rows = materialize(rows, "mix")
     targets = source_targets(rows, share, max_repeats, weights, tilts)
     rows = running(rows, "source", "place", ["doc_id", "mark"], "size", "before", rows.count())
     t = targets.withColumnRenamed("source", "t_source")
@@ -80,3 +87,20 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark, sf_dir):
     return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+rows AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)), 1, 15) AS BIGINT) AS place FROM d),
+per AS (SELECT source, sum(size)::DOUBLE AS s, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM rows GROUP BY source),
+caps AS (SELECT *, 2 * s AS cap, 2 * s / w AS full_at FROM per),
+levels AS (SELECT *, (1.5 * sum(s) OVER () - coalesce(sum(cap) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
+targets AS (SELECT source, s, least(cap, coalesce(max(CASE WHEN level <= full_at THEN level END) OVER () * w, cap)) AS target FROM levels),
+placed AS (SELECT r.*, t.s, t.target, sum(size) OVER (PARTITION BY r.source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+  FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE size * (CAST(before + size / 2 < target AS BIGINT) + CAST(s + before + size / 2 < target AS BIGINT)) END AS taken
+FROM placed
+"""

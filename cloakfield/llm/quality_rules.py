@@ -157,3 +157,35 @@ def keep_quality(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir):
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracle() -> str:
+    """The same rules in DuckDB."""
+    value = lambda m: f"CAST(floor(1000 * {METRICS[m][0]} / greatest({METRICS[m][1]}, 1)) AS BIGINT)"
+    ones = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {value(m)} AS v FROM m WHERE NOT base_failed" for m in METRICS)
+    slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {v[2]}" for m, v in METRICS.items()) + " END"
+    edges = ", ".join(f"max({e}) FILTER (WHERE metric = '{m}') AS {e}_{m}" for m in METRICS for e in ("lo", "hi"))
+    pick = lambda c: f"CASE WHEN a.n >= {MIN_ROWS} THEN a.{c} WHEN b.n >= {MIN_ROWS} THEN b.{c} ELSE c.{c} END"
+    tests = " AND ".join(f"{value(m)} <= {pick('hi_' + m)}" + (f" AND {value(m)} >= {pick('lo_' + m)}" if v[3] else "") for m, v in METRICS.items())
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS n FROM starts),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM grams WHERE n > 1) GROUP BY 1),
+b AS (SELECT w.doc_id, lang, source, len(w) AS n_words, coalesce(CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)),
+m AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+ones AS ({ones}),
+leaf AS (SELECT lang, source, metric, v - v % (1::BIGINT << greatest(length(bin(v)) - 7, 0)) AS bucket, count(*) AS n FROM ones GROUP BY 1, 2, 3, 4),
+merged AS (SELECT 0 AS lv, * FROM leaf UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM leaf GROUP BY 2, 4, 5 UNION ALL SELECT 2, NULL, NULL, metric, bucket, sum(n) FROM leaf GROUP BY 4, 5),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, metric) AS every FROM merged),
+quart AS (SELECT lv, lang, source, metric, any_value(every) AS n, min(bucket) FILTER (WHERE 4 * upto >= every) AS q1, min(bucket) FILTER (WHERE 4 * upto >= 3 * every) AS q3 FROM ranked GROUP BY 1, 2, 3, 4),
+bounds AS (SELECT *, q1 - {SPREAD} * greatest(q3 - q1, {slack}) AS lo, q3 + {SPREAD} * greatest(q3 - q1, {slack}) AS hi FROM quart),
+wide AS (SELECT lv, lang, source, any_value(n) AS n, {edges} FROM bounds GROUP BY 1, 2, 3)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({tests}, true) AS kept
+FROM m LEFT JOIN wide a ON a.lv = 0 AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source LEFT JOIN wide b ON b.lv = 1 AND b.lang IS NOT DISTINCT FROM m.lang LEFT JOIN wide c ON c.lv = 2
+"""
+
+
+ORACLE = _oracle()

@@ -21,4 +21,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_line_dedup": line_dedup.ORACLE}
+    return {
+        "op4_quality_rules": quality_rules.ORACLE,
+        "op5_ngram_join": ngram_join.ORACLE,
+        "op6_line_dedup": line_dedup.ORACLE,
+        "op8_source_mixing": mixing.ORACLE,
+        "op9_embedding_dedup": embedding_dedup.ORACLE,
+    }
