@@ -63,7 +63,7 @@ class Engine:
                 hits = hits.select(*[path_column(hits, f).alias(f) for f in plan.source])
         results = Aggregator(lambda: df, self.as_of, ident, self.children).run(rows, plan.aggs)
         found = notices.notices_frame(self.spark, [(n.partition("] ")[0] + "]", index, n.partition("] ")[2]) for n in plan.notices] + self._banner(index))
-        about = notices.aggregation_notices(results)
+        about = notices.aggregation_notices(results, self.shadowed)
         found = found.unionByName(about) if about is not None else found
         found = found.unionByName(total.where("value = 0").select(F.lit("[ZERO HITS]").alias("code"), F.lit(index).alias("subject"), F.lit("no document matches").alias("detail")))
         found = found.unionByName(total.where("relation = 'gte'").select(F.lit("[TOTAL COUNT TRUNCATED]").alias("code"), F.lit(index).alias("subject"), F.format_string("more than %d documents match", "value").alias("detail")))
@@ -114,6 +114,8 @@ class Engine:
         time = self._one(self.times, index)
         names = list(self.catalog.field_types(index, prefix))
         window = clause(df, {"range": {time: {"gte": f"now-{hours}h", "lte": "now"}}}, self.as_of)
+        if facts is None:
+            facts = self.spark.createDataFrame(self.catalog.mapping_facts(index), "field string, declared_in long, unindexed_in long, doc_values_disabled_in long")
         rows = cov.coverage(df, names, window, facts, self.settings.sample_size, self._one(self.ids, index))
         shown, hidden = cov.min_docs(rows, min_docs)
         return {"coverage": cov.sort_coverage(shown), "hidden": hidden, "drifted": cov.drifted(rows), "categories": cov.category_counts(rows)}

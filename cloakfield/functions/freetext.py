@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cloakfield.functions.tokens import TOKEN_PATTERN, token, token_text
-from cloakfield.functions.values import EMAIL, FQDN, IPV4, IPV6, UUID, unicode
+from cloakfield.functions.values import EMAIL, FQDN, IPV4, IPV6, IPV6_STRICT, UUID, unicode
 
 # fixed values: words that are no evidence of a name on their own
 COMMON_WORDS = frozenset(
@@ -37,15 +37,18 @@ CONTEXT = (UID_EQ, FOR_USER, SSH_PUBKEY, UID_PAREN, USER_BARE)
 VALUE_TYPES = (("EMAIL", EMAIL), ("IP", IPV6), ("IP", IPV4))
 
 
-def mask_values(text: Column, salt: str, use_hash: bool = True) -> Column:
+def mask_values(text: Column, salt: str, use_hash: bool = True, strict_ipv6: bool = False) -> Column:
     """Replaces e-mail and IP addresses inside a text; pure Catalyst.
 
+    The wide IPv6 pattern also takes clock times and misses compressed addresses; ``strict_ipv6`` takes the exact one.
+
     The running text is an array of one element so that each step is bound once and not written out twice
     in the next.
     """
     bound = F.array(text)
     for family, pattern in VALUE_TYPES:
-        bound = F.transform(bound, _replacer(family, unicode(pattern), salt, use_hash))
+        chosen = IPV6_STRICT if strict_ipv6 and pattern == IPV6 else pattern
+        bound = F.transform(bound, _replacer(family, unicode(chosen), salt, use_hash))
     return F.element_at(bound, 1)
 
 

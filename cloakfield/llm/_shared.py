@@ -98,7 +98,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
 
     def star(both: DataFrame, smaller: bool) -> DataFrame:
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # stored, so that the join below reads two plain shuffles, of which Spark can split a hub's
+        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name)
         keep = F.col("v") <= F.col("u") if smaller else F.col("v") > F.col("u")
         joined = both.join(least, "u")
         out = joined.where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -193,7 +193,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
     rows = classes.select("rep", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    near = rows.join(shared.drop("many"), "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    shared = materialize(shared.drop("many"), "shared-bands")  # stored, so that Spark can split a band that many sets share
+    near = rows.join(shared, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     clusters = components(near, "clusters")
     heads = clusters.select(F.col("root").alias("node"), "root").distinct()
     clusters = clusters.unionByName(heads).join(classes.select(F.col("rep").alias("node"), "mark"), "node")

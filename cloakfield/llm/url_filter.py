@@ -87,14 +87,24 @@ def match_rules(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumn("rule", rule if rules else none).withColumn("rule_verdict", fit if rules else none)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _entropy(c: Column) -> Column:
-    """Shannon entropy of the characters, in bits."""
-    chars = F.sort_array(F.split(c, ""))
-    n = F.size(chars).cast("double")
-    # in sorted order a run ends where the next character differs; its length follows from the ends
-    ends = F.filter(F.transform(chars, lambda x, i: F.when((i + 1 == n) | (x != F.get(chars, (i + 1).cast("int"))), i + 1)), lambda x: x.isNotNull())
-    parts = F.transform(ends, lambda e, i: (e - F.when(i == 0, 0).otherwise(F.get(ends, i - 1))) / n)
-    return F.coalesce(F.aggregate(parts, F.lit(0.0), lambda a, p: a - p * F.log2(p)), F.lit(0.0))
+    """Shannon entropy of the characters, in bits: in sorted order a run ends where the next character differs."""
+
+    def of_ends(ends: Column) -> Column:
+        n = F.element_at(ends, -1)
+        runs = F.transform(ends, lambda e, i: (e - F.coalesce(F.get(ends, i - 1), F.lit(0))) / n)
+        return F.aggregate(runs, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+    def ends_of(chars: Column) -> Column:
+        ends = F.transform(chars, lambda x, i: F.when(F.coalesce(x != F.get(chars, i + 1), F.lit(True)), i + 1))
+        return _let(F.array_compact(ends), of_ends)
+
+    return F.when(F.length(c) > 0, _let(F.sort_array(F.split(c, "")), ends_of)).otherwise(0.0)
 
 
 def lexical_features(df: DataFrame) -> DataFrame:

@@ -39,14 +39,16 @@ def empty_aggregations(result: AggResult, path: str) -> DataFrame:
     return joined.where((F.coalesce("n", F.lit(0)) == 0) & (F.col("scope") > 0)).select(F.lit(path).alias("agg"), *parents, "scope")
 
 
-def aggregation_notices(results: dict[str, AggResult]) -> DataFrame | None:
-    """The notices of all bucket levels, as one frame."""
+def aggregation_notices(results: dict[str, AggResult], shadowed: dict[str, str] | None = None) -> DataFrame | None:
+    """The notices of all bucket levels, as one frame; ``shadowed`` maps namespaces that are mapped and never filled to those that are."""
     frames = []
     for path, r in results.items():
         if r.scope is None or r.node.kind in ("top_hits", "filter", "missing", "sampler", "diversified_sampler", "children", "filters", "range", "date_range", "composite", "rare_terms", "significant_terms", "significant_text"):
             continue
         e = empty_aggregations(r, path)
-        frames.append(e.select(F.lit("[EMPTY AGGREGATION]").alias("code"), F.col("agg").alias("subject"), F.format_string("no bucket although %d documents are in scope", "scope").alias("detail")))
+        source = r.fields.get(r.keys[-1], "") if r.keys else ""
+        hint = next((f"; {source} is mapped and never filled, use {new}{source[len(old) :]}" for old, new in (shadowed or {}).items() if source.startswith(old)), "")
+        frames.append(e.select(F.lit("[EMPTY AGGREGATION]").alias("code"), F.col("agg").alias("subject"), F.concat(F.format_string("no bucket although %d documents are in scope", "scope"), F.lit(hint)).alias("detail")))
         p = partial_coverage(r, path)
         text = F.format_string("buckets cover %d of %d documents (%.1f%%); %d lack the field", "covered", "scope", "pct", "missing")
         frames.append(p.where("covered > 0").select(F.lit("[PARTIAL AGGREGATION COVERAGE]").alias("code"), F.col("agg").alias("subject"), text.alias("detail")))

@@ -77,6 +77,26 @@ class Catalog:
         return {f: sorted(found[f]) for f in sorted(found)}
 
 
+    def mapping_facts(self, pattern: str) -> list[tuple[str, int, int, int]]:
+        """(field, declared_in, unindexed_in, doc_values_disabled_in) over the tables that match, from column metadata ``index`` and ``doc_values``."""
+        facts: dict[str, list[int]] = {}
+        for n in self.resolve(pattern):
+            for path, meta in _leaves(self.table(n).schema):
+                row = facts.setdefault(path, [0, 0, 0])
+                row[0] += 1
+                row[1] += meta.get("index") is False
+                row[2] += meta.get("doc_values") is False
+        return [(f, *facts[f]) for f in sorted(facts)]
+
+
+def _leaves(schema: T.StructType, prefix: str = "") -> list[tuple[str, dict]]:
+    out = []
+    for f in schema.fields:
+        kind = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
+        out += _leaves(kind, f"{prefix}{f.name}.") if isinstance(kind, T.StructType) else [(prefix + f.name, f.metadata or {})]
+    return out
+
+
 def flatten(schema: T.StructType, prefix: str = "") -> list[tuple[str, str]]:
     """Dotted leaf paths and type names; arrays count as their elements."""
     out = []

@@ -224,3 +224,35 @@ def test_posture(spark):
     e = Engine(spark, Catalog({}), policy())
     assert dict((a, b) for a, b, _ in e.posture(policy()))["fingerprint"] == "OK"
     assert dict((a, b) for a, b, _ in Engine(spark, Catalog({})).posture())["masking policy"] == "WARN"
+
+
+def test_strict_addresses(spark):
+    texts = ["at 10:00:01 from ::1", "fe80::1 and 2001:db8::8a2e:370:7334", "aa:bb:cc:dd:ee:ff"]
+    rows = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mask_values(F.col("t"), SALT, strict_ipv6=True)).collect()]
+    assert "10:00:01" in rows[0] and rows[0].count("[IP_") == 1 and rows[1].count("[IP_") == 2 and rows[2] == texts[2]
+
+
+def test_mapping_facts_reach_coverage(spark):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("raw", T.StringType(), metadata={"index": False})])
+    df = spark.createDataFrame([(1, NOW, "x"), (2, NOW, None)], schema)
+    e = Engine(spark, Catalog({"t": df}), as_of=NOW, ids={"t": "id"}, times={"t": "ts"})
+    rows = {r["field"]: r for r in e.field_coverage("t")["coverage"].collect()}
+    assert e.catalog.mapping_facts("t")[1] == ("raw", 1, 1, 0) and rows["raw"]["category"] == "unmeasurable" and rows["raw"]["sample_hits"] == 1 and rows["raw"]["total_pct"] is None
+    assert rows["id"]["total_label"] == "100.0%"
+
+
+def test_shadowed_fields_are_named(spark):
+    df = spark.createDataFrame([(1, None)], "id int, agent struct<name:string>")
+    said = Engine(spark, Catalog({"t": df}), shadowed={"agent.": "node.agent."}).search("t", {"size": 0, "aggs": {"a": {"terms": {"field": "agent.name"}}}}).notices.collect()
+    assert any("use node.agent.name" in r["detail"] for r in said if r["code"] == "[EMPTY AGGREGATION]")
+
+
+def test_log_keeps_raw_lines_out(spark, tmp_path):
+    from cloakfield.sources.sinks import append_log, export_log, log_lines
+
+    df = spark.createDataFrame([(NOW, "a", "MASKED", "x RAW\ny"), (NOW, "a", "RAW", "secret"), (NOW, "a", "BLOCKED", "z")], "t timestamp, tenant string, state string, text string")
+    append_log(log_lines(df, "t", "tenant", "state", "text"), str(tmp_path / "log"), keep_raw=True)
+    lines = sorted(r["value"] for r in export_log(spark, str(tmp_path / "log")).collect())
+    assert lines == ["2024-01-10T00:00:00 a BLOCKED z", "2024-01-10T00:00:00 a MASKED x RAW y"]
