@@ -54,17 +54,23 @@ _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)"
 _SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+_ACCESS_KEY = r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"
+_ASSIGNED = r"(?i:password|passwd|pwd|secret|api[_-]?key)[=:]"
+#: A value of six characters or more right behind its name; punctuation that ends a sentence is not part of it.
+_CREDENTIAL = rf"(?<![\p{{L}}\p{{N}}]){_ASSIGNED}[^\s\"'<>,;&]{{5,}}[^\s\"'<>,;&.:!?)]"
 _TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
 _GIVEN = "|".join((*FEMALE_NAMES, *MALE_NAMES))
 #: A name: a title and one or two capitalised words, or a known given name and a capitalised word.
 _PERSON = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? (?:\p{{Lu}}\p{{Ll}}+ )?\p{{Lu}}\p{{Ll}}+|(?:{_GIVEN}) \p{{Lu}}\p{{Ll}}+)(?!\p{{L}})"
-PATTERN = "|".join((_EMAIL, _IP, _PHONE, _SSN, _CARD, _SECRET, _IBAN, _PERSON))
+PATTERN = "|".join((_CREDENTIAL, _EMAIL, _IP, _PHONE, _SSN, _CARD, _SECRET, _ACCESS_KEY, _IBAN, _PERSON))
 
 
 def _kind(e: Column) -> Column:
     whole = lambda p: e.rlike(f"^(?:{p})$")
     return (
-        F.when(e.contains("@"), "email")
+        F.when(e.rlike(f"^{_ASSIGNED}"), "credential")
+        .when(e.contains("@"), "email")
+        .when(whole("(?:AKIA|ASIA)[0-9A-Z]{16}"), "access_key")
         .when(whole(rf"(?:{_OCTET}\.){{3}}{_OCTET}"), "ip")
         .when(whole(r"\d{3}-\d{2}-\d{4}"), "ssn")
         .when(whole(r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}"), "card")
@@ -85,6 +91,7 @@ def _units(e: Column) -> Column:
         .when(kind.isin("card", "ssn"), F.regexp_replace(e, r"\D", ""))
         .when(kind == "phone", F.concat(country, F.lit("/"), digits))
         .when(kind == "iban", F.replace(e, F.lit(" "), F.lit("")))
+        .when(kind == "credential", F.regexp_replace(e, f"^{_ASSIGNED}", ""))
         .otherwise(e)
     )
     words = F.split(e, " ")
@@ -161,7 +168,9 @@ def _candidates(units: DataFrame, key: str, attempt: int) -> DataFrame:
     off = F.pmod(_luhn(c) - _luhn(card), F.lit(10))
     card = F.concat(F.substring(card, F.lit(1), F.length(card) - 1), F.pmod(F.substring(card, F.length(card), F.lit(1)).cast("int") + off, F.lit(10)).cast("string"))
     iban = F.concat(F.substring(c, 1, 2), _same_shape(F.concat(F.substring(c, F.lit(3), F.length(c)), F.repeat(F.lit("0"), more)), s, F.lit(False)))
-    shape = F.col("kind") == "secret"
+    access_key = F.concat(F.substring(c, 1, 4), _same_shape(F.concat(F.substring(c, F.lit(5), F.length(c)), F.repeat(F.lit("0"), more)), s, F.lit(False)))
+    # passwords are often hex digits too, and then stay so
+    shape = (F.col("kind") == "secret") | (F.col("kind") == "credential") & c.rlike(r"^(?=.*[a-f])[0-9a-f]+$")
     other = _same_shape(F.concat(c, F.repeat(F.lit("0"), more)), s, shape)
     name = F.lit(None).cast("string")
     for (script, role), ends in ENDINGS.items():
@@ -176,6 +185,7 @@ def _candidates(units: DataFrame, key: str, attempt: int) -> DataFrame:
         .when(F.col("kind") == "phone", phone)
         .when(F.col("kind") == "card", card)
         .when(F.col("kind") == "iban", iban)
+        .when(F.col("kind") == "access_key", access_key)
         .when(F.col("kind").startswith("name:"), name)
         .otherwise(other)
     )
@@ -214,7 +224,8 @@ def _render(match: Column, kind: Column, surrogate: Column) -> Column:
     laid = F.aggregate(F.split(rest, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda acc: F.concat(acc["out"], F.substr(new, acc["i"] + 1, F.length(new))))
     numbers = kind.isin("phone", "card", "ssn", "iban")
     upper = F.when((match == F.upper(match)) & (match != F.lower(match)), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(numbers, F.concat(country, laid)).otherwise(upper)
+    named = F.concat(F.regexp_extract(match, f"^{_ASSIGNED}", 0), surrogate)
+    return F.when(numbers, F.concat(country, laid)).when(kind == "credential", named).otherwise(upper)
 
 
 def pii_surrogates(docs: DataFrame, key: str) -> DataFrame:

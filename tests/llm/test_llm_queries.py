@@ -31,7 +31,7 @@ def test_equals_sql(spark, data, name):
 
 
 def test_op1_replaces_everything_that_is_detected(spark, data, docs):
-    found = re.compile(r"[\w.%+-]+@[\w.-]+\.[A-Za-z]{2,}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\d)\d{16}(?!\d)|(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])")
+    found = re.compile(r"[\w.%+-]+@[\w.-]+\.[A-Za-z]{2,}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\d)\d{16}(?!\d)|(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])|(?<=password=)[0-9a-f]{18}|\bAKIA[0-9A-Z]{16}\b")
     shape = lambda s: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", s))
     mapped, n = defaultdict(set), 0
     for r in run(spark, data, "op1_pii_surrogates"):
@@ -42,7 +42,7 @@ def test_op1_replaces_everything_that_is_detected(spark, data, docs):
             assert r["text"] == old
         for x, y in zip(a, b):
             n += 1
-            assert x != y and (x.count(".") == 3 and "@" not in x or re.fullmatch("[0-9a-f]{40}", x) or shape(x) == shape(y))
+            assert x != y and (x.count(".") == 3 and "@" not in x or re.fullmatch("[0-9a-f]{40}|[0-9a-f]{18}", x) or shape(x) == shape(y))
             mapped[x.lower()].add(y.lower())
     assert n and all(len(v) == 1 for v in mapped.values()) and len({next(iter(v)) for v in mapped.values()}) == len(mapped)
 
