@@ -35,6 +35,8 @@ USER_BARE = rf"(?i)\buser\s+(?!(?:{'|'.join(sorted(COMMON_WORDS))})\b)(?P<name>[
 ALWAYS = (USER_NOUN, USER_AUTH)
 CONTEXT = (UID_EQ, FOR_USER, SSH_PUBKEY, UID_PAREN, USER_BARE)
 VALUE_TYPES = (("EMAIL", EMAIL), ("IP", IPV6), ("IP", IPV4))
+#: What the deep pass looks for in values of unknown meaning.
+DEEP_TYPES = (*VALUE_TYPES, ("HOST", FQDN), ("USER", UUID))
 
 
 def mask_values(text: Column, salt: str, use_hash: bool = True, strict_ipv6: bool = False) -> Column:
@@ -42,13 +44,21 @@ def mask_values(text: Column, salt: str, use_hash: bool = True, strict_ipv6: boo
 
     The wide IPv6 pattern also takes clock times and misses compressed addresses; ``strict_ipv6`` takes the exact one.
 
-    The running text is an array of one element so that each step is bound once and not written out twice
-    in the next.
     """
+    types = [(family, IPV6_STRICT if strict_ipv6 and pattern == IPV6 else pattern) for family, pattern in VALUE_TYPES]
+    return _replaced(text, types, salt, use_hash)
+
+
+def mask_deep(text: Column, salt: str, use_hash: bool = True) -> Column:
+    """Replaces addresses, host names and UUIDs inside a value of unknown meaning; pure Catalyst."""
+    return _replaced(text, DEEP_TYPES, salt, use_hash)
+
+
+def _replaced(text: Column, types: Iterable[tuple[str, str]], salt: str, use_hash: bool) -> Column:
+    """One step a type.  The running text is an array of one element so that each step is bound once and not written out twice in the next."""
     bound = F.array(text)
-    for family, pattern in VALUE_TYPES:
-        chosen = IPV6_STRICT if strict_ipv6 and pattern == IPV6 else pattern
-        bound = F.transform(bound, _replacer(family, unicode(chosen), salt, use_hash))
+    for family, pattern in types:
+        bound = F.transform(bound, _replacer(family, unicode(pattern), salt, use_hash))
     return F.element_at(bound, 1)
 
 
@@ -105,7 +115,7 @@ def mask_opaque(text: str, salt: str, registry: dict[str, str], identities: Iter
     """A value of unknown meaning: known values first, then whole and embedded addresses, host names and UUIDs, then names."""
     if text in registry:
         return registry[text]
-    for family, pattern in (("EMAIL", EMAIL), ("IP", IPV6), ("IP", IPV4), ("HOST", FQDN), ("USER", UUID)):
+    for family, pattern in DEEP_TYPES:
         text = re.sub(pattern, lambda m, f=family: token_text(f, m[0], salt, use_hash), text)
     for name in identities:
         if len(name) > 1 and name.lower() not in COMMON_WORDS:

@@ -59,8 +59,8 @@ def metric_columns(df: DataFrame, node: AggNode) -> dict[str, Column]:
         return out
     if kind == "percentiles":
         at = p.get("percents", [1, 5, 25, 50, 75, 95, 99])
-        exact = not p.get("approximate")
-        pick = (lambda q: F.percentile(c, q / 100)) if exact else (lambda q: F.percentile_approx(c, q / 100, 10_000))
+        # a sketch of bounded size unless exact values are asked for, which hold every distinct value of a bucket in one task
+        pick = (lambda q: F.percentile(c, q / 100)) if p.get("exact") else (lambda q: F.percentile_approx(c, q / 100, p.get("accuracy", 10_000)))
         return {f"{name}_{q:g}".replace(".", "_"): pick(q) for q in at}
     if kind == "percentile_ranks":
         return {f"{name}_{v:g}".replace(".", "_"): 100 * F.avg((c <= v).cast("double")) for v in p["values"]}

@@ -89,9 +89,12 @@ def classify(df: DataFrame, order: str, rules: tuple[Rule, ...] = DEFAULT_RULES,
     base = df.sparkSession.createDataFrame(entries, "field string, name_kind string, name_priority string, free boolean, already_configured boolean")
     rows = base.join(value_flags(sampled), "field", "left")
     rule_kind = rule_priority = F.lit(None).cast("string")
+    # an invalid pattern is a constraint that is not there
+    bound = [(f, r) for f, r in matches if r.pattern and _valid(r.pattern)]
+    seen = sampled.agg(*[F.max((F.col("field") == f) & F.col("value").rlike(r.pattern)) for f, r in bound]).first() if bound else ()  # all rules in one job
+    unmet = [x for x, met in zip(bound, seen) if not met]
     for f, r in reversed(matches):
-        # an invalid pattern is a constraint that is not there
-        if r.pattern and _valid(r.pattern) and sampled.where((F.col("field") == f) & F.col("value").rlike(r.pattern)).isEmpty():
+        if (f, r) in unmet:
             continue
         rule_kind, rule_priority = F.when(F.col("field") == f, r.kind).otherwise(rule_kind), F.when(F.col("field") == f, r.priority).otherwise(rule_priority)
     on = lambda c: F.coalesce(F.col(c), F.lit(0)) == 1

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakfield.functions.freetext import mask_text, mask_values, residual
+from cloakfield.functions.freetext import mask_deep, mask_text, mask_values, residual
 from cloakfield.functions.tokens import is_token, token
 from cloakfield.functions.values import EMAIL, FQDN, FREE_TEXT_NAME, IPV4, IPV6
 from cloakfield.operators.aggs import AggResult
@@ -139,6 +139,19 @@ def registry(df: DataFrame, policy: Policy) -> DataFrame:
     return reduce(DataFrame.unionByName, frames).groupBy("value").agg(F.min_by("token", "rank").alias("token"))
 
 
+def mask_opaque_values(df: DataFrame, known: DataFrame, policy: Policy) -> DataFrame:
+    """The deep pass over output whose fields are not known: every string column, whole values of the registry first.
+
+    ``known`` is a :func:`registry`.  It joins by value, one row a value, so Spark broadcasts it while it is
+    small and otherwise splits what is hot on the other side.
+    """
+    for i, f in enumerate(f for f in df.schema.fields if isinstance(f.dataType, T.StringType)):
+        c, tokens = F.col(f"`{f.name}`"), known.select(F.col("value").alias(f"__v{i}"), F.col("token").alias(f"__t{i}"))
+        made = F.coalesce(F.col(f"__t{i}"), F.when(is_token(c), c), mask_deep(c, policy.salt, policy.use_hash))
+        df = df.join(tokens, c == F.col(f"__v{i}"), "left").withColumn(f.name, made).drop(f"__v{i}", f"__t{i}")
+    return df
+
+
 def residuals(df: DataFrame) -> DataFrame:
     """Rows (column, rows_left): how many rows of each string column still hold an address."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]

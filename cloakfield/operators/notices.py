@@ -56,11 +56,14 @@ def aggregation_notices(results: dict[str, AggResult], shadowed: dict[str, str]
 
 
 def total_hits(df: DataFrame, exact: bool, cap: int = 10_000) -> DataFrame:
-    """One row (value, relation): an exact count, or one that stops just above the cap."""
-    counted = df.select(F.lit(1).alias("x"))
-    counted = counted if exact else counted.limit(cap + 1)
+    """One row (value, relation): an exact count, or one that is cut at the cap.
+
+    Both count all rows: a task sends one number, while a limit would send up to a cap of rows from every task to one.
+    """
     n = F.count(F.lit(1))
-    return counted.agg(n.alias("n")).select(F.least("n", F.lit(cap)).alias("value") if not exact else F.col("n").alias("value"), F.when(F.col("n") > cap, "gte").otherwise("eq").alias("relation") if not exact else F.lit("eq").alias("relation"))
+    if exact:
+        return df.agg(n.alias("value")).select("value", F.lit("eq").alias("relation"))
+    return df.agg(n.alias("n")).select(F.least("n", F.lit(cap)).alias("value"), F.when(F.col("n") > cap, "gte").otherwise("eq").alias("relation"))
 
 
 def safety_banner(masking_active: bool, has_fields: bool, gate: str, index: str, raw_tables: list[str], external: bool = False) -> list[tuple[str, str, str]]:

@@ -11,9 +11,11 @@ import json
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakfield.sources.policy import Policy, drift
+
 OVERLAP, FIRST_LOOKBACK = timedelta(hours=1), timedelta(hours=24)
 
 
@@ -31,6 +33,20 @@ def next_window(checkpoint: datetime | None, as_of: datetime, overlap: timedelta
     return Window(as_of - lookback if checkpoint is None else checkpoint - overlap, as_of)
 
 
+def preflight(wanted: Policy, deployed: Policy | None) -> None:
+    """Refuses a run under another policy than the deployed one: its tokens would not fit the rows that are there."""
+    if deployed is None:
+        raise SyncError("no policy is deployed")
+    found = [f"{k}: {', '.join(v)}" for k, v in drift(wanted, deployed).items() if v]
+    if found or wanted.fingerprint() != deployed.fingerprint():
+        raise SyncError(f"the deployed policy differs ({'; '.join(found) or 'settings'})")
+
+
+def leftovers(masked: DataFrame) -> DataFrame:
+    """One row (leftover): rows of the masked table that are flagged as failed and belong into quarantine."""
+    return masked.agg(F.count(F.when(F.coalesce("masking_error", F.lit(False)), 1)).alias("leftover"))
+
+
 def window_rows(raw: DataFrame, time: str, window: Window) -> DataFrame:
     """Rows of the window; the bounds are literals of the column's type and reach the scan."""
     kind = raw.schema[time].dataType
@@ -129,7 +145,12 @@ def migrate(masked_path: str, quarantine_path: str, spark: SparkSession, key: st
     copied = spark.read.parquet(quarantine_path).join(flagged.select(key), key, "left_semi").count()
     if copied < n:
         raise SyncError(f"{n - copied} flagged rows were not copied; nothing is deleted")
-    kept = f"{masked_path.rstrip('/')}-kept"
-    masked.where("masking_error is null or not masking_error").write.mode("overwrite").parquet(kept)
-    spark.read.parquet(kept).write.mode("overwrite").parquet(masked_path)
+    delete_where(spark, masked_path, F.col("masking_error"))
     return n
+
+
+def delete_where(spark: SparkSession, path: str, test: Column) -> None:
+    """Deletes the rows of a table that pass ``test``; null does not pass.  What stays is written beside the table first, and is there if the second write fails."""
+    kept = f"{path.rstrip('/')}-kept"
+    spark.read.parquet(path).where(~F.coalesce(test, F.lit(False))).write.mode("overwrite").parquet(kept)
+    spark.read.parquet(kept).write.mode("overwrite").parquet(path)

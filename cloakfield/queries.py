@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakfield.engine import Engine
-from cloakfield.functions.freetext import mask_text, mask_values, residual
+from cloakfield.functions.freetext import DEEP_TYPES, VALUE_TYPES, mask_deep, mask_text, mask_values, residual
 from cloakfield.functions.tokens import LABELS, token, token_sql
 from cloakfield.functions.values import DRIFT, EMAIL, FQDN, IPV4, IPV6, USER_AUTH_SEARCH, USER_NOUN_SEARCH, embeds_personal_data, value_kind
 from cloakfield.operators import gdpr, notices, overview, sync
-from cloakfield.operators.masking import mask_keys, masking_report, registry
+from cloakfield.operators.masking import mask_keys, mask_opaque_values, masking_report, registry
 from cloakfield.sources.catalog import Catalog
 from cloakfield.sources.policy import FieldSpec, Policy, Settings
 
@@ -234,6 +234,11 @@ def _(spark, sf):
     return engine(spark, sf).search("events", {"size": 0, "aggs": {"users": {"cardinality": {"field": "user_id", "approximate": True}}}}).aggs["metrics"].df
 
 
+@query("agg_percentiles_approx")
+def _(spark, sf):
+    return engine(spark, sf).search("lineitem", {"size": 0, "aggs": {"q": {"percentiles": {"field": "l_extendedprice", "percents": [5, 50, 95]}}}}).aggs["metrics"].df
+
+
 agg("agg_stats", "orders", {"s": {"terms": {"field": "o_orderstatus"}, "aggs": {"p": {"stats": {"field": "o_totalprice"}}}}}, "s",
     "SELECT o_orderstatus AS s, count(*) AS doc_count, count(o_totalprice) AS p_count, min(o_totalprice) AS p_min, max(o_totalprice) AS p_max, round(avg(o_totalprice), 4) AS p_avg, round(sum(o_totalprice), 2) AS p_sum FROM orders GROUP BY 1",
     finish=lambda r: r.df.withColumns({"p_avg": F.round("p_avg", 4), "p_sum": F.round("p_sum", 2)}))
@@ -241,7 +246,7 @@ agg("agg_extended_stats", "events", {"v": {"extended_stats": {"field": "value"}}
     """SELECT count(value) AS v_count, min(value) AS v_min, max(value) AS v_max, round(avg(value), 5) AS v_avg, round(sum(value), 3) AS v_sum, round(sum(value * value), 2) AS v_sum_of_squares, round(var_pop(value), 5) AS v_variance,
     round(stddev_pop(value), 5) AS v_std_deviation, round(avg(value) + 2 * stddev_pop(value), 5) AS v_upper, round(avg(value) - 2 * stddev_pop(value), 5) AS v_lower FROM events""",
     finish=lambda r: r.df.withColumns({c: F.round(c, {"v_sum": 3, "v_sum_of_squares": 2}.get(c, 5)) for c in r.df.columns if c not in ("v_count", "v_min", "v_max")}))
-agg("agg_percentiles", "lineitem", {"q": {"percentiles": {"field": "l_extendedprice", "percents": [5, 50, 95]}}}, "metrics",
+agg("agg_percentiles", "lineitem", {"q": {"percentiles": {"field": "l_extendedprice", "percents": [5, 50, 95], "exact": True}}}, "metrics",
     "SELECT round(quantile_cont(l_extendedprice, 0.05), 4) AS q_5, round(quantile_cont(l_extendedprice, 0.5), 4) AS q_50, round(quantile_cont(l_extendedprice, 0.95), 4) AS q_95 FROM lineitem",
     finish=lambda r: r.df.select(*[F.round(c, 4).alias(c) for c in r.df.columns]))
 agg("agg_percentile_ranks", "events", {"v": {"percentile_ranks": {"field": "value", "values": [10, 50]}}}, "metrics",
@@ -437,9 +442,9 @@ def _(spark, sf):
 
 # --- free text --------------------------------------------------------------------------------------------
 
-def masked_text_sql(table: str, keys: str, column: str) -> str:
+def masked_text_sql(table: str, keys: str, column: str, types=VALUE_TYPES) -> str:
     sql, name = f"WITH s AS (SELECT {keys}, {column} AS t FROM {table})", "s"
-    for i, (family, pattern) in enumerate((("EMAIL", EMAIL), ("IP", IPV6), ("IP", IPV4))):
+    for i, (family, pattern) in enumerate(types):
         tok = token_sql(family, "x", SALT)
         cut = f"regexp_split_to_array(t, '{pattern}')"
         found = f"regexp_extract_all(t, '{pattern}')"
@@ -459,6 +464,23 @@ def _(spark, sf):
     return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", mask_values(F.col("text"), SALT).alias("masked"))
 
 
+_OPAQUE_SQL = masked_text_sql("customer", "c_custkey, c_name", "'see ' || c_name || ' at host' || c_custkey || '.example.org and 10.0.0.' || (c_custkey % 250)", DEEP_TYPES)
+
+
+@query("masked_opaque_values", f"SELECT c_custkey, {token_sql('HOST', 'c_name', SALT)} AS known, masked AS embedded FROM ({_OPAQUE_SQL})")
+def _(spark, sf):
+    customer = spark.read.parquet(f"{sf}/customer.parquet")
+    key = F.col("c_custkey").cast("string")
+    line = F.concat(F.lit("see "), F.col("c_name"), F.lit(" at host"), key, F.lit(".example.org and 10.0.0."), (F.col("c_custkey") % 250).cast("string"))
+    opaque = customer.select("c_custkey", F.col("c_name").alias("known"), line.alias("embedded"))
+    return mask_opaque_values(opaque, registry(customer, POLICY), POLICY)
+
+
+@query("text_mask_deep", masked_text_sql("pages", "page_id", "url", DEEP_TYPES))
+def _(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", mask_deep(F.col("url"), SALT).alias("masked"))
+
+
 @query("text_mask_users")
 def _(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
@@ -564,7 +586,13 @@ def _(spark, sf):
     return sync.reconcile(events, good.where("event_id % 100 <> 1"), bad, "event_id")
 
 
-@query("sync_retention", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS docs FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY 1")
+@query("sync_leftovers", "SELECT count(*) FILTER (WHERE CAST(props->>'$.k' AS INTEGER) > 90) AS leftover FROM events")
+def _(spark, sf):
+    good, bad = sync.split_quarantine(_failing(spark.read.parquet(f"{sf}/events.parquet")), "masking_failure", "raw")
+    return sync.leftovers(good.unionByName(bad, allowMissingColumns=True))
+
+
+@query("sync_retention","SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS docs FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY 1")
 def _(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     kept = sync.retain(events, "ts", latest(events, "ts"), 7)

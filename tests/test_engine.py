@@ -143,6 +143,18 @@ def test_opaque_values():
     assert "[EMAIL_" in out and "[HOST_" in out and "[USER_" in out and "@" not in out
 
 
+def test_deep_pass_native_equals_python(spark):
+    from cloakfield.functions.freetext import mask_deep
+    from cloakfield.operators.masking import mask_opaque_values
+
+    texts = ["a@b.co web.example.org 123e4567-e89b-12d3-a456-426614174000 10.0.0.1", "", "plain", None, "http://x.example.com/y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("t", mask_deep(F.col("t"), SALT).alias("m")).collect():
+        assert r["m"] == (None if r["t"] is None else mask_opaque(r["t"], SALT, {}))
+    known = spark.createDataFrame([("plain", "[USER_0123456789abcdef]")], "value string, token string")
+    assert {r["i"]: r["t"] for r in mask_opaque_values(df, known, policy()).collect()}[2] == "[USER_0123456789abcdef]"
+
+
 def policy(**more):
     fields = (P.FieldSpec("user.name", "USER"), P.FieldSpec("user.id", "USER"), P.FieldSpec("source.ip", "IP"), P.FieldSpec("related.user", "USER", True), P.FieldSpec("host.hostname", "HOST"))
     return P.Policy("demo", SALT, fields, ("message",), **more)

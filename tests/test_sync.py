@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakfield.functions.tokens import token
 from cloakfield.operators import sync as S
+from cloakfield.sources.policy import FieldSpec, Policy
 from cloakfield.streaming.sync import masked_stream
 
 SALT = "golden-master-salt-0123456789abcdef"
@@ -58,6 +59,23 @@ def test_migration_moves_flagged_rows(spark, tmp_path):
     assert S.migrate(m, q, spark, "id") == 0
 
 
+def test_preflight_refuses_another_policy():
+    from dataclasses import replace
+
+    p = Policy("a", SALT, (FieldSpec("source.ip", "IP"),))
+    S.preflight(p, replace(p, salt="not compared"))
+    for other in (None, replace(p, fields=()), replace(p, mask_free_text_users=False)):
+        with pytest.raises(S.SyncError):
+            S.preflight(p, other)
+
+
+def test_rows_are_deleted_by_condition(spark, tmp_path):
+    m, _ = paths(tmp_path)
+    spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "id int, v string").write.parquet(m)
+    S.delete_where(spark, m, F.col("v") == "x")
+    assert sorted(r["id"] for r in spark.read.parquet(m).collect()) == [2, 3]
+
+
 def test_stream_fails_closed_and_resumes(spark, tmp_path):
     m, q = paths(tmp_path)
     source = str(tmp_path / "raw")
