@@ -7,7 +7,8 @@ class and enter the join once.  The join works in three steps.
    threshold shares none of the BANDS bands with a chance of (1 - 0.75**ROWS)**BANDS, 4e-12.  Clusters only
    say which sets are compared, so what they add beyond true links costs time, never a wrong link.
 2. Signature trees.  A cluster is cut into blocks of about BLOCK sets and each pair of blocks is a task.  A
-   block is a tree over its sets in order of size: each node holds the OR of its members' token bitmaps, the
+   cluster of more than one block is cut by size first, into classes so wide that a link stays in a class or
+   joins two that adjoin; blocks of other classes do not meet.  A block is a tree over its sets in order of size: each node holds the OR of its members' token bitmaps, the
    range of their sizes and the least number of bits of a member.  Two trees are walked together; a pair of
    nodes is dropped when even the largest overlap that bitmaps and sizes allow misses the threshold.  At the
    leaves bitmaps prune single pairs and the rest are intersected exactly.  Pairs that a chain of found
@@ -22,11 +23,12 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakfield.llm._shared import ascii_lower, components, groups_in_order, list_column, materialize, table, uniform_hash, words
@@ -35,6 +37,8 @@ SHINGLE = 5
 BANDS, ROWS = 48, 3
 #: Sets of a block, bits of a bitmap, sets of a leaf.
 BLOCK, BITS, LEAF = 256, 2048, 16
+#: Ratio of a size class; linked sets differ in size by 4/3 at most, so a little more keeps rounding out of it.
+CLASS = 1.34
 SEED = 20
 
 
@@ -178,6 +182,28 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[left[x]]), pa.array(ids[right[y]])], names=["a", "b"])
 
 
+def _number(block_class: Column, k: Column) -> Column:
+    """One number for block k of a size class."""
+    return F.shiftleft(block_class, 32) + k
+
+
+def _blocks(sizes: DataFrame) -> DataFrame:
+    """Rows (root, size_class, block_class, n_blocks, near) from rows (root, size_class, sets).
+
+    near lists the classes, with their numbers of blocks, that a block of this class meets.  A cluster that
+    fits one block is one class.  The windows see one row a size class, some dozens a cluster.
+    """
+    cluster = Window.partitionBy("root")
+    one = F.sum("sets").over(cluster) <= BLOCK
+    df = sizes.withColumn("block_class", F.when(one, 0).otherwise(F.col("size_class")))
+    df = df.withColumn("n_blocks", F.when(one, 1).otherwise(F.ceil(F.col("sets") / BLOCK)))
+    beside = [F.lag(F.struct("block_class", "n_blocks"), d).over(cluster.orderBy("size_class")) for d in (1, -1)]
+    beside = F.filter(F.array(*beside), lambda x: F.abs(x["block_class"] - F.col("block_class")) == 1)
+    return df.withColumn("beside", beside).select(
+        "root", "size_class", "block_class", "n_blocks", F.concat(F.array(F.struct("block_class", "n_blocks")), "beside").alias("near")
+    )
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each document."""
     lower, hashes = shingle_set(F.col("text"))
@@ -197,16 +223,19 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     near = rows.join(shared, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     clusters = components(near, "clusters")
     heads = clusters.select(F.col("root").alias("node"), "root").distinct()
-    clusters = clusters.unionByName(heads).join(classes.select(F.col("rep").alias("node"), "mark"), "node")
-    blocks = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
-    clusters = clusters.join(blocks, "root")
-    block = F.pmod(uniform_hash(F.lit("block"), F.col("node")), F.col("n_blocks")).cast("int")
-    members = clusters.select(F.col("node").alias("rep"), F.col("mark").alias("m"), F.col("root").alias("cluster"), "n_blocks", block.alias("block"))
+    clusters = clusters.unionByName(heads).join(classes.select(F.col("rep").alias("node"), "mark", "n"), "node")
+    clusters = clusters.withColumn("size_class", F.floor(F.ln("n") / math.log(CLASS)).cast("bigint"))
+    # stored, so that Spark can split a class that many sets share
+    blocks = materialize(_blocks(clusters.groupBy("root", "size_class").agg(F.count(F.lit(1)).alias("sets"))), "blocks")
+    clusters = clusters.join(blocks, ["root", "size_class"])
+    block = F.pmod(uniform_hash(F.lit("block"), F.col("node")), F.col("n_blocks"))
+    members = clusters.select(F.col("node").alias("rep"), F.col("mark").alias("m"), F.col("root").alias("cluster"), "near", _number(F.col("block_class"), block).alias("block"))
 
     texts = docs.select("doc_id", "text", F.xxhash64(text).alias("mark"))
     found = texts.join(members, (F.col("doc_id") == F.col("rep")) & (F.col("mark") == F.col("m")))
-    found = found.select("rep", "cluster", "block", "n_blocks", lower.alias("__words")).withColumn("set", hashes).drop("__words")
-    pairs = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    found = found.select("rep", "cluster", "block", "near", lower.alias("__words")).withColumn("set", hashes).drop("__words")
+    others = F.transform("near", lambda x: F.transform(F.sequence(F.lit(0).cast("bigint"), x["n_blocks"] - 1), lambda k: _number(x["block_class"], k)))
+    pairs = found.withColumn("other", F.explode(F.flatten(others)))
     pairs = pairs.select("rep", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set")
     keys = ["cluster", "i", "j"]
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -143,6 +143,33 @@ def test_join_at_the_threshold_and_across_blocks():
     assert cross == pairs
 
 
+def test_join_of_a_cluster_of_many_blocks_and_sizes(spark):
+    rng = np.random.default_rng(3)
+    texts = {}
+    for i in range(700):
+        w = [f"w{k}" for k in range(60 + i // 5)]
+        for k in rng.integers(0, len(w), rng.integers(0, 10)):
+            w[k] = f"x{i}-{k}"
+        texts[i] = w
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts.values()]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if root[a] != root[b] and 4 * both >= 3 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert len(set(root)) > 100 and max(root.count(r) for r in set(root)) > ngram_join.BLOCK
+    rows = ngram_join.ngram_join(table(spark, [(i, " ".join(w), "en", "a") for i, w in texts.items()])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(root))
+
+
+def test_blocks_meet_those_of_adjoining_sizes_alone(spark):
+    sizes = spark.createDataFrame([(1, 3, 200), (1, 5, 40), (2, 3, 300), (2, 4, 600), (2, 6, 10)], "root bigint, size_class bigint, sets bigint")
+    near = {(r["root"], r["size_class"]): sorted(map(tuple, r["near"])) for r in ngram_join._blocks(sizes).collect()}
+    assert near == {(1, 3): [(0, 1)], (1, 5): [(0, 1)], (2, 3): [(3, 2), (4, 3)], (2, 4): [(3, 2), (4, 3)], (2, 6): [(6, 1)]}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000, 1000 + i) for i in range(1, 60)] + [(i, i + 1) for i in range(2000, 2040)]
