@@ -5,8 +5,8 @@ Other URLs go to gradient-boosted trees over lexical features: length, depth, di
 entropy, parameter counts, host shape, and statistics of the host's suffixes, the path's first segment and
 its extension.  A statistic is the smoothed share of blocked URLs among all labelled URLs with that value.
 Trees are trained on a hashed sample of the labelled URLs of about ``TRAIN_ROWS`` rows; the statistics count
-all of them.  Labels come with the call.  No table of the query has URL labels, so the query trains on
-:func:`seed_urls`, a labelled set made by rule.  Features, rules and predictions are DataFrame functions and
+all of them, in training all but those of the row's own fold.  Labels come with the call.  No table of the query has URL labels, so the query trains on
+:func:`seed_urls`, a labelled set made by rule whose classes overlap in every trait.  Features, rules and predictions are DataFrame functions and
 JVM models throughout.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged
@@ -16,10 +16,10 @@ Repeated rows each get the same verdict.  Empty tables give empty results; other
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakfield.llm._shared import ascii_lower, materialize, table
@@ -39,31 +39,55 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 12, 3, 7
 #: Weight of the overall share in a statistic.
 PRIOR = 20.0
+#: Parts of the labelled rows; a training row's statistics come from the other parts.
+FOLDS = 4
 STATISTICS = ("suffix1", "suffix2", "segment", "extension")
 
 
-#: Fixed values of the seed set: words that unwanted sites join into names, syllables of ordinary names, and the parts both share.
-LURES = ("casino", "bets", "pills", "cheap", "free", "win", "spam", "farm", "ads", "track", "adult", "loan", "poker", "prize", "click", "x")
-SYLLABLES = ("th", "er", "on", "an", "re", "ti", "in", "nd", "ou", "ha", "ed", "st", "ea", "en", "es", "or")
-SUBDOMAINS = ("", "www.", "m.", "blog.")
-ENDS = ("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top")
+#: Suffixes of the seed set with their weights among allowed and blocked URLs: all occur in both.
+SUFFIXES = (
+    ("com", 8, 4), ("org", 6, 2), ("net", 4, 3), ("edu", 5, 1), ("io", 5, 1), ("co.uk", 5, 1), ("fr", 5, 1), ("de", 5, 1),
+    ("info", 1, 4), ("biz", 1, 4), ("top", 1, 6), ("xyz", 1, 6), ("site", 1, 6), ("club", 1, 6),
+)
+#: Weights of a count of 0, 1, 2, ... among allowed and among blocked seed URLs.
+HYPHENS = ((12, 3, 1), (2, 4, 5, 3))
+HOST_DIGITS = ((14, 1, 1), (2, 2, 3, 4, 4))
+SUBDOMAINS = ((8, 6, 1), (3, 4, 5, 3))
+SEGMENTS = ((2, 5, 5, 2, 1), (1, 1, 2, 3, 5, 6))
+PARAMETERS = ((14, 4, 1, 1), (2, 1, 3, 4, 4, 4))
+PATH_DIGITS = ((5, 3, 3, 2, 1, 1), (1, 1, 2, 2, 3, 4, 4, 4))
+PLAIN = ((1, 8), (3, 1))
+EXTENSIONS = (("", 10, 6), (".html", 5, 2), (".htm", 1, 1), (".pdf", 2, 1), (".php", 2, 5), (".zip", 1, 2), (".exe", 1, 3))
+SEEDS = 8_192
 
 
 def seed_urls(spark) -> DataFrame:
-    """Labelled URLs (url, label), made by rule: half from pairs of lure words, half from syllables, alike in all else."""
-    n = len(LURES)
+    """Labelled URLs (url, label), made by rule from random names: each trait is drawn from its class's weights.
+
+    Hyphens, digits, labels, depth, parameters, suffix, extension and scheme occur in both classes, in other
+    shares, so that no one of them decides.  Names are random letters; no word or host is given.
+    """
     k = F.col("id")
-    pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(i, F.lit(len(xs))) + 1).cast("int"))
     h = lambda name: F.shiftrightunsigned(F.xxhash64(F.lit(name), k), 8)
-    bad = F.concat(pick(LURES, k), F.lit("-"), pick(LURES, k + 1 + F.floor(k / n) % (n - 1)))
-    good = F.concat(*[F.when(h("n") % 3 >= i - 2, pick(SYLLABLES, h(f"s{i}"))).otherwise("") for i in range(5)])
-    label = (F.floor(k / (n * n)) % 2).cast("double")
-    url = F.concat(
-        pick(("http://", "https://"), h("scheme")), pick(SUBDOMAINS, h("sub")), F.when(label == 1, bad).otherwise(good),
-        pick((".example.com/", ".example.net/", ".example.org/"), h("top")), pick(("en", "de", "fr", "es"), h("lang")),
-        F.lit("/"), (h("page") % 10_000).cast("string"), pick(ENDS, h("end")),
-    )
-    return spark.range(8 * n * n).select(url.alias("url"), label.alias("label"))
+    draw = lambda name, values, weights: F.get(F.array(*[F.lit(v) for v, w in zip(values, weights) for _ in range(w)]), F.pmod(h(name), F.lit(sum(weights))).cast("int"))
+    both = lambda of: F.when(F.col("label") == 1, of(1)).otherwise(of(0))
+    count = lambda name, weights: both(lambda c: draw(name, range(len(weights[c])), weights[c]))
+    choice = lambda name, rows: both(lambda c: draw(name, [r[0] for r in rows], [r[1 + c] for r in rows]))
+    word = lambda name: F.translate(F.substr(F.conv(h(name).cast("string"), 10, 16), F.lit(1), F.pmod(h(name + "n"), F.lit(6)) + 3), "0123456789ABCDEF", "aeioulnrstmdpbcg")
+    number = lambda name, n: F.substr(h(name).cast("string"), F.lit(3), n)
+    many = lambda name, n, most, each: F.concat(*[F.when(n > i, each(f"{name}{i}")).otherwise("") for i in range(most)])
+    host = F.concat(
+        many("sub", count("subs", SUBDOMAINS), 3, lambda x: F.concat(word(x), F.lit("."))),
+        word("name"), many("part", count("hyphens", HYPHENS), 3, lambda x: F.concat(F.lit("-"), word(x))), number("nh", count("host", HOST_DIGITS)),
+        F.lit("."), choice("suffix", SUFFIXES),
+    )
+    path = F.concat(
+        F.lit("/"), many("segment", count("segments", SEGMENTS), 5, lambda x: F.concat(word(x), F.lit("/"))),
+        number("np", count("digits", PATH_DIGITS)), choice("extension", EXTENSIONS),
+    )
+    parameters = many("p", count("parameters", PARAMETERS), 5, lambda x: F.concat(F.lit("?" if x == "p0" else "&"), word(x), F.lit("="), number("v" + x, F.lit(4))))
+    url = F.concat(F.when(count("plain", PLAIN) == 0, "http://").otherwise("https://"), host, path, parameters, F.when(h("end") % 8 == 0, "#top").otherwise(""))
+    return spark.range(SEEDS).withColumn("label", (k % 2).cast("double")).select(url.alias("url"), "label")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -139,13 +163,29 @@ def lexical_features(df: DataFrame) -> DataFrame:
     return df.withColumns({k: v.cast("double") for k, v in numbers.items()} | {k: F.coalesce(v, F.lit("")) for k, v in keys.items()})
 
 
-def _with_statistics(rows: DataFrame, labelled: DataFrame, share: float) -> DataFrame:
-    """Adds s_* and c_*: the smoothed blocked share and the count of each key among the labelled rows."""
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS))
+
+
+def _with_statistics(rows: DataFrame, labelled: DataFrame, share: float, own: bool = False) -> DataFrame:
+    """Adds s_* and c_*: the smoothed blocked share and the count of each key among the labelled rows.
+
+    With ``own`` the rows are labelled ones themselves, and those of a row's own fold do not count: a key that
+    one URL alone has would otherwise tell its label.
+    """
     for key in STATISTICS:
-        stats = labelled.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b"))
+        values = (F.count(F.lit(1)).alias("n"), F.sum("label").alias("b"))
+        if own:
+            every = Window.partitionBy("__key")
+            stats = labelled.groupBy(F.col(key).alias("__key"), _fold().alias("__fold")).agg(*values)
+            stats = stats.withColumns({c: F.sum(c).over(every) - F.col(c) for c in ("n", "b")})
+            on = (rows[key] == stats["__key"]) & (_fold() == stats["__fold"])
+        else:
+            stats = labelled.groupBy(F.col(key).alias("__key")).agg(*values)
+            on = rows[key] == stats["__key"]
         smooth = (F.coalesce("b", F.lit(0.0)) + PRIOR * share) / (F.coalesce("n", F.lit(0)) + PRIOR)
-        rows = rows.join(stats, rows[key] == stats["__key"], "left")
-        rows = rows.withColumn(f"s_{key}", smooth).withColumn(f"c_{key}", F.log1p(F.coalesce("n", F.lit(0)).cast("double"))).drop("__key", "n", "b")
+        rows = rows.join(stats, on, "left")
+        rows = rows.withColumn(f"s_{key}", smooth).withColumn(f"c_{key}", F.log1p(F.coalesce("n", F.lit(0)).cast("double"))).drop("__key", "__fold", "n", "b")
     return rows
 
 
@@ -154,6 +194,20 @@ def _parts(urls: DataFrame, *keep: str) -> DataFrame:
     return urls.select(*keep, "url").withColumn("host", host).withColumn("path", path)
 
 
+def feature_names(rows: DataFrame) -> list[str]:
+    """The features of the trees, in the order of the model's feature importances."""
+    return [c for c in rows.columns if c.startswith("f_")] + [f"{x}_{k}" for k in STATISTICS for x in ("s", "c")]
+
+
+def _fit(put: VectorAssembler, known: DataFrame, n: int, share: float) -> GBTClassificationModel:
+    """The trees of n labelled rows with features, fitted on their hashed sample."""
+    rate = min(1.0, TRAIN_ROWS / n)
+    sample = known.where(F.pmod(F.xxhash64(F.lit("train"), "url"), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    train = put.transform(_with_statistics(sample, known, share, own=True)).select("__features", "label")
+    trees = GBTClassifier(featuresCol="__features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
+    return trees.fit(materialize(train.repartition(8), "url-train"))
+
+
 def url_filter(urls: DataFrame, key: str, labelled: DataFrame | None = None, rules=RULES) -> DataFrame:
     """Rows (key, url, host, path, rule, verdict, score): every URL judged.
 
@@ -171,13 +225,8 @@ def url_filter(urls: DataFrame, key: str, labelled: DataFrame | None = None, rul
         allowed = rows.withColumn("score", F.lit(0.0))
         return allowed.select(key, "url", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), "score")
 
-    names = [c for c in rows.columns if c.startswith("f_")] + [f"{x}_{k}" for k in STATISTICS for x in ("s", "c")]
-    put = VectorAssembler(inputCols=names, outputCol="__features")
-    rate = min(1.0, TRAIN_ROWS / n)
-    sample = known.where(F.pmod(F.xxhash64(F.lit("train"), "url"), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    train = put.transform(_with_statistics(sample, known, blocked / n)).select("__features", "label")
-    trees = GBTClassifier(featuresCol="__features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
-    model = trees.fit(materialize(train.repartition(8), "url-train"))
+    put = VectorAssembler(inputCols=feature_names(rows), outputCol="__features")
+    model = _fit(put, known, n, blocked / n)
     scored = model.transform(put.transform(_with_statistics(rows, known, blocked / n)))
     scored = scored.withColumn("score", F.get(vector_to_array("probability"), 1))
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow"))

@@ -92,6 +92,30 @@ def test_urls(spark):
     assert url_filter.url_filter(df.limit(0), "page_id").count() == 0
 
 
+def test_seed_traits_overlap_and_the_trees_use_many(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    known = url_filter.lexical_features(url_filter._parts(url_filter.seed_urls(spark), "label")).cache()
+    rows = known.toPandas()
+    for name in [c for c in rows if c.startswith("f_")]:
+        x, y = rows[name].to_numpy(), rows["label"].to_numpy()
+        assert max(max(np.mean((x > t) == y), np.mean((x > t) != y)) for t in np.unique(x)) < 0.95, name
+    both = lambda c: set(rows[c][rows["label"] == 1]) & set(rows[c][rows["label"] == 0])
+    assert all(both(c) == set(rows[c]) for c in ("suffix1", "extension", "f_secure")) and all(both(c) >= {0.0, 1.0, 2.0} for c in ("f_host_hyphens", "f_parameters"))
+    assert not rows["url"].str.contains("example|casino|pills|-x[.]").any()
+    put = VectorAssembler(inputCols=url_filter.feature_names(known), outputCol="__features")
+    weights = url_filter._fit(put, known, len(rows), 0.5).featureImportances.toArray()
+    assert weights.max() < 0.7 and (weights > 0.01).sum() >= 5
+
+
+def test_statistics_of_training_leave_out_the_row(spark):
+    # each host has one URL, so its own label must not show in the statistic of its suffix
+    rows = spark.createDataFrame([(f"http://a{i}.b{i}/x", float(i % 2)) for i in range(40)], "url string, label double")
+    known = url_filter.lexical_features(url_filter._parts(rows, "label"))
+    out = url_filter._with_statistics(known, known, 0.5, own=True).collect()
+    assert len(out) == 40 and {(r["s_suffix2"], r["c_suffix2"]) for r in out} == {(0.5, 0.0)}
+
+
 PAGES = [
     (None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a b"), ("<article><h1>T</h1><p>One &amp; two.<p>Three</article><aside>no</aside>", "T One & two. Three"),
     ("<html><body><nav><a>m</a></nav><main><p>Body, text.</p></main><footer>f</footer></body></html>", "Body, text."),
