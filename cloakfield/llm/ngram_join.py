@@ -17,7 +17,8 @@ class and enter the join once.  The join works in three steps.
 3. The found links' connected components, and back from classes to documents.
 
 Defined results: texts without words, or null, have the empty set and link with nothing; a text with fewer
-words than a shingle is one shingle.  Repeated rows are copies.  Empty tables give empty results; other
+words than a shingle is one shingle.  Repeated rows are copies.  A row with a null doc_id has a null
+component and links with nothing; it does not change the components of other rows.  Empty tables give empty results; other
 columns are ignored.
 """
 
@@ -214,7 +215,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     every = materialize(sets.mapInArrow(_bands, schema), "shingle-bands")
 
     first = F.min(F.struct("doc_id", "mark", "bands")).alias("first")
-    classes = every.where("n > 0").groupBy("n", "f1", "f2").agg(first)
+    classes = every.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(first)
     classes = materialize(classes.select("n", "f1", "f2", F.col("first.doc_id").alias("rep"), "first.mark", "first.bands"), "shingle-classes")
 
     rows = classes.select("rep", F.explode("bands").alias("key"))
@@ -245,7 +246,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     roots = roots.withColumnRenamed("node", "rep")
     classes = classes.select("n", "f1", "f2", "rep").join(roots, "rep", "left").select(*[F.col(c).alias(f"c_{c}") for c in ("n", "f1", "f2")], F.coalesce("root", "rep").alias("component"))
     same = (F.col("n") == F.col("c_n")) & (F.col("f1") == F.col("c_f1")) & (F.col("f2") == F.col("c_f2"))
-    return every.select("doc_id", "n", "f1", "f2").join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return every.select("doc_id", "n", "f1", "f2").join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

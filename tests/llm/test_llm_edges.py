@@ -153,6 +153,14 @@ def test_join(odd, none, spark):
     assert sorted(r["doc_id"] or 0 for r in ngram_join.keep_one(odd).collect()) == [0, 1, 2, 3, 4, 5, 8, 8, 9, 10]
 
 
+def test_join_of_copies_with_a_null_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text, "en", "a") for i in (3, 4, 5, None)] + [(6, text + " end", "en", "a"), (None, text + " end", "en", "a"), (7, "quite another text", "en", "a")]
+    out = sorted(((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.ngram_join(table(spark, rows)).collect()), key=str)
+    assert out == [(0, None), (0, None), (3, 3), (4, 3), (5, 3), (6, 3), (7, 7)]
+    assert sorted(r["doc_id"] or 0 for r in ngram_join.keep_one(table(spark, rows)).collect()) == [0, 0, 3, 7]
+
+
 def test_join_at_the_threshold_and_across_blocks():
     base = np.arange(1, 101, dtype=np.int64)
     close, far = np.unique(np.r_[base[:86], np.arange(1000, 1014)]), np.unique(np.r_[base[:85], np.arange(1000, 1015)])
