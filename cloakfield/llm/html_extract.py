@@ -3,8 +3,8 @@
 A page's text nodes are grouped by their path of block tags from the root.  For each path the text length
 and the punctuation of its nodes are summed and divided by the number of nodes; both ratios are smoothed
 over neighbouring nodes in page order and fused into one score, which link text lowers.  Scores decide where
-the content is: from the root down, the walk enters the one container that holds most of the score, and
-within it the paths whose score passes a threshold are the content.  Inside an ``article`` or ``main``
+the content is: from the root down, the walk enters the one container that holds most of the text, unless
+what it leaves outside passes the threshold too, and stops at the first ``article`` or ``main``; within it the paths whose score passes a threshold are the content.  Inside an ``article`` or ``main``
 element, which says itself that it is content, only link-heavy paths are below the threshold.  Containers
 that name themselves as navigation, header, footer, sidebar, notice, advert, form or comments have no
 content.
@@ -148,11 +148,17 @@ def main_text(page: str | None) -> str:
         for k in range(len(path) + 1):
             mass[path[:k]] += len(text) * (score[path] > 0)
     region: tuple[str, ...] = ()
-    while True:
+    named = ("article", "main")
+    limit = PASS * max(score.values())
+    while not (region and region[-1] in named):
         below = [p for p in mass if len(p) == len(region) + 1 and p[: len(region)] == region and p[-1] in CONTAINERS]
         best = max(below, key=lambda p: mass[p], default=None)
         if best is None or mass[best] < ENTER * mass[region]:
             break
+        beside = (p for p in score if p[: len(region)] == region and p[: len(best)] != best)
+        holds = any(p[: len(best)] == best and any(t in named for t in p) for p in score)
+        if not holds and any(score[p] > 0 and score[p] >= limit for p in beside):
+            break
         region = best
     inside = [b for b in blocks if b[0][: len(region)] == region and (score[b[0]] > 0 or b[0] and b[0][-1] in HEADINGS)]
     limit = PASS * max((score[b[0]] for b in inside), default=0.0)

@@ -126,6 +126,16 @@ PAGES = [
 ]
 
 
+def test_pages_keep_what_stands_beside_the_largest_container():
+    long = "A long, long paragraph with many words in it, and more. " * 5
+    page = f"<html><body><article><h1>T</h1><p>Lead, short.</p><section><p>{long}</p></section></article></body></html>"
+    assert html_extract.main_text(page) == f"T Lead, short. {long.strip()}"
+    table = f"<article><p>Before, it.</p><table><tr><td>{long}</td></tr></table><p>After, it.</p></article>"
+    assert html_extract.main_text(table) == f"Before, it. {long.strip()} After, it."
+    plain = f"<body><p>A lead of some words, too, in the page.</p><div><p>{long}</p></div></body>"
+    assert html_extract.main_text(plain) == f"A lead of some words, too, in the page. {long.strip()}"
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(i, "u", h, "t") for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     assert {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.html_extract(df).collect()} == {i: (w, len(w)) for i, (_, w) in enumerate(PAGES)}
