@@ -51,13 +51,22 @@ _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-_CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)"
+_CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 _SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 _ACCESS_KEY = r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"
-_ASSIGNED = r"(?i:password|passwd|pwd|secret|api[_-]?key)[=:]"
-#: A value of six characters or more right behind its name; punctuation that ends a sentence is not part of it.
-_CREDENTIAL = rf"(?<![\p{{L}}\p{{N}}]){_ASSIGNED}[^\s\"'<>,;&]{{5,}}[^\s\"'<>,;&.:!?)]"
+_NAMES = r"(?i:password|passwd|pwd|secret|api[_-]?key|token)"
+#: A name in or out of quotes, the separator, and the quote that opens the value.
+_ASSIGNED = rf"{_NAMES}[\"']?\s{{0,8}}[=:]\s{{0,8}}[\"']?"
+_VALUE = r"[^\s\"'<>,;&]{5,}[^\s\"'<>,;&.:!?)]"
+#: A value of six characters or more right behind its name, in quotes, or behind white space if it has a digit, so that
+#: prose stays; punctuation that ends a sentence is not part of it.  A value that is a hex secret as a whole is one, but
+#: right behind a name other than token.
+_CREDENTIAL = (
+    rf"(?<![\p{{L}}\p{{N}}])(?:(?!(?i:token)){_NAMES}[=:]{_VALUE}"
+    rf"|{_NAMES}[\"']?\s{{0,8}}[=:]\s{{0,8}}[\"'](?!{_SECRET}){_VALUE}"
+    rf"|{_NAMES}[\"']?\s{{0,8}}[=:]\s{{0,8}}(?!{_SECRET})(?=[^\s\"'<>,;&]*\d){_VALUE})"
+)
 _TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
 _GIVEN = "|".join((*FEMALE_NAMES, *MALE_NAMES))
 #: A name: a title and one or two capitalised words, or a known given name and a capitalised word.
@@ -73,7 +82,7 @@ def _kind(e: Column) -> Column:
         .when(whole("(?:AKIA|ASIA)[0-9A-Z]{16}"), "access_key")
         .when(whole(rf"(?:{_OCTET}\.){{3}}{_OCTET}"), "ip")
         .when(whole(r"\d{3}-\d{2}-\d{4}"), "ssn")
-        .when(whole(r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}"), "card")
+        .when(whole(r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}"), "card")
         .when(e.rlike(r"^[+(]|^\d{3}-\d{3}-"), "phone")
         .when(whole("[0-9a-f]{32,64}|[0-9A-F]{32,64}"), "secret")
         .when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban")

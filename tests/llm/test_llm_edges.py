@@ -82,6 +82,15 @@ def test_pii_credentials(spark):
     assert out[3]["text"] == rows[2][1] and out[3]["n_entities"] == 0
 
 
+def test_pii_spaced_and_quoted_credentials(spark):
+    texts = ["password: hunter2xyz", 'password="hunter2xyz"', '{"api_key": "Zx81-kqP0"}', "token=ab12cd34ef", "card 3782 822463 10005"]
+    out = {r["doc_id"]: r for r in pii_surrogates.pii_surrogates(table(spark, [(i, t, "", "") for i, t in enumerate(texts)]), "k" * 40).collect()}
+    for i, (old, gone) in enumerate(zip(texts, ("hunter2xyz", "hunter2xyz", "Zx81-kqP0", "ab12cd34ef", "822463"))):
+        assert out[i]["n_entities"] == 1 and gone not in out[i]["text"] and len(out[i]["text"]) == len(old), old
+    assert out[0]["text"].startswith("password: ") and out[2]["text"].startswith('{"api_key": "') and out[2]["text"].endswith('"}')
+    assert out[4]["kinds"] == "card" and out[0]["text"].split()[1] == out[1]["text"].split('"')[1]
+
+
 def test_urls(spark):
     urls = ["http://EXAMPLE.com/en/x", None, "no scheme", "http://a.www.example.com/en/", "x://net/es/?q", "http://h.example.net#/es/", "ftp://u://w/p", ""]
     df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, label string")
