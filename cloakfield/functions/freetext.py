@@ -24,7 +24,7 @@ COMMON_WORDS = frozenset(
 )
 # fixed values: formulations that name a user; each captures the name
 _CHARS = r"\w.@%+=-"
-USER_NOUN = r"(?i)\b(?:user|username|user[-_ ]?name|account)\b\s*(?:name)?\s*[:=]\s*(?:\"|'|`)?(?P<name>[A-Za-z0-9_.@%+=-]{2,64})"
+USER_NOUN = r"(?i)\b(?:user|username|user[-_ ]?name|account)\b\s*(?:name\s*)?[:=]\s*(?:\"|'|`)?(?P<name>[A-Za-z0-9_.@%+=-]{2,64})"
 USER_AUTH = r"(?i)\b(?:login|logon|sign[- ]?in|authenticat(?:e|ed|ion))\b\s+(?:as|for|by)\s+(?:\buser\b\s+)?(?P<name>[A-Za-z0-9_.@%+=-]{2,64})\b"
 UID_EQ = rf"(?i)\buid\s*=\s*(?P<name>[^\W\d_][{_CHARS}]{{1,63}})\b"
 FOR_USER = rf"(?i)\b(?:for|by)\s+user\s+(?P<name>[{_CHARS}]{{2,64}})\b"
@@ -64,9 +64,10 @@ def _replaced(text: Column, types: Iterable[tuple[str, str]], salt: str, use_has
 
 def _replacer(family: str, pattern: str, salt: str, use_hash: bool):
     def replace(c: Column) -> Column:
+        # matches and tokens are arguments of zip_with, which are computed once; inside its function they would be for every piece
         between, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), 0)
-        piece = lambda x, i: F.concat(x, F.coalesce(token(family, F.get(found, i), salt, use_hash), F.lit("")))
-        return F.when(F.size(found) == 0, c).otherwise(F.array_join(F.transform(between, piece), ""))
+        tokens = F.transform(found, lambda x: token(family, x, salt, use_hash))
+        return F.array_join(F.zip_with(between, F.concat(tokens, F.array(F.lit(""))), lambda x, t: F.concat(x, t)), "")
 
     return replace
 

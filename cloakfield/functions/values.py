@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: patterns of personal data, in one spelling that Java, Python and RE2 read alike
+# fixed values: patterns of personal data, in one spelling that Java, Python and RE2 read alike.  What repeats has the bound
+# of its standard (126 labels before the last, 254 characters of an address), since Java recurses once for each repeat of a
+# group and rescans a long run from every word in it
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b"
 IPV6 = r"\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{0,4}\b"
 #: Full and compressed IPv6 addresses, and not clock times or MAC addresses.
 IPV6_STRICT = r"(?<![0-9A-Za-z:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,7}:(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?|::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6}))(?![0-9A-Za-z:])"
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-FQDN = r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,}\b"
+EMAIL = r"\b[A-Za-z0-9._%+-]{1,254}@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+FQDN = r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,}\b"
 UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
-USER_NOUN_SEARCH = r"(?i)\b(?:user|username|account)\b\s*(?:name)?\s*[:=]\s*[A-Za-z0-9_.@%+=-]{2,64}"
+USER_NOUN_SEARCH = r"(?i)\b(?:user|username|account)\b\s*(?:name\s*)?[:=]\s*[A-Za-z0-9_.@%+=-]{2,64}"
 USER_AUTH_SEARCH = r"(?i)\b(?:login|logon|sign[- ]?in|authenticat(?:e|ed|ion))\b\s+(?:as|for|by)\s+(?:\buser\b\s+)?[A-Za-z0-9_.@%+=-]{2,64}\b"
 FREE_TEXT_NAME = r"(?i)original|\.message$|\.log$|raw|payload|details|description|text|event\.name"
 
@@ -23,9 +25,18 @@ UNMEASURABLE, COMPLETE, PARTIAL, SPARSE, NEVER = "unmeasurable", "complete", "pa
 DRIFT = 20.0
 
 
+def re2(pattern: str) -> str:
+    """A pattern for SQL engines on RE2, which bounds the product of nested repeats and needs no bound on recursion."""
+    return pattern.replace("{1,126}", "+")
+
+
 def unicode(pattern: str) -> str:
-    """A pattern whose \\w and \\b are Unicode in Java, as they are in Python."""
-    return f"(?U){pattern}"
+    """A pattern whose \\w and \\b are Unicode in Java, as they are in Python.
+
+    A host name is not looked for behind a label: it would have started there, and a long chain of labels is so read once.
+    """
+    label = r"\b[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+    return f"(?U)(?>(?<!\\.)|(?<!{label}\\.)){pattern}" if pattern == FQDN else f"(?U){pattern}"
 
 
 def value_kind(value: Column) -> Column:

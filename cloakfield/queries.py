@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from cloakfield.engine import Engine
 from cloakfield.functions.freetext import DEEP_TYPES, VALUE_TYPES, mask_deep, mask_text, mask_values, residual
 from cloakfield.functions.tokens import LABELS, token, token_sql
-from cloakfield.functions.values import DRIFT, EMAIL, FQDN, IPV4, IPV6, USER_AUTH_SEARCH, USER_NOUN_SEARCH, embeds_personal_data, value_kind
+from cloakfield.functions.values import DRIFT, EMAIL, FQDN, IPV4, IPV6, USER_AUTH_SEARCH, USER_NOUN_SEARCH, embeds_personal_data, re2, value_kind
 from cloakfield.operators import gdpr, notices, overview, sync
 from cloakfield.operators.masking import mask_keys, mask_opaque_values, masking_report, registry
 from cloakfield.sources.catalog import Catalog
 from cloakfield.sources.policy import FieldSpec, Policy, Settings
 
-SALT = "golden-master-salt-0123456789abcdef"
+SALT = "registered-queries-demo-salt-of-40-chars"
 TABLES = "region nation customer supplier part orders lineitem events documents conversations pages".split()
 IDS = {"events": "event_id", "orders": "o_orderkey", "customer": "c_custkey", "documents": "doc_id", "supplier": "s_suppkey", "part": "p_partkey", "findings": "o_orderkey"}
 TIMES = {"events": "ts", "orders": "o_orderdate", "findings": "o_orderdate"}
@@ -445,6 +445,7 @@ def _(spark, sf):
 def masked_text_sql(table: str, keys: str, column: str, types=VALUE_TYPES) -> str:
     sql, name = f"WITH s AS (SELECT {keys}, {column} AS t FROM {table})", "s"
     for i, (family, pattern) in enumerate(types):
+        pattern = re2(pattern)
         tok = token_sql(family, "x", SALT)
         cut = f"regexp_split_to_array(t, '{pattern}')"
         found = f"regexp_extract_all(t, '{pattern}')"
@@ -509,7 +510,7 @@ def _hosts(df: DataFrame) -> DataFrame:
     return df.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"))
 
 
-_VALUE_SQL = f"CASE WHEN regexp_full_match(host, '{EMAIL}') THEN 'EMAIL' WHEN regexp_full_match(host, '{IPV4}') OR regexp_full_match(host, '{IPV6}') THEN 'IP_ADDRESS' WHEN regexp_full_match(host, '{FQDN}') THEN 'HOSTNAME' END"
+_VALUE_SQL = f"CASE WHEN regexp_full_match(host, '{EMAIL}') THEN 'EMAIL' WHEN regexp_full_match(host, '{IPV4}') OR regexp_full_match(host, '{IPV6}') THEN 'IP_ADDRESS' WHEN regexp_full_match(host, '{re2(FQDN)}') THEN 'HOSTNAME' END"
 
 
 @query("gdpr_value_kinds", f"SELECT page_id, host, {_VALUE_SQL} AS kind FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages)")

@@ -10,7 +10,7 @@ from cloakfield.operators import sync as S
 from cloakfield.sources.policy import FieldSpec, Policy
 from cloakfield.streaming.sync import masked_stream
 
-SALT = "golden-master-salt-0123456789abcdef"
+SALT = "unit-test-salt-of-more-than-32-characters"
 NOW = datetime(2024, 1, 10, 12)
 
 
