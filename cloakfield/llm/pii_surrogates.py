@@ -9,6 +9,10 @@ candidates are compared with all entities of the corpus and with each other, and
 the next attempt number until none is left; late attempts are longer, so this ends.  Every step is a
 DataFrame function.  What is compared and joined are the distinct entities, not the texts.
 
+A word of a name that its document has elsewhere as a name is that person again and gets the same surrogate there; a
+word of an e-mail address that is a name of the corpus follows it.  Private, loopback and link-local addresses stay so,
+and IBANs keep the validity of their check digits.
+
 Defined results: null and empty texts, and texts without entities, come back as they were.  Repeated rows get
 the same result.  Empty tables give empty results; columns other than doc_id and text are ignored.
 """
@@ -32,6 +36,9 @@ MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor")
 OTHER_TITLES = ("Dr", "Prof")
 FEMALE_NAMES = ("Mary", "Anna", "Maria", "Emma", "Julia", "Laura", "Sophie", "Elena", "Claire", "Katharina", "Lucía", "Carmen", "Chloé", "Helen", "Susan", "Linda", "Анна", "Мария", "Елена", "Ольга")
 MALE_NAMES = ("James", "John", "Robert", "Michael", "David", "Thomas", "Peter", "Hans", "Jürgen", "Pierre", "Jean", "Luis", "Carlos", "José", "Antonio", "William", "Иван", "Алексей", "Дмитрий", "Сергей")
+# fixed values: labels before a colon and words before a name that say that a person follows
+LABELS = ("name", "full name", "contact", "author", "patient", "customer", "client", "employee", "applicant", "attn", "signed", "kontakt", "autor", "nom", "nombre")
+CUES = ("Dear", "Regards", "Sincerely", "Sehr geehrte", "Sehr geehrter", "Cher", "Chère", "Estimado", "Estimada")
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi fo ga ge go ha he ho ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe pi po ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
     "cyrillic": "ба бе би бо ва ве ви во га го да де ди до за зе зи зо ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе пи по ра ре ри ро са се си со та те ти то".split(),
@@ -39,6 +46,7 @@ SYLLABLES = {
 ENDINGS = {
     ("latin", "female"): ("la", "na", "ra", "lia"),
     ("latin", "male"): ("lus", "nor", "ric", "ton"),
+    ("latin", "neutral"): ("rin", "lis", "mar", "del"),
     ("latin", "family"): ("man", "ner", "sen", "well"),
     ("cyrillic", "female"): ("на", "ла", "ра", "ия"),
     ("cyrillic", "male"): ("слав", "мир", "рий", "тин"),
@@ -47,8 +55,13 @@ ENDINGS = {
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
+# No pattern repeats a group without a small bound, and none repeats a class by a count without one where lengths of characters
+# may differ: Java would recurse once for each repeat.
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,24}"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
+_H = "[0-9a-fA-F]{1,4}"
+#: Eight groups, or fewer around one gap with two groups at least.
+_IP6 = rf"(?<![0-9A-Za-z:.])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|:(?::{_H}){{2,7}})(?![0-9A-Za-z:])"
 _PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
@@ -58,20 +71,28 @@ _ACCESS_KEY = r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"
 _NAMES = r"(?i:password|passwd|pwd|secret|api[_-]?key|token)"
 #: A name in or out of quotes, the separator, and the quote that opens the value.
 _ASSIGNED = rf"{_NAMES}[\"']?\s{{0,8}}[=:]\s{{0,8}}[\"']?"
-_VALUE = r"[^\s\"'<>,;&]{5,}[^\s\"'<>,;&.:!?)]"
-#: A value of six characters or more right behind its name, in quotes, or behind white space if it has a digit, so that
-#: prose stays; punctuation that ends a sentence is not part of it.  A value that is a hex secret as a whole is one, but
-#: right behind a name other than token.
+_IN = r"[^\s\x00\"'<>,;&]"
+_VALUE = rf"{_IN}{{5}}{_IN}*[^\s\"'<>,;&.:!?)]"
+#: A value of six characters or more right behind its name, in quotes, or behind white space if it has a digit among its
+#: first 256 characters, so that prose stays; punctuation that ends a sentence is not part of it.  A value that is a hex
+#: secret as a whole is one, but right behind a name other than token.
 _CREDENTIAL = (
     rf"(?<![\p{{L}}\p{{N}}])(?:(?!(?i:token)){_NAMES}[=:]{_VALUE}"
     rf"|{_NAMES}[\"']?\s{{0,8}}[=:]\s{{0,8}}[\"'](?!{_SECRET}){_VALUE}"
-    rf"|{_NAMES}[\"']?\s{{0,8}}[=:]\s{{0,8}}(?!{_SECRET})(?=[^\s\"'<>,;&]*\d){_VALUE})"
+    rf"|{_NAMES}[\"']?\s{{0,8}}[=:]\s{{0,8}}(?!{_SECRET})(?={_IN}{{0,256}}\d){_VALUE})"
 )
 _TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
 _GIVEN = "|".join((*FEMALE_NAMES, *MALE_NAMES))
-#: A name: a title and one or two capitalised words, or a known given name and a capitalised word.
-_PERSON = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? (?:\p{{Lu}}\p{{Ll}}+ )?\p{{Lu}}\p{{Ll}}+|(?:{_GIVEN}) \p{{Lu}}\p{{Ll}}+)(?!\p{{L}})"
-PATTERN = "|".join((_CREDENTIAL, _EMAIL, _IP, _PHONE, _SSN, _CARD, _SECRET, _ACCESS_KEY, _IBAN, _PERSON))
+_WORD = r"\p{Lu}\p{Ll}+"
+#: A name: a title and one or two capitalised words, a known given name and a capitalised word, or two or three capitalised
+#: words behind a word or label that names a person.
+_PERSON = (
+    rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? (?:{_WORD} )?{_WORD}|(?:{_GIVEN}) {_WORD}"
+    rf"|(?<=(?<![\p{{L}}\p{{N}}])(?:(?i:{'|'.join(LABELS)}): ?|(?:{'|'.join(CUES)}),?[ \n]))(?!(?:{_TITLES})(?!\p{{L}})){_WORD} (?:{_WORD} )?{_WORD})(?!\p{{L}})"
+)
+#: Two cheap tests stand before groups of patterns: a word begins here, or something that numbers begin with.
+_START, _NUMBER = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}._%+:-])", r"(?=[\d+(])"
+PATTERN = f"{_START}(?:{_CREDENTIAL}|{_EMAIL}|{_IP6})|{_NUMBER}(?:{_IP}|{_PHONE}|{_SSN}|{_CARD})|{_START}(?:{_SECRET}|{_ACCESS_KEY}|{_IBAN}|{_PERSON})"
 
 
 def _kind(e: Column) -> Column:
@@ -81,6 +102,7 @@ def _kind(e: Column) -> Column:
         .when(e.contains("@"), "email")
         .when(whole("(?:AKIA|ASIA)[0-9A-Z]{16}"), "access_key")
         .when(whole(rf"(?:{_OCTET}\.){{3}}{_OCTET}"), "ip")
+        .when(whole("[0-9a-fA-F]*:[0-9a-fA-F:]+"), "ip6")
         .when(whole(r"\d{3}-\d{2}-\d{4}"), "ssn")
         .when(whole(r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}"), "card")
         .when(e.rlike(r"^[+(]|^\d{3}-\d{3}-"), "phone")
@@ -90,13 +112,17 @@ def _kind(e: Column) -> Column:
     )
 
 
+#: Where the words of an address's local part begin and end.
+_CUTS = r"(?<=[._%+-])|(?=[._%+-])"
+
+
 def _units(e: Column) -> Column:
     """The parts of a match that are replaced, as (kind, canonical): one, or one for each word of a name; titles have a null kind."""
     kind = _kind(e)
     country = F.regexp_extract(e, r"^\+\d{1,3}(?=[ .(-])", 0)
     digits = F.regexp_replace(F.substring(e, F.length(country) + 1, F.length(e)), r"\D", "")
     canonical = (
-        F.when(kind.isin("email", "secret"), F.lower(e))
+        F.when(kind.isin("email", "secret", "ip6"), F.lower(e))
         .when(kind.isin("card", "ssn"), F.regexp_replace(e, r"\D", ""))
         .when(kind == "phone", F.concat(country, F.lit("/"), digits))
         .when(kind == "iban", F.replace(e, F.lit(" "), F.lit("")))
@@ -105,14 +131,18 @@ def _units(e: Column) -> Column:
     )
     words = F.split(e, " ")
     bare = lambda w: F.regexp_replace(w, r"\.$", "")
-    female = F.get(words, 0).isin(*FEMALE_NAMES) | bare(F.get(words, 0)).isin(*FEMALE_TITLES) | F.get(words, 1).isin(*FEMALE_NAMES)
+    first, second = F.get(words, 0), F.get(words, 1)
+    female = first.isin(*FEMALE_NAMES) | bare(first).isin(*FEMALE_TITLES) | F.coalesce(second.isin(*FEMALE_NAMES), F.lit(False))
+    male = first.isin(*MALE_NAMES) | bare(first).isin(*MALE_TITLES) | F.coalesce(second.isin(*MALE_NAMES), F.lit(False))
     script = lambda w: F.when(w.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
     def name(w: Column, i: Column) -> Column:
         title = (i == 0) & bare(w).isin(*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)
         last = i == F.size(words) - 1
         family = F.when((script(w) == "cyrillic") & w.rlike("[ая]$"), "family_f").otherwise("family")
-        role = F.when(last, family).when(female, "female").otherwise("male")
+        # a given name of no known gender: Cyrillic ones tell it by their ending, Latin ones get a neutral form
+        unknown = F.when(script(w) == "cyrillic", F.when(w.rlike("[ая]$"), "female").otherwise("male")).otherwise("neutral")
+        role = F.when(last, family).when(female, "female").when(male, "male").otherwise(unknown)
         return F.struct(F.when(~title, F.concat_ws(":", F.lit("name"), script(w), role)).alias("kind"), w.alias("canonical"))
 
     one = F.array(F.struct(kind.alias("kind"), canonical.alias("canonical")))
@@ -120,23 +150,25 @@ def _units(e: Column) -> Column:
 
 
 def _stream(key: str, attempt: Column, n: Column) -> Column:
-    """2n or more hex digits that depend on the key, the unit and the attempt."""
+    """Blocks of 64 hex digits, 2n or more together, that depend on the key, the unit and the attempt; an array, so that any byte is reached at once."""
     seed = hmac_hex(F.concat_ws(":", "kind", "canonical", attempt.cast("string")), key)
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 32).cast("int")), lambda k: F.sha2(F.concat(seed, k.cast("string")), 256)), "")
+    blocks = lambda x: F.transform(F.sequence(F.lit(0), F.floor(n / 32).cast("int")), lambda k: F.sha2(F.concat(x, k.cast("string")), 256))
+    return F.element_at(F.transform(F.array(seed), blocks), 1)  # the seed is computed once
 
 
 def _byte(stream: Column, i: Column) -> Column:
-    return F.conv(F.substr(stream, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    return F.conv(F.substr(F.get(stream, F.floor(i / 32).cast("int")), 2 * F.pmod(i, F.lit(32)) + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _same_shape(text: Column, stream: Column, hexadecimal: Column) -> Column:
+def _same_shape(text: Column, stream: Column, hexadecimal: Column, first: Column | None = None) -> Column:
     """Replaces each digit by a digit and each letter by a letter of its script and case; hex digits by hex digits."""
     alphabets = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 
     def put(c: Column, i: Column) -> Column:
-        of = lambda a: F.substr(F.lit(a), F.pmod(_byte(stream, i), F.lit(len(a))) + 1, F.lit(1))
+        at = i if first is None else i + first
+        of = lambda a: F.substr(F.lit(a), F.pmod(_byte(stream, at), F.lit(len(a))) + 1, F.lit(1))
         return (
-            F.when(hexadecimal, of("0123456789abcdef"))
+            F.when(hexadecimal & c.rlike("^[0-9a-f]$"), of("0123456789abcdef"))
             .when(c.rlike("^[0-9]$"), of(alphabets[0]))
             .when(c.rlike(r"^\p{IsCyrillic}$"), of(alphabets[3]))
             .when(c.rlike(r"^\p{IsGreek}$"), of(alphabets[4]))
@@ -155,6 +187,38 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10
 
 
+def _mod97(digits: Column) -> Column:
+    """The remainder of a number in which letters stand for 10 to 35."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(digits, ""), F.lit(0), step)
+
+
+def _iban(c: Column, account: Column) -> Column:
+    """Country and account with check digits that are valid where those of ``c`` are."""
+    country = F.substring(c, 1, 2)
+    valid = _mod97(F.concat(F.substring(c, F.lit(5), F.length(c)), F.substring(c, 1, 4))) == 1
+    digits = F.lit(98) - _mod97(F.concat(account, country, F.lit("00"))) + F.when(valid, 0).otherwise(1)
+    return F.concat(country, F.lpad(digits.cast("string"), 2, "0"), account)
+
+
+def _address(c: Column, s: Column, attempt: int) -> Column:
+    """An IPv4 address of the same reach: private, loopback and link-local ones stay so; small private blocks that are used up go on in the large one."""
+    byte = lambda i: F.pmod(_byte(s, F.lit(i)), F.lit(254)) + 1
+    put = lambda *parts: F.concat_ws(".", *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    private = put("10", byte(1), byte(2), byte(3))
+    spread = [F.lit(x) for x in range(1, 224) if x not in (10, 127, 169, 172, 192)]
+    if attempt >= 8:
+        return F.when(c.rlike(r"^(?:10|127|192\.168|169\.254|172\.(?:1[6-9]|2\d|3[01]))\."), private).otherwise(put(F.element_at(F.array(*spread), F.pmod(_byte(s, F.lit(0)), F.lit(len(spread))) + 1), byte(1), byte(2), byte(3)))
+    return (
+        F.when(c.startswith("10."), private)
+        .when(c.startswith("127."), put("127", byte(1), byte(2), byte(3)))
+        .when(c.startswith("192.168."), put("192", "168", byte(2), byte(3)))
+        .when(c.startswith("169.254."), put("169", "254", byte(2), byte(3)))
+        .when(c.rlike(r"^172\.(?:1[6-9]|2\d|3[01])\."), put("172", F.pmod(_byte(s, F.lit(1)), F.lit(16)) + 16, byte(2), byte(3)))
+        .otherwise(put(F.element_at(F.array(*spread), F.pmod(_byte(s, F.lit(0)), F.lit(len(spread))) + 1), byte(1), byte(2), byte(3)))
+    )
+
+
 def _candidates(units: DataFrame, key: str, attempt: int) -> DataFrame:
     """Adds surrogate, the canonical form of the replacement at this attempt."""
     a = F.lit(attempt)
@@ -166,8 +230,17 @@ def _candidates(units: DataFrame, key: str, attempt: int) -> DataFrame:
     local = F.substring(c, F.lit(1), cut - 1)
     host, top = F.substring_index(F.substring(c, cut + 1, F.length(c)), ".", 1), F.regexp_extract(c, r"@[^.]*(\..*)$", 1)
     local = F.concat(local, F.repeat(F.lit("x"), more))
-    email = F.concat(_same_shape(local, s, F.lit(False)), F.lit("@"), _same_shape(host, F.substr(s, 2 * F.length(local) + 1, F.length(s)), F.lit(False)), top)
-    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(_byte(s, i), F.lit(254)) + 1), ".")
+    # words of the address that are names of the corpus follow their persons' surrogates
+    shaped = _same_shape(local, s, F.lit(False))
+    followed = F.array_join(F.zip_with(F.split(shaped, _CUTS), "named", lambda x, n: F.coalesce(n, x)), "")
+    email = F.concat(F.when(F.col("named").isNotNull(), followed).otherwise(shaped), F.lit("@"), _same_shape(host, s, F.lit(False), F.length(local)), top)
+    octets = _address(c, s, attempt)
+    # the first group says what reach an address has, and stays
+    scope = F.substring_index(c, ":", 1)
+    if attempt < 8:
+        groups = F.concat(scope, _same_shape(F.substring(c, F.length(scope) + 1, F.length(c)), s, F.lit(True)))
+    else:
+        groups = F.concat(F.when(scope == "", "fd00").otherwise(scope), *[x for i in range(7) for x in (F.lit(":"), F.substr(F.get(s, 0), F.lit(4 * i + 1), F.lit(4)))])
     country = F.substring_index(c, "/", 1)
     number = F.concat(F.substring_index(c, "/", -1), F.repeat(F.lit("0"), more))
     phone = F.concat(country, F.lit("/"), _same_shape(number, s, F.lit(False)))
@@ -176,11 +249,12 @@ def _candidates(units: DataFrame, key: str, attempt: int) -> DataFrame:
     # the last digit is moved by the difference, so a valid number stays valid and an invalid one invalid
     off = F.pmod(_luhn(c) - _luhn(card), F.lit(10))
     card = F.concat(F.substring(card, F.lit(1), F.length(card) - 1), F.pmod(F.substring(card, F.length(card), F.lit(1)).cast("int") + off, F.lit(10)).cast("string"))
-    iban = F.concat(F.substring(c, 1, 2), _same_shape(F.concat(F.substring(c, F.lit(3), F.length(c)), F.repeat(F.lit("0"), more)), s, F.lit(False)))
+    iban = _iban(c, _same_shape(F.concat(F.substring(c, F.lit(5), F.length(c)), F.repeat(F.lit("0"), more)), s, F.lit(False)))
     access_key = F.concat(F.substring(c, 1, 4), _same_shape(F.concat(F.substring(c, F.lit(5), F.length(c)), F.repeat(F.lit("0"), more)), s, F.lit(False)))
     # passwords are often hex digits too, and then stay so
     shape = (F.col("kind") == "secret") | (F.col("kind") == "credential") & c.rlike(r"^(?=.*[a-f])[0-9a-f]+$")
-    other = _same_shape(F.concat(c, F.repeat(F.lit("0"), more)), s, shape)
+    tail = F.concat(c, F.repeat(F.lit("0"), more))
+    other = F.element_at(F.transform(F.array(shape), lambda x: _same_shape(tail, s, x)), 1)  # the test is made once, not for each character
     name = F.lit(None).cast("string")
     for (script, role), ends in ENDINGS.items():
         table_ = F.array(*[F.lit(x) for x in SYLLABLES[script]])
@@ -191,6 +265,7 @@ def _candidates(units: DataFrame, key: str, attempt: int) -> DataFrame:
     surrogate = (
         F.when(F.col("kind") == "email", email)
         .when(F.col("kind") == "ip", octets)
+        .when(F.col("kind") == "ip6", groups)
         .when(F.col("kind") == "phone", phone)
         .when(F.col("kind") == "card", card)
         .when(F.col("kind") == "iban", iban)
@@ -204,8 +279,11 @@ def _candidates(units: DataFrame, key: str, attempt: int) -> DataFrame:
 def assign(units: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     """Rows (kind, canonical, surrogate) for distinct units: one-to-one within a kind, and never an entity of the corpus.
 
-    One round settles nearly all; the loop runs while units are left, each round over those alone.
+    One round settles nearly all; the loop runs while units are left, each round over those alone.  A column
+    ``named`` may hold, for an e-mail address, what words of its local part become.
     """
+    if "named" not in units.columns:
+        units = units.withColumn("named", F.lit(None).cast("array<string>"))
     originals = units.select("kind", F.col("canonical").alias("surrogate"))
     settled: list[DataFrame] = []
     left = units
@@ -221,6 +299,19 @@ def assign(units: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"no free surrogates after {rounds} attempts")
 
 
+def _assign_all(units: DataFrame, key: str) -> DataFrame:
+    """Surrogates of all units: names first, since the words of e-mail addresses that are names follow them."""
+    is_name = F.col("kind").startswith("name:")
+    names = assign(units.where(is_name), key)
+    words = names.where(F.length("canonical") > 2).groupBy(F.lower("canonical").alias("word")).agg(F.lower(F.min("surrogate")).alias("new"))
+    parts = units.where("kind = 'email'").select("canonical", F.posexplode(F.split(F.substring_index("canonical", "@", 1), _CUTS)).alias("i", "word"))
+    named = parts.join(words, "word").groupBy("canonical").agg(F.collect_list(F.struct("i", "new")).alias("found"))
+    n = F.size(F.split(F.substring_index("canonical", "@", 1), _CUTS))
+    at = lambda i: F.element_at(F.filter("found", lambda x: x["i"] == i), 1)
+    named = named.select("canonical", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(F.exists("found", lambda x: x["i"] == i), at(i)["new"])).alias("named"))
+    return names.unionByName(assign(units.where(~is_name).join(named, "canonical", "left"), key))
+
+
 def _render(match: Column, kind: Column, surrogate: Column) -> Column:
     """Puts a surrogate into the layout of a mention: digits in their places for numbers, letter case for the rest."""
     country = F.when(kind == "phone", F.regexp_extract(match, r"^\+\d{1,3}(?=[ .(-])", 0)).otherwise("")
@@ -251,22 +342,34 @@ def pii_surrogates(docs: DataFrame, key: str) -> DataFrame:
     mentions = mentions.select("doc_id", "mark", "pos", "match", F.posexplode(_units(F.col("match"))).alias("part", "unit"))
     mentions = mentions.select("doc_id", "mark", "pos", "match", "part", "unit.kind", "unit.canonical")
     units = materialize(mentions.where(F.col("kind").isNotNull()).select("kind", "canonical").distinct(), "pii-units")
-    surrogates = assign(units, key)
+    surrogates = _assign_all(units, key)
     drawn = mentions.join(surrogates, ["kind", "canonical"], "left")
-    piece = F.when(F.col("kind").isNull(), F.col("canonical")).otherwise(_render(F.when(F.startswith("kind", F.lit("name:")), F.col("canonical")).otherwise(F.col("match")), F.col("kind"), F.col("surrogate")))
-    drawn = drawn.select("doc_id", "mark", "pos", "part", piece.alias("piece"), F.substring_index("kind", ":", 1).alias("kind"))
-    parts = drawn.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("pos", "part", "piece"))).alias("pieces"), F.sort_array(F.collect_set("kind")).alias("kinds"))
-    n = F.element_at("pieces", -1)["pos"] + 1
-    whole = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.array_join(F.transform(F.filter("pieces", lambda x: x["pos"] == p), lambda x: x["piece"]), " "))
-    simple = F.size("pieces") == n  # no entity of several parts: the pieces are the replacements
-    ready = parts.select(
-        F.col("doc_id").alias("__id"), F.col("mark").alias("__m"), "kinds",
-        F.when(simple, F.transform("pieces", lambda x: x["piece"])).otherwise(whole).alias("new"),
+    is_name = F.coalesce(F.startswith("kind", F.lit("name:")), F.lit(False))
+    piece = F.when(F.col("kind").isNull(), F.col("canonical")).otherwise(_render(F.when(is_name, F.col("canonical")).otherwise(F.col("match")), F.col("kind"), F.col("surrogate")))
+    # a zero character, which no entity holds, stands before the first part of each entity, so that one string has them all
+    piece = F.concat(F.when(F.col("part") == 0, "\0").otherwise(" "), piece)
+    name = F.when(is_name, F.struct("canonical", "surrogate"))
+    drawn = drawn.select("doc_id", "mark", "pos", "part", piece.alias("piece"), F.substring_index("kind", ":", 1).alias("kind"), name.alias("name"))
+    parts = drawn.groupBy("doc_id", "mark").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "part", "piece"))).alias("pieces"), F.sort_array(F.collect_set("kind")).alias("kinds"), F.sort_array(F.collect_set("name")).alias("names")
     )
+    new = F.split(F.array_join(F.transform("pieces", lambda x: x["piece"]), ""), "\0")
+    ready = parts.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"), "kinds", "names", F.concat(F.slice(new, F.lit(2), F.size(new)), F.array(F.lit(""))).alias("new"))
     joined = marked.join(ready, marked["doc_id"].eqNullSafe(ready["__id"]) & (F.col("mark") == F.col("__m")), "left")
     joined = joined.withColumn("__between", F.when(F.col("new").isNotNull(), F.split("text", PATTERN, -1)))
-    woven = F.array_join(F.transform("__between", lambda x, i: F.concat(x, F.coalesce(F.get("new", i), F.lit("")))), "")
-    return joined.select("doc_id", F.when(F.col("new").isNull(), F.col("text")).otherwise(woven).alias("text"), F.coalesce(F.size("new"), F.lit(0)).cast("bigint").alias("n_entities"), F.array_join(F.coalesce("kinds", F.array()), ",").alias("kinds"))
+    old = F.transform("names", lambda x: x["canonical"])
+    bare = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(old, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    named = F.size("names") > 0
+
+    def again(x: Column) -> Column:
+        """The text between two entities, where words of the document's names stand alone."""
+        found = F.transform(F.regexp_extract_all(x, bare, F.lit(0)), lambda w: F.element_at("names", F.array_position(old, w).cast("int"))["surrogate"])
+        return F.when(named, F.array_join(F.zip_with(F.split(x, bare, -1), F.concat(found, F.array(F.lit(""))), lambda y, z: F.concat(y, z)), "")).otherwise(x)
+
+    woven = F.array_join(F.zip_with(F.transform("__between", again), "new", lambda x, y: F.concat(x, y)), "")
+    more = F.when(named, F.aggregate("__between", F.lit(0), lambda a, x: a + F.regexp_count(x, bare))).otherwise(0)
+    n = F.when(F.col("new").isNull(), 0).otherwise(F.size("new") - 1 + more)
+    return joined.select("doc_id", F.when(F.col("new").isNull(), F.col("text")).otherwise(woven).alias("text"), n.cast("bigint").alias("n_entities"), F.array_join(F.coalesce("kinds", F.array()), ",").alias("kinds"))
 
 
 def query(spark, sf_dir):

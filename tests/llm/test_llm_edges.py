@@ -91,6 +91,49 @@ def test_pii_spaced_and_quoted_credentials(spark):
     assert out[4]["kinds"] == "card" and out[0]["text"].split()[1] == out[1]["text"].split('"')[1]
 
 
+def surrogates(spark, texts):
+    out = pii_surrogates.pii_surrogates(table(spark, [(i, t, "", "") for i, t in enumerate(texts)]), "k" * 40).collect()
+    return [r for r in sorted(out, key=lambda r: r["doc_id"])]
+
+
+def test_pii_of_every_kind(spark):
+    """Reach of addresses, check digits, gender, script and coreference, held against plain Python."""
+    import ipaddress
+
+    texts = [
+        "Dr. Schmidt left. Schmidt said no; anna.schmidt@x.com, Anna Schmidt. Anna came", "Name: Priya Sharma. Priya met Long Sharmas", "10.0.0.5 192.168.1.7 172.20.1.1 127.0.0.9 8.8.8.8",
+        "fe80::1:2 2001:db8:85a3::8a2e:370:7334 at 10:00:01", "DE89 3704 0044 0532 0130 00, GB82WEST12345698765432, DE00370400440532013000", "078-05-1120 or 555-123-4567 or (555) 123-4567",
+        "deadbeefdeadbeefdeadbeefdeadbeef", "plain words, New York, 12 34",
+    ]
+    rows = surrogates(spark, texts)
+    new = [r["text"] for r in rows]
+    family = new[0].split()[1]
+    assert "Schmidt" not in new[0] and "Anna" not in new[0] and "anna" not in new[0] and new[0].split()[3] == family and f".{family.lower()}@" in new[0] and rows[0]["n_entities"] == 5
+    given = new[1].split()[1]
+    assert new[1].split()[3] == given != "Priya" and new[1].endswith("Long Sharmas") and rows[1]["kinds"] == "name"
+    for a, b in zip(texts[2].split(), new[2].split()):
+        x, y = ipaddress.ip_address(a), ipaddress.ip_address(b)
+        assert a != b and (x.is_private, x.is_loopback) == (y.is_private, y.is_loopback)
+    for a, b in zip(texts[3].split()[:2], new[3].split()[:2]):
+        assert a != b and ipaddress.ip_address(b) and a.split(":")[0] == b.split(":")[0]
+    assert new[3].endswith(" at 10:00:01") and rows[3]["n_entities"] == 2
+    number = lambda s: int("".join(str(int(c, 36)) for c in (s[4:] + s[:4]).replace(" ", ""))) % 97
+    for a, b in zip(texts[4].split(", "), new[4].split(", ")):
+        a, b = a.replace(" ", ""), b.replace(" ", "")
+        assert a != b and a[:2] == b[:2] and len(a) == len(b) and (number(a) == 1) == (number(b) == 1)
+    shape = lambda s: "".join("0" if c.isdigit() else c for c in s)
+    assert shape(new[5]) == shape(texts[5]) and all(a != b for a, b in zip(new[5].split(" or "), texts[5].split(" or "))) and rows[5]["kinds"] == "phone,ssn"
+    assert set(new[6]) <= set("0123456789abcdef") and len(new[6]) == 32 and new[7] == texts[7] and rows[7]["n_entities"] == 0
+
+
+def test_pii_of_very_long_texts(spark):
+    """A long run of one alphabet neither overflows the stack nor takes the square of its length."""
+    texts = ["a@b" + ".c" * 100_000 + ".com", "token=" * 50_000, "😀a" * 100_000, "1." * 100_000, "ab:" * 100_000, "Dr. Xu " + "Xu " * 20_000, "DE89 " * 20_000, "a." * 100_000 + "@", "password=" + "😀a" * 20_000]
+    rows = surrogates(spark, texts)
+    assert rows[0]["n_entities"] == 1 and rows[0]["text"].endswith(".com") and "Xu" not in rows[5]["text"] and rows[5]["n_entities"] > 10_000
+    assert [r["text"] == t for r, t in zip(rows, texts)][1:5] == [True] * 4 and rows[8]["n_entities"] == 1 and len(rows[8]["text"]) == len(texts[8])
+
+
 def test_urls(spark):
     urls = ["http://EXAMPLE.com/en/x", None, "no scheme", "http://a.www.example.com/en/", "x://net/es/?q", "http://h.example.net#/es/", "ftp://u://w/p", ""]
     df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, label string")
