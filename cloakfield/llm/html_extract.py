@@ -2,12 +2,12 @@
 
 A page's text nodes are grouped by their path of block tags from the root.  For each path the text length
 and the punctuation of its nodes are summed and divided by the number of nodes; both ratios are smoothed
-over neighbouring nodes in page order and fused into one score, which link text lowers.  Scores decide where
-the content is: from the root down, the walk enters the one container that holds most of the text, unless
-what it leaves outside passes the threshold too, and stops at the first ``article`` or ``main``; within it the paths whose score passes a threshold are the content.  Inside an ``article`` or ``main``
-element, which says itself that it is content, only link-heavy paths are below the threshold.  Containers
-that name themselves as navigation, header, footer, sidebar, notice, advert, form or comments have no
-content.
+over neighbouring nodes in page order and fused into one score, which link text lowers.  The paths whose
+score passes a threshold decide where the content is: from the root down, the walk enters the one container
+that holds most of their text, unless text that passes is left outside, and stops at the first ``article``
+or ``main``.  All text of that container is content but for link-heavy paths; where no container below the
+body stands out, the paths that pass are the content, with the headings beside them.  Containers that name
+themselves as navigation, header, footer, sidebar, notice, advert, form or comments have no content.
 
 Each page is parsed within its row: a page never meets another, so partitions are the scan's own and there
 is no shuffle.  Defined results: null, empty or text-free html gives the empty text; unclosed tags,
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe svg math object textarea title select".split())
 BOILERPLATE = frozenset("head nav footer aside form button dialog menu fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMED = frozenset(("article", "main"))
 CONTAINERS = frozenset("html body article main section div td table tbody tr center".split())
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|"
@@ -40,51 +41,107 @@ HINT = re.compile(
     re.I,
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 #: Elements that an opening block element closes.
 CLOSED_BY_BLOCK = frozenset(("p", *HEADINGS))
 #: A path passes with this part of the best score, and a container is entered with this part of its parent's.
-PASS, ENTER = 0.1, 0.6
+PASS, ENTER = 0.2, 0.6
 #: A path with more of its text in links than this is navigation.
 LINKS = 0.5
 
 
-class _Nodes:
-    """The text blocks of one page: (path, text, link characters), with what sort of place each stands in."""
+class _Tags:
+    """Reads a page from tag to tag: (end, name, closing, attributes) from the position of a ``<``, or the end alone.
+
+    Every search goes forward and what is not there is remembered, so a broken page is read once like any other.
+    A quote that is never closed is no quote, nor is any after it.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes, self.raw = page, page.rfind(">"), True, {}
+
+    def at(self, i: int) -> tuple[int, str, bool, str]:
+        page = self.page
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4) if self.last > i else -1
+            return (end + 3 if end >= 0 else len(page)), "", False, ""
+        if page.startswith(("<!", "<?"), i):
+            return (page.index(">", i) + 1 if self.last > i else len(page)), "", False, ""
+        m = NAME.match(page, i + 1)
+        if not m or self.last < m.end():
+            return i + 1, "<", False, ""
+        start = k = m.end()
+        while self.quotes:
+            stop = STOP.search(page, k)
+            if not stop:
+                self.quotes = False
+            elif stop[0] == ">":
+                return stop.end(), m[2].lower(), bool(m[1]), page[start : stop.start()]
+            else:
+                k = page.find(stop[0], stop.end()) + 1
+                self.quotes = k > 0
+        end = page.index(">", start)
+        return end + 1, m[2].lower(), bool(m[1]), page[start:end]
+
+    def after(self, name: str, i: int) -> int:
+        """Behind the closing tag of an element whose content is no text, or the end of the page."""
+        if self.raw.get(name):
+            return len(self.page)
+        m = re.compile(rf"</{name}\s*>", re.I).search(self.page, i)
+        self.raw[name] = not m
+        return m.end() if m else len(self.page)
+
+
+class _Page:
+    """The element tree of one page, as lists by element number, and its text blocks: (element, path, text, link characters).
+
+    Element 0 is the page.  Elements with the same tags from the root have one path number.
+    """
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[tuple[str, ...], str, int, bool]] = []
-        stack: list[tuple[str, bool]] = []  # block elements, and whether they or an ancestor are boilerplate
+        self.tag, self.parent, self.path, self.away, self.named = [""], [-1], [0], [False], [False]
+        self.blocks: list[tuple[int, int, str, int]] = []
+        paths: dict[tuple[int, str], int] = {}
+        stack, open_ = [0], Counter()
         parts: list[str] = []
         links = in_link = 0
-        at = 0
+        tags, at = _Tags(page), 0
 
         def flush() -> None:
             nonlocal links
             text = " ".join("".join(parts).split())
-            if text and not (stack and stack[-1][1]):
-                self.blocks.append((tuple(t for t, _ in stack), text, links, any(t in ("article", "main") for t, _ in stack)))
+            if text and not self.away[stack[-1]]:
+                self.blocks.append((stack[-1], self.path[stack[-1]], text, links))
             parts.clear()
             links = 0
 
-        while m := TOKEN.match(page, at):
-            at = m.end()
-            if m[4] is not None:
-                if not (stack and stack[-1][1]):
-                    text = entities.unescape(m[4])
+        def leave() -> None:
+            open_[self.tag[stack.pop()]] -= 1
+
+        while at < len(page):
+            if page[at] != "<":
+                end = page.find("<", at)
+                end = end if end >= 0 else len(page)
+                name, text = "<", page[at:end]
+            else:
+                end, name, closing, attributes = tags.at(at)
+                text = "<"
+            at = end
+            if name == "<":
+                if not self.away[stack[-1]]:
+                    text = entities.unescape(text)
                     parts.append(text)
                     if in_link:
                         links += len(text)
                 continue
-            if m[2] is None:
+            if not name:
                 continue
-            name, closing = m[2].lower(), bool(m[1])
             if name in RAW:
-                if not closing and not m[3].endswith("/"):
-                    end = re.compile(rf"</{name}\s*>|\Z", re.I).search(page, at)
-                    at = end.end()
+                if not closing and not attributes.endswith("/"):
+                    at = tags.after(name, at)
                 continue
             if name == "br":
                 parts.append(" ")
@@ -97,74 +154,87 @@ class _Nodes:
             if name in VOID:
                 continue
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                while open_[name]:
+                    last = self.tag[stack[-1]]
+                    leave()
+                    if last == name:
                         break
                 continue
             in_link = 0
-            while stack and stack[-1][0] in CLOSED_BY_BLOCK:
-                stack.pop()
-            if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()
-            if name == "body" and stack and stack[-1][0] == "head":
-                stack.pop()
-            within = any(t in ("article", "main") for t, _ in stack)
-            hint = name not in ("html", "body", "article", "main") and any(HINT.search(a or b or c) for a, b, c in ATTRIBUTE.findall(m[3]))
-            away = bool(stack and stack[-1][1]) or name in BOILERPLATE or hint or name == "header" and not within
-            stack.append((name, away))
+            while self.tag[stack[-1]] in CLOSED_BY_BLOCK:
+                leave()
+            last = self.tag[stack[-1]]
+            if name in ("li", "dt", "dd", "tr", "td", "th", "option") and last == name or name == "body" and last == "head":
+                leave()
+            top = stack[-1]
+            hint = name not in ("html", "body", *NAMED) and any(HINT.search(a or b or c) for a, b, c in ATTRIBUTE.findall(attributes))
+            path = paths.setdefault((self.path[top], name), len(paths) + 1)
+            self.away.append(self.away[top] or name in BOILERPLATE or hint or name == "header" and not self.named[top])
+            self.named.append(self.named[top] or name in NAMED)
+            self.tag.append(name)
+            self.parent.append(top)
+            self.path.append(path)
+            stack.append(len(self.tag) - 1)
+            open_[name] += 1
         flush()
 
 
-def _scores(blocks: list) -> dict[tuple[str, ...], float]:
+def _scores(blocks: list) -> dict[int, float]:
     """The fused, smoothed score of each path."""
     chars, marks, links, count = (defaultdict(float) for _ in range(4))
-    for path, text, link, _ in blocks:
+    for _, path, text, link in blocks:
         chars[path] += len(text)
         marks[path] += len(PUNCTUATION.findall(text))
         links[path] += link
         count[path] += 1
-    length = [chars[p] / count[p] for p, *_ in blocks]
-    punctuation = [marks[p] / count[p] for p, *_ in blocks]
 
     def smooth(xs: list[float]) -> list[float]:
         weights = ((-1, 0.25), (0, 0.5), (1, 0.25))
         return [sum(w * xs[i + d] for d, w in weights if 0 <= i + d < len(xs)) for i in range(len(xs))]
 
-    total: dict[tuple[str, ...], float] = defaultdict(float)
-    for (path, *_), a, b in zip(blocks, smooth(length), smooth(punctuation)):
-        total[path] += a * (1 + b)
+    length, punctuation = (smooth([of[b[1]] / count[b[1]] for b in blocks]) for of in (chars, marks))
+    total: dict[int, float] = defaultdict(float)
+    for b, x, y in zip(blocks, length, punctuation):
+        total[b[1]] += x * (1 + y)
     return {p: total[p] / count[p] * max(0.0, 1 - links[p] / chars[p]) if links[p] <= LINKS * chars[p] else 0.0 for p in total}
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page."""
-    blocks = _Nodes(page or "").blocks
+    tree = _Page(page or "")
+    blocks = tree.blocks
     if not blocks:
         return ""
     score = _scores(blocks)
-    mass: dict[tuple[str, ...], float] = defaultdict(float)
-    for path, text, _, _ in blocks:
-        for k in range(len(path) + 1):
-            mass[path[:k]] += len(text) * (score[path] > 0)
-    region: tuple[str, ...] = ()
-    named = ("article", "main")
     limit = PASS * max(score.values())
-    while not (region and region[-1] in named):
-        below = [p for p in mass if len(p) == len(region) + 1 and p[: len(region)] == region and p[-1] in CONTAINERS]
-        best = max(below, key=lambda p: mass[p], default=None)
-        if best is None or mass[best] < ENTER * mass[region]:
-            break
-        beside = (p for p in score if p[: len(region)] == region and p[: len(best)] != best)
-        holds = any(p[: len(best)] == best and any(t in named for t in p) for p in score)
-        if not holds and any(score[p] > 0 and score[p] >= limit for p in beside):
+    passes = {p for p, x in score.items() if x > 0 and x >= limit}
+    n = len(tree.tag)
+    mass, holds = [0] * n, [t in NAMED for t in tree.tag]
+    for node, path, text, _ in blocks:
+        mass[node] += len(text) * (path in passes)
+    below: dict[int, int] = {}  # the container of the most content in each element
+    for k in range(n - 1, 0, -1):  # an element's number is above its parent's
+        up = tree.parent[k]
+        mass[up] += mass[k]
+        holds[up] |= holds[k]
+        if tree.tag[k] in CONTAINERS and (up not in below or mass[k] >= mass[below[up]]):
+            below[up] = k
+    region = 0
+    while tree.tag[region] not in NAMED and region in below:
+        best = below[region]
+        if mass[best] < max(1, ENTER * mass[region]) or mass[best] < mass[region] and not holds[best]:
             break
         region = best
-    inside = [b for b in blocks if b[0][: len(region)] == region and (score[b[0]] > 0 or b[0] and b[0][-1] in HEADINGS)]
-    limit = PASS * max((score[b[0]] for b in inside), default=0.0)
-    content = {b[0] for b in inside if b[3] or score[b[0]] >= limit}
-    parents = {p[:-1] for p in content}
-    return " ".join(b[1] for b in inside if b[0] in content or b[0] and b[0][-1] in HEADINGS and b[0][:-1] in parents)
+    inside = [False] * n
+    inside[region] = True
+    for k in range(region + 1, n):
+        inside[k] = inside[tree.parent[k]]
+    rows = [b for b in blocks if inside[b[0]] and (score[b[1]] > 0 or tree.tag[b[0]] in HEADINGS)]
+    if tree.tag[region] in ("", "html", "body"):  # no container stands out, so paths are told apart one by one
+        chosen = {b[0] for b in rows if b[1] in passes}
+        parents = {tree.parent[k] for k in chosen}
+        rows = [b for b in rows if b[0] in chosen or tree.tag[b[0]] in HEADINGS and tree.parent[b[0]] in parents]
+    return " ".join(b[2] for b in rows)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
