@@ -1,27 +1,33 @@
 """Sharding by best-fit-decreasing packing of indivisible groups.
 
-Rows with equal texts form a group, and a group stays whole.  Groups larger than 1/``FINE`` of a shard are
-at most ``FINE`` times the number of shards, whatever the size of the corpus.  Those go to the driver as
-(key, bytes) and enter, largest first, the shard with the tightest remaining capacity that takes them, found
-in an ordered tree of remaining capacities.  The smaller groups fill what remains: their running sum of
-bytes is cut at the shards' remaining capacities, tightest first, so each shard is off by one small group at
-most.  A group above a shard's even share has a shard of its own, and the rest share the others evenly.
+Rows with equal texts form a group, and a group stays whole.  Groups enter in falling order of size, each the
+shard with the tightest remaining capacity that takes it, found in an ordered tree of remaining capacities.
+Groups of one size do so one after another, so the plan is made on counts: a shard that is the tightest stays
+the tightest until it is full, and takes as many of them at once.  The driver sees one row a size class.
+Sizes below 2**BITS are classes of their own and above it a class keeps the leading BITS bits, so there are
+2**(BITS-1) classes a power of two at most, whatever the corpus, and the members of one differ by 1/2048 at
+most.  Each group finds its shard from its rank within its class, a running count that no class can overload.
+A group above a shard's even share has a shard of its own, and the rest share the others evenly.
 
 Defined results: a null text has no bytes and groups with the empty text.  Repeated rows are rows of their
-own.  Empty tables give empty results; other columns are ignored.
+own.  Rows with one doc_id stand in order of their texts' digests.  Empty tables give empty results; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakfield.llm._shared import materialize, running, table, uniform_hash
 
-#: A group above this part of a shard is placed one by one.
-FINE = 200
+#: Bits of a size that its class keeps.
+BITS = 12
 
 
 class CapacityTree:
@@ -29,14 +35,14 @@ class CapacityTree:
 
     LEAF = 64
 
-    def __init__(self, items: list[tuple[int, int]]):
+    def __init__(self, items: list[tuple[float, int]]):
         items = sorted(items)
         self.leaves = [items[i : i + self.LEAF] for i in range(0, len(items), self.LEAF)]
 
-    def _leaf(self, item: tuple[int, int]) -> int:
+    def _leaf(self, item: tuple[float, int]) -> int:
         return min(bisect_left([x[-1] for x in self.leaves], item), len(self.leaves) - 1)
 
-    def add(self, item: tuple[int, int]) -> None:
+    def add(self, item: tuple[float, int]) -> None:
         if not self.leaves:
             self.leaves.append([item])
             return
@@ -46,7 +52,7 @@ class CapacityTree:
         if len(leaf) > 2 * self.LEAF:
             self.leaves[k : k + 1] = [leaf[: self.LEAF], leaf[self.LEAF :]]
 
-    def take(self, size: int) -> tuple[int, int]:
+    def take(self, size: float) -> tuple[float, int]:
         """Removes and returns the tightest (capacity, shard) of at least ``size``, or the roomiest if none is."""
         k = self._leaf((size, -1))
         leaf = self.leaves[k]
@@ -57,28 +63,40 @@ class CapacityTree:
         return item
 
 
-def best_fit_decreasing(sizes: list[int], capacities: list[int]) -> tuple[list[int], list[int]]:
-    """For sizes in falling order, the shard of each, and what remains in each shard (below 0 where none had room)."""
-    tree, left, shard = CapacityTree([(c, i) for i, c in enumerate(capacities)]), list(capacities), []
-    for size in sizes:
-        room, i = tree.take(size)
-        left[i] = room - size
-        tree.add((left[i], i))
-        shard.append(i)
-    return shard, left
-
-
-def even_share(total: int, n_shards: int, largest: list[int]) -> int:
+def best_fit_decreasing(classes: list[tuple[int, int, int]], n_shards: int) -> list[tuple[int, int, int]]:
+    """Runs (class, first rank, shard) in order, from rows (class, groups, bytes); ranks from one first rank to the next go to that shard."""
+    classes = sorted(classes, reverse=True)
+    largest = [b / n for _, n, b in classes[:n_shards] for _ in range(min(n, n_shards))][:n_shards]
+    capacity = even_share(sum(b for *_, b in classes), n_shards, largest)
+    tree, runs = CapacityTree([(capacity, i) for i in range(n_shards)]), []
+    for z, n, b in classes:
+        size, first = b / n, 0
+        while first < n:
+            room, shard = tree.take(size)
+            many = max(1, min(n - first, int(room // size)))
+            tree.add((room - many * size, shard))
+            runs.append((z, first, shard))
+            first += many
+    return sorted(runs)
+
+
+def even_share(total: int, n_shards: int, largest: list[float]) -> float:
     """The capacity at which groups above it have shards of their own and the others fill the rest evenly."""
-    share, rest, shards = -(-total // n_shards), total, n_shards
+    share, rest, shards = total / n_shards, float(total), n_shards
     for size in largest:
         if size <= share or shards == 1:
             break
         rest, shards = rest - size, shards - 1
-        share = -(-rest // shards)
+        share = rest / shards
     return share
 
 
+def _class(size: Column) -> Column:
+    """Keeps the leading BITS bits."""
+    shift = F.greatest(F.length(F.bin(size)) - BITS, F.lit(0))
+    return size - F.pmod(size, F.call_function("shiftleft", F.lit(1).cast("bigint"), shift))
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """Rows (doc_id, size, text_crc32, shard, slot), one for each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -90,38 +108,30 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
         F.unhex(F.sha2(raw, 256)).alias("key"),
     )
     rows = materialize(rows, "shard-rows")
-    groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("bytes")).withColumn("place", uniform_hash(F.col("key"))), "shard-groups")
-    n_groups, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    floor = -(-total // n_shards) // FINE
-    # groups of more than 1/FINE of a shard: FINE * n_shards of them at most
-    large = sorted(groups.where(F.col("bytes") > floor).select("key", "bytes").collect(), key=lambda r: (-r["bytes"], bytes(r["key"])))
-    sizes = [r["bytes"] for r in large]
-    capacity = even_share(total, n_shards, sizes)
-    shard, left = best_fit_decreasing(sizes, [capacity] * n_shards)
-
-    spark = docs.sparkSession
-    placed = spark.createDataFrame([(bytes(r["key"]), s) for r, s in zip(large, shard)], "key binary, shard int")
-    small_total = total - sum(sizes)
-    gaps = sorted((max(0, x), i) for i, x in enumerate(left))
-    room = sum(g for g, _ in gaps) or 1
-    ends, order, upto = [], [], 0
-    for gap, i in gaps:
-        upto += gap
-        ends.append(upto * small_total // room)
-        order.append(i)
-    small = _fill(groups.where(F.col("bytes") <= floor), n_groups, ends, order)
-    assigned = small.unionByName(placed)
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
+    groups = materialize(groups.select("key", "bytes", _class(F.col("bytes")).alias("class"), uniform_hash(F.col("key")).alias("place"), F.lit(1).cast("bigint").alias("one")), "shard-groups")
+    classes = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()  # a row a size class
+    runs = best_fit_decreasing([tuple(r) for r in classes], n_shards)
+    ranked = running(groups, "class", "place", ["key"], "one", "rank", sum(r["n"] for r in classes)).select("key", "class", "rank")
+    assigned = ranked.mapInArrow(_placer(runs), "key binary, shard int")
     out = rows.join(assigned, "key").withColumn("place", uniform_hash(F.lit("slot"), F.col("doc_id")))
-    out = running(out.withColumn("one", F.lit(1).cast("bigint")), "shard", "place", ["doc_id"], "one", "slot", rows.count())
+    out = running(out.withColumn("one", F.lit(1).cast("bigint")), "shard", "place", ["doc_id", "key"], "one", "slot", rows.count())
     return out.select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def _fill(groups: DataFrame, n_groups: int, ends: list[int], order: list[int]) -> DataFrame:
-    """Cuts the running sum of the small groups' bytes at ``ends``; a group goes where its middle lies."""
-    rows = running(groups.withColumn("all", F.lit(0)), "all", "place", ["key"], "bytes", "before", n_groups)
-    middle = F.col("before") + F.col("bytes") / 2
-    k = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends[:-1]]), lambda e: e <= middle))
-    return rows.select("key", F.element_at(F.array(*[F.lit(i) for i in order]), k + 1).alias("shard"))
+def _placer(runs: list[tuple[int, int, int]]):
+    """Looks up the run of each rank: class number and rank as one number."""
+    z, first, shard = (np.array(x, np.int64) for x in zip(*runs)) if runs else (np.zeros(0, np.int64),) * 3
+    names = np.unique(z)
+    starts = (np.searchsorted(names, z) << 44) + first
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = (np.searchsorted(names, batch.column("class").to_numpy()) << 44) + batch.column("rank").to_numpy()
+            out = shard[np.searchsorted(starts, at, "right") - 1].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out)], names=["key", "shard"])
+
+    return place
 
 
 def query(spark, sf_dir):

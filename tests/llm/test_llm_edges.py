@@ -188,6 +188,32 @@ def test_pages_keep_what_stands_beside_the_largest_container():
     assert html_extract.main_text(plain) == f"A lead of some words, too, in the page. {long.strip()}"
 
 
+def test_pages_without_names(data):
+    """With ``article`` a plain ``div`` and no classes, the ratios alone find the text."""
+    import html
+    import re
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+
+    got = want = both = 0
+    for page in pq.read_table(f"{data}/pages.parquet").column("html").to_pylist():
+        inner = page[page.index("<article>") + 9 :].split("</article>")[0]
+        a = Counter(html.unescape(re.sub("<[^>]+>", "", re.sub(r"</?(?:p|h1|br)>", " ", inner))).split())
+        b = Counter(html_extract.main_text(re.sub(' class="[^"]*"', "", page).replace("article>", "div>")).split())
+        both, got, want = both + (a & b).total(), got + b.total(), want + a.total()
+    assert both >= 0.99 * got and both >= 0.999 * want
+
+
+@pytest.mark.parametrize("page", ["<div>x " * 50_000, '<a "' * 100_000, "<a '" * 100_000 + '"', "</x>" * 50_000 + "<div>" * 50_000 + "</p>" * 50_000, "<!--" * 100_000, "<" * 300_000, "<script>" * 50_000, "<p>x" * 50_000])
+def test_broken_pages_are_read_once(page):
+    import time
+
+    began = time.time()
+    html_extract.main_text(page)
+    assert time.time() - began < 5
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(i, "u", h, "t") for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     assert {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.html_extract(df).collect()} == {i: (w, len(w)) for i, (_, w) in enumerate(PAGES)}
@@ -357,6 +383,30 @@ def test_sharding(odd, none, spark):
     assert max(r["s"] for r in even) - min(r["s"] for r in even) <= 0.02 * sum(r["s"] for r in even) / 5
 
 
+def test_shards_by_counts_equal_shards_one_by_one():
+    """The plan on counts places every group where entering them one after another would."""
+    rng = np.random.default_rng(9)
+    sizes = sorted((int(x) for x in rng.geometric(0.01, 900)), reverse=True) + [17] * 300
+    sizes.sort(reverse=True)
+    counts = {z: sizes.count(z) for z in set(sizes)}
+    runs = sharding.best_fit_decreasing([(z, n, z * n) for z, n in counts.items()], 7)
+    left = [sharding.even_share(sum(sizes), 7, sizes)] * 7
+    want = {}
+    for z in sizes:
+        fits = [(room, i) for i, room in enumerate(left) if room >= z]
+        i = min(fits)[1] if fits else max((room, i) for i, room in enumerate(left))[1]
+        left[i] -= z
+        want.setdefault(z, []).append(i)
+    got = {z: [next(s for y, first, s in reversed(runs) if y == z and first <= k) for k in range(n)] for z, n in counts.items()}
+    assert {z: sorted(x) for z, x in got.items()} == {z: sorted(x) for z, x in want.items()} and max(left) - min(left) <= 0.03 * sum(sizes) / 7
+
+
+def test_slots_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 5, f"text {i % 40}", "", "") for i in range(200)]
+    one, two = (sorted(map(tuple, sharding.shard_documents(table(spark, x), 3).collect())) for x in (rows, rows[::-1]))
+    assert one == two
+
+
 def test_capacity_tree_takes_the_tightest():
     rng = np.random.default_rng(4)
     items = [(int(c), i) for i, c in enumerate(rng.integers(1, 1000, 700))]
