@@ -3,7 +3,8 @@
 Each (language, source) pair gets a sketch of every metric; sketches merge by adding counts, so the
 sketch of a language, or of the whole corpus, is the sum of its parts.  A sketch is a log-linear
 histogram: an integer keeps its leading seven bits, which bounds the relative error of any quantile
-by 1/64 with at most 64 counters per power of two.  Being counts, sketches do not depend on the order
+by 1/64 with at most 64 counters per power of two.  A group's quartiles are blended with its language's, and
+those with the corpus's, by numbers of rows, so thresholds move smoothly from the whole to the group as it grows.  Being counts, sketches do not depend on the order
 of rows and reruns agree.  All steps are DataFrame functions.
 
 Defined results: a null, empty or blank text has no words, fails the base rules and is not kept.  A
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from cloakfield.llm._shared import WS_CHARS, materialize, table, words
 
 WINDOW = 5
-#: A group with fewer rows takes its language's thresholds; a small language the corpus's.
-MIN_ROWS = 100
+#: Rows that a group's parent counts for: a group of n rows has the weight n / (n + PRIOR) in its own quartiles, its language
+#: the rest, and a language is blended with the corpus in the same way.
+PRIOR = 100
 #: A threshold lies SPREAD interquartile ranges outside the quartiles; a range counts as SLACK at least.  In thousandths.
 SPREAD = 4
 METRICS = {
@@ -86,8 +88,13 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", F.col("x.metric").alias("metric"), F.col("x.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _blend(n: Column, own: Column, parent: Column) -> Column:
+    """A whole number between a quartile and its parent's, by weight."""
+    return F.floor((n * own + PRIOR * parent) / (n + PRIOR)).cast("bigint")
+
+
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """Rows (lang, source, lo_*, hi_*) for each group; small groups take their language's merged sketch, then the corpus's."""
+    """Rows (lang, source, lo_*, hi_*) for each group, from its quartiles blended with its language's, and those with the corpus's."""
     merged = (
         sketch.withColumn("lv", F.lit(0))
         .unionByName(sketch.withColumn("lv", F.lit(1)).withColumn("source", F.lit(None).cast("string")))
@@ -103,20 +110,17 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("bucket"))).alias("q1"),
         F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("bucket"))).alias("q3"),
     )
+    corpus = {r["metric"]: r for r in quart.where("lv = 2").collect()}  # a row a metric
+    # without a sketch there is no group either
+    whole = {q: F.create_map(*[F.lit(x) for m in METRICS for x in (m, corpus[m][q] if corpus else 0)])[F.col("metric")] for q in ("q1", "q3")}
+    lang = quart.where("lv = 1").select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), *[_blend(F.col("rows"), F.col(q), whole[q]).alias(f"l_{q}") for q in ("q1", "q3")])
+    own = quart.where("lv = 0").join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
+    own = own.select("lang", "source", "metric", *[_blend(F.col("rows"), F.col(q), F.col(f"l_{q}")).alias(q) for q in ("q1", "q3")])
     slack = F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, v[2])])
     reach = SPREAD * F.greatest(F.col("q3") - F.col("q1"), slack[F.col("metric")])
-    bounds = quart.withColumn("lo", F.col("q1") - reach).withColumn("hi", F.col("q3") + reach)
-    wide = bounds.groupBy("lv", "lang", "source").agg(
-        F.first("rows").alias("rows"),
-        *[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{e}_{m}") for m in METRICS for e in ("lo", "hi")],
-    )
-    cut = F.struct(*[F.col(f"{e}_{m}") for m in METRICS for e in ("lo", "hi")])
-    level = [wide.where(F.col("lv") == i).select(*[F.col(c).alias(f"{c}{i}") for c in ("lang", "source", "rows")], cut.alias(f"cut{i}")) for i in range(3)]
-    corpus = level[2].select("cut2").first()  # one row of a few numbers
-    whole = F.struct(*[F.lit(v).cast("bigint").alias(k) for k, v in corpus[0].asDict().items()]) if corpus else F.lit(None)
-    own = level[0].join(level[1].drop("source1"), F.col("lang0").eqNullSafe(F.col("lang1")))
-    best = F.when(F.col("rows0") >= MIN_ROWS, F.col("cut0")).when(F.col("rows1") >= MIN_ROWS, F.col("cut1")).otherwise(whole)
-    return own.select(F.col("lang0").alias("t_lang"), F.col("source0").alias("t_source"), best.alias("cut"))
+    bounds = own.withColumn("lo", F.col("q1") - reach).withColumn("hi", F.col("q3") + reach)
+    wide = bounds.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{e}_{m}") for m in METRICS for e in ("lo", "hi")])
+    return wide.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.struct(*[F.col(f"{e}_{m}") for m in METRICS for e in ("lo", "hi")]).alias("cut"))
 
 
 def verdicts(measured: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -165,8 +169,8 @@ def _oracle() -> str:
     ones = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {value(m)} AS v FROM m WHERE NOT base_failed" for m in METRICS)
     slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {v[2]}" for m, v in METRICS.items()) + " END"
     edges = ", ".join(f"max({e}) FILTER (WHERE metric = '{m}') AS {e}_{m}" for m in METRICS for e in ("lo", "hi"))
-    pick = lambda c: f"CASE WHEN a.n >= {MIN_ROWS} THEN a.{c} WHEN b.n >= {MIN_ROWS} THEN b.{c} ELSE c.{c} END"
-    tests = " AND ".join(f"{value(m)} <= {pick('hi_' + m)}" + (f" AND {value(m)} >= {pick('lo_' + m)}" if v[3] else "") for m, v in METRICS.items())
+    blend = lambda q, n, parent: f"({n} * {q} + {PRIOR} * {parent}) // ({n} + {PRIOR})"
+    tests = " AND ".join(f"{value(m)} <= hi_{m}" + (f" AND {value(m)} >= lo_{m}" if v[3] else "") for m, v in METRICS.items())
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
@@ -182,10 +186,12 @@ leaf AS (SELECT lang, source, metric, v - v % (1::BIGINT << greatest(length(bin(
 merged AS (SELECT 0 AS lv, * FROM leaf UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM leaf GROUP BY 2, 4, 5 UNION ALL SELECT 2, NULL, NULL, metric, bucket, sum(n) FROM leaf GROUP BY 4, 5),
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, metric) AS every FROM merged),
 quart AS (SELECT lv, lang, source, metric, any_value(every) AS n, min(bucket) FILTER (WHERE 4 * upto >= every) AS q1, min(bucket) FILTER (WHERE 4 * upto >= 3 * every) AS q3 FROM ranked GROUP BY 1, 2, 3, 4),
-bounds AS (SELECT *, q1 - {SPREAD} * greatest(q3 - q1, {slack}) AS lo, q3 + {SPREAD} * greatest(q3 - q1, {slack}) AS hi FROM quart),
-wide AS (SELECT lv, lang, source, any_value(n) AS n, {edges} FROM bounds GROUP BY 1, 2, 3)
+langs AS (SELECT l.lang, l.metric, {blend("l.q1", "l.n", "c.q1")} AS q1, {blend("l.q3", "l.n", "c.q3")} AS q3 FROM quart l JOIN quart c ON l.lv = 1 AND c.lv = 2 AND l.metric = c.metric),
+own AS (SELECT o.lang, o.source, o.metric, {blend("o.q1", "o.n", "l.q1")} AS q1, {blend("o.q3", "o.n", "l.q3")} AS q3 FROM quart o JOIN langs l ON o.lv = 0 AND o.metric = l.metric AND o.lang IS NOT DISTINCT FROM l.lang),
+bounds AS (SELECT *, q1 - {SPREAD} * greatest(q3 - q1, {slack}) AS lo, q3 + {SPREAD} * greatest(q3 - q1, {slack}) AS hi FROM own),
+wide AS (SELECT lang, source, {edges} FROM bounds GROUP BY 1, 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({tests}, true) AS kept
-FROM m LEFT JOIN wide a ON a.lv = 0 AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source LEFT JOIN wide b ON b.lv = 1 AND b.lang IS NOT DISTINCT FROM m.lang LEFT JOIN wide c ON c.lv = 2
+FROM m LEFT JOIN wide a ON a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source
 """
 
 
