@@ -226,6 +226,14 @@ def test_quality(odd, none):
     assert quality_rules.keep_quality(odd).columns == odd.columns and quality_rules.quality_rules(none).count() == 0 == quality_rules.keep_quality(none).count()
 
 
+def test_the_group_decides_where_it_is_large(spark):
+    """A text of long words is usual in its own large source, and out of bounds in a source of short words."""
+    short, long = [" ".join(f"{w}{k}" for k in range(10, 60)) for w in ("a", "abcdefghijklmnopqrstuvwxyz")]
+    rows = [(i, short, "en", "short") for i in range(600)] + [(1000 + i, long, "en", "long") for i in range(600)] + [(5000, long, "en", "short"), (5001, short, "en", "long"), (5002, long, "en", "new")]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(table(spark, rows)).where("doc_id >= 5000 or doc_id in (0, 1000)").collect()}
+    assert kept == {0: True, 1000: True, 5000: False, 5001: False, 5002: True}
+
+
 def test_sketches_merge_and_bound_the_error(spark):
     values = [1, 5, 127, 128, 129, 1000, 65_535, 10**9]
     rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules._bucket(F.col("v")).alias("b")).collect()
@@ -375,6 +383,19 @@ def test_curriculum_follows_the_schedule(spark):
     assert mean["a"] < 0.47 < mean["b"] < 0.53 < mean["c"]
 
 
+def test_mix_takes_what_it_plans_of_repeated_rows(spark):
+    df = table(spark, [(1, "w " * 10, "", "a")] * 7 + [(2, "v " * 20, "", "b")] * 9 + [(None, "u " * 5, "", None)] * 4)
+    plan = {r["source"]: r["n"] for r in mixing.plan_mix(df).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    taken = {r["source"]: r["n"] for r in mixing.mix(df).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert {k: v for k, v in plan.items() if v} == taken
+
+
+def test_positions_are_shares_of_all_words(spark):
+    df = table(spark, [(i, "w " * 20, "", "abc"[i % 3]) for i in range(3000)])
+    at = np.array(sorted(r["__position"] for r in mixing.mix(df).select("__position").collect()))
+    assert np.abs(at - (np.arange(len(at)) + 0.5) / len(at)).max() < 0.01
+
+
 def test_sharding(odd, none, spark):
     rows = sharding.shard_documents(odd, 4).collect()
     assert len(rows) == 12 and len({r["shard"] for r in rows if r["doc_id"] in (1, 2)}) == 1 and {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {16}
