@@ -1,20 +1,25 @@
 """N-gram Jaccard join with signature trees.
 
 Documents are sets of word shingles; two link when intersection over union reaches 3/4.  Equal sets are one
-class and enter the join once.  The join works in three steps.
-
-1. Partition.  Sets that share a band of minhashes go to one cluster, closed transitively; a pair at the
-   threshold shares none of the BANDS bands with a chance of (1 - 0.75**ROWS)**BANDS, 4e-12.  Clusters only
-   say which sets are compared, so what they add beyond true links costs time, never a wrong link.
-2. Signature trees.  A cluster is cut into blocks of about BLOCK sets and each pair of blocks is a task.  A
-   cluster of more than one block is cut by size first, into classes so wide that a link stays in a class or
-   joins two that adjoin; blocks of other classes do not meet.  A block is a tree over its sets in order of size: each node holds the OR of its members' token bitmaps, the
-   range of their sizes and the least number of bits of a member.  Two trees are walked together; a pair of
-   nodes is dropped when even the largest overlap that bitmaps and sizes allow misses the threshold.  At the
-   leaves bitmaps prune single pairs and the rest are intersected exactly.  Pairs that a chain of found
-   links already connects are not compared again, so a large group of near copies costs its size, not its
+class and enter the join once.  Nodes of the trees are rows of a set's size and token bitmap; sets move only
+to where bitmaps and sizes leave a link possible.
+
+1. Roots.  Sets that share a band of minhashes are the members of one tree.  A single tree over a corpus of
+   unrelated texts cannot prune, since the OR of a few hundred unrelated bitmaps has all its bits; members of
+   a band mostly resemble each other.  A pair at the threshold shares none of the BANDS bands with a chance of
+   (1 - 0.75**ROWS)**BANDS, 6e-12.  What a band adds beyond true links costs time, never a wrong link.
+2. First pass.  Every member meets the head of its tree, in a stream of members behind each head: by bitmap and
+   size first, then the sets of what is left, exactly.  A group of near copies so costs its size, not its
    square.
-3. The found links' connected components, and back from classes to documents.
+3. Second pass.  Trees whose members are still in several components are cut by size into blocks of about BLOCK
+   members, so wide that a link stays in a size class or joins two that adjoin.  Each pair of blocks that may
+   meet is a task.  A block is a tree over its members in order of component and size: each node holds the OR
+   of its members' bitmaps, the range of their sizes, the least number of bits of a member and its component
+   if it has but one.  Two trees are walked together; a pair of nodes is dropped when it is of one component,
+   or when even the largest overlap that bitmaps and sizes allow misses the threshold.  Pairs of members that
+   an earlier band has met are left to it.  Only then the sets of what is left are fetched and intersected
+   exactly, and pairs that found links connect are not compared again.
+4. The found links' connected components, and back from classes to documents.
 
 Defined results: texts without words, or null, have the empty set and link with nothing; a text with fewer
 words than a shingle is one shingle.  Repeated rows are copies.  A row with a null doc_id has a null
@@ -32,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakfield.llm._shared import ascii_lower, components, groups_in_order, list_column, materialize, table, uniform_hash, words
+from cloakfield.llm._shared import ascii_lower, binary_column, components, groups_in_order, list_column, materialize, table, uniform_hash, words
 
 SHINGLE = 5
-BANDS, ROWS = 48, 3
+BANDS, ROWS = 68, 4
 #: Sets of a block, bits of a bitmap, sets of a leaf.
 BLOCK, BITS, LEAF = 256, 2048, 16
 #: Ratio of a size class; linked sets differ in size by 4/3 at most, so a little more keeps rounding out of it.
@@ -82,26 +87,42 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], lists], names=names)
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of BITS bits a set."""
+    maps = np.zeros((len(sets), BITS // 64), np.uint64)
+    for m, s in zip(maps, sets):
+        bit = s.view(np.uint64) % np.uint64(BITS)
+        np.bitwise_or.at(m, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return maps
+
+
+def _with_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the bitmap of each set."""
+    for batch in batches:
+        if batch.num_rows:
+            values, at = list_column(pa.Table.from_batches([batch]), "set")
+            maps = bitmaps([values[a:b] for a, b in zip(at, at[1:])])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m.tobytes() for m in maps], pa.binary())], names=[*batch.schema.names, "map"])
+
+
 class _Tree:
-    """Signature tree over sets sorted by size: level 0 has the sets, the next level leaves of LEAF sets, then pairs."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.maps = np.zeros((len(sets), BITS // 64), np.uint64)
-        for m, s in zip(self.maps, sets):
-            bit = s.view(np.uint64) % np.uint64(BITS)
-            np.bitwise_or.at(m, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        self.bits = np.bitwise_count(self.maps).sum(1).astype(np.int64)
-        starts = np.arange(0, len(sets), LEAF)
-        ends = np.append(starts[1:], len(sets))
-        level = [np.bitwise_or.reduceat(self.maps, starts), self.sizes[starts], self.sizes[ends - 1], np.minimum.reduceat(self.bits, starts)]
-        self.levels = [level]
-        while len(level[0]) > 1:
-            pairs = np.arange(0, len(level[0]), 2)
-            last = np.append(pairs[1:], len(level[0])) - 1
-            level = [np.bitwise_or.reduceat(level[0], pairs), level[1][pairs], level[2][last], np.minimum.reduceat(level[3], pairs)]
+    """Signature tree over members in order: level 0 has the members, the next level leaves of LEAF members, then pairs.
+
+    A level is (bitmaps, least size, greatest size, least bits, component or -1).
+    """
+
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray):
+        self.sizes, self.maps, self.parts = sizes, maps, parts
+        self.bits = np.bitwise_count(maps).sum(1).astype(np.int64)
+        level = [maps, sizes, sizes, self.bits, parts]
+        self.levels = []
+        for width in [LEAF] + [2] * 64:
+            starts = np.arange(0, len(level[0]), width)
+            low, high = np.minimum.reduceat(level[4], starts), np.maximum.reduceat(level[4], starts)
+            level = [np.bitwise_or.reduceat(level[0], starts), np.minimum.reduceat(level[1], starts), np.maximum.reduceat(level[2], starts), np.minimum.reduceat(level[3], starts), np.where(low == high, low, -1)]
             self.levels.append(level)
+            if len(level[0]) == 1:
+                break
 
 
 def _possible(common, size_a, size_b, bits_a, bits_b, least_a, least_b):
@@ -119,9 +140,9 @@ def _leaf_pairs(a: _Tree, b: _Tree, same: bool) -> Iterator[tuple[int, int]]:
     stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
     while stack:
         la, i, lb, j = stack.pop()
-        maps_a, lo_a, hi_a, bits_a = (x[i] for x in a.levels[la])
-        maps_b, lo_b, hi_b, bits_b = (x[j] for x in b.levels[lb])
-        if 4 * hi_a < 3 * lo_b or 4 * hi_b < 3 * lo_a:
+        maps_a, lo_a, hi_a, bits_a, part_a = (x[i] for x in a.levels[la])
+        maps_b, lo_b, hi_b, bits_b, part_b = (x[j] for x in b.levels[lb])
+        if 4 * hi_a < 3 * lo_b or 4 * hi_b < 3 * lo_a or part_a == part_b >= 0:
             continue
         common = int(np.bitwise_count(maps_a & maps_b).sum())
         if not _possible(common, hi_a, hi_b, bits_a, bits_b, lo_a, lo_b):
@@ -135,13 +156,38 @@ def _leaf_pairs(a: _Tree, b: _Tree, same: bool) -> Iterator[tuple[int, int]]:
         stack.extend((na, x, nb, y) for x in down_a for y in down_b if not (same and na == nb and x > y))
 
 
-def join_blocks(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> list[tuple[int, int]]:
-    """Links between two blocks of sorted sets (or within one): enough of them to connect what is linked."""
-    order_a, order_b = (np.argsort([len(s) for s in x], kind="stable") for x in (a, b))
-    tree_a = _Tree([a[k] for k in order_a])
-    tree_b = tree_a if same else _Tree([b[k] for k in order_b])
-    parent = list(range(len(a) + (0 if same else len(b))))
-    shift = 0 if same else len(a)
+def _member_pairs(a: _Tree, b: _Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of different components that may link, leaf pair by leaf pair."""
+    for i, j in _leaf_pairs(a, b, same):
+        x, y = np.arange(i * LEAF, min((i + 1) * LEAF, len(a.sizes))), np.arange(j * LEAF, min((j + 1) * LEAF, len(b.sizes)))
+        common = np.bitwise_count(a.maps[x][:, None] & b.maps[y][None]).sum(2).astype(np.int64)
+        sa, sb = a.sizes[x][:, None], b.sizes[y][None]
+        may = _possible(common, sa, sb, a.bits[x][:, None], b.bits[y][None], sa, sb) & (a.parts[x][:, None] != b.parts[y][None])
+        p, q = np.nonzero(may)
+        u, v = x[p], y[q]
+        if same:
+            u, v = u[u < v], v[u < v]
+        if len(u):
+            yield u, v
+
+
+def _linked(s: np.ndarray, t: np.ndarray) -> bool:
+    both = len(s) + len(t) - len(np.unique(np.concatenate((s, t))))
+    return 4 * both >= 3 * (len(s) + len(t) - both)
+
+
+def _sorted_tree(sizes: np.ndarray, maps: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, _Tree]:
+    order = np.lexsort((sizes, parts))
+    return order, _Tree(sizes[order], maps[order], parts[order])
+
+
+def join_blocks(a: list[np.ndarray], b: list[np.ndarray], same: bool, parts_a: np.ndarray | None = None, parts_b: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between two blocks of sorted sets (or within one): enough of them to connect what is linked, given the components so far."""
+    parts_a = np.arange(len(a)) if parts_a is None else parts_a
+    parts_b = (parts_a if same else np.arange(len(b)) + len(a)) if parts_b is None else parts_b
+    order_a, tree_a = _sorted_tree(np.array([len(s) for s in a], np.int64), bitmaps(a), parts_a)
+    order_b, tree_b = (order_a, tree_a) if same else _sorted_tree(np.array([len(s) for s in b], np.int64), bitmaps(b), parts_b)
+    parent = {int(p): int(p) for p in np.concatenate((parts_a, parts_b))}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -150,39 +196,124 @@ def join_blocks(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> list[tu
         return x
 
     links = []
-    for i, j in _leaf_pairs(tree_a, tree_b, same):
-        x, y = np.arange(i * LEAF, min((i + 1) * LEAF, len(a))), np.arange(j * LEAF, min((j + 1) * LEAF, len(b)))
-        common = np.bitwise_count(tree_a.maps[x][:, None] & tree_b.maps[y][None]).sum(2).astype(np.int64)
-        sa, sb = tree_a.sizes[x][:, None], tree_b.sizes[y][None]
-        may = _possible(common, sa, sb, tree_a.bits[x][:, None], tree_b.bits[y][None], sa, sb)
-        for p, q in zip(*np.nonzero(may)):
-            u, v = int(x[p]), int(y[q])
-            if same and u >= v:
-                continue
-            ru, rv = root(u), root(v + shift)
-            if ru == rv:
-                continue
-            s, t = tree_a.sets[u], tree_b.sets[v]
-            both = len(s) + len(t) - len(np.unique(np.concatenate((s, t))))
-            if 4 * both >= 3 * (len(s) + len(t) - both):
+    for us, vs in _member_pairs(tree_a, tree_b, same):
+        for u, v in zip(us, vs):
+            ru, rv = root(int(tree_a.parts[u])), root(int(tree_b.parts[v]))
+            if ru != rv and _linked(a[order_a[u]], b[order_b[v]]):
                 parent[ru] = rv
                 links.append((int(order_a[u]), int(order_b[v])))
     return links
 
 
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rows of the two blocks of a task."""
+    block, i, j = t.column("block").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    left = np.flatnonzero(block == i)
+    return left, left if i == j else np.flatnonzero(block == j), i == j
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tasks of two blocks, by bitmaps and sizes: the members that some pair leaves over."""
+    for t in groups_in_order(batches, ["root", "i", "j"]):
+        left, right, same = _sides(t)
+        if not len(left) or not len(right):
+            continue
+        sizes, parts, maps = t.column("n").to_numpy(), t.column("part").to_numpy(), binary_column(t, "map", BITS // 8)
+        band = t.column("band")[0].as_py()
+        values, at = list_column(t, "bands")
+        earlier = values.reshape(len(at) - 1, -1)[:, :band]
+        orders, trees = zip(*(_sorted_tree(sizes[x], maps[x], parts[x]) for x in ((left,) if same else (left, right))))
+        stay = np.zeros(t.num_rows, bool)
+        for u, v in _member_pairs(trees[0], trees[-1], same):
+            x, y = left[orders[0][u]], right[orders[-1][v]]
+            new = ~(earlier[x] == earlier[y]).any(1)
+            stay[x[new]] = stay[y[new]] = True
+        if stay.any():
+            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(stay)) for c in PRUNED], names=PRUNED)
+
+
+PRUNED = ["root", "i", "j", "block", "rep", "part"]
+
+
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in groups_in_order(batches, ["cluster", "i", "j"]):
+    """Tasks of two blocks, with sets: the links."""
+    for t in groups_in_order(batches, ["root", "i", "j"]):
+        left, right, same = _sides(t)
+        if not len(left) or not len(right):
+            continue
         values, at = list_column(t, "set")
-        ids, block = t.column("rep").to_numpy(), t.column("block").to_numpy()
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
-        links = join_blocks(*([values[at[k] : at[k + 1]] for k in side] for side in (left, right)), i == j) if len(left) and len(right) else []
+        ids, parts = t.column("rep").to_numpy(), t.column("part").to_numpy()
+        sides = [[values[at[k] : at[k + 1]] for k in x] for x in (left, right)]
+        links = join_blocks(*sides, same, parts[left], parts[right])
         if links:
             x, y = np.array(links).T
             yield pa.RecordBatch.from_arrays([pa.array(ids[left[x]]), pa.array(ids[right[y]])], names=["a", "b"])
 
 
+def _behind_heads(test):
+    """Streams the members behind each head, which comes first, and yields (hub, share, rep) of those that pass ``test``; holds one head and one batch."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, head = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            hubs, lead, rep = (t.column(c).to_numpy() for c in ("hub", "lead", "rep"))
+            rows = test(t)
+            stay = np.zeros(t.num_rows, bool)
+            for k in range(t.num_rows):
+                if lead[k] == 0:
+                    hub, head = hubs[k], rows.take(k)
+                else:
+                    stay[k] = hub == hubs[k] and rows.fits(head, k)
+            stay = pa.array(stay)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(stay) for c in ("hub", "share", "rep")], names=["hub", "share", "rep"])
+
+    return stream
+
+
+class _ByMap:
+    """Members of a batch by size and bitmap."""
+
+    def __init__(self, t: pa.Table):
+        self.n, self.map = t.column("n").to_numpy(), binary_column(t, "map", BITS // 8)
+        self.bits = np.bitwise_count(self.map).sum(1).astype(np.int64)
+
+    def take(self, k: int):
+        return self.n[k], self.map[k].copy(), self.bits[k]
+
+    def fits(self, head, k: int) -> bool:
+        n, m, bits = head
+        common = int(np.bitwise_count(m & self.map[k]).sum())
+        return bool(_possible(common, n, self.n[k], bits, self.bits[k], n, self.n[k]))
+
+
+class _BySet:
+    """Members of a batch by their sets."""
+
+    def __init__(self, t: pa.Table):
+        self.values, self.at = list_column(t, "set")
+
+    def _set(self, k: int) -> np.ndarray:
+        return self.values[self.at[k] : self.at[k + 1]]
+
+    def take(self, k: int) -> np.ndarray:
+        return self._set(k).copy()
+
+    def fits(self, head: np.ndarray, k: int) -> bool:
+        return _linked(head, self._set(k))
+
+
+def _stars(pairs: DataFrame, nodes: DataFrame, payload: list[str], test, parts: int) -> DataFrame:
+    """The rows (hub, share, rep) of ``pairs`` that pass a test of the payloads of both; a hub's payload goes once to each of its shares."""
+    members = pairs.join(nodes.select("rep", *payload), "rep").select("hub", "share", F.lit(1).alias("lead"), "rep", *payload)
+    heads = pairs.select("hub", "share").distinct().join(nodes.select(F.col("rep").alias("hub"), *payload), "hub")
+    heads = heads.select("hub", "share", F.lit(0).alias("lead"), F.col("hub").alias("rep"), *payload)
+    rows = heads.unionByName(members).repartition(parts, "hub", "share").sortWithinPartitions("hub", "share", "lead")
+    return rows.mapInArrow(_behind_heads(test), "hub bigint, share bigint, rep bigint")
+
+
 def _number(block_class: Column, k: Column) -> Column:
     """One number for block k of a size class."""
     return F.shiftleft(block_class, 32) + k
@@ -218,31 +349,45 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     classes = every.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(first)
     classes = materialize(classes.select("n", "f1", "f2", F.col("first.doc_id").alias("rep"), "first.mark", "first.bands"), "shingle-classes")
 
-    rows = classes.select("rep", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = classes.select("rep", F.posexplode("bands").alias("band", "root"))
+    shared = rows.groupBy("root").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
     shared = materialize(shared.drop("many"), "shared-bands")  # stored, so that Spark can split a band that many sets share
-    near = rows.join(shared, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    clusters = components(near, "clusters")
-    heads = clusters.select(F.col("root").alias("node"), "root").distinct()
-    clusters = clusters.unionByName(heads).join(classes.select(F.col("rep").alias("node"), "mark", "n"), "node")
-    clusters = clusters.withColumn("size_class", F.floor(F.ln("n") / math.log(CLASS)).cast("bigint"))
-    # stored, so that Spark can split a class that many sets share
-    blocks = materialize(_blocks(clusters.groupBy("root", "size_class").agg(F.count(F.lit(1)).alias("sets"))), "blocks")
-    clusters = clusters.join(blocks, ["root", "size_class"])
-    block = F.pmod(uniform_hash(F.lit("block"), F.col("node")), F.col("n_blocks"))
-    members = clusters.select(F.col("node").alias("rep"), F.col("mark").alias("m"), F.col("root").alias("cluster"), "near", _number(F.col("block_class"), block).alias("block"))
+    members = materialize(rows.join(shared, "root"), "tree-members")
 
+    ids = members.select("rep").distinct().join(classes.select("rep", "mark", "n", "bands"), "rep").select("rep", F.col("mark").alias("m"), "n", "bands")
     texts = docs.select("doc_id", "text", F.xxhash64(text).alias("mark"))
-    found = texts.join(members, (F.col("doc_id") == F.col("rep")) & (F.col("mark") == F.col("m")))
-    found = found.select("rep", "cluster", "block", "near", lower.alias("__words")).withColumn("set", hashes).drop("__words")
-    others = F.transform("near", lambda x: F.transform(F.sequence(F.lit(0).cast("bigint"), x["n_blocks"] - 1), lambda k: _number(x["block_class"], k)))
-    pairs = found.withColumn("other", F.explode(F.flatten(others)))
-    pairs = pairs.select("rep", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set")
-    keys = ["cluster", "i", "j"]
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    links = pairs.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_join, "a bigint, b bigint")
+    # the marks are compared behind the join, so that it deals by id alone and one row an id is found without another shuffle
+    found = texts.join(ids, F.col("doc_id") == F.col("rep")).where(F.col("mark").bitwiseXOR(F.col("m")) == 0).dropDuplicates(["rep"])
+    found = found.select("rep", "n", "bands", lower.alias("__words")).withColumn("set", hashes).select("rep", "n", "bands", "set")
+    nodes = materialize(found.mapInArrow(_with_maps, "rep bigint, n bigint, bands array<bigint>, set array<bigint>, map binary"), "tree-nodes")
+
+    pairs = members.where("rep <> hub").select("hub", "rep").distinct()
+    sizes = materialize(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shares")), "heads")
+    pairs = pairs.join(sizes, "hub").select("hub", "rep", F.pmod(uniform_hash(F.lit("share"), F.col("rep")), F.col("shares")).alias("share"))
+    near = materialize(_stars(materialize(pairs, "pairs"), nodes, ["n", "map"], _ByMap, parts), "near-heads")
+    links = materialize(_stars(near, nodes, ["set"], _BySet, parts).select(F.col("rep").alias("a"), F.col("hub").alias("b")), "head-links")
     roots = components(links, "links")
 
+    left = members.join(roots.withColumnRenamed("root", "part"), F.col("rep") == F.col("node"), "left").select("root", "band", "rep", F.coalesce("part", "rep").alias("part"))
+    several = left.groupBy("root").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("root")
+    left = left.join(materialize(several, "open-trees"), "root")
+    left = left.join(nodes.select("rep", "n"), "rep").withColumn("size_class", F.floor(F.ln("n") / math.log(CLASS)).cast("bigint"))
+    left = materialize(left, "open-members")
+    # stored, so that Spark can split a class that many sets share
+    blocks = materialize(_blocks(left.groupBy("root", "size_class").agg(F.count(F.lit(1)).alias("sets"))), "blocks")
+    left = left.join(blocks, ["root", "size_class"])
+    block = _number(F.col("block_class"), F.pmod(uniform_hash(F.lit("block"), F.col("rep")), F.col("n_blocks")))
+    others = F.transform("near", lambda x: F.transform(F.sequence(F.lit(0).cast("bigint"), x["n_blocks"] - 1), lambda k: _number(x["block_class"], k)))
+    left = left.withColumn("block", block).withColumn("other", F.explode(F.flatten(others)))
+    left = left.select("root", "band", "rep", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    keys = ["root", "i", "j"]
+    left = left.join(nodes.select("rep", "n", "map", "bands"), "rep").repartition(parts, *keys).sortWithinPartitions(*keys)
+    left = materialize(left.mapInArrow(_prune, "root bigint, i bigint, j bigint, block bigint, rep bigint, part bigint"), "unpruned")
+    left = left.join(nodes.select("rep", "set"), "rep").repartition(parts, *keys).sortWithinPartitions(*keys)
+    more = materialize(left.mapInArrow(_join, "a bigint, b bigint"), "block-links")
+    roots = components(links.unionByName(more), "links")
+
     roots = roots.withColumnRenamed("node", "rep")
     classes = classes.select("n", "f1", "f2", "rep").join(roots, "rep", "left").select(*[F.col(c).alias(f"c_{c}") for c in ("n", "f1", "f2")], F.coalesce("root", "rep").alias("component"))
     same = (F.col("n") == F.col("c_n")) & (F.col("f1") == F.col("c_f1")) & (F.col("f2") == F.col("c_f2"))

@@ -292,6 +292,23 @@ def test_join_of_a_cluster_of_many_blocks_and_sizes(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(root))
 
 
+def test_join_where_texts_share_a_passage(spark):
+    """A fifth of the texts share a tenth of their shingles: no band gathers them, and nothing of them is compared exactly."""
+    rng = np.random.default_rng(6)
+    passage = [f"p{k}" for k in range(16)]
+    rows = [(i, " ".join([*(passage if i % 5 == 0 else []), *(f"w{x}" for x in rng.integers(0, 10**9, 120))]), "en", "a") for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " tail", "en", "a") for i in range(0, 100, 10)]
+    out = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(table(spark, rows)).collect()}
+    assert out == {i: i - 1000 if i >= 1000 else i for i, *_ in rows}
+
+
+def test_trees_drop_pairs_of_one_component():
+    base = np.arange(1, 101, dtype=np.int64)
+    sets = [np.unique(np.r_[base[:95], np.arange(1000 + 5 * i, 1005 + 5 * i)]) for i in range(40)]
+    assert ngram_join.join_blocks(sets, sets, True, np.zeros(40, np.int64)) == []
+    assert len(ngram_join.join_blocks(sets, sets, True, np.arange(40) % 2)) == 1 and len(ngram_join.join_blocks(sets, sets, True)) == 39
+
+
 def test_blocks_meet_those_of_adjoining_sizes_alone(spark):
     sizes = spark.createDataFrame([(1, 3, 200), (1, 5, 40), (2, 3, 300), (2, 4, 600), (2, 6, 10)], "root bigint, size_class bigint, sets bigint")
     near = {(r["root"], r["size_class"]): sorted(map(tuple, r["near"])) for r in ngram_join._blocks(sizes).collect()}
