@@ -11,8 +11,9 @@ to where bitmaps and sizes leave a link possible.
 2. First pass.  Every member meets the head of its tree, in a stream of members behind each head: by bitmap and
    size first, then the sets of what is left, exactly.  A group of near copies so costs its size, not its
    square.
+   Large trees that this leaves in many components meet more heads, each from outside the largest one.
 3. Second pass.  Trees whose members are still in several components are cut by size into blocks of about BLOCK
-   members, so wide that a link stays in a size class or joins two that adjoin.  Each pair of blocks that may
+   members, the largest component apart, since it need not meet itself, so wide that a link stays in a size class or joins two that adjoin.  Each pair of blocks that may
    meet is a task.  A block is a tree over its members in order of component and size: each node holds the OR
    of its members' bitmaps, the range of their sizes, the least number of bits of a member and its component
    if it has but one.  Two trees are walked together; a pair of nodes is dropped when it is of one component,
@@ -45,6 +46,8 @@ BANDS, ROWS = 68, 4
 BLOCK, BITS, LEAF = 256, 2048, 16
 #: Ratio of a size class; linked sets differ in size by 4/3 at most, so a little more keeps rounding out of it.
 CLASS = 1.34
+#: Trees that pairs of blocks would copy more than MOST_COPIES times meet more heads first, MOST_HEADS at most.
+MOST_COPIES, MOST_HEADS = 4, 12
 SEED = 20
 
 
@@ -320,20 +323,41 @@ def _number(block_class: Column, k: Column) -> Column:
 
 
 def _blocks(sizes: DataFrame) -> DataFrame:
-    """Rows (root, size_class, block_class, n_blocks, near) from rows (root, size_class, sets).
+    """Rows (root, size_class, major, block_class, n_blocks, near) from rows (root, size_class, major, sets).
 
-    near lists the classes, with their numbers of blocks, that a block of this class meets.  A cluster that
-    fits one block is one class.  The windows see one row a size class, some dozens a cluster.
+    near lists the classes, with their numbers of blocks, that a block of this class meets: those of adjoining
+    sizes, but not two of the tree's largest component.  A tree that fits one block is one class.  The windows
+    see two rows a size class, some dozens a tree.
     """
-    cluster = Window.partitionBy("root")
-    one = F.sum("sets").over(cluster) <= BLOCK
-    df = sizes.withColumn("block_class", F.when(one, 0).otherwise(F.col("size_class")))
-    df = df.withColumn("n_blocks", F.when(one, 1).otherwise(F.ceil(F.col("sets") / BLOCK)))
-    beside = [F.lag(F.struct("block_class", "n_blocks"), d).over(cluster.orderBy("size_class")) for d in (1, -1)]
-    beside = F.filter(F.array(*beside), lambda x: F.abs(x["block_class"] - F.col("block_class")) == 1)
-    return df.withColumn("beside", beside).select(
-        "root", "size_class", "block_class", "n_blocks", F.concat(F.array(F.struct("block_class", "n_blocks")), "beside").alias("near")
-    )
+    tree = Window.partitionBy("root")
+    one = F.sum("sets").over(tree) <= BLOCK
+    kind = F.col("size_class") + F.when(F.col("major"), F.lit(1 << 20)).otherwise(0)
+    df = sizes.withColumn("block_class", F.when(one, 0).otherwise(kind)).withColumn("n_blocks", F.when(one, 1).otherwise(F.ceil(F.col("sets") / BLOCK)))
+    df = df.withColumn("every", F.collect_set(F.struct("block_class", "n_blocks", "size_class", "major")).over(tree)).withColumn("one", one)
+    meets = lambda x: (F.abs(x["size_class"] - F.col("size_class")) <= 1) & ~(x["major"] & F.col("major")) | F.col("one")
+    near = F.array_distinct(F.transform(F.filter("every", meets), lambda x: F.struct(x["block_class"].alias("block_class"), x["n_blocks"].alias("n_blocks"))))
+    return df.select("root", "size_class", "major", "block_class", "n_blocks", near.alias("near"))
+
+
+def _open_trees(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (root, band, rep, part) of trees that are in several components by the links so far, and those trees as (root, g, largest, most)."""
+    roots = components(links, "links").select(F.col("node").alias("rep"), F.col("root").alias("__part"))
+    left = members.join(roots, "rep", "left").select("root", "band", "rep", F.coalesce("__part", "rep").alias("part"))
+    left = materialize(left, "parted-members")
+    several = left.groupBy("root").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("root")
+    left = materialize(left.join(materialize(several, "open-roots"), "root"), "open-members")
+    parts = left.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n"))
+    trees = parts.groupBy("root").agg(F.sum("n").alias("g"), F.max(F.struct("n", "part")).alias("top"))
+    return left, materialize(trees.select("root", "g", F.col("top.part").alias("largest"), F.col("top.n").alias("most")), "open-trees")
+
+
+def _head_links(pairs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """The links among distinct pairs (hub, rep), as (a, b)."""
+    pairs = materialize(pairs, "pairs")
+    sizes = materialize(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shares")), "heads")
+    pairs = pairs.join(sizes, "hub").select("hub", "rep", F.pmod(uniform_hash(F.lit("share"), F.col("rep")), F.col("shares")).alias("share"))
+    near = materialize(_stars(materialize(pairs, "shares"), nodes, ["n", "map"], _ByMap, parts), "near-heads")
+    return materialize(_stars(near, nodes, ["set"], _BySet, parts).select(F.col("rep").alias("a"), F.col("hub").alias("b")), "head-links")
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -362,21 +386,29 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     found = found.select("rep", "n", "bands", lower.alias("__words")).withColumn("set", hashes).select("rep", "n", "bands", "set")
     nodes = materialize(found.mapInArrow(_with_maps, "rep bigint, n bigint, bands array<bigint>, set array<bigint>, map binary"), "tree-nodes")
 
-    pairs = members.where("rep <> hub").select("hub", "rep").distinct()
-    sizes = materialize(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shares")), "heads")
-    pairs = pairs.join(sizes, "hub").select("hub", "rep", F.pmod(uniform_hash(F.lit("share"), F.col("rep")), F.col("shares")).alias("share"))
-    near = materialize(_stars(materialize(pairs, "pairs"), nodes, ["n", "map"], _ByMap, parts), "near-heads")
-    links = materialize(_stars(near, nodes, ["set"], _BySet, parts).select(F.col("rep").alias("a"), F.col("hub").alias("b")), "head-links")
-    roots = components(links, "links")
-
-    left = members.join(roots.withColumnRenamed("root", "part"), F.col("rep") == F.col("node"), "left").select("root", "band", "rep", F.coalesce("part", "rep").alias("part"))
-    several = left.groupBy("root").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("root")
-    left = left.join(materialize(several, "open-trees"), "root")
+    links = _head_links(members.where("rep <> hub").select("hub", "rep").distinct(), nodes, parts)
+    members = members.select("root", "band", "rep")
+    for k in range(MOST_HEADS):
+        left, trees = _open_trees(members, links)
+        # rows that pairs of blocks would copy, against the members there are
+        minor = F.col("g") - F.col("most")
+        copies = F.when(F.col("g") <= BLOCK, F.col("g")).otherwise(minor * F.ceil(F.col("g") / BLOCK) + F.col("most") * F.ceil(minor / BLOCK))
+        n, many = trees.agg(F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum(copies), F.lit(0))).first()
+        if many <= MOST_COPIES * n:
+            break
+        # trees that blocks would copy much meet another head, from outside the largest component
+        wide = left.join(trees.where(copies > MOST_COPIES * F.col("g")), "root")
+        heads = wide.where("part <> largest").groupBy("root").agg(F.min_by(F.struct("rep", "part"), uniform_hash(F.lit(k), F.col("rep"))).alias("head"))
+        heads = materialize(heads.select("root", F.col("head.rep").alias("hub"), F.col("head.part").alias("hub_part")), "more-heads")
+        pairs = wide.select("root", "rep", "part").join(heads, "root").where("part <> hub_part").select("hub", "rep").distinct()
+        links = links.unionByName(_head_links(pairs, nodes, parts))
+
+    left = left.join(trees.select("root", "largest"), "root").select("root", "band", "rep", "part", (F.col("part") == F.col("largest")).alias("major"))
     left = left.join(nodes.select("rep", "n"), "rep").withColumn("size_class", F.floor(F.ln("n") / math.log(CLASS)).cast("bigint"))
-    left = materialize(left, "open-members")
+    left = materialize(left, "sized-members")
     # stored, so that Spark can split a class that many sets share
-    blocks = materialize(_blocks(left.groupBy("root", "size_class").agg(F.count(F.lit(1)).alias("sets"))), "blocks")
-    left = left.join(blocks, ["root", "size_class"])
+    blocks = materialize(_blocks(left.groupBy("root", "size_class", "major").agg(F.count(F.lit(1)).alias("sets"))), "blocks")
+    left = left.join(blocks, ["root", "size_class", "major"])
     block = _number(F.col("block_class"), F.pmod(uniform_hash(F.lit("block"), F.col("rep")), F.col("n_blocks")))
     others = F.transform("near", lambda x: F.transform(F.sequence(F.lit(0).cast("bigint"), x["n_blocks"] - 1), lambda k: _number(x["block_class"], k)))
     left = left.withColumn("block", block).withColumn("other", F.explode(F.flatten(others)))

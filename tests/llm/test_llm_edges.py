@@ -310,9 +310,12 @@ def test_trees_drop_pairs_of_one_component():
 
 
 def test_blocks_meet_those_of_adjoining_sizes_alone(spark):
-    sizes = spark.createDataFrame([(1, 3, 200), (1, 5, 40), (2, 3, 300), (2, 4, 600), (2, 6, 10)], "root bigint, size_class bigint, sets bigint")
-    near = {(r["root"], r["size_class"]): sorted(map(tuple, r["near"])) for r in ngram_join._blocks(sizes).collect()}
-    assert near == {(1, 3): [(0, 1)], (1, 5): [(0, 1)], (2, 3): [(3, 2), (4, 3)], (2, 4): [(3, 2), (4, 3)], (2, 6): [(6, 1)]}
+    rows = [(1, 3, False, 200), (1, 5, False, 40), (2, 3, False, 300), (2, 4, False, 600), (2, 4, True, 900), (2, 6, False, 10), (2, 6, True, 9)]
+    sizes = spark.createDataFrame(rows, "root bigint, size_class bigint, major boolean, sets bigint")
+    near = {(r["root"], r["size_class"], r["major"]): sorted(map(tuple, r["near"])) for r in ngram_join._blocks(sizes).collect()}
+    top = (4 + (1 << 20), 4)
+    assert near[1, 3, False] == near[1, 5, False] == [(0, 1)] and near[2, 3, False] == near[2, 4, False] == [(3, 2), (4, 3), top]
+    assert near[2, 4, True] == [(3, 2), (4, 3)] and near[2, 6, False] == [(6, 1), (6 + (1 << 20), 1)] and near[2, 6, True] == [(6, 1)]
 
 
 def test_components(spark):
