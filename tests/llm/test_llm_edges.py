@@ -473,6 +473,18 @@ def test_vectors(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_large_group_count_each_pair_once(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=16)
+    x = np.concatenate([base + 0.12 * rng.normal(size=(700, 16)), rng.normal(size=(50, 16))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    rows = [(i, v.tolist(), "f", 1) for i, v in enumerate(x)] + [(900, (1e-200 * x[0]).tolist(), "f", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, f1 string, copies int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert got[900] == got[0] and all(got[i] <= want[i] + 1 for i in range(750)) and sum(got[i] for i in range(750)) >= 0.97 * want.sum()
+
+
 def test_lattice_points_are_the_nearest():
     rng = np.random.default_rng(5)
     x = rng.normal(0, 1.5, (300, 8))

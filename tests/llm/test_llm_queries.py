@@ -197,8 +197,10 @@ def test_op9_recall_and_precision(spark, data):
     assert (got <= links).all() and got.sum() >= 0.9 * links.sum() and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows.values())
 
 
-def test_op9_recall_at_the_threshold(spark):
-    from cloakfield.llm.embedding_dedup import embedding_dedup
+@pytest.mark.parametrize("size", [50_000, 1_000_000])
+def test_op9_recall_at_the_threshold(spark, size):
+    """Both kinds of cells find nearly all pairs just above the threshold, and count each once."""
+    from cloakfield.llm.embedding_dedup import embedding_dedup, settings
 
     rng = np.random.default_rng(3)
     u = rng.normal(size=(400, 64))
@@ -208,7 +210,8 @@ def test_op9_recall_at_the_threshold(spark):
     w /= np.linalg.norm(w, axis=1, keepdims=True)
     v = 0.901 * u + np.sqrt(1 - 0.901**2) * w
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate([u, v]))], "vec_id long, embedding array<float>")
-    assert embedding_dedup(df).where("n_links > 0").count() >= 0.97 * 800
+    out = embedding_dedup(df, **settings(size)).collect()
+    assert sum(r["n_links"] > 0 for r in out) >= 0.97 * 800 and max(r["n_links"] for r in out) == 1
 
 
 def test_op10_shards(spark, data, docs):
