@@ -12,7 +12,7 @@ from cloakfield.operators import coverage as cov
 from cloakfield.operators import gdpr, notices, overview
 from cloakfield.operators.aggs import Aggregator, AggResult
 from cloakfield.operators.filters import after_key, clause, instant
-from cloakfield.operators.masking import mask_documents, mask_keys, verify
+from cloakfield.operators.masking import mask_documents, mask_keys, mask_opaque_values, registry, verify
 from cloakfield.plans.dsl import parse_body
 from cloakfield.sources.catalog import Catalog, check_prefix
 from cloakfield.sources.catalog import field as path_column
@@ -46,8 +46,13 @@ class Engine:
         found = {names[n] for n in self.catalog.resolve(index) if n in names}
         return found.pop() if len(found) == 1 else None
 
-    def search(self, index: str, body: str | dict, verified: bool = False) -> SearchResult:
-        """Runs a request body over the tables that match ``index``."""
+    def search(self, index: str, body: str | dict, verified: bool = True) -> SearchResult:
+        """Runs a request body over the tables that match ``index``.
+
+        Under a policy the documents are masked and, unless ``verified`` is false, checked before they are handed out:
+        an address that is left raises.  With the gate off, values of fields that the policy does not name go through the
+        deep pass.
+        """
         plan = parse_body(body, self.settings.size_cap, self.settings.gate)
         df = self.catalog.read(index)
         ident = self._one(self.ids, index)
@@ -56,7 +61,7 @@ class Engine:
         hits = None
         if plan.size:
             page = rows.where(after_key(rows, plan.sort, plan.search_after)) if plan.search_after else rows
-            order = [path_column(page, f).asc() if up else path_column(page, f).desc() for f, up in plan.sort] + ([F.col(ident).asc()] if ident else [])
+            order = [path_column(page, f).asc_nulls_last() if up else path_column(page, f).desc_nulls_last() for f, up in plan.sort] + ([F.col(ident).asc()] if ident else [])
             page = page.orderBy(*order) if order else page
             hits = page.limit(plan.size)
             if plan.source is not None:
@@ -70,14 +75,17 @@ class Engine:
         sensitive = gdpr.scan_names(hits) if hits is not None else []
         if self.policy and self.policy.fields:
             results = {k: mask_keys(r, self.policy) for k, r in results.items()}
-            hits = mask_documents(hits, self.policy) if hits is not None else None
+            if hits is not None:
+                known = registry(hits, self.policy)
+                hits = mask_documents(hits, self.policy)
+                hits = mask_opaque_values(hits, known, self.policy) if self.settings.gate == "off" else hits
             if verified and hits is not None:
                 verify(hits)
         return SearchResult(hits, total, results, found, sensitive)
 
     def _banner(self, index: str) -> list[tuple[str, str, str]]:
         active = bool(self.policy and self.policy.fields)
-        out = notices.safety_banner(active, active, self.settings.gate, index, list(self.raw_tables))
+        out = notices.safety_banner(active, active, self.settings.gate, index, list(self.raw_tables), self.settings.external)
         out += [("[LEGACY INDEX PATTERN]", index, f"{p} is no table of this version") for p in self.legacy if index.startswith(p)]
         return out
 
@@ -93,6 +101,11 @@ class Engine:
         rows = [(f, types[f][0] if len(types[f]) == 1 else "CONFLICT:" + "|".join(types[f])) for f in names[: self.settings.schema_cap]]
         return self.spark.createDataFrame(rows, "field string, type string"), said
 
+    def schema_empty(self, index: str, prefix: str = "") -> DataFrame:
+        """Fields that are mapped and that no document fills, in order of name."""
+        names = list(self.catalog.field_types(index, check_prefix(prefix)))
+        return cov.presence(self.catalog.read(index), names).where("total_docs = 0").select("field").orderBy("field")
+
     def findings_overview(self, index: str, hours: int = 24, top_agents: int = 10, top_titles: int = 10) -> dict[str, DataFrame]:
         """Five tables over the last ``hours``; needs columns level, agent, title and category."""
         df = self.catalog.read(index)

@@ -193,9 +193,10 @@ class Aggregator:
         elif kind in ("range", "date_range", "filters"):
             rows, labels = self._labelled(df, node)
             top = rows.groupBy(*by, name).agg(*self._measures(rows, node))
-            if not by:  # a bucket without documents is a bucket
-                every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias(name))
-                top = every.join(top, name, "left").fillna(0, ["doc_count"])
+            # a bucket without documents is a bucket, below every parent
+            parents = scope.select(*by) if by else df.sparkSession.range(1)
+            every = parents.select(*by, F.explode(F.array(*[F.lit(x) for x in labels])).alias(name))
+            top = every.join(top, [*by, name], "left").fillna(0, ["doc_count"])
         elif kind in ("filter", "missing"):
             test = clause(df, p, self.as_of) if kind == "filter" else ~present(df, p["field"])
             rows = df.where(test).withColumn(name, F.lit(name))

@@ -99,10 +99,14 @@ def _listed(x) -> list:
 
 
 def after_key(df: DataFrame, sort: tuple[tuple[str, bool], ...], values: tuple) -> Column:
-    """Rows after the given sort values: keyset paging."""
+    """Rows after the given sort values: keyset paging.  Rows without a sort value stand last, whichever the direction."""
     out, same = F.lit(False), F.lit(True)
     for (path, ascending), value in zip(sort, values):
-        c, v = field(df, path), literal(df, path, value)
-        out = out | same & (c > v if ascending else c < v)
-        same = same & (c == v)
+        c = field(df, path)
+        if value is None:
+            same = same & c.isNull()
+            continue
+        v = literal(df, path, value)
+        out = out | same & (c.isNull() | F.coalesce(c > v if ascending else c < v, F.lit(False)))
+        same = same & F.coalesce(c == v, F.lit(False))
     return out

@@ -12,6 +12,10 @@ from cloakfield.operators.aggs import AggResult
 SCHEMA = "code string, subject string, detail string"
 
 
+#: Buckets that are a page, a choice or an overlap, so that what they leave out is no gap.
+PAGED = ("composite", "rare_terms", "significant_terms", "significant_text", "filters", "range", "date_range")
+
+
 def notices_frame(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
@@ -34,7 +38,7 @@ def partial_coverage(result: AggResult, path: str) -> DataFrame:
 def empty_aggregations(result: AggResult, path: str) -> DataFrame:
     """One row for each parent with documents in scope and no bucket: (agg, parents..., scope)."""
     parents = [k for k in result.keys[:-1] if k in result.scope.columns]
-    n = (result.df.groupBy(*parents) if parents else result.df.groupBy()).agg(F.count(F.lit(1)).alias("n"))
+    n = (result.df.groupBy(*parents) if parents else result.df.groupBy()).agg(F.sum("doc_count").alias("n"))
     joined = result.scope.join(n, parents, "left") if parents else result.scope.join(F.broadcast(n))  # one row
     return joined.where((F.coalesce("n", F.lit(0)) == 0) & (F.col("scope") > 0)).select(F.lit(path).alias("agg"), *parents, "scope")
 
@@ -43,12 +47,14 @@ def aggregation_notices(results: dict[str, AggResult], shadowed: dict[str, str]
     """The notices of all bucket levels, as one frame; ``shadowed`` maps namespaces that are mapped and never filled to those that are."""
     frames = []
     for path, r in results.items():
-        if r.scope is None or r.node.kind in ("top_hits", "filter", "missing", "sampler", "diversified_sampler", "children", "filters", "range", "date_range", "composite", "rare_terms", "significant_terms", "significant_text"):
+        if r.scope is None or r.node.kind in ("top_hits", "filter", "missing", "sampler", "diversified_sampler", "children"):
             continue
         e = empty_aggregations(r, path)
         source = r.fields.get(r.keys[-1], "") if r.keys else ""
         hint = next((f"; {source} is mapped and never filled, use {new}{source[len(old) :]}" for old, new in (shadowed or {}).items() if source.startswith(old)), "")
         frames.append(e.select(F.lit("[EMPTY AGGREGATION]").alias("code"), F.col("agg").alias("subject"), F.concat(F.format_string("no bucket although %d documents are in scope", "scope"), F.lit(hint)).alias("detail")))
+        if r.node.kind in PAGED:
+            continue
         p = partial_coverage(r, path)
         text = F.format_string("buckets cover %d of %d documents (%.1f%%); %d lack the field", "covered", "scope", "pct", "missing")
         frames.append(p.where("covered > 0").select(F.lit("[PARTIAL AGGREGATION COVERAGE]").alias("code"), F.col("agg").alias("subject"), text.alias("detail")))

@@ -90,12 +90,17 @@ class Checkpoints:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def read(self, tenant: str) -> datetime | None:
-        """The mark, or None where there is none or it cannot be read."""
+        """The mark, or None where there is none; one that cannot be read stops the run, which would skip what lies before the first lookback."""
         try:
             row = self.spark.read.text(f"{self.folder}/{tenant}").first()
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+        try:
             return datetime.fromisoformat(json.loads(row["value"])["checkpoint"])
-        except Exception:  # a missing or damaged mark means starting from the first lookback
-            return None
+        except (TypeError, ValueError, KeyError) as e:
+            raise SyncError(f"the mark of {tenant} is damaged") from e
 
     def write(self, tenant: str, mark: datetime) -> None:
         row = json.dumps({"tenant": tenant, "checkpoint": mark.isoformat()})
@@ -116,11 +121,11 @@ def sync(raw: DataFrame, mask, tenant: str, marks: Checkpoints, masked_path: str
     spark = raw.sparkSession
     window = next_window(marks.read(tenant), as_of)
     source = window_rows(raw, time, window)
-    result = mask(source)
+    result = mask(source).persist()  # read by both branches and by the reconciliation
     good, bad = split_quarantine(result, "masking_failure", origin)
     counts = {}
     for rows, path, name in ((good, masked_path, "masked"), (bad, quarantine_path, "quarantined")):
-        existing = _table(spark, path, rows)
+        existing = window_rows(_table(spark, path, rows), time, window)  # a document's time does not change, so older rows need no reading
         new_only(rows.dropDuplicates([key]), existing, key).write.mode("append").parquet(path)
         counts[name] = _table(spark, path, rows).where(F.col(time).between(*(F.lit(x.isoformat(sep=" ")).cast(raw.schema[time].dataType) for x in (window.start, window.end)))).count()
     if strict:
@@ -150,7 +155,18 @@ def migrate(masked_path: str, quarantine_path: str, spark: SparkSession, key: st
 
 
 def delete_where(spark: SparkSession, path: str, test: Column) -> None:
-    """Deletes the rows of a table that pass ``test``; null does not pass.  What stays is written beside the table first, and is there if the second write fails."""
-    kept = f"{path.rstrip('/')}-kept"
+    """Deletes the rows of a table that pass ``test``; null does not pass.
+
+    What stays is written beside the table, and the folders are swapped by renaming; the old one goes last, so
+    the rows are there whatever fails.
+    """
+    path = path.rstrip("/")
+    kept, old = f"{path}-kept", f"{path}-old"
     spark.read.parquet(path).where(~F.coalesce(test, F.lit(False))).write.mode("overwrite").parquet(kept)
-    spark.read.parquet(kept).write.mode("overwrite").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for a, b in ((path, old), (kept, path)):
+        if not fs.rename(place(a), place(b)):
+            raise OSError(f"{a} was not renamed to {b}")
+    fs.delete(place(old), True)
+    spark.catalog.refreshByPath(path)

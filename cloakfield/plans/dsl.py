@@ -98,6 +98,10 @@ def parse_body(body: str | dict, size_cap: int = 100, gate: str = "block") -> Se
     if gate == "drop":
         notices += [f"[DROPPED] {x}" for x in [*opaque, *(n.name for n in strange)]]
         nodes = tuple(n for n in nodes if n not in strange)
+    if gate == "off":
+        unknown = [n for n in nodes if any(x.kind not in BUCKETS | METRICS or not x.mappable for _, x in n.walk())]
+        notices += [f"[NOT RUN] {n.name}: no field tells what its buckets are" for n in unknown]
+        nodes = tuple(n for n in nodes if n not in unknown)
     size = body.get("size", 10)
     if isinstance(size, bool) or not isinstance(size, int) or size < 0:
         raise RequestError("size is a number of 0 or more")

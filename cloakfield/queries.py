@@ -221,6 +221,19 @@ agg("agg_diversified_sampler", "events", {"some": {"diversified_sampler": {"shar
 agg("agg_children", "orders", {"s": {"terms": {"field": "o_orderstatus"}, "aggs": {"lines": {"children": {"type": "lineitem"}, "aggs": {"qty": {"sum": {"field": "l_quantity"}}}}}}}, "s>lines",
     "SELECT o_orderstatus AS s, count(*) AS doc_count, round(sum(l_quantity), 2) AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1", finish=lambda r: r.df.withColumn("qty", F.round("qty", 2)))
 
+agg("agg_nested_filters_keep_empty", "events", {"t": {"terms": {"field": "event_type"}, "aggs": {"f": {"filters": {"filters": {"buys": {"term": {"event_type": "purchase"}}, "never": {"term": {"event_type": "nope"}}}}}}}}, "t>f",
+    "SELECT event_type AS t, unnest(['buys', 'never']) AS f, unnest([count(*) FILTER (WHERE event_type = 'purchase'), 0]) AS doc_count FROM events GROUP BY event_type")
+
+
+@query("hits_search_after_null", "SELECT event_id, amount FROM (SELECT event_id, CASE WHEN event_type = 'purchase' THEN value END AS amount, max(CASE WHEN event_type = 'purchase' THEN value END) OVER () AS top FROM events) WHERE amount IS NULL OR amount > top - 1 ORDER BY amount NULLS LAST, event_id LIMIT 100")
+def _(spark, sf):
+    """The page behind the last amounts goes on with rows that have none."""
+    events = observed(spark.read.parquet(f"{sf}/events.parquet"))
+    top = events.agg(F.max("amount")).first()[0]
+    body = {"size": 100, "sort": [{"amount": "asc"}, {"event_id": "asc"}], "search_after": [top - 1, 1 << 60], "_source": ["event_id", "amount"]}
+    return engine(spark, sf).search("observed", body).hits
+
+
 # --- metric aggregations ----------------------------------------------------------------------------------
 
 agg("agg_basic_metrics", "lineitem", {"a": {"avg": {"field": "l_quantity"}}, "s": {"sum": {"field": "l_extendedprice"}}, "lo": {"min": {"field": "l_discount"}}, "hi": {"max": {"field": "l_tax"}}, "n": {"value_count": {"field": "l_shipdate"}}}, "metrics",
@@ -395,6 +408,11 @@ def _(spark, sf):
     return engine(spark, sf).schema("observed", only_populated=True)[0]
 
 
+@query("schema_mapped_empty", OBSERVED_SQL + ", n AS (SELECT " + ", ".join(f"count({f}) AS {f}" for f in FIELDS) + " FROM observed), u AS (UNPIVOT n ON COLUMNS(*) INTO NAME field VALUE doc_count) SELECT field FROM u WHERE doc_count = 0")
+def _(spark, sf):
+    return engine(spark, sf).schema_empty("observed")
+
+
 COVERAGE_HOURS = 48
 _COUNTS = " UNION ALL ".join(f"SELECT '{f}' AS field, count({f}) FILTER (WHERE ts >= m - INTERVAL {COVERAGE_HOURS} HOURS) AS window_docs, count(*) FILTER (WHERE ts >= m - INTERVAL {COVERAGE_HOURS} HOURS) AS window_total, count({f}) AS total_docs, count(*) AS grand_total FROM observed, newest" for f in FIELDS)
 COVERAGE_SQL = OBSERVED_SQL + f""", newest AS (SELECT max(ts) AS m FROM events), counts AS ({_COUNTS}),
@@ -482,7 +500,10 @@ def _(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", mask_deep(F.col("url"), SALT).alias("masked"))
 
 
-@query("text_mask_users")
+_LINE_SQL = "'Accepted publickey for ' || {user} || ' from ' || {ip} || ' user=' || {user} || ' did ' || event_type"
+
+
+@query("text_mask_users", "SELECT event_id, " + _LINE_SQL.format(user=token_sql("USER", "u", SALT), ip=token_sql("IP", "a", SALT)) + " AS masked FROM (SELECT *, 'u' || user_id AS u, '10.0.0.' || (user_id % 250) AS a FROM events)")
 def _(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
@@ -561,10 +582,10 @@ def _(spark, sf):
     return sync.window_rows(events, "ts", window)
 
 
-@query("sync_masked_new_only", f"SELECT event_id, {token_sql('USER', 'u', SALT)} AS user_id FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS u FROM events WHERE {_WINDOW_SQL} AND event_id % 3 <> 0)")
+@query("sync_masked_new_only", f"SELECT event_id, {token_sql('USER', 'u', SALT)} AS user_id FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS u FROM events WHERE {_WINDOW_SQL} AND ts > (SELECT max(ts) FROM events) - INTERVAL 30 HOURS)")
 def _(spark, sf):
-    events, _, window = _sync_window(spark, sf)
-    target = events.where("event_id % 3 = 0")  # what an earlier run has copied
+    events, as_of, window = _sync_window(spark, sf)
+    target = sync.window_rows(events, "ts", sync.Window(datetime(1970, 1, 1), as_of - timedelta(hours=30)))  # what an earlier run has copied
     rows = sync.new_only(sync.window_rows(events, "ts", window), target, "event_id")
     return rows.select("event_id", token("USER", F.col("user_id"), SALT).alias("user_id"))
 
@@ -580,11 +601,12 @@ def _(spark, sf):
     return bad.select("event_id", "masking_error", "quarantine_origin", "quarantine_reason")
 
 
-@query("sync_reconcile", "SELECT count(*) AS source, count(*) FILTER (WHERE NOT coalesce(k > 90, false) AND event_id % 100 <> 1) AS masked, count(*) FILTER (WHERE k > 90) AS quarantined, count(*) FILTER (WHERE NOT coalesce(k > 90, false) AND event_id % 100 = 1) AS missing FROM (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events)")
+@query("sync_reconcile", "SELECT count(*) AS source, count(*) FILTER (WHERE NOT coalesce(k > 90, false) AND NOT late) AS masked, count(*) FILTER (WHERE k > 90) AS quarantined, count(*) FILTER (WHERE NOT coalesce(k > 90, false) AND late) AS missing FROM (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k, ts > (SELECT max(ts) FROM events) - INTERVAL 1 HOURS AS late FROM events)")
 def _(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     good, bad = sync.split_quarantine(_failing(events), "masking_failure", "raw")
-    return sync.reconcile(events, good.where("event_id % 100 <> 1"), bad, "event_id")
+    before = sync.Window(datetime(1970, 1, 1), latest(events, "ts") - timedelta(hours=1))  # the last hour has not been copied
+    return sync.reconcile(events, sync.window_rows(good, "ts", before), bad, "event_id")
 
 
 @query("sync_leftovers", "SELECT count(*) FILTER (WHERE CAST(props->>'$.k' AS INTEGER) > 90) AS leftover FROM events")

@@ -165,4 +165,6 @@ class Settings:
     total_cap: int = 10_000
     gate: str = "block"
     sample_size: int = 10
+    #: Whether answers leave the house, where an open gate is worth a warning.
+    external: bool = False
     extra: dict = field(default_factory=dict)
