@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,6 +46,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession, older_than_hours: float) -> int:
+    """Deletes the tables of :func:`materialize` that were written before the last ``older_than_hours``; the number of them.
+
+    Lazy results read these tables, so the age must exceed that of any result still in use.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return 0
+    limit = (time.time() - 3600 * older_than_hours) * 1000
+    old = [f.getPath() for f in fs.listStatus(place) if f.getModificationTime() < limit and re.search("-[0-9a-f]{32}$", f.getPath().getName())]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
+
+
 def binary_column(table_, name: str, width: int):
     """A column of byte strings of one width, as a matrix of 64-bit words."""
     import numpy as np
