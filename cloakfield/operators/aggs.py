@@ -24,6 +24,9 @@ UNITS = {"second": "second", "minute": "minute", "hour": "hour", "day": "day", "
 SHORT = {"1s": "second", "1m": "minute", "1h": "hour", "1d": "day", "1w": "week", "1M": "month", "1q": "quarter", "1y": "year"}
 FIXED = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400}
 
+#: What significant_text counts.
+WORD = r"[\p{L}\p{N}_]+"
+
 
 @dataclass
 class AggResult:
@@ -87,9 +90,11 @@ def _single(df: DataFrame, path: str) -> tuple[Column, bool]:
     return field(df, path), isinstance(field_type(df, path), T.ArrayType)
 
 
-def _with_key(df: DataFrame, name: str, path: str) -> DataFrame:
-    """Adds a key column without nulls; a document with several values is in several buckets, once each."""
+def _with_key(df: DataFrame, name: str, path: str, words: bool = False) -> DataFrame:
+    """Adds a key column without nulls; a document with several values, or ``words`` in lower case, is in several buckets, once each."""
     c, many = _single(df, path)
+    if words:
+        c, many = F.regexp_extract_all(F.lower(F.array_join(c, "\n") if many else c), F.lit(WORD), 0), True
     df = df.withColumn(name, F.explode(F.array_distinct(c)) if many else c)
     return df.where(F.col(name).isNotNull())
 
@@ -144,7 +149,7 @@ class Aggregator:
         keys, other, scope = [name], None, self._scope(df, by)
         if kind in ("terms", "rare_terms", "significant_terms", "significant_text"):
             fields[name] = p["field"]
-            rows = _with_key(df, name, p["field"])
+            rows = _with_key(df, name, p["field"], kind == "significant_text")
             counts = rows.groupBy(*by, name).agg(*self._measures(rows, node))
             if kind == "rare_terms":
                 top = counts.where(F.col("doc_count") <= p.get("max_doc_count", 1))
@@ -269,7 +274,7 @@ class Aggregator:
         """Terms more frequent here than in the whole table, by (fg - bg) * (fg / bg), the JLH score."""
         back = self.background() if self.background else df
         name, f = node.name, node.params["field"]
-        base = _with_key(back, name, f).groupBy(name).agg(F.count(F.lit(1)).alias("bg_count"))
+        base = _with_key(back, name, f, node.kind == "significant_text").groupBy(name).agg(F.count(F.lit(1)).alias("bg_count"))
         total = back.groupBy().agg(F.count(F.lit(1)).alias("bg_total"))
         scope = self._scope(df, by)
         rows = counts.join(base, name).join(F.broadcast(total))  # one row

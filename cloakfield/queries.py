@@ -212,6 +212,12 @@ agg("agg_significant_terms", "events", {"u": {"significant_terms": {"field": "us
     s AS (SELECT user_id AS u, fg AS doc_count, bg AS bg_count, fg / (SELECT sum(fg) FROM f) AS a, bg / (SELECT sum(bg) FROM b) AS z FROM f JOIN b USING (user_id))
     SELECT u, doc_count, bg_count, round((a - z) * (a / z), 6) AS score FROM s WHERE (a - z) * (a / z) > 0 AND doc_count >= 3 ORDER BY (a - z) * (a / z) DESC, u LIMIT 7""",
     q={"term": {"event_type": "purchase"}}, finish=lambda r: rounded(r.df))
+agg("agg_significant_text", "documents", {"w": {"significant_text": {"field": "text", "size": 20}}}, "w",
+    r"""WITH d AS (SELECT lang, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS w FROM documents),
+    b AS (SELECT w, count(*) AS bg_count, count(*) FILTER (WHERE lang = 'de') AS doc_count FROM d GROUP BY 1),
+    s AS (SELECT *, doc_count / (SELECT count(*) FROM documents WHERE lang = 'de') AS a, bg_count / (SELECT count(*) FROM documents) AS z FROM b)
+    SELECT w, doc_count, bg_count, round((a - z) * (a / z), 6) AS score FROM s WHERE (a - z) * (a / z) > 0 AND doc_count >= 3 ORDER BY (a - z) * (a / z) DESC, w LIMIT 20""",
+    q={"term": {"lang": "de"}}, finish=lambda r: rounded(r.df))
 agg("agg_top_hits", "orders", {"s": {"terms": {"field": "o_orderstatus"}, "aggs": {"best": {"top_hits": {"size": 3, "sort": [{"o_totalprice": "desc"}], "_source": ["o_orderkey", "o_totalprice"]}}}}}, "s>best",
     "SELECT o_orderstatus AS s, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) <= 3")
 agg("agg_sampler", "events", {"some": {"sampler": {"shard_size": 200}, "aggs": {"mean": {"avg": {"field": "value"}}}}}, "some",

@@ -111,6 +111,13 @@ def test_array_terms_and_empty_table(spark):
     assert empty.aggs["tags"].df.count() == 0 and [r["code"] for r in empty.notices.collect() if r["code"] == "[ZERO HITS]"]
 
 
+def test_significant_text_counts_words_once_a_document(spark):
+    t = spark.createDataFrame([(1, "a", "Red red wine"), (2, "a", "red, wine"), (3, "b", "white wine"), (4, "b", None), (5, "b", "")], "id int, k string, text string")
+    body = {"size": 0, "query": {"term": {"k": "a"}}, "aggs": {"w": {"significant_text": {"field": "text", "min_doc_count": 1}}}}
+    rows = Engine(spark, Catalog({"t": t}), ids={"t": "id"}).search("t", body).aggs["w"].df.collect()
+    assert [(r["w"], r["doc_count"], r["bg_count"]) for r in rows] == [("red", 2, 2), ("wine", 2, 3)]
+
+
 LINES = [
     ("user=admin attempted", True), ("username: root accepted", True), ("login as operator ok", True), ("authenticated as svc_backup", True), ("login by user marco from host", True),
     ("Failed login from 192.168.1.100", True), ("Prevent access from external hosts", False), ("listen on :9200, version 1.2.3", False), ("uid=0 only", False), ("uid=müller here", True),
