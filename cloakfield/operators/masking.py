@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,8 +168,8 @@ def verify(df: DataFrame) -> DataFrame:
     return df
 
 
-def masking_report(df: DataFrame, policy: Policy) -> DataFrame:
-    """Rows (family, field, occurrences, distinct_values): what the policy masks in ``df``."""
+def _masked_values(df: DataFrame, policy: Policy) -> DataFrame:
+    """Rows (family, field, v), one for each value that the policy masks; none where no field is in ``df``."""
     from functools import reduce
 
     from cloakfield.sources.catalog import field, field_type
@@ -181,5 +181,24 @@ def masking_report(df: DataFrame, policy: Policy) -> DataFrame:
             continue
         value = F.explode(c) if isinstance(kind, T.ArrayType) else c
         frames.append(df.select(F.lit(spec.family).alias("family"), F.lit(spec.field).alias("field"), value.cast("string").alias("v")).where(F.length("v") > 0))
-    rows = reduce(DataFrame.unionByName, frames)
+    if not frames:
+        return df.sparkSession.createDataFrame([], "family string, field string, v string")
+    return reduce(DataFrame.unionByName, frames)
+
+
+def masking_report(df: DataFrame, policy: Policy) -> DataFrame:
+    """Rows (family, field, occurrences, distinct_values): what the policy masks in ``df``."""
+    rows = _masked_values(df, policy)
     return rows.groupBy("family", "field").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("v").alias("distinct_values"))
+
+
+def masking_examples(df: DataFrame, policy: Policy, n: int = 3) -> DataFrame:
+    """Rows (family, field, token, occurrences): the tokens of each field's ``n`` most frequent values, ties by value.
+
+    Values are counted before they are ranked and masked after, so only the examples cost a hash and no value leaves.
+    """
+    counts = _masked_values(df, policy).groupBy("family", "field", "v").agg(F.count(F.lit(1)).alias("occurrences"))
+    rank = F.row_number().over(Window.partitionBy("family", "field").orderBy(F.desc("occurrences"), "v"))
+    top = counts.withColumn("__rank", rank).where(F.col("__rank") <= n)
+    made = F.coalesce(*[F.when(F.col("family") == f, token(f, F.col("v"), policy.salt, policy.use_hash)) for f in dict.fromkeys(s.family for s in policy.fields)], F.lit(None).cast("string"))
+    return top.select("family", "field", made.alias("token"), "occurrences")

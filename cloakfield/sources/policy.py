@@ -134,6 +134,12 @@ def merge_fields(existing: list[str], new: list[str]) -> list[str]:
     return list(dict.fromkeys([*existing, *new]))
 
 
+def merge_warning(name: str, env: dict[str, str] | None = None) -> str | None:
+    """What to say after a merge into the file's setting ``name``: nothing, or that the environment's value hides the file's."""
+    env = os.environ if env is None else env
+    return f"{name.upper()} is set in the environment, so the merged {name} of the file has no effect" if name.upper() in env else None
+
+
 def setting(name: str, file: dict, default, env: dict[str, str] | None = None):
     """One setting: the environment wins over the file, the file over the default."""
     env = os.environ if env is None else env

@@ -210,6 +210,7 @@ def test_policies():
             P.Policy.parse(body | {"fields": [bad]}, {})
     assert P.seconds("30d") == P.seconds("43200m") and P.json_diff({"a": [1, 2]}, {"a": [1, 3]}) == ["$.a[1]"]
     assert P.merge_fields(["b", "a"], ["a", "c"]) == ["b", "a", "c"] and P.setting("n", {"n": 1}, 0, {"N": "2"}) == "2"
+    assert P.merge_warning("fields", {"OTHER": "1"}) is None and P.merge_warning("fields", {"FIELDS": "a"}).startswith("FIELDS is set")
 
 
 def test_labels_never_round_to_a_whole(spark):
@@ -290,3 +291,14 @@ def test_long_runs_end(spark, text):
     c = F.col("t")
     row = spark.createDataFrame([(text,)], "t string").select(value_kind(c).alias("k"), F.length(mask_deep(c, SALT)).alias("n"), embeds_personal_data(c).alias("e"), residual(c).alias("r")).first()
     assert row["n"] > 0 and time.time() - began < 30
+
+
+def test_examples_show_tokens_only(spark):
+    from cloakfield.operators.masking import masking_examples, masking_report
+
+    policy = P.Policy("t", SALT, (P.FieldSpec("u", "USER"), P.FieldSpec("gone", "HOST")))
+    df = spark.createDataFrame([("ann",), ("ann",), ("bob",), ("cy",), (None,), ("",)], "u string")
+    rows = sorted(masking_examples(df, policy, 2).collect(), key=lambda r: -r["occurrences"])
+    assert [(r["field"], r["occurrences"]) for r in rows] == [("u", 2), ("u", 1)] and all(r["token"].startswith("[USER_") or r["token"].startswith("USER_") for r in rows)
+    assert masking_examples(df.limit(0), policy).count() == 0
+    assert masking_report(df, P.Policy("t", SALT, (P.FieldSpec("gone", "HOST"),))).count() == 0 and masking_examples(df, P.Policy("t", SALT)).count() == 0
