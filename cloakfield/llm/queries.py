@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloakfield.llm import embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, pii_surrogates, quality_rules, sharding, url_filter
+from cloakfield.llm import embedding_dedup, fill_in_middle, harmonic_packing, html_extract, line_dedup, mixing, ngram_join, packing, pii_surrogates, quality_rules, sharding, source_divergence, url_filter
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_source_mixing": mixing.query,
         "op9_embedding_dedup": embedding_dedup.query,
         "op10_sharding": sharding.query,
+        "op11_fill_in_middle": fill_in_middle.query,
+        "op12_source_divergence": source_divergence.query,
+        "op13_harmonic_packing": harmonic_packing.query,
     }
 
 
@@ -27,4 +30,6 @@ def oracle_sql():
         "op6_line_dedup": line_dedup.ORACLE,
         "op8_source_mixing": mixing.ORACLE,
         "op9_embedding_dedup": embedding_dedup.ORACLE,
+        "op11_fill_in_middle": fill_in_middle.ORACLE,
+        "op12_source_divergence": source_divergence.ORACLE,
     }
