@@ -6,12 +6,18 @@ over neighbouring nodes in page order and fused into one score, which link text
 score passes a threshold decide where the content is: from the root down, the walk enters the one container
 that holds most of their text, unless text that passes is left outside, and stops at the first ``article``
 or ``main``.  All text of that container is content but for link-heavy paths; where no container below the
-body stands out, the paths that pass are the content, with the headings beside them.  Containers that name
-themselves as navigation, header, footer, sidebar, notice, advert, form or comments have no content.
+body stands out, the paths that pass are the content, with the headings beside them.
+
+Elements that name themselves as navigation, header, footer, sidebar, notice, advert, form or comments, by
+tag, class, id or role, are doubted: their paths are paths of their own whose score counts ``DOUBT`` times, or
+nothing beside an ``article`` or ``main`` with text, and their text is content only where it passes all the same.  An element with most of the page's passing text is
+no such part, whatever it is called, and is not doubted: a theme's wrapper, or a form around the page.  For
+comments, adverts and menus most is nearly all.  A heading in the header of the content is content.
 
 Each page is parsed within its row: a page never meets another, so partitions are the scan's own and there
 is no shuffle.  Defined results: null, empty or text-free html gives the empty text; unclosed tags,
-comments and scripts end with the page; repeated rows give repeated results; other columns are ignored.
+comments and scripts end with the page; repeated rows give repeated results; other columns are ignored.  Very
+long and very deep pages are read once from front to end and give their whole text.
 """
 
 from __future__ import annotations
@@ -29,15 +35,17 @@ from cloakfield.llm._shared import table
 # fixed values: element names by role, and words that name boilerplate in a class, id or role
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea title select".split())
-BOILERPLATE = frozenset("head nav footer aside form button dialog menu fieldset".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
+RAW = frozenset("script style noscript template iframe svg object textarea title select annotation annotation-xml".split())
+BOILERPLATE = frozenset("nav footer aside form button dialog menu fieldset header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMED = frozenset(("article", "main"))
-CONTAINERS = frozenset("html body article main section div td table tbody tr center".split())
+CONTAINERS = frozenset("html body article main section div td table tbody tr center form fieldset header aside".split())
+_EDGE, _NOT = r"(?:^|[\s_-])", r"(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?<!\bis[_-])"
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"sidebar|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|"
-    r"related|recommend(?:ed|ations)?|comments?|commentlist|replies|reply|respond|disqus|discussion|widget|toolbar|login|search|contentinfo|complementary)(?:$|[\s_-])",
+    rf"{_EDGE}{_NOT}(?:(?P<strong>ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|nav|navbar|navigation|menu|breadcrumbs?|cookies?|consent|comments?|commentlist|replies|reply|respond|disqus|discussion)|"
+    rf"(?P<header>header|masthead)|banner|promo(?:tion)?|sidebar|footer|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|"
+    rf"related|recommend(?:ed|ations)?|widget|toolbar|login|search|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
 
@@ -51,6 +59,8 @@ CLOSED_BY_BLOCK = frozenset(("p", *HEADINGS))
 PASS, ENTER = 0.2, 0.6
 #: A path with more of its text in links than this is navigation.
 LINKS = 0.5
+#: What a doubted path's score counts, and the part of the page's passing text from which an element is not doubted.
+DOUBT, MOST, NEARLY_ALL = 0.03, 0.5, 0.9
 
 
 class _Tags:
@@ -103,8 +113,10 @@ class _Page:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.path, self.away, self.named = [""], [-1], [0], [False], [False]
+        #: the part of the passing text from which an element that calls itself boilerplate is not; 0 for others
+        self.doubt, self.header = [0.0], [False]
         self.blocks: list[tuple[int, int, str, int]] = []
-        paths: dict[tuple[int, str], int] = {}
+        paths: dict[tuple[int, str, float], int] = {}
         stack, open_ = [0], Counter()
         parts: list[str] = []
         links = in_link = 0
@@ -146,7 +158,7 @@ class _Page:
             if name == "br":
                 parts.append(" ")
                 continue
-            if name in INLINE:
+            if name in INLINE or name in MATH:
                 if name == "a":
                     in_link = int(not closing)
                 continue
@@ -167,9 +179,11 @@ class _Page:
             if name in ("li", "dt", "dd", "tr", "td", "th", "option") and last == name or name == "body" and last == "head":
                 leave()
             top = stack[-1]
-            hint = name not in ("html", "body", *NAMED) and any(HINT.search(a or b or c) for a, b, c in ATTRIBUTE.findall(attributes))
-            path = paths.setdefault((self.path[top], name), len(paths) + 1)
-            self.away.append(self.away[top] or name in BOILERPLATE or hint or name == "header" and not self.named[top])
+            doubt, header = self._doubted(name, attributes, self.named[top])
+            path = paths.setdefault((self.path[top], name, doubt), len(paths) + 1)
+            self.doubt.append(doubt)
+            self.header.append(header)
+            self.away.append(self.away[top] or name == "head")
             self.named.append(self.named[top] or name in NAMED)
             self.tag.append(name)
             self.parent.append(top)
@@ -179,6 +193,19 @@ class _Page:
         flush()
 
 
+    @staticmethod
+    def _doubted(name: str, attributes: str, named: bool) -> tuple[float, bool]:
+        """The doubt of an element, and whether it calls itself a header; the header of an article is part of it."""
+        if name in NAMED or name in ("html", "body"):
+            return 0.0, False
+        hints = [m for a, b, c in ATTRIBUTE.findall(attributes) for m in HINT.finditer(a or b or c)]
+        header = name == "header" or any(m["header"] for m in hints)
+        others = [m for m in hints if not (m["header"] and named)]
+        if any(m["strong"] for m in others) or name in ("nav", "menu", "button"):
+            return NEARLY_ALL, header
+        return (MOST if others or name in BOILERPLATE and not (name == "header" and named) else 0.0), header
+
+
 def _scores(blocks: list) -> dict[int, float]:
     """The fused, smoothed score of each path."""
     chars, marks, links, count = (defaultdict(float) for _ in range(4))
@@ -205,17 +232,40 @@ def main_text(page: str | None) -> str:
     blocks = tree.blocks
     if not blocks:
         return ""
-    score = _scores(blocks)
-    limit = PASS * max(score.values())
-    passes = {p for p, x in score.items() if x > 0 and x >= limit}
+    raw = _scores(blocks)
+    limit = PASS * max(raw.values())
     n = len(tree.tag)
-    mass, holds = [0] * n, [t in NAMED for t in tree.tag]
-    for node, path, text, _ in blocks:
-        mass[node] += len(text) * (path in passes)
+
+    def masses(score: dict[int, float], limit: float) -> tuple[list[int], set[int]]:
+        """The passing text of each element, and the paths that pass."""
+        passes, mass = {p for p, x in score.items() if x > 0 and x >= limit}, [0] * n
+        for node, path, text, _ in blocks:
+            mass[node] += len(text) * (path in passes)
+        for k in range(n - 1, 0, -1):  # an element's number is above its parent's
+            mass[tree.parent[k]] += mass[k]
+        return mass, passes
+
+    mass, _ = masses(raw, limit)
+    named = [0] * n  # text in an article or main part, which what lies beside it cannot be
+    for node, _, text, _ in blocks:
+        named[node] += len(text) * tree.named[node]
+    for k in range(n - 1, 0, -1):
+        named[tree.parent[k]] += named[k]
+    doubted = [False] * n
+    for k in range(1, n):
+        most = mass[k] > tree.doubt[k] * mass[0] and (named[k] > 0 or not named[0])
+        doubted[k] = doubted[tree.parent[k]] or tree.doubt[k] > 0 and not most
+    # one path can lead to elements that are doubted and to others, which from here on have paths of their own
+    blocks = [(node, 2 * path + doubted[node], text, link) for node, path, text, link in blocks]
+    beside = {path for node, path, _, _ in blocks if named[0] and not tree.named[node]}
+    score = {p: x * (0.0 if p in beside else DOUBT) if p % 2 else x for p, x in _scores(blocks).items()}
+    best = max((x for p, x in score.items() if not p % 2), default=0.0)
+    limit = PASS * (best or max(score.values()))
+    mass, passes = masses(score, limit)
+    holds = [t in NAMED and not doubted[k] for k, t in enumerate(tree.tag)]
     below: dict[int, int] = {}  # the container of the most content in each element
-    for k in range(n - 1, 0, -1):  # an element's number is above its parent's
+    for k in range(n - 1, 0, -1):
         up = tree.parent[k]
-        mass[up] += mass[k]
         holds[up] |= holds[k]
         if tree.tag[k] in CONTAINERS and (up not in below or mass[k] >= mass[below[up]]):
             below[up] = k
@@ -229,7 +279,21 @@ def main_text(page: str | None) -> str:
     inside[region] = True
     for k in range(region + 1, n):
         inside[k] = inside[tree.parent[k]]
-    rows = [b for b in blocks if inside[b[0]] and (score[b[1]] > 0 or tree.tag[b[0]] in HEADINGS)]
+
+    def headed(k: int) -> bool:
+        """Whether all that is doubted above a heading of the content is its header."""
+        while k != region and k > 0:
+            if tree.doubt[k] > 0 and not tree.header[k] and doubted[k]:
+                return False
+            k = tree.parent[k]
+        return True
+
+    def stays(b: tuple[int, int, str, int]) -> bool:
+        if tree.tag[b[0]] in HEADINGS:
+            return not doubted[b[0]] or headed(b[0])
+        return score[b[1]] >= max(limit, 1e-9) if doubted[b[0]] else score[b[1]] > 0
+
+    rows = [b for b in blocks if inside[b[0]] and stays(b)]
     if tree.tag[region] in ("", "html", "body"):  # no container stands out, so paths are told apart one by one
         chosen = {b[0] for b in rows if b[1] in passes}
         parents = {tree.parent[k] for k in chosen}
