@@ -26,6 +26,7 @@ import html as entities
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -194,6 +195,7 @@ class _Page:
 
 
     @staticmethod
+    @lru_cache(maxsize=4096)  # pages of one site repeat their tags
     def _doubted(name: str, attributes: str, named: bool) -> tuple[float, bool]:
         """The doubt of an element, and whether it calls itself a header; the header of an article is part of it."""
         if name in NAMED or name in ("html", "body"):
