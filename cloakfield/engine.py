@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,12 @@ from cloakfield.operators import coverage as cov
 from cloakfield.operators import gdpr, notices, overview
 from cloakfield.operators.aggs import Aggregator, AggResult
 from cloakfield.operators.filters import after_key, clause, instant
-from cloakfield.operators.masking import mask_documents, mask_keys, mask_opaque_values, registry, verify
+from cloakfield.operators.masking import counted, guard, left_in, mask_documents, mask_keys, mask_opaque_values, registry
 from cloakfield.plans.dsl import parse_body
 from cloakfield.sources.catalog import Catalog, check_prefix
 from cloakfield.sources.catalog import field as path_column
 from cloakfield.sources.policy import Policy, Settings
+from cloakfield.sources.sinks import CLIP, append_log, log_lines
 
 
 @dataclass
@@ -30,17 +32,32 @@ class SearchResult:
     sensitive: list[tuple[str, str, str]] = field(default_factory=list)
 
 
+@dataclass
+class Answer:
+    """What one exchange hands out: rows by part (hits, notices, total and paths of aggregations), or none where it is blocked."""
+
+    parts: dict[str, list]
+    blocked: bool
+    residuals: dict[str, dict[str, int]]
+
+    @property
+    def notice(self) -> str:
+        return "[BLOCKED] addresses are left in " + "; ".join(f"{part}: {', '.join(columns)}" for part, columns in self.residuals.items()) if self.blocked else ""
+
+
 class Engine:
-    """``ids`` and ``times`` name the id and time field of each table; ``as_of`` stands for now."""
+    """``ids`` and ``times`` name the id and time field of each table, ``json`` its columns of JSON text; ``as_of`` stands for now."""
 
     def __init__(
         self, spark: SparkSession, catalog: Catalog, policy: Policy | None = None, settings: Settings | None = None, as_of: datetime | None = None,
         ids: dict[str, str] | None = None, times: dict[str, str] | None = None, children: dict[str, tuple[DataFrame, str, str]] | None = None,
-        raw_tables: tuple[str, ...] = (), shadowed: dict[str, str] | None = None, legacy: tuple[str, ...] = (),
+        raw_tables: tuple[str, ...] = (), shadowed: dict[str, str] | None = None, legacy: tuple[str, ...] = (), json: dict[str, tuple[str, ...]] | None = None,
     ):
         self.spark, self.catalog, self.policy, self.settings, self.as_of = spark, catalog, policy, settings or Settings(), as_of
         self.ids, self.times, self.children, self.raw_tables = ids or {}, times or {}, children, raw_tables
-        self.shadowed, self.legacy = shadowed or {}, legacy
+        self.shadowed, self.legacy, self.json = shadowed or {}, legacy, json or {}
+        #: exchanges and blocked exchanges, by tool
+        self.exchanges, self.blocked = Counter(), Counter()
 
     def _one(self, names: dict[str, str], index: str) -> str | None:
         found = {names[n] for n in self.catalog.resolve(index) if n in names}
@@ -49,9 +66,9 @@ class Engine:
     def search(self, index: str, body: str | dict, verified: bool = True) -> SearchResult:
         """Runs a request body over the tables that match ``index``.
 
-        Under a policy the documents are masked and, unless ``verified`` is false, checked before they are handed out:
-        an address that is left raises.  With the gate off, values of fields that the policy does not name go through the
-        deep pass.
+        Under a policy documents and keys are masked and, unless ``verified`` is false, every frame of the answer checks
+        its rows in the pass that reads them: a row with an address left, at any depth, fails that pass.  With the gate
+        off, values of fields that the policy does not name go through the deep pass.
         """
         plan = parse_body(body, self.settings.size_cap, self.settings.gate)
         df = self.catalog.read(index)
@@ -74,15 +91,56 @@ class Engine:
         found = found.unionByName(total.where("relation = 'gte'").select(F.lit("[TOTAL COUNT TRUNCATED]").alias("code"), F.lit(index).alias("subject"), F.format_string("more than %d documents match", "value").alias("detail")))
         sensitive = gdpr.scan_names(hits) if hits is not None else []
         if self.policy and self.policy.fields:
-            results = {k: mask_keys(r, self.policy) for k, r in results.items()}
+            texts = self._json(index)
+            results = {k: mask_keys(r, self.policy, texts) for k, r in results.items()}
             if hits is not None:
-                known = registry(hits, self.policy)
-                hits = mask_documents(hits, self.policy)
-                hits = mask_opaque_values(hits, known, self.policy) if self.settings.gate == "off" else hits
-            if verified and hits is not None:
-                verify(hits)
+                known, off = registry(hits, self.policy), self.settings.gate == "off"
+                hits = mask_documents(hits, self.policy, json=texts, deep=off)
+                hits = mask_opaque_values(hits, known, self.policy) if off else hits
+            if verified:
+                check = lambda df, what: None if df is None else guard(df, what)
+                hits, found = check(hits, "hits"), check(found, "notices")
+                results = {k: replace(r, df=check(r.df, k), other=check(r.other, k), scope=check(r.scope, k)) for k, r in results.items()}
         return SearchResult(hits, total, results, found, sensitive)
 
+    def _json(self, index: str) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(c for name in self.catalog.resolve(index) for c in self.json.get(name, ())))
+
+    def answer(self, index: str, body: str | dict, tool: str = "search", log: str | None = None) -> Answer:
+        """Runs a request for a client and hands out its rows, or none of them where an address is left anywhere.
+
+        Each part is read once, and the same pass counts what is left in it.  The exchange is counted by ``tool`` and, with
+        ``log``, a folder, written as one line, which for a blocked one says where and not what.  Meant for answers that
+        the caps of a request bound; larger ones are written from the frames of :meth:`search`, which check themselves.
+        """
+        result = self.search(index, body, verified=False)
+        frames = {"hits": result.hits, "notices": result.notices, "total": result.total} | {f"aggs.{k}": r.df for k, r in result.aggs.items()}
+        active = bool(self.policy and self.policy.fields)
+        parts, residuals = {}, {}
+        for name, df in frames.items():
+            if df is None:
+                continue
+            watched, seen = counted(df, name) if active else (df, None)
+            parts[name] = watched.collect()
+            left = left_in(df, seen) if active else {}
+            if left:
+                residuals[name] = left
+        blocked = bool(residuals)
+        self.exchanges[tool] += 1
+        self.blocked[tool] += blocked
+        out = Answer({} if blocked else parts, blocked, residuals)
+        if log:
+            state = "BLOCKED" if blocked else "MASKED" if active else "RAW"
+            text = out.notice if blocked else "; ".join(f"{name}: {row.asDict(True)}" for name, rows in parts.items() for row in rows)[: CLIP + 1]
+            line = self.spark.createDataFrame([(self.as_of or datetime.now(), tool, state, text)], "at timestamp, tool string, state string, text string")
+            append_log(log_lines(line, "at", "tool", "state", "text"), log)
+        return out
+
+    def compliance(self) -> DataFrame:
+        """Rows (tool, exchanges, blocked) of this engine's answers."""
+        rows = [(t, n, self.blocked[t]) for t, n in sorted(self.exchanges.items())]
+        return self.spark.createDataFrame(rows, "tool string, exchanges long, blocked long")
+
     def _banner(self, index: str) -> list[tuple[str, str, str]]:
         active = bool(self.policy and self.policy.fields)
         out = notices.safety_banner(active, active, self.settings.gate, index, list(self.raw_tables), self.settings.external)

@@ -45,6 +45,20 @@ def token(family: str, value: Column, salt: str | bytes, use_hash: bool = True)
     return F.when(text.isNull() | (text == "") | is_token(text), text).otherwise(made)
 
 
+def text_literal(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def token_expr(family: str, value: str, salt: str, use_hash: bool = True) -> str:
+    """:func:`token` as Spark SQL over a string; ``family`` is SQL too, and a null family has a null token."""
+    inner, outer = (p.hex() for p in _pads(salt.encode()))
+    label = "CASE " + " ".join(f"WHEN {family} = '{f}' THEN '{x}'" for f, x in LABELS.items()) + f" ELSE concat('[', {family}, ']') END"
+    digest = f"sha2(concat(X'{outer}', unhex(sha2(concat(X'{inner}', encode(concat({family}, ':', {value}), 'UTF-8')), 256))), 256)"
+    made = f"concat('[', {family}, '_', substring({digest}, 1, {TOKEN_LENGTH}), ']')" if use_hash else label
+    return f"CASE WHEN {family} IS NULL THEN NULL WHEN {value} IS NULL OR {value} = '' OR {value} RLIKE {text_literal(TOKEN_PATTERN)} THEN {value} ELSE {made} END"
+
+
 def token_sql(family: str, value: str, salt: str) -> str:
     """The same token as a DuckDB expression, for oracles."""
     inner, outer = (p.hex() for p in _pads(salt.encode()))

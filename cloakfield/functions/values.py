@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: patterns of personal data, in one spelling that Java, Python and RE2 read alike.  What repeats has the bound
-# of its standard (126 labels before the last, 254 characters of an address), since Java recurses once for each repeat of a
-# group and rescans a long run from every word in it
+# fixed values: patterns of personal data, in one spelling that Java, Python and RE2 read alike.  A host name has 127 labels at
+# most, as in its standard, since Java recurses once for each repeat of a group
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b"
 IPV6 = r"\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{0,4}\b"
 #: Full and compressed IPv6 addresses, and not clock times or MAC addresses.
 IPV6_STRICT = r"(?<![0-9A-Za-z:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,7}:(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?|::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6}))(?![0-9A-Za-z:])"
-EMAIL = r"\b[A-Za-z0-9._%+-]{1,254}@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 FQDN = r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,}\b"
 UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
 USER_NOUN_SEARCH = r"(?i)\b(?:user|username|account)\b\s*(?:name\s*)?[:=]\s*[A-Za-z0-9_.@%+=-]{2,64}"
@@ -30,13 +29,24 @@ def re2(pattern: str) -> str:
     return pattern.replace("{1,126}", "+")
 
 
-def unicode(pattern: str) -> str:
-    """A pattern whose \\w and \\b are Unicode in Java, as they are in Python.
+def java(pattern: str) -> str:
+    """An equal pattern for Spark that reads a long run of one alphabet a bounded number of times.
 
-    A host name is not looked for behind a label: it would have started there, and a long chain of labels is so read once.
+    All places of a run of address characters match or none does, so only its first word boundary counts: what stands
+    before that is short, or all of one kind.  A host name is not looked for behind a label: it would have started there.
     """
-    label = r"\b[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-    return f"(?U)(?>(?<!\\.)|(?<!{label}\\.)){pattern}" if pattern == FQDN else f"(?U){pattern}"
+    if pattern == EMAIL:
+        own = "[A-Za-z0-9._%+-]"
+        return pattern.replace(f"\\b{own}+", rf"\b(?:(?<!{own}{{32}})|(?<=[.%+-]{{32}})|(?<=[A-Za-z0-9_]{{32}})){own}++", 1)
+    if pattern == FQDN:
+        label = r"\b[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+        return f"(?>(?<!\\.)|(?<!{label}\\.)){pattern}"
+    return pattern
+
+
+def unicode(pattern: str) -> str:
+    """A pattern for Spark whose \\w and \\b are Unicode, as they are in Python."""
+    return "(?U)" + java(pattern)
 
 
 def value_kind(value: Column) -> Column:
@@ -50,7 +60,7 @@ def embeds_personal_data(value: Column) -> Column:
     patterns = (IPV4, IPV6, EMAIL, USER_AUTH_SEARCH, USER_NOUN_SEARCH)
     found = F.lit(False)
     for p in patterns:
-        found = found | value.rlike(p)
+        found = found | value.rlike(java(p))
     return F.coalesce(found, F.lit(False))
 
 

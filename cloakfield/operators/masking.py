@@ -1,129 +1,339 @@
-"""Masking of documents, aggregation keys and reports under a tenant's policy.
+"""Masking of documents, aggregation keys and reports under a tenant's policy, and the check of what leaves.
 
-Paths are resolved against the schema once, when the plan is made; what runs is one projection.
+Documents are walked by type when the plan is made: structs, arrays of anything, maps, VARIANT and JSON text.  What
+runs is one projection.  The path of a leaf is known to the plan except below a map or a VARIANT, whose keys are data;
+there the policy is compared with the path row by row.  A type that the walk does not know is refused.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+import re
+from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakfield.functions.freetext import mask_deep, mask_text, mask_values, residual
+from cloakfield.functions.freetext import mask_deep, mask_text, mask_values, mask_whole, residual
 from cloakfield.functions.tokens import is_token, token
-from cloakfield.functions.values import EMAIL, FQDN, FREE_TEXT_NAME, IPV4, IPV6
+from cloakfield.functions.values import FREE_TEXT_NAME
 from cloakfield.operators.aggs import AggResult
+from cloakfield.sources.catalog import RequestError
 from cloakfield.sources.policy import FieldSpec, Policy
 
+#: Words, marks and blanks of a JSON text; what is no JSON falls into the same pieces.
+JSON_TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^"{}\[\],:\s]+|\s+|"'
+_PLACE = "struct<out:array<struct<t:string,p:string>>,paths:array<string>,objects:array<boolean>,key:string,named:boolean>"
+TEXT = (T.StringType, T.CharType, T.VarcharType)
+#: Leaves that hold no text; as configured fields they become tokens of their text.
+PLAIN = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType, T.DayTimeIntervalType, T.YearMonthIntervalType, T.NullType)
+
 
 class ResidualError(RuntimeError):
     """Addresses are left in an output that is meant to be masked."""
 
 
-def _whole(value: Column, policy: Policy) -> Column:
-    """A token where the whole stripped value is an address or host name, else null."""
-    v = F.trim(value)
-    full = lambda p: v.rlike(rf"^(?:{p})$")
-    make = lambda f: token(f, v, policy.salt, policy.use_hash)
-    return F.when(is_token(value), value).when(full(EMAIL), make("EMAIL")).when(full(IPV4) | full(IPV6), make("IP")).when(full(FQDN) & ~v.contains("://"), make("HOST"))
+@dataclass(frozen=True)
+class Path:
+    """Where a leaf is: a dotted path that the plan knows, or one that each row has."""
 
+    at: str | Column
 
-def _identities(schema: T.StructType, policy: Policy) -> Column | None:
-    """The document's own user names, as an array; they are used on its own free text alone."""
-    found = []
+    def below(self, name: str | Column) -> Path:
+        if isinstance(self.at, str) and isinstance(name, str):
+            return Path(f"{self.at}.{name}" if self.at else name)
+        here = F.lit(self.at) if isinstance(self.at, str) else self.at
+        return Path(F.concat(here, F.lit("."), F.lit(name) if isinstance(name, str) else name))
 
-    def walk(kind: T.DataType, path: str, c: Column) -> None:
-        if isinstance(kind, T.StructType):
-            for f in kind.fields:
-                walk(f.dataType, f"{path}.{f.name}".lstrip("."), c.getField(f.name) if path else F.col(f"`{f.name}`"))
-            return
-        spec = policy.spec(path)
-        if spec and spec.family == "USER":
-            if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-                found.append(F.coalesce(c, F.array().cast("array<string>")))
-            elif isinstance(kind, T.StringType):
-                found.append(F.array(c))
-
-    walk(schema, "", F.lit(None))
-    return F.array_compact(F.array_distinct(F.concat(*found))) if found else None
-
-
-def mask_documents(df: DataFrame, policy: Policy, profile: str = "response") -> DataFrame:
-    """All columns of ``df`` with the policy applied at every leaf.
-
-    Configured fields become tokens; the ``response`` profile also turns numbers and booleans there into
-    tokens of their text, while ``stream`` leaves them.  Other string leaves are masked when they are an
-    address or host name as a whole, and otherwise go through the free-text pass, with the document's own
-    user names where the field is free text.
+    def specs(self, policy: Policy) -> list[tuple[Column | None, FieldSpec]]:
+        """The fields of the policy that this may be, in order, with a test where only the row can tell."""
+        if isinstance(self.at, str):
+            spec = policy.spec(self.at)
+            return [(None, spec)] if spec else []
+        return [((self.at == s.field) | self.at.endswith("." + s.field), s) for s in policy.fields]
+
+    def free(self, policy: Policy, named: bool = True) -> bool | Column:
+        """Whether it is free text, by the policy or, with ``named``, by how it is called."""
+        if isinstance(self.at, str):
+            listed = self.at in policy.free_text or named and (self.at.split(".")[-1] in policy.free_text or re.search(FREE_TEXT_NAME, self.at))
+            return bool(listed)
+        listed = self.at.isin(*policy.free_text)
+        return listed | F.element_at(F.split(self.at, r"\."), -1).isin(*policy.free_text) | self.at.rlike(FREE_TEXT_NAME) if named else listed
+
+
+def _cases(tests: list[tuple[Column | None, Column]], otherwise: Column | None) -> Column | None:
+    """The value of the first test that holds; a test of None always does."""
+    out = otherwise
+    for test, value in reversed(tests):
+        out = value if test is None else F.when(test, value).otherwise(out)
+    return out
+
+
+# --- JSON text --------------------------------------------------------------------------------------------
+
+def json_places(text: Column, path: Column) -> Column:
+    """The pieces of a JSON text in order as structs (t, p), where p is the path of a scalar and null for all else.
+
+    One fold at any depth, whose state is the stack of open objects and lists.  Places in a list are no part of a path.
+    The fold copies its output at each step, so a text's cost grows with the square of its number of pieces.
     """
-    import re
-
-    names = _identities(df.schema, policy)
-
-    def leaf(c: Column, kind: T.DataType, path: str) -> Column:
-        spec = policy.spec(path)
-        if spec:
-            if isinstance(kind, T.StringType):
-                return token(spec.family, c, policy.salt, policy.use_hash)
-            if profile == "response" and isinstance(kind, (T.NumericType, T.BooleanType)):
-                text = F.initcap(c.cast("string")) if isinstance(kind, T.BooleanType) else c.cast("string")
-                return token(spec.family, text, policy.salt, policy.use_hash)
-            return c
-        if not isinstance(kind, T.StringType):
-            return c
-        free = path.split(".")[-1] in policy.free_text or path in policy.free_text or re.search(FREE_TEXT_NAME, path)
-        if profile == "stream":
-            return mask_text(c, policy.salt, names, policy.mask_free_text_users, profile, policy.use_hash) if path in policy.free_text else c
-        if free:
-            text = mask_text(c, policy.salt, names, policy.mask_free_text_users, profile, policy.use_hash)
-        else:
-            text = mask_values(c, policy.salt, policy.use_hash)
-        return F.coalesce(_whole(c, policy), text)
+    top = lambda s: F.coalesce(F.try_element_at(s["paths"], F.lit(-1)), path)
+    less = lambda xs: F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0)))
 
-    def walk(c: Column, kind: T.DataType, path: str) -> Column:
+    def step(s: Column, t: Column) -> Column:
+        opens, closes, mark, text_ = t.isin("{", "["), t.isin("}", "]"), t.isin("{", "[", "}", "]", ",", ":"), t.startswith('"')
+        names = text_ & s["named"]
+        scalar = ~mark & ~names & ~t.rlike(r"^\s")
+        in_object = F.coalesce(F.try_element_at(s["objects"], F.lit(-1)), F.lit(False))
+        name = F.concat(top(s), F.lit("."), F.coalesce(json_string(t), t))
+        return F.struct(
+            F.concat(s["out"], F.array(F.struct(t.alias("t"), F.when(scalar, s["key"]).alias("p")))).alias("out"),
+            F.when(opens, F.concat(s["paths"], F.array(s["key"]))).when(closes, less(s["paths"])).otherwise(s["paths"]).alias("paths"),
+            F.when(opens, F.concat(s["objects"], F.array(t == "{"))).when(closes, less(s["objects"])).otherwise(s["objects"]).alias("objects"),
+            F.when(names, name).when(t == ",", top(s)).when(closes, F.coalesce(F.try_element_at(less(s["paths"]), F.lit(-1)), path)).otherwise(s["key"]).alias("key"),
+            F.when(t == "{", True).when(t == ",", in_object).when(mark | names, False).otherwise(s["named"]).alias("named"),
+        ).cast(_PLACE)
+
+    zero = F.struct(F.array().alias("out"), F.array().alias("paths"), F.array().alias("objects"), path.alias("key"), F.lit(False).alias("named")).cast(_PLACE)
+    return F.aggregate(F.regexp_extract_all(text, F.lit(JSON_TOKEN), 0), zero, step, lambda s: s["out"])
+
+
+def json_string(piece: Column) -> Column:
+    """The text of a JSON string with its quotes and escapes; null for other pieces."""
+    plain = F.substring(piece, 2, F.length(piece) - 2)
+    return F.when(~piece.startswith('"'), F.lit(None)).when(~piece.contains("\\"), plain).otherwise(F.try_variant_get(F.try_parse_json(piece), "$", "string"))
+
+
+def json_quoted(text: Column) -> Column:
+    return F.to_json(text.cast("variant"))
+
+
+# --- the walk ---------------------------------------------------------------------------------------------
+
+class _Walk:
+    """Masks every leaf of a table's schema under a policy.
+
+    What several leaves of a row need is computed once, as columns of a projection below the one that masks: the pieces
+    of JSON columns, the row's own user names and, for the deep pass, its own values.
+    """
+
+    def __init__(self, df: DataFrame, policy: Policy, profile: str, json: tuple[str, ...], deep: bool = False):
+        self.policy, self.profile, self.json, self.deep = policy, profile, json, deep
+        #: texts outside lists and maps, which one expression masks as a list: those that are free text, and the others
+        self.texts: dict[bool, list[Column]] = {True: [], False: []}
+        own = lambda name: next(n for k in range(len(df.columns) + 1) if (n := f"__{name}{k}") not in df.columns)
+        self.given = frozenset(df.columns)
+        self.places: dict[str, str] = {}
+        for f in df.schema.fields:
+            if isinstance(f.dataType, T.VariantType) or self._is_json(f.dataType, Path(f.name)):
+                self.places[f.name] = own(f"json{len(self.places)}_")
+        pieces = {column: self._pieces(F.col(f"`{name}`"), df.schema[name].dataType, Path(name), False) for name, column in self.places.items()}
+        self.df = df.withColumns(pieces) if pieces else df
+        bound = {"names": self._named(df.schema, None, Path("")), "known": self._known(df.schema) if deep else None}
+        columns = {key: own(key) for key, x in bound.items() if x is not None}
+        self.df = self.df.withColumns({columns[key]: bound[key] for key in columns}) if columns else self.df
+        self.lists = {free: own(f"texts{int(free)}_") for free in self.texts}
+        self.names, self.own = (F.col(columns[key]) if key in columns else None for key in ("names", "known"))
+
+    def _pieces(self, c: Column, kind: T.DataType, path: Path, stored: bool = True) -> Column:
+        if stored and isinstance(path.at, str) and path.at in self.places:
+            return F.col(self.places[path.at])
+        return json_places(c if isinstance(kind, TEXT) else F.to_json(c), F.lit(path.at) if isinstance(path.at, str) else path.at)
+
+    # the document's own user names, used on its own free text alone
+
+    def _named(self, kind: T.DataType, c: Column | None, path: Path) -> Column | None:
+        """An array of the user names below a value, or None where there can be none."""
+        none = F.array().cast("array<string>")
         if isinstance(kind, T.StructType):
-            return F.when(c.isNotNull(), F.struct(*[walk(c.getField(f.name), f.dataType, f"{path}.{f.name}").alias(f.name) for f in kind.fields]))
+            found = [x for f in kind.fields if (x := self._named(f.dataType, F.col(f"`{f.name}`") if c is None else c.getField(f.name), path.below(f.name))) is not None]
+            found = F.concat(*[F.coalesce(x, none) for x in found]) if found else None
+            return F.array_compact(F.array_distinct(found)) if c is None and found is not None else found
         if isinstance(kind, T.ArrayType):
-            inner = kind.elementType
-            if isinstance(inner, (T.StringType, T.StructType)) or policy.spec(path):
-                return F.transform(c, lambda x: walk(x, inner, path) if isinstance(inner, T.StructType) else _element(x, inner, path))
+            if self._named(kind.elementType, F.lit(None), path) is None:
+                return None
+            return F.flatten(F.transform(c, lambda x: F.coalesce(self._named(kind.elementType, x, path), none)))
+        if isinstance(kind, T.MapType):
+            if self._named(kind.valueType, F.lit(None), path.below(F.lit(""))) is None:
+                return None
+            return F.flatten(F.transform(F.map_entries(c), lambda e: F.coalesce(self._named(kind.valueType, e["value"], path.below(e["key"].cast("string"))), none)))
+        if not any(s.family == "USER" for s in self.policy.fields):
+            return None
+        if isinstance(kind, T.VariantType) or self._is_json(kind, path):
+            users = F.filter(self._pieces(c, kind, path), lambda x: x["p"].isNotNull() & x["t"].startswith('"') & self._user(Path(x["p"])))
+            return F.transform(users, lambda x: json_string(x["t"]))
+        if not isinstance(kind, TEXT):
+            return None
+        tests = path.specs(self.policy)
+        if not any(s.family == "USER" for _, s in tests):
+            return None
+        return F.array(c) if tests[0][0] is None else F.when(self._user(path), F.array(c)).otherwise(none)
+
+    def _user(self, path: Path) -> Column:
+        """Whether the first field of the policy that a path is belongs to a user."""
+        return _cases([(test, F.lit(s.family == "USER")) for test, s in path.specs(self.policy)], F.lit(False))
+
+    def _known(self, schema: T.StructType) -> Column:
+        """The document's configured values with their tokens, for the deep pass over its other values."""
+        empty = F.array().cast("array<struct<key:string,value:string>>")
+
+        def pairs(kind: T.DataType, c: Column | None, path: str) -> list[Column]:
+            if isinstance(kind, T.StructType):
+                return [x for f in kind.fields for x in pairs(f.dataType, F.col(f"`{f.name}`") if c is None else c.getField(f.name), f"{path}.{f.name}".lstrip("."))]
+            spec = self.policy.spec(path)
+            if spec and isinstance(kind, TEXT):
+                return [F.array(F.struct(c.alias("key"), self._token(spec, c).alias("value")))]
+            if spec and isinstance(kind, T.ArrayType) and isinstance(kind.elementType, TEXT):
+                return [F.coalesce(F.transform(c, lambda x: F.struct(x.alias("key"), self._token(spec, x).alias("value"))), empty)]
+            return []
+
+        found = F.filter(F.concat(empty, *pairs(schema, None, "")), lambda e: F.length(e["key"]) > 0)
+        # the first configured field decides
+        return F.aggregate(found, F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
+
+    # leaves
+
+    def _is_json(self, kind: T.DataType, path: Path) -> bool:
+        return isinstance(kind, TEXT) and isinstance(path.at, str) and path.at in self.json
+
+    def _token(self, spec: FieldSpec, c: Column) -> Column:
+        return token(spec.family, c, self.policy.salt, self.policy.use_hash)
+
+    def _chain(self, c: Column) -> Column:
+        return mask_text(c, self.policy.salt, self.names, self.policy.mask_free_text_users, self.profile, self.policy.use_hash)
+
+    def _plain(self, c: Column, free: bool | Column) -> Column:
+        """What becomes of a text that is no configured field."""
+        if self.profile == "stream":
+            return (self._chain(c) if free else c) if isinstance(free, bool) else F.when(free, self._chain(c)).otherwise(c)
+        values = mask_deep if self.deep else mask_values
+        embedded = lambda: values(c, self.policy.salt, self.policy.use_hash)
+        inner = (self._chain(c) if free else embedded()) if isinstance(free, bool) else F.when(free, self._chain(c)).otherwise(embedded())
+        return F.coalesce(*([F.try_element_at(self.own, c)] if self.deep else []), mask_whole(c, self.policy.salt, self.policy.use_hash), inner)
+
+    def _text(self, c: Column, path: Path) -> Column:
+        return self._plain(c, path.free(self.policy, self.profile != "stream"))
+
+    def _piece(self, x: Column) -> Column:
+        """A piece of a JSON text: scalars by their path, names for addresses in them alone, the rest as it is."""
+        path, text = Path(x["p"]), json_string(x["t"])
+        bare = F.when(x["t"].isin("true", "false"), F.initcap(x["t"])).otherwise(x["t"])
+        value = F.coalesce(text, F.when(x["t"] != "null", bare)) if self.profile == "response" else text
+        tests = [(test & value.isNotNull(), json_quoted(self._token(s, value))) for test, s in path.specs(self.policy)]
+        written = lambda made: F.when(made == text, x["t"]).otherwise(json_quoted(made))  # noqa: E731  # as it was, escapes and all, where nothing is masked
+        scalar = _cases(tests, F.when(text.isNotNull(), written(self._text(text, path))).otherwise(x["t"]))
+        name = F.when(text.isNotNull(), written(mask_values(text, self.policy.salt, self.policy.use_hash))).otherwise(x["t"])
+        return F.when(x["p"].isNull(), name).otherwise(scalar)
+
+    def _json(self, c: Column, kind: T.DataType, path: Path) -> Column:
+        """JSON text masked piece by piece; the text form of a VARIANT."""
+        return F.array_join(F.transform(self._pieces(c, kind, path), self._piece), "")
+
+    def masked(self) -> DataFrame:
+        """The table with the policy applied."""
+        columns = [self.mask(F.col(f"`{f.name}`"), f.dataType, Path(f.name), True).alias(f.name) for f in self.df.schema.fields if f.name in self.given]
+        one = lambda free: lambda x: self._plain(x, free)
+        lists = {self.lists[free]: F.transform(F.array(*texts), one(free)) for free, texts in self.texts.items() if texts}
+        return (self.df.withColumns(lists) if lists else self.df).select(*columns)
+
+    def mask(self, c: Column, kind: T.DataType, path: Path, outside: bool = False) -> Column:
+        """A value of any type, masked; ``outside`` where it is a column or field and no element of a list or map."""
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[self.mask(c.getField(f.name), f.dataType, path.below(f.name), outside).alias(f.name) for f in kind.fields]))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: self.mask(x, kind.elementType, path))  # places in a list are no part of the path
+        if isinstance(kind, T.MapType):
+            return self._map(c, kind, path)
+        if isinstance(kind, T.VariantType):
+            return F.parse_json(self._json(c, kind, path))
+        if self._is_json(kind, path):
+            # what is no JSON is masked by path as far as it looks like it, and then as a text
+            valid = F.try_parse_json(c).isNotNull()
+            return F.element_at(F.transform(F.array(self._json(c, kind, path)), lambda x: F.when(c.isNull() | valid, x).otherwise(self._text(x, path))), 1)
+        if isinstance(kind, TEXT):
+            tests = [(test, self._token(s, c)) for test, s in path.specs(self.policy)]
+            if tests and tests[0][0] is None:
+                return tests[0][1]
+            if outside:
+                free = path.free(self.policy, self.profile != "stream")
+                if self.profile == "stream" and not free:
+                    return c
+                self.texts[free].append(c)
+                return F.get(F.col(self.lists[free]), len(self.texts[free]) - 1)
+            return _cases(tests, self._text(c, path))
+        if isinstance(kind, PLAIN):
+            if self.profile != "response" or isinstance(kind, T.NullType):
+                return c
+            tests = path.specs(self.policy)
+            if tests and tests[0][0] is not None:
+                if isinstance(kind, (T.NumericType, T.BooleanType)):
+                    # the type of a map's values is one: where any of them may be masked, all are texts
+                    return _cases([(test, self._token(s, self._shown(c, kind))) for test, s in tests], self._shown(c, kind))
+                return c
+            return self._token(tests[0][1], self._shown(c, kind)) if tests else c
+        if isinstance(kind, T.BinaryType):
+            if any(test is None for test, _ in path.specs(self.policy)):
+                raise RequestError(f"{path.at} is configured and holds bytes, which have no token")
             return c
-        return leaf(c, kind, path)
+        raise RequestError(f"{path.at if isinstance(path.at, str) else 'a map value'} has type {kind.simpleString()}, which cannot be masked")
+
+    @staticmethod
+    def _shown(c: Column, kind: T.DataType) -> Column:
+        return F.initcap(c.cast("string")) if isinstance(kind, T.BooleanType) else c.cast("string")
+
+    def _map(self, c: Column, kind: T.MapType, path: Path) -> Column:
+        """A map by its keys' paths.  Keys are names and stay, but for addresses in them; equal ones after that get a number."""
+        entries = F.map_entries(c)
+        values = F.transform(entries, lambda e: self.mask(e["value"], kind.valueType, path.below(e["key"].cast("string"))))
+        if isinstance(kind.keyType, TEXT):
+            made = F.transform(F.map_keys(c), lambda k: mask_values(k, self.policy.salt, self.policy.use_hash))
+            number = lambda ks: F.transform(ks, lambda k, i: F.when(F.array_position(ks, k) == i + 1, k).otherwise(F.concat(k, F.lit("#"), (i + 1).cast("string"))))
+            keys = F.element_at(F.transform(F.array(made), number), 1)
+        elif isinstance(kind.keyType, PLAIN):
+            keys = F.map_keys(c)
+        else:
+            raise RequestError(f"a map with keys of type {kind.keyType.simpleString()} cannot be masked")
+        return F.map_from_arrays(keys, values)
+
+
+def mask_documents(df: DataFrame, policy: Policy, profile: str = "response", json: tuple[str, ...] = (), deep: bool = False) -> DataFrame:
+    """All columns of ``df`` with the policy applied at every leaf, at any depth of structs, arrays, maps, VARIANT and JSON text.
+
+    Configured fields become tokens; the ``response`` profile also turns numbers, booleans and times there into
+    tokens of their text, while ``stream`` leaves them.  Other string leaves are masked when they are an address or
+    host name as a whole, and otherwise go through the free-text pass, with the document's own user names where the
+    field is free text.  ``json`` names string columns (dotted paths) that hold JSON; text there that is none is masked
+    as text.  With ``deep``, leaves that the policy does not name also go by the document's own values and by host
+    names and UUIDs.  JSON keeps its spacing and order.
+    """
+    return _Walk(df, policy, profile, json, deep).masked()
 
-    def _element(x: Column, kind: T.DataType, path: str) -> Column:
-        spec = policy.spec(path)
-        if spec:
-            return token(spec.family, x, policy.salt, policy.use_hash)
-        return F.coalesce(_whole(x, policy), mask_values(x, policy.salt, policy.use_hash)) if isinstance(kind, T.StringType) else x
 
-    return df.select(*[walk(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
+def mask_keys(result: AggResult, policy: Policy, json: tuple[str, ...] = ()) -> AggResult:
+    """Masks the key columns of finished buckets whose source field is configured; labels, dates, ranges and counts stay.
 
+    The frames about what is outside the buckets have their parents' keys, which are masked alike.
+    """
+    specs = {key: spec for key, source in result.fields.items() if (spec := policy.spec(source))}
+
+    def keyed(df: DataFrame | None) -> DataFrame | None:
+        return None if df is None else df.withColumns({k: token(s.family, F.col(f"`{k}`"), policy.salt, policy.use_hash) for k, s in specs.items() if k in df.columns})
 
-def mask_keys(result: AggResult, policy: Policy) -> AggResult:
-    """Masks the key columns of finished buckets whose source field is configured; labels, dates, ranges and counts stay."""
-    df, masked = result.df, []
-    for key, source in result.fields.items():
-        spec = policy.spec(source)
-        if spec and key in df.columns:
-            df = df.withColumn(key, token(spec.family, F.col(key), policy.salt, policy.use_hash))
-            masked.append(key)
     whole = f"{result.node.name}_as_string"
-    if masked and whole in df.columns:
-        parts = [k for k in df.columns if k.startswith(f"{result.node.name}_") and k in result.fields]
-        df = df.withColumn(whole, F.concat_ws("|", *[F.col(k).cast("string") for k in parts]))
     if result.node.kind == "top_hits":
-        rest = [c for c in df.columns if c not in result.keys]
-        masked_docs = mask_documents(df.select(*rest), policy)
-        df = masked_docs if not result.keys else mask_documents(df, replace(policy, fields=(*[FieldSpec(k, policy.spec(result.fields[k]).family) for k in result.keys if k in result.fields and policy.spec(result.fields[k])], *policy.fields)))
-    return replace(result, df=df)
+        own = [FieldSpec(k, specs[k].family) for k in result.keys if k in specs]
+        df = mask_documents(result.df, replace(policy, fields=(*own, *policy.fields)), json=json)
+    else:
+        df = keyed(result.df)
+        parts = [k for k in df.columns if k.startswith(f"{result.node.name}_") and k in result.fields]
+        if whole in df.columns and any(k in specs for k in parts):
+            df = df.withColumn(whole, F.concat_ws("|", *[F.col(k).cast("string") for k in parts]))
+    return replace(result, df=df, other=keyed(result.other), scope=keyed(result.scope))
 
 
 def registry(df: DataFrame, policy: Policy) -> DataFrame:
     """Distinct (value, token) of all configured string leaves; the first configured field decides the family."""
-    from functools import reduce
-
     from cloakfield.sources.catalog import field, field_type
 
     frames = []
@@ -152,11 +362,42 @@ def mask_opaque_values(df: DataFrame, known: DataFrame, policy: Policy) -> DataF
     return df
 
 
+# --- the check of what leaves -----------------------------------------------------------------------------
+
+def _left(c: Column, kind: T.DataType) -> Column | None:
+    """Whether an address is left anywhere in a value, keys of maps included; None for types that hold no text."""
+    if isinstance(kind, T.StructType):
+        found = [x for f in kind.fields if (x := _left(c.getField(f.name), f.dataType)) is not None]
+        return reduce(lambda a, b: a | b, found) if found else None
+    if isinstance(kind, T.ArrayType):
+        return None if _left(F.lit(None), kind.elementType) is None else F.coalesce(F.exists(c, lambda x: _left(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, T.MapType):
+        found = [x for x in (_left(F.map_keys(c), T.ArrayType(kind.keyType)), _left(F.map_values(c), T.ArrayType(kind.valueType))) if x is not None]
+        return reduce(lambda a, b: a | b, found) if found else None
+    if isinstance(kind, T.VariantType):
+        return residual(F.to_json(c))
+    if isinstance(kind, TEXT):
+        return residual(c)
+    if isinstance(kind, T.BinaryType):
+        return residual(c.cast("string"))
+    if isinstance(kind, PLAIN):
+        return None
+    raise RequestError(f"type {kind.simpleString()} cannot be checked")
+
+
+def _checks(df: DataFrame) -> dict[str, Column]:
+    """For each column that can hold text, whether a row has an address left in it."""
+    found = {f.name: _left(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
+    return {name: test for name, test in found.items() if test is not None}
+
+
 def residuals(df: DataFrame) -> DataFrame:
-    """Rows (column, rows_left): how many rows of each string column still hold an address."""
-    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    counts = df.agg(*[F.sum(residual(F.col(f"`{n}`")).cast("bigint")).alias(f"`{n}`".strip("`")) for n in names])
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias("rows_left")) for n in names])).alias("x")
+    """Rows (column, rows_left): how many rows still hold an address, at any depth of each column."""
+    checks = _checks(df)
+    if not checks:
+        return df.sparkSession.createDataFrame([], "column string, rows_left bigint")
+    counts = df.agg(*[F.count_if(test).alias(f"c{i}") for i, test in enumerate(checks.values())])
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"c{i}").alias("rows_left")) for i, n in enumerate(checks)])).alias("x")
     return counts.select(pairs).select("x.*")
 
 
@@ -168,10 +409,31 @@ def verify(df: DataFrame) -> DataFrame:
     return df
 
 
+def guard(df: DataFrame, what: str) -> DataFrame:
+    """``df`` with the check in the pass that reads it: a row with an address left fails that pass, so no other row is handed out than was checked."""
+    checks = _checks(df)
+    if not checks:
+        return df
+    where = F.concat_ws(", ", *[F.when(test, F.lit(n)) for n, test in checks.items()])
+    told = F.concat(F.lit(f"addresses are left in {what}: "), where)
+    return df.where(F.when(reduce(lambda a, b: a | b, checks.values()), F.raise_error(told).cast("boolean")).otherwise(True))
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df``, and what its next action sees: rows, and rows with an address left by number of column (c0, c1, ...)."""
+    seen = Observation(name)
+    tests = [F.count_if(test).alias(f"c{i}") for i, test in enumerate(_checks(df).values())]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *tests), seen
+
+
+def left_in(df: DataFrame, seen: Observation) -> dict[str, int]:
+    """Column to rows with an address left, after the action that :func:`counted` watched."""
+    got = seen.get
+    return {name: got[f"c{i}"] for i, name in enumerate(_checks(df)) if got.get(f"c{i}")}
+
+
 def _masked_values(df: DataFrame, policy: Policy) -> DataFrame:
     """Rows (family, field, v), one for each value that the policy masks; none where no field is in ``df``."""
-    from functools import reduce
-
     from cloakfield.sources.catalog import field, field_type
 
     frames = []

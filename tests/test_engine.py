@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakfield.engine import Engine
-from cloakfield.functions.freetext import mask_line, mask_opaque, mask_values, residual
+from cloakfield.functions.freetext import mask_values, residual
 from cloakfield.functions.values import drift_label, percent_label, value_kind
 from cloakfield.operators import gdpr, overview
 from cloakfield.operators.filters import clause, instant
@@ -14,6 +14,7 @@ from cloakfield.operators.masking import ResidualError, mask_documents, verify
 from cloakfield.plans.dsl import parse_body
 from cloakfield.sources import policy as P
 from cloakfield.sources.catalog import Catalog, RequestError, check_pattern, check_tenant, field, present
+from tests.by_hand import mask_line, mask_opaque
 
 SALT = "unit-test-salt-of-more-than-32-characters"
 NOW = datetime(2024, 1, 10)
