@@ -1,20 +1,20 @@
 """Schema discovery, and field coverage with drift, from one scan.
 
-All fields are counted in the same pass, for the whole table and for the time window together; the result is
-unpivoted to a row a field.  Wide schemas are split into chunks of fields to keep generated code small.
+All fields are counted in the same pass, for the whole table and for the time window together, however many they
+are: a row gives the numbers of the fields it has, of which a document of a schema of thousands has some tens, and
+these are counted by number with partial aggregation.  What is shuffled is a row a field and task.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakfield.functions.values import COMPLETE, DRIFT, NEVER, PARTIAL, SPARSE, UNMEASURABLE, coverage_category, drift, drift_label, percent, percent_label
-from cloakfield.sources.catalog import flatten, present
+from cloakfield.sources.catalog import flatten, present_sql
 
-CHUNK = 200
 CATEGORIES = (COMPLETE, PARTIAL, SPARSE, NEVER, UNMEASURABLE)
 
 
@@ -25,18 +25,18 @@ def schema_fields(df: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def presence(df: DataFrame, fields: list[str], window: Column | None = None) -> DataFrame:
-    """Rows (field, total_docs, window_docs, grand_total, window_total)."""
+    """Rows (field, total_docs, window_docs, grand_total, window_total), from one scan."""
     inside = F.lit(True) if window is None else F.coalesce(window, F.lit(False))
-    frames = []
-    for k in range(0, len(fields), CHUNK):
-        part = fields[k : k + CHUNK]
-        counts = [F.count(F.lit(1)).alias("grand_total"), F.count(F.when(inside, 1)).alias("window_total")]
-        for i, f in enumerate(part):
-            here = present(df, f)
-            counts += [F.count(F.when(here, 1)).alias(f"t{i}"), F.count(F.when(here & inside, 1)).alias(f"w{i}")]
-        entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"t{i}").alias("total_docs"), F.col(f"w{i}").alias("window_docs")) for i, f in enumerate(part)])
-        frames.append(df.agg(*counts).select("grand_total", "window_total", F.explode(entries).alias("x")).select("x.*", "grand_total", "window_total"))
-    return reduce(DataFrame.unionByName, frames)
+    # one SQL text, since thousands of column objects are thousands of calls to the JVM; -1 stands for the document itself
+    numbers = F.expr("array(-1" + "".join(f", CASE WHEN {present_sql(df, f)} THEN {i} END" for i, f in enumerate(fields)) + ")")
+    counts = df.select(F.explode(F.array_compact(numbers)).alias("n"), inside.alias("inside")).groupBy("n").agg(F.count(F.lit(1)).alias("docs"), F.count_if("inside").alias("window"))
+    found = counts.agg(F.map_from_entries(F.collect_list(F.struct("n", F.struct("docs", "window")))).alias("m"))  # a row a field
+    names = F.posexplode(F.from_json(F.lit(json.dumps(fields)), "array<string>")).alias("n", "field")
+    of = lambda number, what: F.coalesce(F.try_element_at("m", number)[what], F.lit(0).cast("bigint"))
+    rows = found.select("m", names)
+    return rows.select(
+        "field", of(F.col("n"), "docs").alias("total_docs"), of(F.col("n"), "window").alias("window_docs"), of(F.lit(-1), "docs").alias("grand_total"), of(F.lit(-1), "window").alias("window_total")
+    )
 
 
 def populated(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -303,3 +303,23 @@ def test_examples_show_tokens_only(spark):
     assert [(r["field"], r["occurrences"]) for r in rows] == [("u", 2), ("u", 1)] and all(r["token"].startswith("[USER_") or r["token"].startswith("USER_") for r in rows)
     assert masking_examples(df.limit(0), policy).count() == 0
     assert masking_report(df, P.Policy("t", SALT, (P.FieldSpec("gone", "HOST"),))).count() == 0 and masking_examples(df, P.Policy("t", SALT)).count() == 0
+
+
+def test_thousands_of_fields_take_one_scan(spark, tmp_path):
+    """Presence of a wide schema, lists and maps included, against counts by hand."""
+    from cloakfield.operators.coverage import presence
+    from cloakfield.sources.catalog import flatten
+
+    rows = [tuple((i * k) % 7 or None for k in range(2400)) + ([1] if i % 2 else [], {"a": 1} if i % 3 else {}, (None, "x" if i % 5 else None)) for i in range(20)]
+    schema = ", ".join(f"`f.{k}` int" for k in range(2400)) + ", l array<int>, m map<string,int>, s struct<a:string,b:string>"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    fields = [f for f, _ in flatten(df.schema)]
+    out = presence(df, [*fields, "no.such"], F.col("`f.1`") > 3)
+    got = {r["field"]: (r["total_docs"], r["window_docs"], r["grand_total"], r["window_total"]) for r in out.collect()}
+    inside = [i for i, r in enumerate(rows) if (r[1] or 0) > 3]
+    has = lambda i, f: bool(rows[i][int(f[2:])]) if f.startswith("f.") else bool({"l": rows[i][2400], "m": rows[i][2401], "s.a": rows[i][2402][0], "s.b": rows[i][2402][1]}.get(f))
+    for f in [*fields, "no.such"]:
+        assert got[f] == (sum(has(i, f) for i in range(20)), sum(has(i, f) for i in inside), 20, len(inside)), f
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert {r["grand_total"] for r in presence(df.limit(0), fields[:3]).collect()} == {0}
