@@ -91,10 +91,12 @@ class Engine:
         found = found.unionByName(total.where("relation = 'gte'").select(F.lit("[TOTAL COUNT TRUNCATED]").alias("code"), F.lit(index).alias("subject"), F.format_string("more than %d documents match", "value").alias("detail")))
         sensitive = gdpr.scan_names(hits) if hits is not None else []
         if self.policy and self.policy.fields:
-            texts = self._json(index)
-            results = {k: mask_keys(r, self.policy, texts) for k, r in results.items()}
+            texts, off = self._json(index), self.settings.gate == "off"
+            known = registry(df.limit(0) if hits is None else hits, self.policy)
+            # where no field tells what a value is, it goes by what it looks like, and by the values of the hits
+            deep = lambda r: replace(r, df=mask_opaque_values(r.df, known, self.policy)) if off and r.node.opaque else r
+            results = {k: deep(mask_keys(r, self.policy, texts)) for k, r in results.items()}
             if hits is not None:
-                known, off = registry(hits, self.policy), self.settings.gate == "off"
                 hits = mask_documents(hits, self.policy, json=texts, deep=off)
                 hits = mask_opaque_values(hits, known, self.policy) if off else hits
             if verified:

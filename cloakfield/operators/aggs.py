@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakfield.operators.filters import clause, instant
-from cloakfield.plans.dsl import METRICS, AggNode
+from cloakfield.operators import pipeline
+from cloakfield.plans.dsl import METRICS, PARENT, SIBLING, AggNode
 from cloakfield.sources.catalog import RequestError, field, field_type, present
 
 UNITS = {"second": "second", "minute": "minute", "hour": "hour", "day": "day", "week": "week", "month": "month", "quarter": "quarter", "year": "year"}
@@ -125,19 +126,37 @@ class Aggregator:
 
     def run(self, df: DataFrame, nodes: tuple[AggNode, ...], by: tuple[str, ...] = (), path: str = "", fields: dict[str, str] | None = None) -> dict[str, AggResult]:
         out: dict[str, AggResult] = {}
-        metrics = [n for n in nodes if n.kind in METRICS]
+        metrics = [n for n in nodes if n.kind in METRICS or n.kind == "top_metrics"]
         if metrics and not by:
-            columns = {k: v for n in metrics for k, v in metric_columns(df, n).items()}
-            out[path or "metrics"] = AggResult(metrics[0], df.agg(*[v.alias(k) for k, v in columns.items()]), {})
+            sources: dict[str, str] = {}
+            columns = {k: v for n in metrics for k, v in self._columns(df, n, sources).items()}
+            lead = next((n for n in metrics if n.opaque), metrics[0])
+            out[path or "metrics"] = AggResult(lead, df.agg(*[v.alias(k) for k, v in columns.items()]), sources)
         for node in nodes:
-            if node.kind in METRICS:
+            if node.kind in METRICS | PARENT | SIBLING or node.kind == "top_metrics":
                 continue
             here = f"{path}>{node.name}" if path else node.name
             out |= self._bucket(df, node, list(by), here, dict(fields or {}))
+        for node in nodes:
+            if node.kind in SIBLING:
+                beside, _, value = node.params["buckets_path"].partition(">")
+                found = out.get(f"{path}>{beside}" if path else beside)
+                if found is None:
+                    raise RequestError(f"{node.name}: no aggregation {beside!r} beside it")
+                made = pipeline.over_siblings(found.df, node, list(by), value or "_count")
+                out[f"{path}>{node.name}" if path else node.name] = AggResult(node, made, {k: v for k, v in found.fields.items() if k in by}, tuple(by))
         return out
 
-    def _measures(self, df: DataFrame, node: AggNode) -> list[Column]:
-        columns = {k: v for n in node.children if n.kind in METRICS for k, v in metric_columns(df, n).items()}
+    def _columns(self, df: DataFrame, node: AggNode, sources: dict[str, str]) -> dict[str, Column]:
+        """Aggregate columns of a metric; ``sources`` gets the fields of those that are values of documents."""
+        if node.kind != "top_metrics":
+            return metric_columns(df, node)
+        found = pipeline.top_metrics(df, node, self.id_field)
+        sources |= {k: f for k, (_, f) in found.items()}
+        return {k: c for k, (c, _) in found.items()}
+
+    def _measures(self, df: DataFrame, node: AggNode, sources: dict[str, str]) -> list[Column]:
+        columns = {k: v for n in node.children if n.kind in METRICS or n.kind == "top_metrics" for k, v in self._columns(df, n, sources).items()}
         return [F.count(F.lit(1)).alias("doc_count"), *[v.alias(k) for k, v in columns.items()]]
 
     def _scope(self, df: DataFrame, by: list[str]) -> DataFrame:
@@ -150,7 +169,7 @@ class Aggregator:
         if kind in ("terms", "rare_terms", "significant_terms", "significant_text"):
             fields[name] = p["field"]
             rows = _with_key(df, name, p["field"], kind == "significant_text")
-            counts = rows.groupBy(*by, name).agg(*self._measures(rows, node))
+            counts = rows.groupBy(*by, name).agg(*self._measures(rows, node, fields))
             if kind == "rare_terms":
                 top = counts.where(F.col("doc_count") <= p.get("max_doc_count", 1))
             elif kind == "terms":
@@ -170,7 +189,7 @@ class Aggregator:
             rows = df
             for k, t in zip(keys, p["terms"]):
                 rows, fields[k] = _with_key(rows, k, t["field"]), t["field"]
-            counts = rows.groupBy(*by, *keys).agg(*self._measures(rows, node))
+            counts = rows.groupBy(*by, *keys).agg(*self._measures(rows, node, fields))
             top = _top(counts, by, [F.col("doc_count").desc(), *[F.col(k).asc() for k in keys]], size)
             top = top.withColumn(f"{name}_as_string", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
         elif kind == "composite":
@@ -186,7 +205,7 @@ class Aggregator:
                     rows = rows.withColumn(k, F.floor(field(rows, q["field"]) / q["interval"]) * q["interval"]).where(F.col(k).isNotNull())
                 else:
                     rows = _with_key(rows, k, q["field"])
-            counts = rows.groupBy(*by, *keys).agg(*self._measures(rows, node))
+            counts = rows.groupBy(*by, *keys).agg(*self._measures(rows, node, fields))
             if "after" in p:
                 counts = counts.where(F.struct(*keys) > F.struct(*[F.lit(p["after"][k]).cast(counts.schema[k].dataType).alias(k) for k in keys]))
             top = _top(counts, by, [F.col(k).asc() for k in keys], size)
@@ -194,10 +213,13 @@ class Aggregator:
             c = field(df, p["field"])
             value = _date_bucket(c, p) if kind == "date_histogram" else F.floor(c / p["interval"]) * F.lit(p["interval"])
             rows = df.withColumn(name, value).where(F.col(name).isNotNull())
-            top = rows.groupBy(*by, name).agg(*self._measures(rows, node)).where(F.col("doc_count") >= p.get("min_doc_count", 1))
-        elif kind in ("range", "date_range", "filters"):
+            top = rows.groupBy(*by, name).agg(*self._measures(rows, node, fields)).where(F.col("doc_count") >= p.get("min_doc_count", 1))
+        elif kind in ("geohash_grid", "geotile_grid"):
+            rows = df.withColumn(name, pipeline.cell_key(df, node)).where(F.col(name).isNotNull())
+            top = _top(rows.groupBy(*by, name).agg(*self._measures(rows, node, fields)), by, [F.col("doc_count").desc(), F.col(name).asc()], node.params.get("size", 10_000))
+        elif kind in ("range", "date_range", "filters", "ip_range"):
             rows, labels = self._labelled(df, node)
-            top = rows.groupBy(*by, name).agg(*self._measures(rows, node))
+            top = rows.groupBy(*by, name).agg(*self._measures(rows, node, fields))
             # a bucket without documents is a bucket, below every parent
             parents = scope.select(*by) if by else df.sparkSession.range(1)
             every = parents.select(*by, F.explode(F.array(*[F.lit(x) for x in labels])).alias(name))
@@ -205,26 +227,30 @@ class Aggregator:
         elif kind in ("filter", "missing"):
             test = clause(df, p, self.as_of) if kind == "filter" else ~present(df, p["field"])
             rows = df.where(test).withColumn(name, F.lit(name))
-            top = (rows.groupBy(*by) if by else rows.groupBy()).agg(*self._measures(rows, node))
+            top = (rows.groupBy(*by) if by else rows.groupBy()).agg(*self._measures(rows, node, fields))
             top, keys = top.withColumn(name, F.lit(name)), []
         elif kind in ("sampler", "diversified_sampler"):
             rows = self._sample(df, node, by).withColumn(name, F.lit(name))
-            top = (rows.groupBy(*by) if by else rows.groupBy()).agg(*self._measures(rows, node))
+            top = (rows.groupBy(*by) if by else rows.groupBy()).agg(*self._measures(rows, node, fields))
             top, keys = top.withColumn(name, F.lit(name)), []
         elif kind == "children":
             child, left, right = self.children[p["type"]]
             rows = df.select(*by, F.col(left).alias("__parent")).join(child, F.col("__parent") == F.col(right)).drop("__parent")
-            top = (rows.groupBy(*by) if by else rows.groupBy()).agg(*self._measures(rows, node))
+            top = (rows.groupBy(*by) if by else rows.groupBy()).agg(*self._measures(rows, node, fields))
             keys = []
         elif kind == "top_hits":
             return {path: AggResult(node, self._top_hits(df, node, by), fields, tuple(by), scope=scope)}
         else:
             raise RequestError(f"no such aggregation: {kind}")
+        steps = [c for c in node.children if c.kind in PARENT]
+        for step in steps:
+            top = pipeline.over_buckets(top, step, by, keys)
         out = {path: AggResult(node, top, fields, (*by, *keys), other, scope)}
-        below = tuple(c for c in node.children if c.kind not in METRICS)
+        below = tuple(c for c in node.children if c.kind not in METRICS | PARENT and c.kind != "top_metrics")
         if below:
             level = [*by, *keys]
-            if kind in ("terms", "multi_terms", "composite", "rare_terms", "significant_terms", "significant_text"):
+            fewer = any(s.kind in ("bucket_selector", "bucket_sort") for s in steps)
+            if fewer and keys or kind in ("terms", "multi_terms", "composite", "rare_terms", "significant_terms", "significant_text"):
                 rows = rows.join(top.select(*level), level, "left_semi")
             out |= self.run(rows, below, tuple(level), path, fields)
         return out
@@ -232,7 +258,9 @@ class Aggregator:
     def _labelled(self, df: DataFrame, node: AggNode) -> tuple[DataFrame, list[str]]:
         """Rows once for each range or named filter that they fall in."""
         p, tests = node.params, {}
-        if node.kind == "filters":
+        if node.kind == "ip_range":
+            tests = pipeline.address_tests(df, p)
+        elif node.kind == "filters":
             named = p["filters"]
             tests = {str(k): clause(df, q, self.as_of) for k, q in (named.items() if isinstance(named, dict) else enumerate(named))}
         else:

@@ -13,7 +13,7 @@ SCHEMA = "code string, subject string, detail string"
 
 
 #: Buckets that are a page, a choice or an overlap, so that what they leave out is no gap.
-PAGED = ("composite", "rare_terms", "significant_terms", "significant_text", "filters", "range", "date_range")
+PAGED = ("ip_range", "geohash_grid", "geotile_grid", "composite", "rare_terms", "significant_terms", "significant_text", "filters", "range", "date_range")
 
 
 def notices_frame(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:

@@ -12,7 +12,12 @@ BUCKETS = frozenset(
     "terms significant_terms significant_text multi_terms composite rare_terms top_hits date_histogram histogram range date_range filters filter missing sampler diversified_sampler children".split()
 )
 METRICS = frozenset("avg sum min max value_count cardinality stats extended_stats percentiles percentile_ranks matrix_stats geo_bounds geo_centroid".split())
-CAPPED = frozenset("terms significant_terms significant_text multi_terms composite top_hits".split())
+# fixed values: aggregations whose output no field describes, which run where the gate is off; parent pipelines, sibling pipelines, others
+PARENT = frozenset("bucket_script bucket_selector bucket_sort cumulative_sum derivative serial_diff moving_avg".split())
+SIBLING = frozenset("avg_bucket sum_bucket min_bucket max_bucket stats_bucket".split())
+OPAQUE = frozenset("ip_range geohash_grid geotile_grid top_metrics".split())
+NEEDED = {"bucket_script": ("script", "buckets_path"), "bucket_selector": ("script", "buckets_path"), "bucket_sort": (), "ip_range": ("field", "ranges"), "geohash_grid": ("field",), "geotile_grid": ("field",), "top_metrics": ("metrics", "sort")}
+CAPPED = frozenset("terms significant_terms significant_text multi_terms composite top_hits geohash_grid geotile_grid".split())
 OPAQUE_FEATURES = ("runtime_mappings", "script_fields", "suggest", "highlight")
 
 
@@ -36,6 +41,18 @@ class AggNode:
             return bool(self.params.get("terms")) and all("field" in t for t in self.params["terms"])
         return "script" not in self.params
 
+    @property
+    def runnable(self) -> bool:
+        """Whether it can run where the gate is off."""
+        if self.kind in PARENT | SIBLING | OPAQUE:
+            return all(k in self.params for k in NEEDED.get(self.kind, ("buckets_path",)))
+        return self.mappable
+
+    @property
+    def opaque(self) -> bool:
+        """Whether its own output, or what pipelines add to it, is described by no field."""
+        return self.kind in SIBLING | OPAQUE or any(c.kind in PARENT | OPAQUE for c in self.children)
+
     def walk(self, path: str = ""):
         path = f"{path}>{self.name}" if path else self.name
         yield path, self
@@ -99,8 +116,8 @@ def parse_body(body: str | dict, size_cap: int = 100, gate: str = "block") -> Se
         notices += [f"[DROPPED] {x}" for x in [*opaque, *(n.name for n in strange)]]
         nodes = tuple(n for n in nodes if n not in strange)
     if gate == "off":
-        unknown = [n for n in nodes if any(x.kind not in BUCKETS | METRICS or not x.mappable for _, x in n.walk())]
-        notices += [f"[NOT RUN] {n.name}: no field tells what its buckets are" for n in unknown]
+        unknown = [n for n in nodes if not all(x.runnable for _, x in n.walk()) or n.kind in PARENT]
+        notices += [f"[NOT RUN] {n.name}: it is scripted, unknown or incomplete" for n in unknown]
         nodes = tuple(n for n in nodes if n not in unknown)
     size = body.get("size", 10)
     if isinstance(size, bool) or not isinstance(size, int) or size < 0:
