@@ -9,10 +9,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakfield.functions.tokens import token
 from cloakfield.operators import coverage as cov
 from cloakfield.operators import gdpr, notices, overview
 from cloakfield.operators.aggs import Aggregator, AggResult
 from cloakfield.operators.filters import after_key, clause, instant
+from cloakfield.operators.highlight import highlight, suggest
 from cloakfield.operators.masking import counted, guard, left_in, mask_documents, mask_keys, mask_opaque_values, registry
 from cloakfield.plans.dsl import parse_body
 from cloakfield.sources.catalog import Catalog, check_prefix
@@ -30,6 +32,8 @@ class SearchResult:
     aggs: dict[str, AggResult]
     notices: DataFrame
     sensitive: list[tuple[str, str, str]] = field(default_factory=list)
+    #: suggestions by name
+    suggest: dict[str, DataFrame] = field(default_factory=dict)
 
 
 @dataclass
@@ -75,14 +79,17 @@ class Engine:
         ident = self._one(self.ids, index)
         rows = df.where(clause(df, plan.query, self.as_of))
         total = notices.total_hits(rows, plan.track_total, self.settings.total_cap)
-        hits = None
+        hits, lit = None, []
         if plan.size:
             page = rows.where(after_key(rows, plan.sort, plan.search_after)) if plan.search_after else rows
             order = [path_column(page, f).asc_nulls_last() if up else path_column(page, f).desc_nulls_last() for f, up in plan.sort] + ([F.col(ident).asc()] if ident else [])
             page = page.orderBy(*order) if order else page
             hits = page.limit(plan.size)
+            shown, lit = highlight(hits, plan.query, plan.highlight) if plan.highlight else (None, [])
+            hits = hits.withColumn("highlight", shown) if shown is not None else hits
             if plan.source is not None:
-                hits = hits.select(*[path_column(hits, f).alias(f) for f in plan.source])
+                hits = hits.select(*[path_column(hits, f).alias(f) for f in plan.source], *(["highlight"] if lit else []))
+        options = {name: suggest(df, name, spec) for name, spec in plan.suggest.items() if name != "text"}
         results = Aggregator(lambda: df, self.as_of, ident, self.children).run(rows, plan.aggs)
         found = notices.notices_frame(self.spark, [(n.partition("] ")[0] + "]", index, n.partition("] ")[2]) for n in plan.notices] + self._banner(index))
         about = notices.aggregation_notices(results, self.shadowed)
@@ -97,13 +104,20 @@ class Engine:
             deep = lambda r: replace(r, df=mask_opaque_values(r.df, known, self.policy)) if off and r.node.opaque else r
             results = {k: deep(mask_keys(r, self.policy, texts)) for k, r in results.items()}
             if hits is not None:
-                hits = mask_documents(hits, self.policy, json=texts, deep=off)
+                # a snippet is free text of its document, whatever its field is called
+                free = replace(self.policy, free_text=(*self.policy.free_text, *(f"highlight.{f}" for f in lit)))
+                hits = mask_documents(hits, free, json=texts, deep=off)
                 hits = mask_opaque_values(hits, known, self.policy) if off else hits
+            for name, (found_, source) in options.items():
+                spec = self.policy.spec(source)
+                masked = found_.withColumn("option", token(spec.family, F.col("option"), self.policy.salt, self.policy.use_hash)) if spec else found_
+                options[name] = mask_opaque_values(masked, known, self.policy), source
             if verified:
+                options = {name: (guard(f, f"suggest {name}"), source) for name, (f, source) in options.items()}
                 check = lambda df, what: None if df is None else guard(df, what)
                 hits, found = check(hits, "hits"), check(found, "notices")
                 results = {k: replace(r, df=check(r.df, k), other=check(r.other, k), scope=check(r.scope, k)) for k, r in results.items()}
-        return SearchResult(hits, total, results, found, sensitive)
+        return SearchResult(hits, total, results, found, sensitive, {name: f for name, (f, _) in options.items()})
 
     def _json(self, index: str) -> tuple[str, ...]:
         return tuple(dict.fromkeys(c for name in self.catalog.resolve(index) for c in self.json.get(name, ())))
@@ -116,7 +130,7 @@ class Engine:
         the caps of a request bound; larger ones are written from the frames of :meth:`search`, which check themselves.
         """
         result = self.search(index, body, verified=False)
-        frames = {"hits": result.hits, "notices": result.notices, "total": result.total} | {f"aggs.{k}": r.df for k, r in result.aggs.items()}
+        frames = {"hits": result.hits, "notices": result.notices, "total": result.total} | {f"aggs.{k}": r.df for k, r in result.aggs.items()} | {f"suggest.{k}": f for k, f in result.suggest.items()}
         active = bool(self.policy and self.policy.fields)
         parts, residuals = {}, {}
         for name, df in frames.items():
@@ -176,7 +190,6 @@ class Engine:
         }
         if self.policy and self.policy.fields:
             from cloakfield.functions.freetext import mask_text
-            from cloakfield.functions.tokens import token
 
             out["agents"] = out["agents"].withColumn("agent", token("HOST", F.col("agent"), self.policy.salt, self.policy.use_hash))
             out["titles"] = out["titles"].withColumn("title", mask_text(F.col("title"), self.policy.salt, None, self.policy.mask_free_text_users, "response", self.policy.use_hash))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from cloakfield.operators.filters import clause, instant
 from cloakfield.operators import pipeline
+from cloakfield.operators.selection import exact_percentiles
 from cloakfield.plans.dsl import METRICS, PARENT, SIBLING, AggNode
 from cloakfield.sources.catalog import RequestError, field, field_type, present
 
@@ -25,6 +26,7 @@ UNITS = {"second": "second", "minute": "minute", "hour": "hour", "day": "day", "
 SHORT = {"1s": "second", "1m": "minute", "1h": "hour", "1d": "day", "1w": "week", "1M": "month", "1q": "quarter", "1y": "year"}
 FIXED = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400}
 
+PERCENTS = [1, 5, 25, 50, 75, 95, 99]
 #: What significant_text counts.
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -62,10 +64,9 @@ def metric_columns(df: DataFrame, node: AggNode) -> dict[str, Column]:
             }
         return out
     if kind == "percentiles":
-        at = p.get("percents", [1, 5, 25, 50, 75, 95, 99])
-        # a sketch of bounded size unless exact values are asked for, which hold every distinct value of a bucket in one task
-        pick = (lambda q: F.percentile(c, q / 100)) if p.get("exact") else (lambda q: F.percentile_approx(c, q / 100, p.get("accuracy", 10_000)))
-        return {f"{name}_{q:g}".replace(".", "_"): pick(q) for q in at}
+        at = p.get("percents", PERCENTS)
+        # a sketch of bounded size; exact ones are selected apart
+        return {} if p.get("exact") else {f"{name}_{q:g}".replace(".", "_"): F.percentile_approx(c, q / 100, p.get("accuracy", 10_000)) for q in at}
     if kind == "percentile_ranks":
         return {f"{name}_{v:g}".replace(".", "_"): 100 * F.avg((c <= v).cast("double")) for v in p["values"]}
     if kind == "matrix_stats":
@@ -86,6 +87,17 @@ def metric_columns(df: DataFrame, node: AggNode) -> dict[str, Column]:
     raise RequestError(f"no such aggregation: {kind}")
 
 
+def _with_exact(buckets: DataFrame, rows: DataFrame, nodes: tuple[AggNode, ...], level: list[str]) -> DataFrame:
+    """``buckets`` with the exact percentiles that ``nodes`` ask for, selected over the ``rows`` of the buckets."""
+    for n in nodes:
+        if n.kind == "percentiles" and n.params.get("exact"):
+            at = {f"{n.name}_{q:g}".replace(".", "_"): q for q in n.params.get("percents", PERCENTS)}
+            inside = rows.join(buckets.select(*level), level, "left_semi") if level else rows
+            found = exact_percentiles(inside, field(rows, n.params["field"]), at, level)
+            buckets = buckets.join(found, level, "left") if level else buckets.join(F.broadcast(found), how="left")  # one row
+    return buckets
+
+
 def _single(df: DataFrame, path: str) -> tuple[Column, bool]:
     """A field's column, and whether a document has several values of it."""
     return field(df, path), isinstance(field_type(df, path), T.ArrayType)
@@ -131,7 +143,8 @@ class Aggregator:
             sources: dict[str, str] = {}
             columns = {k: v for n in metrics for k, v in self._columns(df, n, sources).items()}
             lead = next((n for n in metrics if n.opaque), metrics[0])
-            out[path or "metrics"] = AggResult(lead, df.agg(*[v.alias(k) for k, v in columns.items()]), sources)
+            made = df.agg(*[v.alias(k) for k, v in columns.items()] or [F.count(F.lit(1)).alias("__n")])
+            out[path or "metrics"] = AggResult(lead, _with_exact(made, df, tuple(metrics), []).drop("__n"), sources)
         for node in nodes:
             if node.kind in METRICS | PARENT | SIBLING or node.kind == "top_metrics":
                 continue
@@ -242,6 +255,7 @@ class Aggregator:
             return {path: AggResult(node, self._top_hits(df, node, by), fields, tuple(by), scope=scope)}
         else:
             raise RequestError(f"no such aggregation: {kind}")
+        top = _with_exact(top, rows, node.children, [*by, *keys])
         steps = [c for c in node.children if c.kind in PARENT]
         for step in steps:
             top = pipeline.over_buckets(top, step, by, keys)

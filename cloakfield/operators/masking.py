@@ -209,7 +209,8 @@ class _Walk:
             return (self._chain(c) if free else c) if isinstance(free, bool) else F.when(free, self._chain(c)).otherwise(c)
         values = mask_deep if self.deep else mask_values
         embedded = lambda: values(c, self.policy.salt, self.policy.use_hash)
-        inner = (self._chain(c) if free else embedded()) if isinstance(free, bool) else F.when(free, self._chain(c)).otherwise(embedded())
+        chained = lambda: mask_deep(self._chain(c), self.policy.salt, self.policy.use_hash) if self.deep else self._chain(c)
+        inner = (chained() if free else embedded()) if isinstance(free, bool) else F.when(free, chained()).otherwise(embedded())
         return F.coalesce(*([F.try_element_at(self.own, c)] if self.deep else []), mask_whole(c, self.policy.salt, self.policy.use_hash), inner)
 
     def _text(self, c: Column, path: Path) -> Column:

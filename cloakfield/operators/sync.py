@@ -3,19 +3,26 @@
 A run takes the window from the checkpoint less an overlap up to ``as_of``, masks it, sends what cannot be
 masked to quarantine as it is, and appends what is new.  It fails closed: a document in quarantine, an
 unreadable count or a mismatch leaves the checkpoint where it was.
+
+Targets are partitioned by the day of a document's time (``DAY``), which never changes: a run compares ids with the
+days of its window alone, retention drops whole days, and a deletion writes again only the days that it touches.  Rows
+are counted by the passes that write them.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cloakfield.sources.policy import Policy, drift
 
+#: The partition column of masked and quarantined rows.
+DAY = "sync_day"
 OVERLAP, FIRST_LOOKBACK = timedelta(hours=1), timedelta(hours=24)
 
 
@@ -116,23 +123,55 @@ def _table(spark: SparkSession, path: str, like: DataFrame | None = None) -> Dat
         raise
 
 
+def in_days(table: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """The rows of a target in the days from ``start`` to ``end``; a filter on the partition, so other days are not read."""
+    return table.where(F.col(DAY).between(F.lit(start.date()), F.lit(end.date()))) if DAY in table.columns else table
+
+
+def one_each(rows: DataFrame, key: str, time: str) -> DataFrame:
+    """One row for each id: the earliest, and of those the one with the least hash, so that reruns agree."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(F.col(time), F.xxhash64(*rows.columns)))
+    return rows.groupBy(key).agg(first.alias("__row")).select("__row.*")
+
+
+def append_new(rows: DataFrame, path: str, key: str, time: str, start: datetime, end: datetime) -> dict[str, int]:
+    """Appends the rows whose id the target lacks in those days; how many were there, and how many are new, as the write saw them."""
+    there = in_days(_table(rows.sparkSession, path, rows), start, end).select(F.col(key).alias("__key"), F.lit(True).alias("__there")).distinct()
+    seen = Observation()
+    marked = rows.join(there, F.col(key) == F.col("__key"), "left").observe(seen, F.count_if("__there").alias("old"), F.count_if(F.col("__there").isNull()).alias("new"))
+    new = marked.where("__there IS NULL").select(*rows.columns, F.to_date(time).alias(DAY))
+    new.write.mode("append").partitionBy(DAY).parquet(path)
+    return dict(seen.get)
+
+
 def sync(raw: DataFrame, mask, tenant: str, marks: Checkpoints, masked_path: str, quarantine_path: str, key: str, time: str, as_of: datetime, origin: str = "raw", strict: bool = True) -> dict:
-    """One run.  ``mask`` maps rows to masked rows with a column ``masking_failure``, null where masking worked."""
+    """One run.  ``mask`` maps rows to masked rows with a column ``masking_failure``, null where masking worked.
+
+    The window is masked once, into a table beside the target that goes when the run ends; both targets are written
+    from it.  Gives rows of the window (source, without_id), ids in each target (masked, quarantined), of those the new
+    ones (masked_new, quarantined_new), missing ids and the window.
+    """
     spark = raw.sparkSession
     window = next_window(marks.read(tenant), as_of)
-    source = window_rows(raw, time, window)
-    result = mask(source).persist()  # read by both branches and by the reconciliation
-    good, bad = split_quarantine(result, "masking_failure", origin)
-    counts = {}
-    for rows, path, name in ((good, masked_path, "masked"), (bad, quarantine_path, "quarantined")):
-        existing = window_rows(_table(spark, path, rows), time, window)  # a document's time does not change, so older rows need no reading
-        new_only(rows.dropDuplicates([key]), existing, key).write.mode("append").parquet(path)
-        counts[name] = _table(spark, path, rows).where(F.col(time).between(*(F.lit(x.isoformat(sep=" ")).cast(raw.schema[time].dataType) for x in (window.start, window.end)))).count()
-    if strict:
-        row = reconcile(source, _table(spark, masked_path, good), _table(spark, quarantine_path, bad), key).first()
-        counts["missing"] = row["missing"]
-        if row["missing"]:
-            raise SyncError(f"{row['missing']} documents of the window are in neither target; the checkpoint stays")
+    staged = f"{masked_path.rstrip('/')}-run-{uuid.uuid4().hex}"
+    seen = Observation()
+    source = window_rows(raw, time, window).observe(seen, F.count(F.lit(1)).alias("source"), F.count_if(F.col(key).isNull()).alias("without_id"))
+    try:
+        mask(source).write.parquet(staged)
+        counts = dict(seen.get)
+        if counts["without_id"]:
+            raise SyncError(f"{counts['without_id']} documents of the window have no id; nothing is written and the checkpoint stays")
+        rows = spark.read.parquet(staged)
+        for part, path, name in zip(split_quarantine(rows, "masking_failure", origin), (masked_path, quarantine_path), ("masked", "quarantined")):
+            written = append_new(one_each(part, key, time), path, key, time, window.start, window.end)
+            counts |= {name: written["old"] + written["new"], f"{name}_new": written["new"]}
+        if strict:
+            done = [in_days(_table(spark, path, rows), window.start, window.end).select(key) for path in (masked_path, quarantine_path)]
+            counts["missing"] = rows.select(key).join(done[0].unionByName(done[1]), key, "left_anti").count()
+            if counts["missing"]:
+                raise SyncError(f"{counts['missing']} documents of the window are in neither target; the checkpoint stays")
+    finally:
+        _delete(spark, staged)
     if counts["quarantined"]:
         raise SyncError(f"{counts['quarantined']} documents of the window are in quarantine; the checkpoint stays")
     marks.write(tenant, window.end)
@@ -146,7 +185,9 @@ def migrate(masked_path: str, quarantine_path: str, spark: SparkSession, key: st
     n = flagged.count()
     if not n:
         return 0
-    new_only(flagged, _table(spark, quarantine_path, flagged), key).write.mode("append").parquet(quarantine_path)
+    target = _table(spark, quarantine_path, flagged)
+    added = new_only(flagged, target, key).write.mode("append")
+    (added.partitionBy(DAY) if DAY in flagged.columns else added).parquet(quarantine_path)
     copied = spark.read.parquet(quarantine_path).join(flagged.select(key), key, "left_semi").count()
     if copied < n:
         raise SyncError(f"{n - copied} flagged rows were not copied; nothing is deleted")
@@ -154,19 +195,67 @@ def migrate(masked_path: str, quarantine_path: str, spark: SparkSession, key: st
     return n
 
 
+def _fs(spark: SparkSession, path: str):
+    """A path and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place, fs = _fs(spark, path)
+    fs.delete(place, True)
+
+
+def _swap(spark: SparkSession, new: str | None, path: str) -> None:
+    """Puts ``new`` in the place of ``path`` by renaming; the old one goes last, so the rows are there whatever fails."""
+    place, fs = _fs(spark, path)
+    old = f"{path}-old"
+    for a, b in ((path, old), *([(new, path)] if new else [])):
+        if not fs.rename(_fs(spark, a)[0], _fs(spark, b)[0]):
+            raise OSError(f"{a} was not renamed to {b}")
+    fs.delete(_fs(spark, old)[0], True)
+
+
+def days_of(spark: SparkSession, path: str) -> dict[str, str]:
+    """The days of a target and their folders; a listing, no read."""
+    place, fs = _fs(spark, path)
+    if not fs.exists(place):
+        return {}
+    names = [f.getPath().getName() for f in fs.listStatus(place)]
+    return {n.removeprefix(f"{DAY}="): f"{path.rstrip('/')}/{n}" for n in sorted(names) if n.startswith(f"{DAY}=") and not n.endswith("-old")}
+
+
+def drop_days(spark: SparkSession, path: str, as_of: datetime, days: int) -> list[str]:
+    """Retention by partition: deletes the folders of days that end before the last ``days`` begin, and names them."""
+    limit = (as_of - timedelta(days=days)).date().isoformat()
+    gone = [day for day, folder in days_of(spark, path).items() if day < limit]
+    for day in gone:
+        _delete(spark, f"{path.rstrip('/')}/{DAY}={day}")
+    spark.catalog.refreshByPath(path)
+    return gone
+
+
 def delete_where(spark: SparkSession, path: str, test: Column) -> None:
     """Deletes the rows of a table that pass ``test``; null does not pass.
 
-    What stays is written beside the table, and the folders are swapped by renaming; the old one goes last, so
-    the rows are there whatever fails.
+    Of a table by days only the days that hold such rows are read and written again, one folder each; another is written
+    again whole.  What stays is written beside the table, and folders are swapped by renaming.
     """
     path = path.rstrip("/")
-    kept, old = f"{path}-kept", f"{path}-old"
-    spark.read.parquet(path).where(~F.coalesce(test, F.lit(False))).write.mode("overwrite").parquet(kept)
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for a, b in ((path, old), (kept, path)):
-        if not fs.rename(place(a), place(b)):
-            raise OSError(f"{a} was not renamed to {b}")
-    fs.delete(place(old), True)
+    table, kept = spark.read.parquet(path), f"{path}-kept-{uuid.uuid4().hex}"
+    goes = F.coalesce(test, F.lit(False))
+    if DAY not in table.columns:
+        table.where(~goes).write.parquet(kept)
+        _swap(spark, kept, path)
+        spark.catalog.refreshByPath(path)
+        return
+    touched = [r[0] for r in table.where(goes).select(DAY).distinct().collect()]  # a row a day
+    if not touched:
+        return
+    table.where(F.col(DAY).isin(*touched)).where(~goes).write.partitionBy(DAY).parquet(kept)
+    for day in touched:
+        new = f"{kept}/{DAY}={day.isoformat()}"
+        place, fs = _fs(spark, new)
+        _swap(spark, new if fs.exists(place) else None, f"{path}/{DAY}={day.isoformat()}")
+    _delete(spark, kept)
     spark.catalog.refreshByPath(path)

@@ -69,6 +69,9 @@ class SearchPlan:
     sort: tuple[tuple[str, bool], ...] = ()
     search_after: tuple | None = None
     track_total: bool = False
+    #: what runs where the gate is off
+    highlight: dict = field(default_factory=dict)
+    suggest: dict = field(default_factory=dict)
     notices: tuple[str, ...] = field(default=())
 
 
@@ -118,6 +121,7 @@ def parse_body(body: str | dict, size_cap: int = 100, gate: str = "block") -> Se
     if gate == "off":
         unknown = [n for n in nodes if not all(x.runnable for _, x in n.walk()) or n.kind in PARENT]
         notices += [f"[NOT RUN] {n.name}: it is scripted, unknown or incomplete" for n in unknown]
+        notices += [f"[NOT RUN] {f}: it is scripted" for f in opaque if f in ("runtime_mappings", "script_fields")]
         nodes = tuple(n for n in nodes if n not in unknown)
     size = body.get("size", 10)
     if isinstance(size, bool) or not isinstance(size, int) or size < 0:
@@ -135,4 +139,5 @@ def parse_body(body: str | dict, size_cap: int = 100, gate: str = "block") -> Se
         name, how = next(iter(s.items())) if isinstance(s, dict) else (s, "asc")
         sort.append((name, (how.get("order", "asc") if isinstance(how, dict) else how) != "desc"))
     after = tuple(body["search_after"]) if "search_after" in body else None
-    return SearchPlan(body.get("query") or {"match_all": {}}, nodes, size, source, tuple(sort), after, body.get("track_total_hits") is True, tuple(notices))
+    run = {f: body.get(f) or {} for f in ("highlight", "suggest")} if gate == "off" else {}
+    return SearchPlan(body.get("query") or {"match_all": {}}, nodes, size, source, tuple(sort), after, body.get("track_total_hits") is True, notices=tuple(notices), **run)

@@ -41,7 +41,7 @@ def test_gate_blocks_drops_and_lets_through(body):
     dropped = parse_body(body, gate="drop")
     assert dropped.aggs == () and dropped.notices
     free = parse_body(body, gate="off")
-    assert free.aggs == () and all(n.startswith("[NOT RUN]") for n in free.notices)
+    assert free.aggs == () and all(n.startswith("[NOT RUN]") for n in free.notices) and bool(free.notices) is not bool({"suggest", "highlight"} & set(body))
 
 
 def test_caps():

@@ -104,3 +104,32 @@ def test_gates_still_hold(gate):
     else:
         assert parse_body(body, gate=gate).aggs == ()
     assert len(parse_body(body, gate="off").aggs) == 2
+
+
+def test_snippets_are_masked_with_their_own_document(spark):
+    rows = [(1, "alice", "long ago alice logged in from host web.example.org at 10.0.0.1 with bob", "x"), (2, "bob", "nothing of interest", "x"), (3, "carol", "Alice LOGGED out", "x")]
+    df = spark.createDataFrame(rows, "id int, u string, note string, k string")
+    policy = P.Policy("t", SALT, (P.FieldSpec("u", "USER"),))
+    body = {"query": {"bool": {"should": [{"match": {"note": "logged"}}, {"term": {"id": 2}}]}}, "highlight": {"fields": {"note": {"fragment_size": 40}, "gone": {}}, "pre_tags": ["["], "post_tags": ["]"]}, "_source": ["id"]}
+    e = Engine(spark, Catalog({"t": df}), policy, P.Settings(gate="off"), ids={"t": "id"})
+    got = {r["id"]: r["highlight"]["note"] for r in e.search("t", body).hits.collect()}
+    raw = {r["id"]: r["highlight"]["note"] for r in Engine(spark, Catalog({"t": df}), None, P.Settings(gate="off"), ids={"t": "id"}).search("t", body).hits.collect()}
+    assert raw[1] == ["long ago alice [logged] in from host web."] and raw[2] is None and raw[3] == ["Alice [LOGGED] out"]
+    full = e.search("t", {**body, "_source": ["id", "u"]}).hits.collect()
+    mine = {r["id"]: r["highlight"]["note"] for r in full}
+    assert "alice" not in mine[1][0] and "[USER_" in mine[1][0] and mine[3] == ["Alice [LOGGED] out"]  # another document's name is no name here
+    assert got[2] is None
+
+
+def test_suggestions_of_masked_fields_are_tokens(spark):
+    df = spark.createDataFrame([(1, "alice", "see web-1.example.org"), (2, "alisen", "alike"), (3, "alice", None)], "id int, u string, note string")
+    policy = P.Policy("t", SALT, (P.FieldSpec("u", "USER"),))
+    body = {"size": 0, "suggest": {"a": {"text": "alise", "term": {"field": "u"}}, "b": {"text": "alike", "term": {"field": "note"}}, "c": {"text": "alika", "term": {"field": "note"}}}}
+    out = Engine(spark, Catalog({"t": df}), policy, P.Settings(gate="off"), ids={"t": "id"}).search("t", body).suggest
+    rows = out["a"].orderBy("rank").collect()
+    assert [(r["freq"], r["distance"]) for r in rows] == [(2, 1), (1, 1)] and all(r["option"].startswith("[USER_") for r in rows)
+    assert out["b"].count() == 0 and [(r["option"], r["distance"]) for r in out["c"].collect()] == [("alike", 1)]
+    plain = Engine(spark, Catalog({"t": df}), None, P.Settings(gate="off")).search("t", body).suggest["a"].orderBy("rank").collect()
+    assert [r["option"] for r in plain] == ["alice", "alisen"]
+    with pytest.raises(RequestError):
+        Engine(spark, Catalog({"t": df}), None, P.Settings(gate="off")).search("t", {"suggest": {"a": {"text": "x"}}})

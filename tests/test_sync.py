@@ -89,3 +89,34 @@ def test_stream_fails_closed_and_resumes(spark, tmp_path):
     for _ in range(2):
         masked_stream(stream(), mask(), m, q, str(tmp_path / "cp"), "id", "ts").awaitTermination()
     assert spark.read.parquet(m).count() == 3
+
+
+def test_targets_are_read_written_and_dropped_by_day(spark, tmp_path):
+    m, q = paths(tmp_path)
+    marks = S.Checkpoints(spark, str(tmp_path / "marks"))
+    counts = S.sync(raw(spark, [1, 2, 20, 22, 2], [1, 2, 3, 4, 2]), mask(), "a", marks, m, q, "id", "ts", NOW)
+    assert (counts["source"], counts["masked"], counts["masked_new"], counts["quarantined"], counts["missing"]) == (5, 4, 4, 0, 0)
+    assert list(S.days_of(spark, m)) == ["2024-01-09", "2024-01-10"] and not [p for p in tmp_path.iterdir() if "-run-" in p.name]
+    pruned = S.in_days(spark.read.parquet(m), NOW - timedelta(hours=2), NOW)
+    assert "PartitionFilters: [isnotnull(sync_day" in pruned._jdf.queryExecution().executedPlan().toString() and pruned.count() == 2
+    again = S.sync(raw(spark, [1, 0.5], [1, 9]), mask(), "a", marks, m, q, "id", "ts", NOW + timedelta(minutes=10))
+    assert (again["masked"], again["masked_new"]) == (2, 1)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "masked" / "sync_day=2024-01-09").iterdir()}
+    S.delete_where(spark, m, F.col("id") == 2)
+    assert sorted(r["id"] for r in spark.read.parquet(m).collect()) == [1, 3, 4, 9]
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "masked" / "sync_day=2024-01-09").iterdir()}  # the other day was left alone
+    S.delete_where(spark, m, F.col("id") > 8)
+    S.delete_where(spark, m, F.col("id") == 1)
+    assert list(S.days_of(spark, m)) == ["2024-01-09"]
+    assert S.drop_days(spark, m, NOW, 1) == [] and S.drop_days(spark, m, NOW + timedelta(days=1), 1) == ["2024-01-09"] and S.days_of(spark, m) == {}
+
+
+def test_ids_are_needed_and_repeats_are_settled_alike(spark, tmp_path):
+    m, q = paths(tmp_path)
+    marks = S.Checkpoints(spark, str(tmp_path / "marks"))
+    with pytest.raises(S.SyncError, match="no id"):
+        S.sync(raw(spark, [1, 2], [None, 2]), mask(), "a", marks, m, q, "id", "ts", NOW)
+    assert marks.read("a") is None and not (tmp_path / "masked").exists()
+    df = raw(spark, [3, 1, 3], [1, 1, 1])
+    kept = {tuple(S.one_each(df.repartition(n), "id", "ts").first()) for n in (1, 2, 3)}
+    assert len(kept) == 1 and kept.pop()[1] == NOW - timedelta(hours=3)
