@@ -9,8 +9,10 @@ candidates are compared with all entities of the corpus and with each other, and
 the next attempt number until none is left; late attempts are longer, so this ends.  Every step is a
 DataFrame function.  What is compared and joined are the distinct entities, not the texts.
 
-A word of a name that its document has elsewhere as a name is that person again and gets the same surrogate there; a
-word of an e-mail address that is a name of the corpus follows it.  Private, loopback and link-local addresses stay so,
+A word of a name that its document has elsewhere, in whatever case, is that person again and gets the same surrogate
+there.  That needs evidence: one table counts in how many documents each word stands in lower case and how many in
+others, and a word that is mostly written small, or a listed function or role word, is replaced nowhere but right behind
+a title or in front of or behind a given name.  A word of an e-mail address that is a name of the corpus follows it.  Private, loopback and link-local addresses stay so,
 and IBANs keep the validity of their check digits.
 
 Defined results: null and empty texts, and texts without entities, come back as they were.  Repeated rows get
@@ -20,8 +22,9 @@ the same result.  Empty tables give empty results; columns other than doc_id and
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakfield.functions.tokens import hmac_hex
@@ -39,6 +42,14 @@ MALE_NAMES = ("James", "John", "Robert", "Michael", "David", "Thomas", "Peter",
 # fixed values: labels before a colon and words before a name that say that a person follows
 LABELS = ("name", "full name", "contact", "author", "patient", "customer", "client", "employee", "applicant", "attn", "signed", "kontakt", "autor", "nom", "nombre")
 CUES = ("Dear", "Regards", "Sincerely", "Sehr geehrte", "Sehr geehrter", "Cher", "Chère", "Estimado", "Estimada")
+#: Words of function or role, which no label or salutation makes a name.
+NO_NAMES = (
+    "a an and are as at by dear for from he her his i in is it its madam my no not of on or our she sir that the their they this to we with you your "
+    "all administrator agent author board client colleague colleagues committee company customer customers department editor editorial everyone friend friends "
+    "group guest hello help hiring manager management member members news office owner press reader readers sales service services staff subscriber support team user users valued "
+    "der die das ein eine und sie wir ihr ihre unser unsere kunde kunden kundin damen herren redaktion mannschaft "
+    "le la les un une et nous vous notre votre client cliente équipe rédaction tous el los las una nosotros su sus nuestro nuestra equipo redacción todos"
+).split()
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi fo ga ge go ha he ho ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe pi po ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
     "cyrillic": "ба бе би бо ва ве ви во га го да де ди до за зе зи зо ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе пи по ра ре ри ро са се си со та те ти то".split(),
@@ -57,12 +68,12 @@ ENDINGS = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # No pattern repeats a group without a small bound, and none repeats a class by a count without one where lengths of characters
 # may differ: Java would recurse once for each repeat.
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,24}"
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _H = "[0-9a-fA-F]{1,4}"
 #: Eight groups, or fewer around one gap with two groups at least.
 _IP6 = rf"(?<![0-9A-Za-z:.])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|:(?::{_H}){{2,7}})(?![0-9A-Za-z:])"
-_PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
+_PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<!\d)\(0\d{2,4}\) ?\d{4,8}(?!\d)|(?<![\d/.-])0\d{2,4}/\d{5,9}(?![\d/])|(?<![\d.-])0\d{2} \d{3} \d{4}(?![\d.])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 _SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])"
@@ -70,42 +81,49 @@ _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3}
 _ACCESS_KEY = r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])"
 _NAMES = r"(?i:password|passwd|pwd|secret|api[_-]?key|token)"
 #: A name in or out of quotes, the separator, and the quote that opens the value.
-_ASSIGNED = rf"{_NAMES}[\"']?\s{{0,8}}[=:]\s{{0,8}}[\"']?"
+_ASSIGNED = rf"{_NAMES}(?:[\"']?\s*+[=:]\s*+[\"']?|\s++(?i:is)\s++)"
 _IN = r"[^\s\x00\"'<>,;&]"
 _VALUE = rf"{_IN}{{5}}{_IN}*[^\s\"'<>,;&.:!?)]"
-#: A value of six characters or more right behind its name, in quotes, or behind white space if it has a digit among its
-#: first 256 characters, so that prose stays; punctuation that ends a sentence is not part of it.  A value that is a hex
-#: secret as a whole is one, but right behind a name other than token.
+_DIGIT = r"(?=[^\s\x00\"'<>,;&\d]{0,4096}+\d)"
+#: A value of six characters or more right behind its name, in quotes, or behind white space or "is" if it has a digit among
+#: its first 4,096 characters, so that prose stays; punctuation that ends a sentence is not part of it.  A value that is a hex secret as a whole is one, but
+#: right behind a name other than token.
 _CREDENTIAL = (
     rf"(?<![\p{{L}}\p{{N}}])(?:(?!(?i:token)){_NAMES}[=:]{_VALUE}"
-    rf"|{_NAMES}[\"']?\s{{0,8}}[=:]\s{{0,8}}[\"'](?!{_SECRET}){_VALUE}"
-    rf"|{_NAMES}[\"']?\s{{0,8}}[=:]\s{{0,8}}(?!{_SECRET})(?={_IN}{{0,256}}\d){_VALUE})"
+    rf"|{_NAMES}[\"']?\s*+[=:]\s*+[\"'](?!{_SECRET}){_VALUE}"
+    rf"|{_NAMES}(?:[\"']?\s*+[=:]\s*+|\s++(?i:is)\s++)(?!{_SECRET}){_DIGIT}{_VALUE})"
 )
+_JWT = r"(?<![\p{L}\p{N}_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 _TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
 _GIVEN = "|".join((*FEMALE_NAMES, *MALE_NAMES))
-_WORD = r"\p{Lu}\p{Ll}+"
-#: A name: a title and one or two capitalised words, a known given name and a capitalised word, or two or three capitalised
-#: words behind a word or label that names a person.
+_PART = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)?"
+_WORD = rf"{_PART}(?:-{_PART})?"
+_LOUD = r"\p{Lu}['’]?\p{Lu}+(?:-\p{Lu}+)?"
+_LOUD_GIVEN = _GIVEN.upper()
+_OTHER = rf"(?!(?i:{'|'.join(NO_NAMES)})(?!\p{{L}})){_WORD}"
+#: A name: a title and one or two capitalised words, a known given name and a capitalised word, either in capitals, or two or
+#: three capitalised words behind a word or label that names a person.
 _PERSON = (
-    rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? (?:{_WORD} )?{_WORD}|(?:{_GIVEN}) {_WORD}"
-    rf"|(?<=(?<![\p{{L}}\p{{N}}])(?:(?i:{'|'.join(LABELS)}): ?|(?:{'|'.join(CUES)}),?[ \n]))(?!(?:{_TITLES})(?!\p{{L}})){_WORD} (?:{_WORD} )?{_WORD})(?!\p{{L}})"
+    rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? (?:(?:{_WORD} )?{_WORD}|(?:{_LOUD} )?{_LOUD})|(?:{_GIVEN})(?:-(?:{_GIVEN}))? {_WORD}|(?:{_LOUD_GIVEN}) {_LOUD}"
+    rf"|(?<=(?<![\p{{L}}\p{{N}}])(?:(?i:{'|'.join(LABELS)}): ?|(?:{'|'.join(CUES)}),?[ \n]))(?!(?:{_TITLES})(?!\p{{L}})){_OTHER} (?:{_OTHER} )?{_OTHER})(?!\p{{L}})"
 )
 #: Two cheap tests stand before groups of patterns: a word begins here, or something that numbers begin with.
 _START, _NUMBER = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}._%+:-])", r"(?=[\d+(])"
-PATTERN = f"{_START}(?:{_CREDENTIAL}|{_EMAIL}|{_IP6})|{_NUMBER}(?:{_IP}|{_PHONE}|{_SSN}|{_CARD})|{_START}(?:{_SECRET}|{_ACCESS_KEY}|{_IBAN}|{_PERSON})"
+PATTERN = f"{_START}(?:{_CREDENTIAL}|{_EMAIL}|{_IP6})|{_NUMBER}(?:{_IP}|{_PHONE}|{_SSN}|{_CARD})|{_START}(?:{_SECRET}|{_ACCESS_KEY}|{_JWT}|{_IBAN}|{_PERSON})"
 
 
 def _kind(e: Column) -> Column:
     whole = lambda p: e.rlike(f"^(?:{p})$")
     return (
         F.when(e.rlike(f"^{_ASSIGNED}"), "credential")
+        .when(e.startswith("eyJ") & e.contains("."), "jwt")
         .when(e.contains("@"), "email")
         .when(whole("(?:AKIA|ASIA)[0-9A-Z]{16}"), "access_key")
         .when(whole(rf"(?:{_OCTET}\.){{3}}{_OCTET}"), "ip")
         .when(whole("[0-9a-fA-F]*:[0-9a-fA-F:]+"), "ip6")
         .when(whole(r"\d{3}-\d{2}-\d{4}"), "ssn")
         .when(whole(r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}"), "card")
-        .when(e.rlike(r"^[+(]|^\d{3}-\d{3}-"), "phone")
+        .when(e.rlike(r"^[+(]|^\d{3}-\d{3}-|^0\d+[/ ]"), "phone")
         .when(whole("[0-9a-f]{32,64}|[0-9A-F]{32,64}"), "secret")
         .when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .otherwise("person")
@@ -131,21 +149,27 @@ def _units(e: Column) -> Column:
     )
     words = F.split(e, " ")
     bare = lambda w: F.regexp_replace(w, r"\.$", "")
-    first, second = F.get(words, 0), F.get(words, 1)
-    female = first.isin(*FEMALE_NAMES) | bare(first).isin(*FEMALE_TITLES) | F.coalesce(second.isin(*FEMALE_NAMES), F.lit(False))
-    male = first.isin(*MALE_NAMES) | bare(first).isin(*MALE_TITLES) | F.coalesce(second.isin(*MALE_NAMES), F.lit(False))
+    # a name in capitals is the same name
+    plain = lambda w: F.when((w == F.upper(w)) & (F.length(w) > 2), F.initcap(F.lower(w))).otherwise(w)
+    lead = lambda w: F.substring_index(plain(w), "-", 1)
+    first, second = F.get(words, 0), F.coalesce(F.get(words, 1), F.lit(""))
+    female = lead(first).isin(*FEMALE_NAMES) | bare(first).isin(*FEMALE_TITLES) | lead(second).isin(*FEMALE_NAMES)
+    male = lead(first).isin(*MALE_NAMES) | bare(first).isin(*MALE_TITLES) | lead(second).isin(*MALE_NAMES)
+    titled = bare(first).isin(*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)
+    #: what only a label or salutation makes a name
+    weak = (kind == "person") & ~titled & ~lead(first).isin(*FEMALE_NAMES, *MALE_NAMES) & ~lead(second).isin(*FEMALE_NAMES, *MALE_NAMES)
     script = lambda w: F.when(w.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
     def name(w: Column, i: Column) -> Column:
-        title = (i == 0) & bare(w).isin(*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)
+        title = (i == 0) & titled
         last = i == F.size(words) - 1
         family = F.when((script(w) == "cyrillic") & w.rlike("[ая]$"), "family_f").otherwise("family")
         # a given name of no known gender: Cyrillic ones tell it by their ending, Latin ones get a neutral form
         unknown = F.when(script(w) == "cyrillic", F.when(w.rlike("[ая]$"), "female").otherwise("male")).otherwise("neutral")
         role = F.when(last, family).when(female, "female").when(male, "male").otherwise(unknown)
-        return F.struct(F.when(~title, F.concat_ws(":", F.lit("name"), script(w), role)).alias("kind"), w.alias("canonical"))
+        return F.struct(F.when(~title, F.concat_ws(":", F.lit("name"), script(w), role)).alias("kind"), plain(w).alias("canonical"), w.alias("word"), weak.alias("weak"))
 
-    one = F.array(F.struct(kind.alias("kind"), canonical.alias("canonical")))
+    one = F.array(F.struct(kind.alias("kind"), canonical.alias("canonical"), e.alias("word"), F.lit(False).alias("weak")))
     return F.when(kind == "person", F.transform(words, name)).otherwise(one)
 
 
@@ -261,6 +285,9 @@ def _candidates(units: DataFrame, key: str, attempt: int) -> DataFrame:
         end = F.array(*[F.lit(x) for x in ends])
         body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1 + min(attempt, 30) // 3)), lambda i: F.element_at(table_, F.pmod(_byte(s, i), F.size(table_)) + 1)), "")
         made = F.initcap(F.concat(body, F.element_at(end, F.pmod(_byte(s, F.lit(15)), F.lit(len(ends))) + 1)))
+        # a double name stays one
+        second = F.initcap(F.concat(*[F.element_at(table_, F.pmod(_byte(s, F.lit(i)), F.size(table_)) + 1) for i in (20, 21)], F.element_at(end, F.pmod(_byte(s, F.lit(22)), F.lit(len(ends))) + 1)))
+        made = F.when(c.contains("-"), F.concat(made, F.lit("-"), second)).otherwise(made)
         name = F.when(F.col("kind") == f"name:{script}:{role}", made).otherwise(name)
     surrogate = (
         F.when(F.col("kind") == "email", email)
@@ -276,18 +303,19 @@ def _candidates(units: DataFrame, key: str, attempt: int) -> DataFrame:
     return df.withColumn("surrogate", surrogate).drop("__stream")
 
 
-def assign(units: DataFrame, key: str, rounds: int = 64) -> DataFrame:
+def assign(units: DataFrame, key: str) -> DataFrame:
     """Rows (kind, canonical, surrogate) for distinct units: one-to-one within a kind, and never an entity of the corpus.
 
-    One round settles nearly all; the loop runs while units are left, each round over those alone.  A column
-    ``named`` may hold, for an e-mail address, what words of its local part become.
+    One round settles nearly all; the loop runs while units are left, each round over those alone, and late rounds draw
+    longer surrogates, of which there are always enough.  A column ``named`` may hold, for an e-mail address, what words
+    of its local part become.
     """
     if "named" not in units.columns:
         units = units.withColumn("named", F.lit(None).cast("array<string>"))
     originals = units.select("kind", F.col("canonical").alias("surrogate"))
     settled: list[DataFrame] = []
     left = units
-    for attempt in range(rounds):
+    for attempt in count():
         drawn = _candidates(left, key, attempt).join(originals, ["kind", "surrogate"], "left_anti")
         for table_ in settled:
             drawn = drawn.join(table_.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
@@ -296,7 +324,7 @@ def assign(units: DataFrame, key: str, rounds: int = 64) -> DataFrame:
         left = materialize(left.join(won.select("kind", "canonical"), ["kind", "canonical"], "left_anti"), "surrogates-left")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, settled)
-    raise RuntimeError(f"no free surrogates after {rounds} attempts")
+    raise AssertionError("not reached")
 
 
 def _assign_all(units: DataFrame, key: str) -> DataFrame:
@@ -328,6 +356,15 @@ def _render(match: Column, kind: Column, surrogate: Column) -> Column:
     return F.when(numbers, F.concat(country, laid)).when(kind == "credential", named).otherwise(upper)
 
 
+def _small_words(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """Those of ``words`` (word, in lower case) that more documents have in lower case than otherwise, and the listed ones."""
+    seen = F.array_distinct(F.split(F.coalesce(F.col("text"), F.lit("")), r"[^\p{L}\p{N}'’-]+"))
+    each = docs.select(F.explode(F.filter(seen, lambda w: w.rlike(r"^\p{L}"))).alias("w"))
+    counts = each.groupBy(F.lower("w").alias("word")).agg(F.count_if(F.col("w") == F.lower("w")).alias("small"), F.count_if(F.col("w") != F.lower("w")).alias("large"))
+    found = words.join(counts, "word", "left").where((F.col("small") > F.col("large")) | F.col("word").isin(*NO_NAMES))
+    return found.select("word")
+
+
 def pii_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """Rows (doc_id, text, n_entities, kinds): texts with every detected entity replaced, how many there were, and of which kinds.
 
@@ -340,35 +377,45 @@ def pii_surrogates(docs: DataFrame, key: str) -> DataFrame:
     found = materialize(found.where(F.size("matches") > 0).dropDuplicates(["doc_id", "mark"]), "pii-found")
     mentions = found.select("doc_id", "mark", F.posexplode("matches").alias("pos", "match"))
     mentions = mentions.select("doc_id", "mark", "pos", "match", F.posexplode(_units(F.col("match"))).alias("part", "unit"))
-    mentions = mentions.select("doc_id", "mark", "pos", "match", "part", "unit.kind", "unit.canonical")
+    mentions = materialize(mentions.select("doc_id", "mark", "pos", "match", "part", "unit.*"), "pii-mentions")
+    spoken = mentions.where(F.startswith("kind", F.lit("name:"))).select(F.lower("canonical").alias("word")).distinct()
+    small = materialize(_small_words(docs, spoken), "pii-words").withColumn("small", F.lit(True))
+    mentions = mentions.join(small.withColumnRenamed("word", "__small"), F.lower("canonical") == F.col("__small"), "left").drop("__small")
+    mentions = mentions.withColumn("small", F.coalesce("small", F.lit(False)))
+    # a name by label alone with a word that is mostly written small is none
+    none = F.max(F.col("weak") & F.col("small")).over(Window.partitionBy("doc_id", "mark", "pos"))  # the words of a match
+    mentions = mentions.withColumn("none", none).withColumn("kind", F.when(~F.col("none"), F.col("kind"))).drop("none", "weak")
+    mentions = mentions.withColumn("canonical", F.when(F.col("kind").isNull(), F.col("word")).otherwise(F.col("canonical")))
     units = materialize(mentions.where(F.col("kind").isNotNull()).select("kind", "canonical").distinct(), "pii-units")
     surrogates = _assign_all(units, key)
     drawn = mentions.join(surrogates, ["kind", "canonical"], "left")
     is_name = F.coalesce(F.startswith("kind", F.lit("name:")), F.lit(False))
-    piece = F.when(F.col("kind").isNull(), F.col("canonical")).otherwise(_render(F.when(is_name, F.col("canonical")).otherwise(F.col("match")), F.col("kind"), F.col("surrogate")))
+    piece = F.when(F.col("kind").isNull(), F.col("canonical")).otherwise(_render(F.when(is_name, F.col("word")).otherwise(F.col("match")), F.col("kind"), F.col("surrogate")))
     # a zero character, which no entity holds, stands before the first part of each entity, so that one string has them all
     piece = F.concat(F.when(F.col("part") == 0, "\0").otherwise(" "), piece)
-    name = F.when(is_name, F.struct("canonical", "surrogate"))
-    drawn = drawn.select("doc_id", "mark", "pos", "part", piece.alias("piece"), F.substring_index("kind", ":", 1).alias("kind"), name.alias("name"))
+    name = F.when(is_name & ~F.col("small"), F.struct(F.lower("canonical").alias("canonical"), "surrogate"))
+    drawn = drawn.select("doc_id", "mark", "pos", F.when(F.col("kind").isNotNull(), F.col("pos")).alias("hit"), "part", piece.alias("piece"), F.substring_index("kind", ":", 1).alias("kind"), name.alias("name"))
     parts = drawn.groupBy("doc_id", "mark").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "part", "piece"))).alias("pieces"), F.sort_array(F.collect_set("kind")).alias("kinds"), F.sort_array(F.collect_set("name")).alias("names")
+        F.sort_array(F.collect_list(F.struct("pos", "part", "piece"))).alias("pieces"), F.sort_array(F.collect_set("kind")).alias("kinds"), F.sort_array(F.collect_set("name")).alias("names"),
+        F.size(F.collect_set("hit")).alias("hits"),
     )
     new = F.split(F.array_join(F.transform("pieces", lambda x: x["piece"]), ""), "\0")
-    ready = parts.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"), "kinds", "names", F.concat(F.slice(new, F.lit(2), F.size(new)), F.array(F.lit(""))).alias("new"))
+    ready = parts.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"), "kinds", "names", "hits", F.concat(F.slice(new, F.lit(2), F.size(new)), F.array(F.lit(""))).alias("new"))
     joined = marked.join(ready, marked["doc_id"].eqNullSafe(ready["__id"]) & (F.col("mark") == F.col("__m")), "left")
     joined = joined.withColumn("__between", F.when(F.col("new").isNotNull(), F.split("text", PATTERN, -1)))
     old = F.transform("names", lambda x: x["canonical"])
-    bare = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(old, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    bare = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(old, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    styled = lambda w, new: F.when(w == F.lower(w), F.lower(new)).when((w == F.upper(w)) & (F.length(w) > 1), F.upper(new)).otherwise(new)
     named = F.size("names") > 0
 
     def again(x: Column) -> Column:
         """The text between two entities, where words of the document's names stand alone."""
-        found = F.transform(F.regexp_extract_all(x, bare, F.lit(0)), lambda w: F.element_at("names", F.array_position(old, w).cast("int"))["surrogate"])
+        found = F.transform(F.regexp_extract_all(x, bare, F.lit(0)), lambda w: styled(w, F.try_element_at("names", F.array_position(old, F.lower(w)).cast("int"))["surrogate"]))
         return F.when(named, F.array_join(F.zip_with(F.split(x, bare, -1), F.concat(found, F.array(F.lit(""))), lambda y, z: F.concat(y, z)), "")).otherwise(x)
 
     woven = F.array_join(F.zip_with(F.transform("__between", again), "new", lambda x, y: F.concat(x, y)), "")
     more = F.when(named, F.aggregate("__between", F.lit(0), lambda a, x: a + F.regexp_count(x, bare))).otherwise(0)
-    n = F.when(F.col("new").isNull(), 0).otherwise(F.size("new") - 1 + more)
+    n = F.when(F.col("new").isNull(), 0).otherwise(F.col("hits") + more)
     return joined.select("doc_id", F.when(F.col("new").isNull(), F.col("text")).otherwise(woven).alias("text"), n.cast("bigint").alias("n_entities"), F.array_join(F.coalesce("kinds", F.array()), ",").alias("kinds"))
 
 
