@@ -91,7 +91,7 @@ class Engine:
                 hits = hits.select(*[path_column(hits, f).alias(f) for f in plan.source], *(["highlight"] if lit else []))
         options = {name: suggest(df, name, spec) for name, spec in plan.suggest.items() if name != "text"}
         results = Aggregator(lambda: df, self.as_of, ident, self.children).run(rows, plan.aggs)
-        found = notices.notices_frame(self.spark, [(n.partition("] ")[0] + "]", index, n.partition("] ")[2]) for n in plan.notices] + self._banner(index))
+        found = notices.notices_frame(self.spark, [(n.partition("] ")[0] + "]", index, n.partition("] ")[2]) for n in plan.notices] + self._banner(index) + self._lost(index))
         about = notices.aggregation_notices(results, self.shadowed)
         found = found.unionByName(about) if about is not None else found
         found = found.unionByName(total.where("value = 0").select(F.lit("[ZERO HITS]").alias("code"), F.lit(index).alias("subject"), F.lit("no document matches").alias("detail")))
@@ -157,6 +157,9 @@ class Engine:
         rows = [(t, n, self.blocked[t]) for t, n in sorted(self.exchanges.items())]
         return self.spark.createDataFrame(rows, "tool string, exchanges long, blocked long")
 
+    def _lost(self, index: str) -> list[tuple[str, str, str]]:
+        return notices.shard_failures({n: self.catalog.lost_files(n) for n in self.catalog.resolve(index) if n in self.catalog.tolerant})
+
     def _banner(self, index: str) -> list[tuple[str, str, str]]:
         active = bool(self.policy and self.policy.fields)
         out = notices.safety_banner(active, active, self.settings.gate, index, list(self.raw_tables), self.settings.external)

@@ -72,6 +72,11 @@ def total_hits(df: DataFrame, exact: bool, cap: int = 10_000) -> DataFrame:
     return df.agg(n.alias("n")).select(F.least("n", F.lit(cap)).alias("value"), F.when(F.col("n") > cap, "gte").otherwise("eq").alias("relation"))
 
 
+def shard_failures(lost: dict[str, tuple[list[str], int]]) -> list[tuple[str, str, str]]:
+    """A notice for each table with files that could not be read: what is counted there is a lower bound."""
+    return [("[SHARD FAILURES]", name, f"{len(files)} of {n} files could not be read; counts are lower bounds") for name, (files, n) in lost.items() if files]
+
+
 def safety_banner(masking_active: bool, has_fields: bool, gate: str, index: str, raw_tables: list[str], external: bool = False) -> list[tuple[str, str, str]]:
     """Conditions that a reader must know before trusting a masked answer."""
     out = []

@@ -45,12 +45,33 @@ def check_tenant(name: str) -> str:
 class Catalog:
     """Tables by name; a table is a DataFrame or a function that makes one."""
 
-    def __init__(self, tables: dict[str, DataFrame | Callable[[], DataFrame]]):
-        self.tables = dict(tables)
+    def __init__(self, tables: dict[str, DataFrame | Callable[[], DataFrame]], tolerant: tuple[str, ...] = ()):
+        self.tables, self.tolerant = dict(tables), tolerant
 
     @classmethod
-    def of_parquet(cls, spark: SparkSession, folder: str, names: list[str]) -> Catalog:
-        return cls({n: (lambda n=n: spark.read.parquet(f"{folder}/{n}.parquet")) for n in names})
+    def of_parquet(cls, spark: SparkSession, folder: str, names: list[str], tolerant: bool = False) -> Catalog:
+        """Parquet tables of a folder.  A ``tolerant`` one answers from the files that can be read, and :meth:`lost_files` names the others."""
+        given = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"} if tolerant else {}
+        return cls({n: (lambda n=n: spark.read.options(**given).parquet(f"{folder}/{n}.parquet")) for n in names}, tuple(names) if tolerant else ())
+
+    def lost_files(self, name: str) -> tuple[list[str], int]:
+        """Files of a tolerant table that cannot be read, and how many it has.
+
+        Files that gave rows are told by the scan's own metadata, without reading a column; each other one, which is
+        empty or lost, is opened by itself.
+        """
+        df = self.table(name)
+        plain = lambda path: re.sub("^file:/+", "file:/", path)
+        listed = sorted(plain(f) for f in df.inputFiles())
+        read = {plain(r[0]) for r in df.select("_metadata.file_path").distinct().collect()}  # a row a file
+        lost = []
+        for path in listed:
+            if path not in read:
+                try:
+                    df.sparkSession.read.parquet(path).limit(1).count()
+                except Exception:
+                    lost.append(path)
+        return lost, len(listed)
 
     def resolve(self, pattern: str) -> list[str]:
         parts = check_pattern(pattern)

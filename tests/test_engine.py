@@ -323,3 +323,25 @@ def test_thousands_of_fields_take_one_scan(spark, tmp_path):
         assert got[f] == (sum(has(i, f) for i in range(20)), sum(has(i, f) for i in inside), 20, len(inside)), f
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert {r["grand_total"] for r in presence(df.limit(0), fields[:3]).collect()} == {0}
+
+
+def test_lost_files_are_told_and_the_rest_answers(spark, tmp_path):
+    """Of five files one is damaged and one is empty."""
+    place = tmp_path / "t.parquet"
+    spark.range(100).repartition(4).write.parquet(str(place))
+    spark.range(0).coalesce(1).write.mode("append").parquet(str(place))
+    whole = Engine(spark, Catalog.of_parquet(spark, str(tmp_path), ["t"], tolerant=True))
+    assert not [r for r in whole.search("t", {"size": 0}).notices.collect() if r["code"] == "[SHARD FAILURES]"]
+    damaged = max(place.glob("part-*.parquet"), key=lambda f: f.stat().st_size)
+    damaged.write_bytes(b"no parquet at all")
+    for crc in place.glob(".*.crc"):
+        crc.unlink()
+    e = Engine(spark, Catalog.of_parquet(spark, str(tmp_path), ["t"], tolerant=True))
+    found = e.search("t", {"size": 0, "track_total_hits": True})
+    said = [tuple(r)[1:] for r in found.notices.collect() if r["code"] == "[SHARD FAILURES]"]
+    n = len(list(place.glob("part-*.parquet")))
+    assert said == [("t", f"1 of {n} files could not be read; counts are lower bounds")] and 0 < found.total.first()["value"] < 100
+    lost, _ = e.catalog.lost_files("t")
+    assert [f.rsplit("/", 1)[1] for f in lost] == [damaged.name]
+    with pytest.raises(Exception):
+        Engine(spark, Catalog.of_parquet(spark, str(tmp_path), ["t"])).search("t", {"size": 0}).total.collect()
