@@ -16,6 +16,7 @@ from cloakfield.operators.aggs import Aggregator, AggResult
 from cloakfield.operators.filters import after_key, clause, instant
 from cloakfield.operators.highlight import highlight, suggest
 from cloakfield.operators.masking import counted, guard, left_in, mask_documents, mask_keys, mask_opaque_values, registry
+from cloakfield.operators.trees import aggregate
 from cloakfield.plans.dsl import parse_body
 from cloakfield.sources.catalog import Catalog, check_prefix
 from cloakfield.sources.catalog import field as path_column
@@ -90,7 +91,7 @@ class Engine:
             if plan.source is not None:
                 hits = hits.select(*[path_column(hits, f).alias(f) for f in plan.source], *(["highlight"] if lit else []))
         options = {name: suggest(df, name, spec) for name, spec in plan.suggest.items() if name != "text"}
-        results = Aggregator(lambda: df, self.as_of, ident, self.children).run(rows, plan.aggs)
+        results = aggregate(Aggregator(lambda: df, self.as_of, ident, self.children), rows, plan.aggs)
         found = notices.notices_frame(self.spark, [(n.partition("] ")[0] + "]", index, n.partition("] ")[2]) for n in plan.notices] + self._banner(index) + self._lost(index))
         about = notices.aggregation_notices(results, self.shadowed)
         found = found.unionByName(about) if about is not None else found

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,6 +131,58 @@ def _top(counts: DataFrame, by: list[str], order: list[Column], size: int) -> Da
     return counts.withColumn("__rank", rank).where(F.col("__rank") <= size).drop("__rank")
 
 
+def join_keys(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Joins on ``by``, and where that is empty one row with one row; ``small`` says that the right side has a proven bound."""
+    if not by:
+        return left.join(F.broadcast(right), how=how)  # one row
+    named = right.select(*[F.col(k).alias(f"__{k}") for k in by], *[c for c in right.columns if c not in by])
+    # null-safe, since the test for nulls of a plain join would enter the scan and keep Spark from reading it once
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by])
+    return left.join(F.broadcast(named) if small else named, same, how).drop(*[f"__{k}" for k in by])
+
+
+def key_columns(df: DataFrame, node: AggNode) -> list[tuple[str, str, Column, bool]]:
+    """Name, field, value and whether the value is one of the field's own, for each key of a level whose keys are its fields'."""
+    p, name = node.params, node.name
+    if node.kind in ("histogram", "date_histogram"):
+        c = field(df, p["field"])
+        return [(name, p["field"], _date_bucket(c, p) if node.kind == "date_histogram" else F.floor(c / p["interval"]) * F.lit(p["interval"]), False)]
+    if node.kind == "multi_terms":
+        return [(f"{name}_{i}", t["field"], field(df, t["field"]), True) for i, t in enumerate(p["terms"])]
+    if node.kind != "composite":
+        return [(name, p["field"], field(df, p["field"]), True)]
+    out = []
+    for s in p["sources"]:
+        k, spec = next(iter(s.items()))
+        how, q = next(iter(spec.items()))
+        out += [(k, f, c, own) for _, f, c, own in key_columns(df, AggNode(k, how, q))]
+    return out
+
+
+def chosen(counts: DataFrame, node: AggNode, by: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The buckets of a level that are returned, by parent, and for terms what the others hold."""
+    p, size = node.params, node.params.get("size", 10)
+    if node.kind == "rare_terms":
+        return counts.where(F.col("doc_count") <= p.get("max_doc_count", 1)), None
+    if node.kind in ("histogram", "date_histogram"):
+        return counts.where(F.col("doc_count") >= p.get("min_doc_count", 1)), None
+    if node.kind == "composite":
+        if "after" in p:
+            counts = counts.where(F.struct(*keys) > F.struct(*[F.lit(p["after"][k]).cast(counts.schema[k].dataType).alias(k) for k in keys]))
+        return _top(counts, by, [F.col(k).asc() for k in keys], size), None
+    if node.kind == "multi_terms":
+        top = _top(counts, by, [F.col("doc_count").desc(), *[F.col(k).asc() for k in keys]], size)
+        return top.withColumn(f"{node.name}_as_string", F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), None
+    counts = counts.where(F.col("doc_count") >= p.get("min_doc_count", 1))
+    what, way = next(iter(p.get("order", {"_count": "desc"}).items()))
+    lead = F.col({"_count": "doc_count", "_key": node.name}.get(what, what))
+    top = _top(counts, by, [lead.asc() if way == "asc" else lead.desc(), F.col(node.name).asc()], size)
+    all_ = (counts.groupBy(*by) if by else counts.groupBy()).agg(F.sum("doc_count").alias("all"))
+    shown = (top.groupBy(*by) if by else top.groupBy()).agg(F.sum("doc_count").alias("shown"))
+    rest = F.coalesce("all", F.lit(0)) - F.coalesce("shown", F.lit(0))
+    return top, join_keys(all_, shown, by).select(*by, rest.alias("sum_other_doc_count"))
+
+
 class Aggregator:
     """Compiles the aggregations of one request over one filtered scan."""
 
@@ -177,56 +230,23 @@ class Aggregator:
 
     def _bucket(self, df: DataFrame, node: AggNode, by: list[str], path: str, fields: dict[str, str]) -> dict[str, AggResult]:
         kind, p, name = node.kind, node.params, node.name
-        size = p.get("size", 10)
         keys, other, scope = [name], None, self._scope(df, by)
         if kind in ("terms", "rare_terms", "significant_terms", "significant_text"):
             fields[name] = p["field"]
             rows = _with_key(df, name, p["field"], kind == "significant_text")
             counts = rows.groupBy(*by, name).agg(*self._measures(rows, node, fields))
-            if kind == "rare_terms":
-                top = counts.where(F.col("doc_count") <= p.get("max_doc_count", 1))
-            elif kind == "terms":
-                counts = counts.where(F.col("doc_count") >= p.get("min_doc_count", 1))
-                order = p.get("order", {"_count": "desc"})
-                what, way = next(iter(order.items()))
-                lead = F.col({"_count": "doc_count", "_key": name}.get(what, what))
-                top = _top(counts, by, [lead.asc() if way == "asc" else lead.desc(), F.col(name).asc()], size)
-                all_ = (counts.groupBy(*by) if by else counts.groupBy()).agg(F.sum("doc_count").alias("all"))
-                shown = (top.groupBy(*by) if by else top.groupBy()).agg(F.sum("doc_count").alias("shown"))
-                joined = all_.join(shown, by) if by else all_.join(shown)
-                other = joined.select(*by, (F.coalesce("all", F.lit(0)) - F.coalesce("shown", F.lit(0))).alias("sum_other_doc_count"))
+            if kind in ("terms", "rare_terms"):
+                top, other = chosen(counts, node, by, keys)
             else:
                 top = self._significant(df, counts, by, node)
-        elif kind == "multi_terms":
-            keys = [f"{name}_{i}" for i in range(len(p["terms"]))]
-            rows = df
-            for k, t in zip(keys, p["terms"]):
-                rows, fields[k] = _with_key(rows, k, t["field"]), t["field"]
-            counts = rows.groupBy(*by, *keys).agg(*self._measures(rows, node, fields))
-            top = _top(counts, by, [F.col("doc_count").desc(), *[F.col(k).asc() for k in keys]], size)
-            top = top.withColumn(f"{name}_as_string", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
-        elif kind == "composite":
+        elif kind in ("multi_terms", "composite", "histogram", "date_histogram"):
             keys, rows = [], df
-            for s in p["sources"]:
-                k, spec = next(iter(s.items()))
-                how, q = next(iter(spec.items()))
+            for k, f, value, own in key_columns(df, node):
+                rows = _with_key(rows, k, f) if own else rows.withColumn(k, value).where(F.col(k).isNotNull())
                 keys.append(k)
-                fields[k] = q["field"]
-                if how == "date_histogram":
-                    rows = rows.withColumn(k, _date_bucket(field(rows, q["field"]), q)).where(F.col(k).isNotNull())
-                elif how == "histogram":
-                    rows = rows.withColumn(k, F.floor(field(rows, q["field"]) / q["interval"]) * q["interval"]).where(F.col(k).isNotNull())
-                else:
-                    rows = _with_key(rows, k, q["field"])
-            counts = rows.groupBy(*by, *keys).agg(*self._measures(rows, node, fields))
-            if "after" in p:
-                counts = counts.where(F.struct(*keys) > F.struct(*[F.lit(p["after"][k]).cast(counts.schema[k].dataType).alias(k) for k in keys]))
-            top = _top(counts, by, [F.col(k).asc() for k in keys], size)
-        elif kind in ("histogram", "date_histogram"):
-            c = field(df, p["field"])
-            value = _date_bucket(c, p) if kind == "date_histogram" else F.floor(c / p["interval"]) * F.lit(p["interval"])
-            rows = df.withColumn(name, value).where(F.col(name).isNotNull())
-            top = rows.groupBy(*by, name).agg(*self._measures(rows, node, fields)).where(F.col("doc_count") >= p.get("min_doc_count", 1))
+                if kind in ("multi_terms", "composite"):
+                    fields[k] = f
+            top, _ = chosen(rows.groupBy(*by, *keys).agg(*self._measures(rows, node, fields)), node, by, keys)
         elif kind in ("geohash_grid", "geotile_grid"):
             rows = df.withColumn(name, pipeline.cell_key(df, node)).where(F.col(name).isNotNull())
             top = _top(rows.groupBy(*by, name).agg(*self._measures(rows, node, fields)), by, [F.col("doc_count").desc(), F.col(name).asc()], node.params.get("size", 10_000))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakfield.operators.aggs import AggResult
+from cloakfield.operators.aggs import AggResult, join_keys
 
 SCHEMA = "code string, subject string, detail string"
 
@@ -24,9 +24,9 @@ def partial_coverage(result: AggResult, path: str) -> DataFrame:
     """One row for each parent whose buckets cover fewer documents than are in scope: (agg, parents..., scope, covered, missing, pct)."""
     parents = [k for k in result.keys[:-1] if k in result.scope.columns]
     covered = (result.df.groupBy(*parents) if parents else result.df.groupBy()).agg(F.sum("doc_count").alias("shown"))
-    joined = result.scope.join(covered, parents, "left") if parents else result.scope.join(F.broadcast(covered))  # one row
+    joined = join_keys(result.scope, covered, parents, "left")
     if result.other is not None:
-        joined = joined.join(result.other, parents, "left") if parents else joined.join(F.broadcast(result.other))  # one row
+        joined = join_keys(joined, result.other, parents, "left")
     else:
         joined = joined.withColumn("sum_other_doc_count", F.lit(0))
     total = (F.coalesce("shown", F.lit(0)) + F.coalesce("sum_other_doc_count", F.lit(0))).cast("bigint")
@@ -39,7 +39,7 @@ def empty_aggregations(result: AggResult, path: str) -> DataFrame:
     """One row for each parent with documents in scope and no bucket: (agg, parents..., scope)."""
     parents = [k for k in result.keys[:-1] if k in result.scope.columns]
     n = (result.df.groupBy(*parents) if parents else result.df.groupBy()).agg(F.sum("doc_count").alias("n"))
-    joined = result.scope.join(n, parents, "left") if parents else result.scope.join(F.broadcast(n))  # one row
+    joined = join_keys(result.scope, n, parents, "left")
     return joined.where((F.coalesce("n", F.lit(0)) == 0) & (F.col("scope") > 0)).select(F.lit(path).alias("agg"), *parents, "scope")
 
 
