@@ -1,15 +1,16 @@
 """Embedding near-dedup by lattice hashing.
 
 Unit vectors are projected at random to eight dimensions and decoded to the nearest point of the E8 lattice;
-a cell is one such point, or two of independent projections together, in several independent tables.  A
-vector is stored in its own cell of each table and also looks into the neighbouring cells that lie nearest to
-its projections.  Vectors that meet in a cell are compared by cosine in double precision, so no reported link
-is below the threshold; how many of the true ones are found is a matter of the tables.  :func:`settings`
-takes them from the number of vectors: one lattice meets about 1/40 of all pairs, two about 1/3000, at the
-price of more cells a vector, each for a recall of 0.97 or more at a cosine of 0.9.
+a cell is two such points of independent projections together, in several independent tables.  A vector is
+stored in its own cell of each table and also looks into the neighbouring cells that lie nearest to its
+projections, both taken together.  Vectors that meet in a cell are compared by cosine in double precision, so
+no reported link is below the threshold; how many of the true ones are found is a matter of the tables.
+:func:`settings` makes cells finer as the vectors become more, without a step, and takes as many tables as keep
+the chance of a pair at a cosine of 0.9 to be found above 0.99.
 
 Only ids go to cells first.  Cells in which nothing can meet are dropped, and vectors are fetched for the
-rest, once a cell.  A pair is compared where it meets first, by table and cell, so a task can report counts
+rest, once a cell; what cells a vector has is computed again where it is asked, which is exact, since projections
+are made of numbers whose sums have no rounding.  A pair is compared where it meets first, by table and cell, so a task can report counts
 and the links that connect its vectors, and never a row a pair.  Equal vectors are one class that enters
 once, with its count.  A cell with many vectors is cut into blocks and every pair of blocks is a task, so no
 cell meets in one place.
@@ -21,6 +22,7 @@ the same vec_id count once.  Empty tables give empty results; other columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,17 +69,20 @@ def _cell(points: np.ndarray, table_number: int) -> np.ndarray:
     return code
 
 
+#: The chance that two vectors at a cosine of 0.9 meet in one table, with four probes, by scale (measured).
+MEETING = {0.45: 0.049, 0.55: 0.132, 0.65: 0.238, 0.75: 0.362, 0.9: 0.524, 1.0: 0.608}
+#: Bits after the point of what is projected, so that sums of products are exact in a double.
+BITS = 20
+
+
 def settings(n: int) -> dict:
-    """Lattices a cell, scale, neighbouring points probed a lattice, and tables, for n vectors.
+    """Scale of the lattice, cells probed a table, and tables, for n vectors.
 
-    At a cosine of 0.9 a lattice of scale 0.55 with 4 probes meets a pair with a chance of 0.575, of scale 0.42
-    with 8 with 0.488 (measured); 1 - (1 - chance**lattices)**tables is 0.994, 0.991 and 0.992.
+    The share of all pairs that meet falls about as exp(16 * scale), so this scale lets it fall with the root of n.
     """
-    if n < 100_000:
-        return {"lattices": 1, "scale": 0.55, "probes": 4, "tables": 6}
-    if n < 50_000_000:
-        return {"lattices": 2, "scale": 0.55, "probes": 4, "tables": 12}
-    return {"lattices": 2, "scale": 0.42, "probes": 8, "tables": 18}
+    scale = round(min(1.0, max(0.45, 0.755 - 0.0307 * math.log(max(1, n) / 1_000_000))), 3)
+    chance = float(np.interp(scale, list(MEETING), list(MEETING.values())))
+    return {"scale": scale, "probes": 4, "tables": math.ceil(math.log(0.008) / math.log(1 - chance))}
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -86,9 +91,39 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _hash(lattices: int, scale: float, probes: int, tables: int):
+def _grid(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * 2.0**BITS) / 2.0**BITS
+
+
+def _cells(unit: np.ndarray, scale: float, probes: int, tables: int) -> np.ndarray:
+    """Cells of unit vectors in the first ``tables`` tables, as (vector, table, cell) with a vector's own cell first.
+
+    The same vector gets the same cells in any batch: all sums are exact and ties go by order.
+    """
+    rng, neighbours, unit = np.random.default_rng((SEED, unit.shape[1])), e8_neighbours(), _grid(unit)
+    order = np.arange(len(neighbours)) * 2.0 ** (-2 * BITS - 9)
+    out = np.empty((len(unit), tables, probes + 1), np.int64)
+    for k in range(tables):
+        sides = []
+        for _ in range(2):
+            x = unit @ _grid(rng.normal(0, 1 / (np.sqrt(8) * scale), (unit.shape[1], 8)))
+            own = nearest_e8(x)
+            further = 2 - 2 * ((x - own) @ neighbours.T) + order  # by how much a neighbour is further than the own point
+            near = np.argpartition(further, probes, axis=1)[:, :probes]
+            more = np.take_along_axis(further, near, 1)
+            sort = np.argsort(more, axis=1)
+            points = np.concatenate([own[:, None], own[:, None] + neighbours[np.take_along_axis(near, sort, 1)]], 1)
+            sides.append((_cell(points, k), np.concatenate([np.zeros((len(x), 1)), np.take_along_axis(more, sort, 1)], 1)))
+        (a, more_a), (b, more_b) = sides
+        both = ((a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, :, None] ^ b.view(np.uint64)[:, None, :]).reshape(len(unit), -1)
+        more = (more_a[:, :, None] + more_b[:, None, :]).reshape(len(unit), -1)
+        more[:, 0] = -1  # the own cell
+        out[:, k] = np.take_along_axis(both, np.argsort(more, axis=1, kind="stable")[:, : probes + 1], 1).view(np.int64)
+    return out
+
+
+def _hash(scale: float, probes: int, tables: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        neighbours = e8_neighbours()
         for batch in batches:
             t = pa.Table.from_batches([batch]).combine_chunks()
             if not t.num_rows:
@@ -97,22 +132,12 @@ def _hash(lattices: int, scale: float, probes: int, tables: int):
             length, ids = np.diff(at), t.column("rep").to_numpy()
             for dim in np.unique(length):
                 mine = np.flatnonzero(length == dim)
-                unit = _unit(values[at[mine][:, None] + np.arange(dim)])
-                rng = np.random.default_rng((SEED, int(dim)))
-                every = []
-                for k in range(tables):
-                    codes = np.full((len(mine), 1), k, np.int64)
-                    for _ in range(lattices):
-                        x = unit @ rng.normal(0, 1 / (np.sqrt(8) * scale), (dim, 8))
-                        own = nearest_e8(x)
-                        near = np.argpartition(-((x - own) @ neighbours.T), probes, axis=1)[:, :probes]
-                        cells = _cell(np.concatenate([own[:, None], own[:, None] + neighbours[near]], 1), k)
-                        mixed = codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                        codes = (mixed[:, :, None] ^ cells.view(np.uint64)[:, None, :]).reshape(len(mine), -1).view(np.int64)
-                    every.append(codes)
-                flat = np.stack(every, 1).reshape(len(mine), -1)  # tables, and in each the own cell first
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[mine]), pa.array(np.full(len(mine), dim, np.int32)), lists], names=["rep", "dim", "cells"])
+                cells = _cells(_unit(values[at[mine][:, None] + np.arange(dim)]), scale, probes, tables)
+                each = tables * (probes + 1)
+                number = np.tile(np.repeat(np.arange(tables, dtype=np.int16), probes + 1), len(mine))
+                own = np.tile(np.arange(each) % (probes + 1) == 0, len(mine))
+                columns = [np.repeat(ids[mine], each), np.full(len(number), dim, np.int32), cells.ravel(), number, own]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "dim", "cell", "number", "own"])
 
     return rows
 
@@ -132,7 +157,7 @@ def _first_here(cells: np.ndarray, p: np.ndarray, q: np.ndarray, table_number: i
     return first
 
 
-def _compare(threshold: float, per_table: int):
+def _compare(threshold: float, scale: float, probes: int):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_in_order(batches, ["cell", "dim", "i", "j"]):
             own = t.column("own").to_numpy(zero_copy_only=False)
@@ -154,8 +179,11 @@ def _compare(threshold: float, per_table: int):
             if not found:
                 continue
             p, q = (np.concatenate(x) for x in zip(*found))
-            cells = list_column(t, "cells")[0].reshape(len(ids), -1, per_table)
-            here = _first_here(cells, p, q, number, cell)
+            if not len(p):
+                continue
+            linked, ends = np.unique(np.concatenate([p, q]), return_inverse=True)
+            cells = _cells(v[linked], scale, probes, number + 1)
+            here = _first_here(cells, ends[: len(p)], ends[len(p) :], number, cell)
             p, q = p[here], q[here]
             if not len(p):
                 continue
@@ -175,13 +203,10 @@ def _compare(threshold: float, per_table: int):
     return pairs
 
 
-def embedding_links(classes: DataFrame, threshold: float, lattices: int, scale: float, probes: int, tables: int) -> DataFrame:
+def embedding_links(classes: DataFrame, threshold: float, scale: float, probes: int, tables: int) -> DataFrame:
     """Rows (rep, others, hub) from rows (rep, copies, embedding): parts of the number of vectors that rep links with, and links that connect what is linked."""
-    hashed = classes.select("rep", "embedding").mapInArrow(_hash(lattices, scale, probes, tables), "rep bigint, dim int, cells array<bigint>")
-    hashed = materialize(hashed, "vector-cells")
-    per_table = (probes + 1) ** lattices
-    rows = hashed.select("rep", "dim", F.posexplode("cells").alias("at", "cell"))
-    rows = rows.select("rep", "dim", "cell", F.floor(F.col("at") / per_table).cast("int").alias("number"), (F.col("at") % per_table == 0).alias("own"))
+    rows = classes.select("rep", "embedding").mapInArrow(_hash(scale, probes, tables), "rep bigint, dim int, cell bigint, number smallint, own boolean")
+    rows = materialize(rows, "vector-cells")
     sizes = rows.groupBy("cell", "dim", "number").agg(F.count(F.when(F.col("own"), 1)).alias("residents"), F.count(F.lit(1)).alias("all"))
     # a cell without a resident, or with nothing but one, compares nothing
     sizes = sizes.where("residents > 0 and all > 1").select("cell", "dim", "number", F.ceil(F.col("all") / BLOCK).cast("int").alias("n_blocks"))
@@ -190,10 +215,10 @@ def embedding_links(classes: DataFrame, threshold: float, lattices: int, scale:
     rows = rows.withColumn("block", F.pmod(uniform_hash(F.lit("block"), F.col("rep")), F.col("n_blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     rows = rows.select("cell", "dim", "number", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "rep")
-    rows = rows.join(classes.select("rep", "copies", "embedding").join(hashed.select("rep", "cells"), "rep"), "rep")
+    rows = rows.join(classes.select("rep", "copies", "embedding"), "rep")
     keys = ["cell", "dim", "i", "j"]
     parts = max(8, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold, per_table), "rep bigint, others bigint, hub bigint")
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold, scale, probes), "rep bigint, others bigint, hub bigint")
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:

@@ -485,6 +485,21 @@ def test_vectors_of_a_large_group_count_each_pair_once(spark):
     assert got[900] == got[0] and all(got[i] <= want[i] + 1 for i in range(750)) and sum(got[i] for i in range(750)) >= 0.97 * want.sum()
 
 
+def test_cells_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(6)
+    for dim in (3, 64, 768):
+        unit = embedding_dedup._unit(rng.normal(size=(200, dim)))
+        cells = embedding_dedup._cells(unit, 0.8, 4, 6)
+        some = rng.permutation(200)[:37]
+        assert (cells[some] == embedding_dedup._cells(unit[some], 0.8, 4, 6)).all() and (cells[7, :3] == embedding_dedup._cells(unit[7:8], 0.8, 4, 3)[0]).all()
+        assert all(len(set(c)) == 5 for c in cells.reshape(-1, 5).tolist())
+
+
+def test_cells_grow_without_a_step():
+    made = [embedding_dedup.settings(int(10 ** (e / 20))) for e in range(40, 220)]
+    assert all(0 <= a["scale"] - b["scale"] <= 0.004 and a["tables"] <= b["tables"] <= 1.1 * a["tables"] + 1 for a, b in zip(made, made[1:]))
+
+
 def test_lattice_points_are_the_nearest():
     rng = np.random.default_rng(5)
     x = rng.normal(0, 1.5, (300, 8))
