@@ -80,7 +80,7 @@ def settings(n: int) -> dict:
 
     The share of all pairs that meet falls about as exp(16 * scale), so this scale lets it fall with the root of n.
     """
-    scale = round(min(1.0, max(0.45, 0.755 - 0.0307 * math.log(max(1, n) / 1_000_000))), 3)
+    scale = min(1.0, max(0.45, 0.755 - 0.0307 * math.log(max(1, n) / 1_000_000)))
     chance = float(np.interp(scale, list(MEETING), list(MEETING.values())))
     return {"scale": scale, "probes": 4, "tables": math.ceil(math.log(0.008) / math.log(1 - chance))}
 
