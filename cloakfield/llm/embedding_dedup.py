@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from cloakfield.llm._shared import components, groups_in_order, list_column, materialize, table, uniform_hash
 
 THRESHOLD, SEED = 0.9, 8
-#: Vectors of a block of a cell.
-BLOCK = 256
+#: Vectors of a block of a cell, and linked vectors whose cells are computed together.
+BLOCK, TOGETHER = 256, 4096
 
 
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -54,6 +55,7 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
     return np.where(closer[:, None], whole, half)
 
 
+@cache
 def e8_neighbours() -> np.ndarray:
     """The 240 shortest lattice vectors: two coordinates of one, or all of one half with an even number of minuses."""
     pairs = [s * np.eye(8)[i] + t * np.eye(8)[j] for i in range(8) for j in range(i) for s in (1, -1) for t in (1, -1)]
@@ -95,18 +97,24 @@ def _grid(x: np.ndarray) -> np.ndarray:
     return np.rint(x * 2.0**BITS) / 2.0**BITS
 
 
+@cache
+def _projections(dim: int, scale: float, tables: int) -> np.ndarray:
+    """Two projections a table; the first tables are the same whatever their number."""
+    return _grid(np.random.default_rng((SEED, dim)).normal(0, 1 / (np.sqrt(8) * scale), (tables, 2, dim, 8)))
+
+
 def _cells(unit: np.ndarray, scale: float, probes: int, tables: int) -> np.ndarray:
     """Cells of unit vectors in the first ``tables`` tables, as (vector, table, cell) with a vector's own cell first.
 
     The same vector gets the same cells in any batch: all sums are exact and ties go by order.
     """
-    rng, neighbours, unit = np.random.default_rng((SEED, unit.shape[1])), e8_neighbours(), _grid(unit)
+    projections, neighbours, unit = _projections(unit.shape[1], scale, tables), e8_neighbours(), _grid(unit)
     order = np.arange(len(neighbours)) * 2.0 ** (-2 * BITS - 9)
     out = np.empty((len(unit), tables, probes + 1), np.int64)
     for k in range(tables):
         sides = []
-        for _ in range(2):
-            x = unit @ _grid(rng.normal(0, 1 / (np.sqrt(8) * scale), (unit.shape[1], 8)))
+        for projection in projections[k]:
+            x = unit @ projection
             own = nearest_e8(x)
             further = 2 - 2 * ((x - own) @ neighbours.T) + order  # by how much a neighbour is further than the own point
             near = np.argpartition(further, probes, axis=1)[:, :probes]
@@ -158,7 +166,33 @@ def _first_here(cells: np.ndarray, p: np.ndarray, q: np.ndarray, table_number: i
 
 
 def _compare(threshold: float, scale: float, probes: int):
+    def settle(waiting: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """What the links of several groups add up to, each counted where its vectors meet first."""
+        if not waiting:
+            return
+        cells = _cells(np.concatenate([w[4] for w in waiting]), scale, probes, 1 + max(w[0] for w in waiting))
+        parts, at = [], 0
+        for number, cell, ids, copies, _, p, q in waiting:
+            here = _first_here(cells[at : at + len(ids)], p, q, number, cell)
+            at += len(ids)
+            p, q = p[here], q[here]
+            others = np.zeros(len(ids), np.int64)
+            np.add.at(others, p, copies[q])
+            np.add.at(others, q, copies[p])
+            hub = np.arange(len(ids))
+            while True:
+                old = hub.copy()
+                np.minimum.at(hub, p, hub[q])
+                np.minimum.at(hub, q, hub[p])
+                if (hub == old).all():
+                    break
+            rows = np.flatnonzero(others)
+            parts.append((ids[rows], others[rows], ids[hub[rows]]))
+        columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
+        yield pa.RecordBatch.from_arrays(columns, names=["rep", "others", "hub"])
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
         for t in groups_in_order(batches, ["cell", "dim", "i", "j"]):
             own = t.column("own").to_numpy(zero_copy_only=False)
             a, b = np.flatnonzero(own), np.flatnonzero(~own)
@@ -182,23 +216,11 @@ def _compare(threshold: float, scale: float, probes: int):
             if not len(p):
                 continue
             linked, ends = np.unique(np.concatenate([p, q]), return_inverse=True)
-            cells = _cells(v[linked], scale, probes, number + 1)
-            here = _first_here(cells, ends[: len(p)], ends[len(p) :], number, cell)
-            p, q = p[here], q[here]
-            if not len(p):
-                continue
-            others = np.zeros(len(ids), np.int64)
-            np.add.at(others, p, copies[q])
-            np.add.at(others, q, copies[p])
-            hub = np.arange(len(ids))
-            while True:
-                old = hub.copy()
-                np.minimum.at(hub, p, hub[q])
-                np.minimum.at(hub, q, hub[p])
-                if (hub == old).all():
-                    break
-            rows = np.flatnonzero(others)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(others[rows]), pa.array(ids[hub[rows]])], names=["rep", "others", "hub"])
+            if waiting and (waiting[0][4].shape[1] != v.shape[1] or sum(len(w[2]) for w in waiting) > TOGETHER):
+                yield from settle(waiting)
+                waiting = []
+            waiting.append((number, cell, ids[linked], copies[linked], v[linked], ends[: len(p)], ends[len(p) :]))
+        yield from settle(waiting)
 
     return pairs
 
