@@ -8,6 +8,7 @@ there the policy is compared with the path row by row.  A type that the walk doe
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -24,7 +25,7 @@ from cloakfield.sources.policy import FieldSpec, Policy
 
 #: Words, marks and blanks of a JSON text; what is no JSON falls into the same pieces.
 JSON_TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^"{}\[\],:\s]+|\s+|"'
-_PLACE = "struct<out:array<struct<t:string,p:string>>,paths:array<string>,objects:array<boolean>,key:string,named:boolean>"
+_PLACE = "struct<paths:array<string>,stack:array<string>,key:string,named:boolean>"
 TEXT = (T.StringType, T.CharType, T.VarcharType)
 #: Leaves that hold no text; as configured fields they become tokens of their text.
 PLAIN = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType, T.DayTimeIntervalType, T.YearMonthIntervalType, T.NullType)
@@ -58,8 +59,9 @@ class Path:
         if isinstance(self.at, str):
             listed = self.at in policy.free_text or named and (self.at.split(".")[-1] in policy.free_text or re.search(FREE_TEXT_NAME, self.at))
             return bool(listed)
-        listed = self.at.isin(*policy.free_text)
-        return listed | F.element_at(F.split(self.at, r"\."), -1).isin(*policy.free_text) | self.at.rlike(FREE_TEXT_NAME) if named else listed
+        listed = self.at.isin(*policy.free_text) if policy.free_text else F.lit(False)
+        last = F.substring_index(self.at, ".", -1).isin(*policy.free_text) if policy.free_text else F.lit(False)
+        return listed | last | self.at.rlike(FREE_TEXT_NAME) if named else listed
 
 
 def _cases(tests: list[tuple[Column | None, Column]], otherwise: Column | None) -> Column | None:
@@ -72,31 +74,46 @@ def _cases(tests: list[tuple[Column | None, Column]], otherwise: Column | None)
 
 # --- JSON text --------------------------------------------------------------------------------------------
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a variable that holds ``value``, so that it is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def json_places(text: Column, path: Column) -> Column:
     """The pieces of a JSON text in order as structs (t, p), where p is the path of a scalar and null for all else.
 
-    One fold at any depth, whose state is the stack of open objects and lists.  Places in a list are no part of a path.
-    The fold copies its output at each step, so a text's cost grows with the square of its number of pieces.
+    One fold at any depth, whose state is the stack of open objects and lists, each its mark and its path.  Places in a
+    list are no part of a path.  A step takes one case.  The fold keeps the paths alone, but copies these at each scalar,
+    so a text's cost grows with the square of its number of scalars.
     """
-    top = lambda s: F.coalesce(F.try_element_at(s["paths"], F.lit(-1)), path)
+    top = lambda stack: F.coalesce(F.substring(F.try_element_at(stack, F.lit(-1)), 2, 2**31 - 1), path)
     less = lambda xs: F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0)))
-
-    def step(s: Column, t: Column) -> Column:
-        opens, closes, mark, text_ = t.isin("{", "["), t.isin("}", "]"), t.isin("{", "[", "}", "]", ",", ":"), t.startswith('"')
-        names = text_ & s["named"]
-        scalar = ~mark & ~names & ~t.rlike(r"^\s")
-        in_object = F.coalesce(F.try_element_at(s["objects"], F.lit(-1)), F.lit(False))
-        name = F.concat(top(s), F.lit("."), F.coalesce(json_string(t), t))
-        return F.struct(
-            F.concat(s["out"], F.array(F.struct(t.alias("t"), F.when(scalar, s["key"]).alias("p")))).alias("out"),
-            F.when(opens, F.concat(s["paths"], F.array(s["key"]))).when(closes, less(s["paths"])).otherwise(s["paths"]).alias("paths"),
-            F.when(opens, F.concat(s["objects"], F.array(t == "{"))).when(closes, less(s["objects"])).otherwise(s["objects"]).alias("objects"),
-            F.when(names, name).when(t == ",", top(s)).when(closes, F.coalesce(F.try_element_at(less(s["paths"]), F.lit(-1)), path)).otherwise(s["key"]).alias("key"),
-            F.when(t == "{", True).when(t == ",", in_object).when(mark | names, False).otherwise(s["named"]).alias("named"),
-        ).cast(_PLACE)
-
-    zero = F.struct(F.array().alias("out"), F.array().alias("paths"), F.array().alias("objects"), path.alias("key"), F.lit(False).alias("named")).cast(_PLACE)
-    return F.aggregate(F.regexp_extract_all(text, F.lit(JSON_TOKEN), 0), zero, step, lambda s: s["out"])
+    in_object = lambda stack: F.coalesce(F.try_element_at(stack, F.lit(-1)).startswith("{"), F.lit(False))
+
+    def step(s: Column, x: Column) -> Column:
+        t, first = x["t"], x["first"]
+
+        def state(paths: Column | None = None, stack: Column | None = None, key: Column | None = None, named: Column | None = None) -> Column:
+            parts = {"paths": paths, "stack": stack, "key": key, "named": named}
+            return F.struct(*[(s[n] if c is None else c).alias(n) for n, c in parts.items()])
+
+        scalar = state(F.concat(s["paths"], F.array_repeat(F.lit(None).cast("string"), x["i"] - F.size(s["paths"])), F.array(s["key"])))
+        name = F.concat(top(s["stack"]), F.lit("."), F.coalesce(json_string(t), t))
+        return (
+            F.when(first == '"', F.when(s["named"], state(key=name, named=F.lit(False))).otherwise(scalar))
+            .when(first == ":", F.when(s["named"], state(named=F.lit(False))).otherwise(s))
+            .when(first == ",", state(key=top(s["stack"]), named=in_object(s["stack"])))
+            .when(first.isin("{", "["), state(stack=F.concat(s["stack"], F.array(F.concat(first, s["key"]))), named=first == "{"))
+            .when(first.isin("}", "]"), _once(less(s["stack"]), lambda stack: state(stack=stack, key=top(stack), named=F.lit(False))))
+            .when(t.rlike(r"^\s"), s)
+            .otherwise(scalar)
+        )
+
+    zero = F.struct(F.array().alias("paths"), F.array().alias("stack"), path.alias("key"), F.lit(False).alias("named")).cast(_PLACE)
+    marked = lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("t"), F.substring(t, 1, 1).alias("first"), i.alias("i")))
+    paths = lambda ts: F.aggregate(marked(ts), zero, step, lambda s: s["paths"])
+    placed = lambda ts: _once(paths(ts), lambda ps: F.transform(ts, lambda t, i: F.struct(t.alias("t"), F.get(ps, i).alias("p"))))
+    return _once(F.regexp_extract_all(text, F.lit(JSON_TOKEN), 0), placed)
 
 
 def json_string(piece: Column) -> Column:
@@ -106,7 +123,8 @@ def json_string(piece: Column) -> Column:
 
 
 def json_quoted(text: Column) -> Column:
-    return F.to_json(text.cast("variant"))
+    """A text as a JSON string; what needs no escape is not written by the JSON writer."""
+    return _once(text, lambda x: F.when(x.rlike(r"^[\x20!#-\[\]-~]*\z"), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.to_json(x.cast("variant"))))
 
 
 # --- the walk ---------------------------------------------------------------------------------------------
@@ -124,11 +142,9 @@ class _Walk:
         self.texts: dict[bool, list[Column]] = {True: [], False: []}
         own = lambda name: next(n for k in range(len(df.columns) + 1) if (n := f"__{name}{k}") not in df.columns)
         self.given = frozenset(df.columns)
-        self.places: dict[str, str] = {}
-        for f in df.schema.fields:
-            if isinstance(f.dataType, T.VariantType) or self._is_json(f.dataType, Path(f.name)):
-                self.places[f.name] = own(f"json{len(self.places)}_")
-        pieces = {column: self._pieces(F.col(f"`{name}`"), df.schema[name].dataType, Path(name), False) for name, column in self.places.items()}
+        found = self._outside(df.schema, None, Path(""))
+        self.places = {at: own(f"json{i}_") for i, at in enumerate(found)}
+        pieces = {self.places[at]: self._pieces(c, kind, Path(at), False) for at, (c, kind) in found.items()}
         self.df = df.withColumns(pieces) if pieces else df
         bound = {"names": self._named(df.schema, None, Path("")), "known": self._known(df.schema) if deep else None}
         columns = {key: own(key) for key, x in bound.items() if x is not None}
@@ -136,6 +152,13 @@ class _Walk:
         self.lists = {free: own(f"texts{int(free)}_") for free in self.texts}
         self.names, self.own = (F.col(columns[key]) if key in columns else None for key in ("names", "known"))
 
+    def _outside(self, kind: T.DataType, c: Column | None, path: Path) -> dict[str, tuple[Column, T.DataType]]:
+        """The VARIANT and JSON values outside lists and maps by path, whose pieces are columns."""
+        if isinstance(kind, T.StructType):
+            below = [self._outside(f.dataType, F.col(f"`{f.name}`") if c is None else c.getField(f.name), path.below(f.name)) for f in kind.fields]
+            return {at: x for found in below for at, x in found.items()}
+        return {path.at: (c, kind)} if isinstance(kind, T.VariantType) or self._is_json(kind, path) else {}
+
     def _pieces(self, c: Column, kind: T.DataType, path: Path, stored: bool = True) -> Column:
         if stored and isinstance(path.at, str) and path.at in self.places:
             return F.col(self.places[path.at])
@@ -218,14 +241,20 @@ class _Walk:
 
     def _piece(self, x: Column) -> Column:
         """A piece of a JSON text: scalars by their path, names for addresses in them alone, the rest as it is."""
-        path, text = Path(x["p"]), json_string(x["t"])
-        bare = F.when(x["t"].isin("true", "false"), F.initcap(x["t"])).otherwise(x["t"])
-        value = F.coalesce(text, F.when(x["t"] != "null", bare)) if self.profile == "response" else text
-        tests = [(test & value.isNotNull(), json_quoted(self._token(s, value))) for test, s in path.specs(self.policy)]
-        written = lambda made: F.when(made == text, x["t"]).otherwise(json_quoted(made))  # noqa: E731  # as it was, escapes and all, where nothing is masked
-        scalar = _cases(tests, F.when(text.isNotNull(), written(self._text(text, path))).otherwise(x["t"]))
-        name = F.when(text.isNotNull(), written(mask_values(text, self.policy.salt, self.policy.use_hash))).otherwise(x["t"])
-        return F.when(x["p"].isNull(), name).otherwise(scalar)
+        t, path = x["t"], Path(x["p"])
+
+        def configured(value: Column, otherwise: Column) -> Column:
+            return _cases([(test & value.isNotNull(), json_quoted(self._token(s, value))) for test, s in path.specs(self.policy)], otherwise)
+
+        def string(text: Column) -> Column:
+            written = lambda made: _once(made, lambda y: F.when(y == text, t).otherwise(json_quoted(y)))  # noqa: E731  # as it was, escapes and all, where nothing is masked
+            either = lambda masked: F.when(text.isNotNull(), written(masked)).otherwise(t)
+            value = F.coalesce(text, t) if self.profile == "response" else text
+            return F.when(x["p"].isNull(), either(mask_values(text, self.policy.salt, self.policy.use_hash))).otherwise(configured(value, either(self._text(text, path))))
+
+        bare = F.when(t.isin("true", "false"), F.initcap(t)).when(t != "null", t)
+        other = F.when(x["p"].isNull(), t).otherwise(configured(bare, t)) if self.profile == "response" else t
+        return F.when(t.startswith('"'), _once(json_string(t), string)).otherwise(other)
 
     def _json(self, c: Column, kind: T.DataType, path: Path) -> Column:
         """JSON text masked piece by piece; the text form of a VARIANT."""
@@ -286,11 +315,12 @@ class _Walk:
     def _map(self, c: Column, kind: T.MapType, path: Path) -> Column:
         """A map by its keys' paths.  Keys are names and stay, but for addresses in them; equal ones after that get a number."""
         entries = F.map_entries(c)
-        values = F.transform(entries, lambda e: self.mask(e["value"], kind.valueType, path.below(e["key"].cast("string"))))
+        values = F.transform(entries, lambda e: _once(path.below(e["key"].cast("string")).at, lambda at: self.mask(e["value"], kind.valueType, Path(at))))
         if isinstance(kind.keyType, TEXT):
             made = F.transform(F.map_keys(c), lambda k: mask_values(k, self.policy.salt, self.policy.use_hash))
             number = lambda ks: F.transform(ks, lambda k, i: F.when(F.array_position(ks, k) == i + 1, k).otherwise(F.concat(k, F.lit("#"), (i + 1).cast("string"))))
-            keys = F.element_at(F.transform(F.array(made), number), 1)
+            # keys that stay are different already
+            keys = _once(made, lambda ks: F.when(ks == F.map_keys(c), ks).otherwise(number(ks)))
         elif isinstance(kind.keyType, PLAIN):
             keys = F.map_keys(c)
         else:
@@ -376,7 +406,7 @@ def _left(c: Column, kind: T.DataType) -> Column | None:
         found = [x for x in (_left(F.map_keys(c), T.ArrayType(kind.keyType)), _left(F.map_values(c), T.ArrayType(kind.valueType))) if x is not None]
         return reduce(lambda a, b: a | b, found) if found else None
     if isinstance(kind, T.VariantType):
-        return residual(F.to_json(c))
+        return F.exists(F.array(F.to_json(c)), residual)  # written once for all its tests
     if isinstance(kind, TEXT):
         return residual(c)
     if isinstance(kind, T.BinaryType):

@@ -19,7 +19,7 @@ from cloakfield.functions.tokens import LABELS, token, token_sql
 from cloakfield.functions.values import DRIFT, EMAIL, FQDN, IPV4, IPV6, USER_AUTH_SEARCH, USER_NOUN_SEARCH, embeds_personal_data, re2, value_kind
 from cloakfield.operators import gdpr, notices, overview, sync
 from cloakfield.operators.masking import mask_documents, mask_keys, mask_opaque_values, masking_examples, masking_report, registry, residuals
-from cloakfield.sources.catalog import Catalog
+from cloakfield.sources.catalog import Catalog, spread
 from cloakfield.sources.policy import FieldSpec, Policy, Settings
 
 SALT = "registered-queries-demo-salt-of-40-chars"
@@ -380,7 +380,7 @@ PROPS = Policy("demo", SALT, (FieldSpec("props.k", "USER"), FieldSpec("user_id",
     FROM (SELECT *, CAST(user_id AS VARCHAR) AS u, props->>'$.k' AS k FROM events)""")
 def _(spark, sf):
     """JSON text masked by path, next to plain columns."""
-    return mask_documents(spark.read.parquet(f"{sf}/events.parquet"), PROPS, json=("props",))
+    return mask_documents(spread(spark.read.parquet(f"{sf}/events.parquet"), "event_id"), PROPS, json=("props",))
 
 
 def _people(spark, sf) -> DataFrame:
@@ -388,7 +388,7 @@ def _people(spark, sf) -> DataFrame:
     name, key = F.col("c_name"), F.col("c_custkey").cast("string")
     mail = F.concat(F.lit("at c"), key, F.lit("@example.org and 10.1.0."), (F.col("c_custkey") % 250).cast("string"))
     text = F.to_json(F.struct(F.struct(name.alias("c_name"), F.array(mail).alias("notes")).alias("who"), F.col("c_acctbal").alias("bal")))
-    return spark.read.parquet(f"{sf}/customer.parquet").select(
+    return spread(spark.read.parquet(f"{sf}/customer.parquet"), "c_custkey").select(
         "c_custkey", F.create_map(F.lit("c_name"), name, F.lit("seen"), mail).alias("m"), F.array(F.array(mail), F.array(name)).alias("l"), F.struct(F.parse_json(text).alias("v")).alias("s")
     )
 
@@ -420,7 +420,7 @@ def _(spark, sf):
 def _(spark, sf):
     """A name of each row inside a list of texts, as an own name and in a formulation."""
     name = F.concat(F.lit("r"), F.col("conv_id").cast("string"))
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", name.alias("who"), F.array(F.concat(F.lit("seen: "), F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 30), F.lit(" did user="), name)).alias("message"))
+    turns = spread(spark.read.parquet(f"{sf}/conversations.parquet"), "conv_id", "turn").select("conv_id", "turn", name.alias("who"), F.array(F.concat(F.lit("seen: "), F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 30), F.lit(" did user="), name)).alias("message"))
     return mask_documents(turns, Policy("demo", SALT, (FieldSpec("who", "USER"),))).select("conv_id", "turn", F.col("message")[0].alias("masked"))
 
 
@@ -608,7 +608,7 @@ _OPAQUE_SQL = masked_text_sql("customer", "c_custkey, c_name", "'see ' || c_name
 
 @query("masked_opaque_values", f"SELECT c_custkey, {token_sql('HOST', 'c_name', SALT)} AS known, masked AS embedded FROM ({_OPAQUE_SQL})")
 def _(spark, sf):
-    customer = spark.read.parquet(f"{sf}/customer.parquet")
+    customer = spread(spark.read.parquet(f"{sf}/customer.parquet"), "c_custkey")
     key = F.col("c_custkey").cast("string")
     line = F.concat(F.lit("see "), F.col("c_name"), F.lit(" at host"), key, F.lit(".example.org and 10.0.0."), (F.col("c_custkey") % 250).cast("string"))
     opaque = customer.select("c_custkey", F.col("c_name").alias("known"), line.alias("embedded"))
@@ -625,7 +625,7 @@ _LINE_SQL = "'Accepted publickey for ' || {user} || ' from ' || {ip} || ' user='
 
 @query("text_mask_users", "SELECT event_id, " + _LINE_SQL.format(user=token_sql("USER", "u", SALT), ip=token_sql("IP", "a", SALT)) + " AS masked FROM (SELECT *, 'u' || user_id AS u, '10.0.0.' || (user_id % 250) AS a FROM events)")
 def _(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf}/events.parquet"), "event_id")
     name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     line = F.concat(F.lit("Accepted publickey for "), name, F.lit(" from 10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(" user="), name, F.lit(" did "), F.col("event_type"))
     return events.select("event_id", mask_text(line, SALT, F.array(name)).alias("masked"))

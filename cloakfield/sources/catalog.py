@@ -42,6 +42,15 @@ def check_tenant(name: str) -> str:
     return name
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores by a hash of its keys, for work that costs a row far more than its move.
+
+    A row group is read by one task, and a file of a million narrow rows may be one.  The order of rows is lost.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 class Catalog:
     """Tables by name; a table is a DataFrame or a function that makes one."""
 

@@ -113,6 +113,21 @@ def test_json_of_any_depth_keeps_its_form(spark):
     assert out[3] == f'}}}}],,::"{ip}' and out[4] == "" and out[5] == " "
 
 
+def test_a_nested_variant_is_cut_once(spark):
+    """The names of a row and its masking read the same pieces, also below a struct."""
+    df = spark.range(1).select(F.struct(F.parse_json(F.lit('{"user": {"name": "bob"}, "message": "login as bob"}')).alias("v")).alias("s"), "id")
+    plan = mask_documents(df.repartition(2), POLICY)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(to_json(") == 1
+
+
+def test_a_row_group_is_masked_by_many_tasks(spark, data):
+    from cloakfield.queries import _people
+
+    people = _people(spark, data)
+    assert people.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert people.select("c_custkey").exceptAll(spark.read.parquet(f"{data}/customer.parquet").select("c_custkey")).isEmpty() and people.count() == spark.read.parquet(f"{data}/customer.parquet").count()
+
+
 def test_unknown_types_are_refused(spark):
     df = spark.createDataFrame([(1, b"x")], "id int, user struct<id:int>" if False else "id int, b binary").select(F.struct(F.col("b").alias("id")).alias("user"))
     with pytest.raises(RequestError):
@@ -203,6 +218,16 @@ def mask_text_row(spark, text):
     return spark.createDataFrame([(text,)], "t string").select(mask_text(F.col("t"), SALT)).first()[0]
 
 
+def test_matches_are_found_in_one_scan(spark):
+    """Also where a text holds the mark that the cut uses, or what a replacement would read as a group."""
+    texts = ["\x01a@b.co\x01 10.0.0.1\x01", "\x01", "$0 a@b.co $1", "a@b.co", "a@b.co,c@d.co\\", "user=\x01 login as bob\x01"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    plan = df.select(mask_values(F.col("t"), SALT))
+    assert [r[0] for r in plan.collect()][:5] == [mask_line(t, SALT, users=False) for t in texts[:5]]
+    assert [r[0] for r in df.select(mask_text(F.col("t"), SALT)).collect()] == [mask_line(t, SALT, ()) for t in texts]
+    assert "regexp_extract_all" not in plan._jdf.queryExecution().analyzed().toString()
+
+
 def test_addresses_of_any_length(spark):
     texts = ["x" * 300 + "@corp.com", "." * 300 + "bob@x.com", "é" + "a" * 300 + ".b@x.com", "é" + "a" * 300 + "@x.com", "a." * 200 + "-@x.com", "+" * 40 + "a@b.co", "%" * 31 + "w" * 40 + "@b.co", "no one@"]
     out = [r["m"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(mask_values(F.col("t"), SALT).alias("m")).collect()]
