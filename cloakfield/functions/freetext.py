@@ -37,10 +37,12 @@ VALUE_TYPES = (("EMAIL", EMAIL), ("IP", IPV6), ("IP", IPV4))
 #: What the deep pass looks for in values of unknown meaning.
 DEEP_TYPES = (*VALUE_TYPES, ("HOST", FQDN), ("USER", UUID))
 #: Characters without which a pattern cannot match; looking for them is far cheaper.
-NEEDS = {EMAIL: "@", IPV6: ":", IPV6_STRICT: ":", UUID: "-"}
+NEEDS = {EMAIL: "@", IPV4: ".", IPV6: ":", IPV6_STRICT: ":", FQDN: ".", UUID: "-"}
 _COMMON = rf"(?i)^(?:{'|'.join(sorted(COMMON_WORDS))})$"
 #: A known name stands between these; what is quoted ends with the last.
 BEHIND, AHEAD, END = r"(?<!\w)", r"(?!\w)", r"\E"
+#: Stands beside a match while a text is cut.
+MARK = "\x01"
 _FAMILY = "(?:IP|USER|HOST|AGENT|EMAIL)"
 
 
@@ -60,23 +62,29 @@ class _Chain:
         return token_expr(f"'{family}'", value, self.salt, self.use_hash)
 
     def joined(self, text: str, pattern: str, replaced: Callable[[str, str], str]) -> str:
-        """``text`` with ``replaced(match, what follows it)`` for each match of ``pattern``."""
+        """``text`` with ``replaced(match, what follows it)`` for each match of ``pattern``.
+
+        One scan puts a mark on both sides of each match, so every second part between marks is one.  The mark is a
+        control character, or where the text has that, the text's digest between two.
+        """
         self.n += 1
-        piece, at, p = f"p{self.n}", f"i{self.n}", text_literal(pattern)
+        piece, at = f"p{self.n}", f"i{self.n}"
+
+        def parts(mark: str) -> str:
+            return f"split(regexp_replace({text}, {text_literal(pattern)}, concat({mark}, '$0', {mark})), {mark}, -1)"
 
         def join(m: str) -> str:
-            made = replaced(f"get({m}.found, {at})", f"get({m}.between, {at} + 1)")
-            return f"array_join(transform({m}.between, ({piece}, {at}) -> CASE WHEN {at} < size({m}.found) THEN concat({piece}, {made}) ELSE {piece} END), '')"
+            made = replaced(piece, f"get({m}, {at} + 1)")
+            return f"CASE WHEN size({m}) = 1 THEN {text} ELSE array_join(transform({m}, ({piece}, {at}) -> CASE WHEN {at} % 2 = 1 THEN {made} ELSE {piece} END), '') END"
 
-        return self.bind(f"named_struct('between', split({text}, {p}, -1), 'found', regexp_extract_all({text}, {p}, 0))", join)
+        mark = text_literal(MARK)
+        rare = lambda: self.bind(f"concat({mark}, md5(encode({text}, 'UTF-8')), {mark})", parts)
+        return self.bind(f"CASE WHEN contains({text}, {mark}) THEN {rare()} ELSE {parts(mark)} END", join)
 
     def values(self, family: str, pattern: str) -> Callable[[str], str]:
-        exact = unicode(pattern)
-
         def step(text: str) -> str:
-            here = f"{text} RLIKE {text_literal(exact)}"
-            here = f"contains({text}, '{NEEDS[pattern]}') AND {here}" if pattern in NEEDS else here
-            return f"CASE WHEN {here} THEN {self.joined(text, exact, lambda m, _: self.token(family, m))} ELSE {text} END"
+            made = self.joined(text, unicode(pattern), lambda m, _: self.token(family, m))
+            return f"CASE WHEN contains({text}, '{NEEDS[pattern]}') THEN {made} ELSE {text} END"
 
         return step
 
@@ -108,15 +116,20 @@ class _Chain:
 
             return self.bind(cut, put)
 
-        return lambda text: f"CASE WHEN {text} RLIKE {text_literal(pattern)} THEN {self.joined(text, pattern, replaced)} ELSE {text} END"
+        return lambda text: self.joined(text, pattern, replaced)
+
+    def run(self, text: Column, steps: list[Callable[[str], str]], names: Column | None = None, needs: tuple[str, ...] = ()) -> Column:
+        """The steps, one after the other.  As one SQL expression: a chain has thousands of nodes, each of which would be a call to the JVM.
 
-    def run(self, text: Column, steps: list[Callable[[str], str]], names: Column | None = None) -> Column:
-        """The steps, one after the other.  As one SQL expression: a chain has thousands of nodes, each of which would be a call to the JVM."""
+        A text with none of the characters in ``needs``, if these are given, is left as it is.
+        """
         sql = "array(x.t)"
         for k, step in enumerate(steps):
             sql = f"transform({sql}, s{k} -> {step(f's{k}')})"
-        given = F.struct(text.alias("t"), *([names.alias("n")] if names is not None else []))
-        return F.element_at(F.call_function("transform", F.array(given), F.expr(f"x -> element_at({sql}, 1)")), 1)
+        given, made = F.struct(text.alias("t"), *([names.alias("n")] if names is not None else [])), f"element_at({sql}, 1)"
+        if needs:
+            made = f"CASE WHEN {' OR '.join(f'contains(x.t, {text_literal(c)})' for c in dict.fromkeys(needs))} THEN {made} ELSE x.t END"
+        return F.element_at(F.call_function("transform", F.array(given), F.expr(f"x -> {made}")), 1)
 
 
 def mask_values(text: Column, salt: str, use_hash: bool = True, strict_ipv6: bool = False) -> Column:
@@ -125,13 +138,13 @@ def mask_values(text: Column, salt: str, use_hash: bool = True, strict_ipv6: boo
     The wide IPv6 pattern also takes clock times and misses compressed addresses; ``strict_ipv6`` takes the exact one.
     """
     chain = _Chain(salt, use_hash)
-    return chain.run(text, [chain.values(family, IPV6_STRICT if strict_ipv6 and pattern == IPV6 else pattern) for family, pattern in VALUE_TYPES])
+    return chain.run(text, [chain.values(family, IPV6_STRICT if strict_ipv6 and pattern == IPV6 else pattern) for family, pattern in VALUE_TYPES], needs=tuple(NEEDS[p] for _, p in VALUE_TYPES))
 
 
 def mask_deep(text: Column, salt: str, use_hash: bool = True) -> Column:
     """Replaces addresses, host names and UUIDs inside a value of unknown meaning."""
     chain = _Chain(salt, use_hash)
-    return chain.run(text, [chain.values(family, pattern) for family, pattern in DEEP_TYPES])
+    return chain.run(text, [chain.values(family, pattern) for family, pattern in DEEP_TYPES], needs=tuple(NEEDS[p] for _, p in DEEP_TYPES))
 
 
 def mask_text(text: Column, salt: str, identities: Column | None = None, users: bool = True, profile: str = "response", use_hash: bool = True) -> Column:
@@ -150,7 +163,7 @@ def mask_whole(text: Column, salt: str, use_hash: bool = True) -> Column:
     full = lambda v, p: f"{v} RLIKE {text_literal(f'^(?:{p})$')}"
 
     def step(t: str) -> str:
-        family = lambda v: f"CASE WHEN {full(v, EMAIL)} THEN 'EMAIL' WHEN {full(v, IPV4)} OR {full(v, IPV6)} THEN 'IP' WHEN {full(v, FQDN)} AND NOT contains({v}, '://') THEN 'HOST' END"
+        family = lambda v: f"CASE WHEN contains({v}, ' ') OR NOT (contains({v}, '.') OR contains({v}, ':')) THEN NULL WHEN {full(v, EMAIL)} THEN 'EMAIL' WHEN {full(v, IPV4)} OR {full(v, IPV6)} THEN 'IP' WHEN {full(v, FQDN)} AND NOT contains({v}, '://') THEN 'HOST' END"
         made = chain.bind(f"trim({t})", lambda v: chain.bind(family(v), lambda f: token_expr(f, v, salt, use_hash)))
         return f"CASE WHEN {t} RLIKE {text_literal(TOKEN_PATTERN)} THEN {t} ELSE {made} END"
 
@@ -159,7 +172,7 @@ def mask_whole(text: Column, salt: str, use_hash: bool = True) -> Column:
 
 def residual(text: Column) -> Column:
     """Whether an address is left in a text."""
-    found = (text.contains("@") & text.rlike(unicode(EMAIL)), text.rlike(unicode(IPV4)), text.contains(":") & text.rlike(unicode(IPV6)))
+    found = (text.contains("@") & text.rlike(unicode(EMAIL)), text.contains(".") & text.rlike(unicode(IPV4)), text.contains(":") & text.rlike(unicode(IPV6)))
     out = F.lit(False)
     for f in found:
         out = out | f
