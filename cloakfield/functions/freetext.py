@@ -78,8 +78,9 @@ class _Chain:
             return f"CASE WHEN size({m}) = 1 THEN {text} ELSE array_join(transform({m}, ({piece}, {at}) -> CASE WHEN {at} % 2 = 1 THEN {made} ELSE {piece} END), '') END"
 
         mark = text_literal(MARK)
-        rare = lambda: self.bind(f"concat({mark}, md5(encode({text}, 'UTF-8')), {mark})", parts)
-        return self.bind(f"CASE WHEN contains({text}, {mark}) THEN {rare()} ELSE {parts(mark)} END", join)
+        # not bound by a variable: each level more costs the analyzer a pass
+        rare = f"concat({mark}, md5(encode({text}, 'UTF-8')), {mark})"
+        return self.bind(f"CASE WHEN contains({text}, {mark}) THEN {parts(rare)} ELSE {parts(mark)} END", join)
 
     def values(self, family: str, pattern: str) -> Callable[[str], str]:
         def step(text: str) -> str:
